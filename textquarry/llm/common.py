@@ -173,3 +173,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             break
         seen = mark
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+# --------------------------------------------------------------------------- picking rows by id
+
+#: Ids that a broadcast may hold, at most; beyond it the same join shuffles both sides.
+BROADCAST_IDS = 1_000_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """``ids`` (one long column) hinted for broadcast if it is proven small."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose doc_id is in ``ids`` (doc_id); rows without a doc_id stay."""
+    return docs.join(sized(ids.where("doc_id is not null").distinct()), "doc_id", "left_anti").select(docs.columns)

@@ -5,8 +5,8 @@ shingles as 64-bit hashes (with fewer words, the whole sequence as one shingle;
 link when ``100 * |A & B| >= 80 * |A | B|``; a component is what links reach.
 
 Method
-1. Shingles that many documents hold are counted within every pass over the texts; they come last in the global order.
-   The order steers cost only: any order gives the same links.
+1. Shingles are counted over all documents; those that many documents hold come last in the global order, so that a
+   passage that many share is seldom part of a prefix. The order steers cost only: any order gives the same links.
 2. Documents with equal sets collapse into one class, classes with an equal prefix and size into one group.
 3. Each group sends its prefix once, and within a shingle's bucket every group meets the bucket's leader (the one that has
    the shingle earliest). Group pairs that pass the size and position bounds are expanded and verified on the sets.
@@ -25,72 +25,112 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: A shingle counts as frequent in a pass over the texts from this many documents on.
-PASS_REPEATS = 3
-#: The most frequent shingles that the order knows: at most 8 bytes each in a broadcast. It bounds cost, not results.
-FREQUENT = 200_000
-#: Up to this many candidate ids the texts are picked by a broadcast; beyond it both sides are shuffled.
-BROADCAST_IDS = 1_000_000
+#: From this many documents on a shingle comes late in the order.
+OFTEN = 4
+#: The most frequent shingles that the order knows: 12 bytes each in a broadcast. It bounds cost, not results.
+FREQUENT = 1_000_000
 
 
-def _frequent(docs: DataFrame, width: int) -> np.ndarray:
-    """The most frequent shingles, rarest first, by the counts of passes that saw them repeatedly."""
+def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 32-bit keys of frequent shingles and their counts.
+
+    Every pass sends its sorted distinct keys, packed, to the tasks that add them up: a few bytes for each shingle. Keys are
+    cut to 32 bits, which the order may be: shingles that share a key share its count.
+    """
+    parts = 4 * common.partitions(docs)
 
     def count(batches):
         for batch in batches:
             for _, data, offs in common.passes(batch.column(0)):
-                every = [s for s in common.shingle_sets(data, offs, width)]
-                keys, n = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                keep = n >= PASS_REPEATS
-                yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["shingle", "n"])
+                every = [(s >> np.uint64(32)).astype(np.uint32) for s in common.shingle_sets(data, offs, width)]
+                keys, n = np.unique(np.concatenate(every), return_counts=True)
+                cut = np.searchsorted(keys, (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
+                rows = [(p, _pack(keys[a:b]), _packed(np.minimum(n[a:b], 65535).astype(np.uint16))) for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["p", "keys", "n"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        keys = np.concatenate([_unpack(x) for x in rows["keys"].to_pylist()])
+        n = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint16) for x in rows["n"].to_pylist()])
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        n, keys = np.add.reduceat(n, first), keys[first]
+        keep = np.flatnonzero(n >= OFTEN)
+        keep = keep[np.argsort(-n[keep], kind="stable")][: 2 * FREQUENT // parts + 1]  # keys are even, so few of the top are lost
+        return pa.table({"shingle": keys[keep].astype(np.int64), "n": n[keep]})
+
+    top = docs.select("text").mapInArrow(count, "p int, keys binary, n binary").groupBy("p").applyInArrow(add, "shingle long, n long")
+    rows = top.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow().sort_by("shingle")
+    return rows["shingle"].to_numpy().astype(np.uint32), rows["n"].to_numpy()
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.compress(x.tobytes(), 1)
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted 32-bit keys as compressed differences."""
+    return _packed(np.diff(keys, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.copy())
 
-    top = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = top.where("n >= 8").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
-    return rows["shingle"].to_numpy(np.int64)[::-1].view(np.uint64).copy()
 
+def _unpack(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1)
+    return np.cumsum(planes.T.copy().view(np.uint32).ravel(), dtype=np.uint32)
 
-def _ordered(keys: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """``keys`` (sorted) with those in ``known`` last, these by rank."""
+
+def _ordered(keys: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """``keys`` (sorted) with frequent ones last, these by count."""
     if not len(known) or not len(keys):
         return keys
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    common_ones = known[at] == keys
-    if not common_ones.any():
-        return keys
-    often = keys[common_ones]
-    return np.concatenate([keys[~common_ones], often[np.argsort(rank[at[common_ones]], kind="stable")]])
+    short = (keys >> np.uint64(32)).astype(np.uint32)
+    at = np.minimum(np.searchsorted(known, short), len(known) - 1)
+    often = np.where(known[at] == short, times[at], 0)
+    return keys[np.argsort(often, kind="stable")]
+
+
+def _bitmap(s: np.ndarray) -> bytes:
+    """The set hashed into at least two bits an element, a power of two: larger maps fold onto smaller ones by OR."""
+    size = max(256, 1 << (2 * len(s) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(s >> np.uint64(7)) & np.uint64(size - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _most_shared(n1: int, x: np.ndarray, n2: int, y: np.ndarray) -> float:
+    """An upper bound of the intersection: an element outside it sets a bit that the maps can only share by chance, so
+    ``|A| + |B| - 2 |A & B|`` is at least the number of bits in which the maps differ."""
+    if len(x) > len(y):
+        x, y = y, x
+    y = np.bitwise_or.reduce(y.reshape(-1, len(x)), axis=0)
+    return (n1 + n2 - int(np.bitwise_count(x ^ y).sum())) / 2
 
 
-def signatures(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), set_key, prefix_key (hex digests) and prefix (packed 64-bit hashes in the global order)."""
-    order = np.argsort(frequent, kind="stable")
-    shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64)))
+def signatures(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, n (set size), set_key, prefix_key (digests), bits, and prefix (packed 64-bit hashes in the global order)."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def sign(batches):
-        known, rank = shared.value
+        known, times = shared.value
         for batch in batches:
             ids = batch.column(0)
             for at, data, offs in common.passes(batch.column(1)):
-                sizes, sets, prefixes, keys = [], [], [], []
+                sizes, out = [], ([], [], [], [])
                 for s in common.shingle_sets(data, offs, width):
                     n = len(s)
                     need = -(-percent * n // 100)
-                    prefix = _ordered(s, known, rank)[: n - need + 1 if n else 0].tobytes()
+                    prefix = _ordered(s, known, times)[: n - need + 1 if n else 0].tobytes()
                     sizes.append(n)
-                    sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    prefixes.append(prefix)
-                    keys.append(hashlib.blake2b(prefix, digest_size=16).digest())
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(sizes)), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.binary())],
-                    names=["doc_id", "n", "set_key", "prefix_key", "prefix"],
-                )
+                    for store, v in zip(out, (hashlib.blake2b(s.tobytes(), digest_size=16).digest(), hashlib.blake2b(prefix, digest_size=16).digest(), _bitmap(s), prefix)):
+                        store.append(v)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(sizes)), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in out)], names=["doc_id", "n", "set_key", "prefix_key", "bits", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, set_key binary, prefix_key binary, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, set_key binary, prefix_key binary, bits binary, prefix binary")
 
 
 def _unpacked(rows: DataFrame) -> DataFrame:
@@ -110,17 +150,18 @@ def _unpacked(rows: DataFrame) -> DataFrame:
 
 
 def _bounds(percent: int, n1: str, p1: str, n2: str, p2: str) -> str:
-    """Whether sizes and positions of one shared shingle allow the similarity."""
+    """Whether sizes and positions allow the similarity if this shingle is the first that both have.
+
+    Nothing before it is shared, so the intersection is at most what follows it in either. Of a similar pair the row of its
+    first shared shingle passes; the pair's other rows need not.
+    """
     size = f"100L * least({n1}, {n2}) >= {percent}L * greatest({n1}, {n2})"
-    most = f"(least({p1}, {p2}) + 1 + least({n1} - {p1}, {n2} - {p2}) - 1)"
-    return f"({size} and {100 + percent}L * {most} >= {percent}L * ({n1} + {n2}))"
+    return f"({size} and {100 + percent}L * least({n1} - {p1}, {n2} - {p2}) >= {percent}L * ({n1} + {n2}))"
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """The packed sets of the documents named in ``ids`` (sid)."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    ids = F.broadcast(ids) if few else ids
-    picked = docs.select(F.col("doc_id").alias("sid"), "text").join(ids, "sid", "left_semi")
+    picked = docs.select(F.col("doc_id").alias("sid"), "text").join(common.sized(ids), "sid", "left_semi")
 
     def build(batches):
         for batch in batches:
@@ -131,8 +172,23 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return picked.mapInArrow(build, "sid long, shingles binary").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are as similar as asked."""
+def _with_both(pairs: DataFrame, side: DataFrame, *columns: str) -> DataFrame:
+    for k, name in enumerate(("a", "b")):
+        pairs = pairs.join(side.select(F.col("sid").alias(name), *(F.col(c).alias(f"{c}{k}") for c in columns)), name)
+    return pairs.select("a", "b", *(f"{c}{k}" for k in (0, 1) for c in columns))
+
+
+def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are as similar as asked: by the bound of their bitmaps, then by the sets."""
+
+    def bound(batches):
+        for batch in batches:
+            keep = []
+            for n1, x, n2, y in zip(*(batch.column(k) for k in range(2, 6))):
+                n1, n2 = n1.as_py(), n2.as_py()
+                most = _most_shared(n1, np.frombuffer(x.as_buffer(), np.uint8), n2, np.frombuffer(y.as_buffer(), np.uint8))
+                keep.append((100 + percent) * most >= percent * (n1 + n2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def check(batches):
         for batch in batches:
@@ -146,8 +202,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    full = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    likely, _ = common.stored(_with_both(pairs, heads, "n", "bits").mapInArrow(bound, "a long, b long"), "jaccard-likely")
+    sets = _sets(docs, likely.select(F.col("a").alias("sid")).union(likely.select("b")).distinct(), width)
+    return _with_both(likely, sets, "shingles").mapInArrow(check, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -157,37 +214,37 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     signed, _ = common.stored(signatures(docs, width, percent, frequent), "jaccard-signed")
 
     usable = signed.where("n > 0 and doc_id is not null")
-    classes = usable.groupBy("set_key", "n").agg(F.min("doc_id").alias("sid"), F.min("prefix_key").alias("prefix_key"))
+    classes = usable.groupBy("set_key", "n").agg(F.min("doc_id").alias("sid"), F.first("prefix_key").alias("prefix_key"), F.first("bits").alias("bits"))
+    classes, _ = common.stored(classes, "jaccard-classes")
     groups = classes.groupBy("prefix_key", "n").agg(F.min("sid").alias("gid"))
-    members, _ = common.stored(classes.join(groups, ["prefix_key", "n"]).select("set_key", "n", "sid", "gid"), "jaccard-members")
+    members, _ = common.stored(classes.select("set_key", "prefix_key", "n", "sid").join(groups, ["prefix_key", "n"]).select("set_key", "n", "sid", "gid"), "jaccard-members")
 
     heads = usable.join(members.where("sid = gid").select(F.col("set_key"), F.col("gid").alias("doc_id")), ["set_key", "doc_id"])
     heads = heads.select(F.col("doc_id").alias("gid"), "n", "prefix").dropDuplicates(["gid"])
     bucket = Window.partitionBy("shingle").orderBy("pos", "gid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    crowd = members.groupBy("gid").agg(F.count("*").alias("size")).where("size > 1").select("gid")
     met = _unpacked(heads).withColumns({"lead": F.first(F.struct("gid", "n", "pos")).over(bucket), "many": F.count("*").over(bucket)})
     met, _ = common.stored(met.where("many > 1").select("shingle", "gid", "n", "pos", F.col("lead.gid").alias("lg"), F.col("lead.n").alias("ln"), F.col("lead.pos").alias("lp")), "jaccard-buckets")
-
-    active = met.select("gid").distinct().union(crowd).distinct()
-    cast = members.join(active, "gid").select("sid", "gid")
-    sets, _ = common.stored(_sets(docs, cast.select("sid").distinct(), width), "jaccard-sets", "none")
+    crowd = members.groupBy("gid").agg(F.count("*").alias("size")).where("size > 1").select("gid")
+    cast = members.join(met.select("gid").union(crowd).distinct(), "gid").select("sid", "gid")
 
     led = met.where(f"gid <> lg and {_bounds(percent, 'n', 'pos', 'ln', 'lp')}").select(F.col("gid").alias("a"), F.col("lg").alias("b"))
-    within = cast.where("sid <> gid").select(F.col("sid").alias("a"), F.col("gid").alias("b"))
-    first, _ = common.stored(_verified(led.unionByName(within), sets, percent), "jaccard-links")
+    within = members.where("sid <> gid").select(F.col("sid").alias("a"), F.col("gid").alias("b"))
+    first, _ = common.stored(_verified(led.unionByName(within), classes, docs, width, percent), "jaccard-links")
     joined, _ = common.stored(common.components(first, "jaccard-first"), "jaccard-joined")
 
     labelled = cast.join(joined, cast.sid == joined.node, "left").select("sid", "gid", F.coalesce("component", "sid").alias("comp"))
+    labelled, _ = common.stored(labelled, "jaccard-labelled")
     spread = labelled.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     open_ones = met.select("shingle", "gid", "n", "pos").join(spread, "gid")
     mixed = open_ones.groupBy("shingle").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("shingle")
     rows = open_ones.select("shingle", "gid", "n", "pos").join(mixed, "shingle").join(labelled, "gid").select("shingle", "sid", "comp", "n", "pos")
+    rows, _ = common.stored(rows, "jaccard-open")
     other = rows.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("sid", "comp", "n", "pos")))
     across = rows.join(other, "shingle").where(f"sid < sid2 and comp <> comp2 and {_bounds(percent, 'n', 'pos', 'n2', 'pos2')}")
     inside = labelled.join(spread.where("lo <> hi").join(crowd, "gid").select("gid"), "gid")
     inside = inside.join(inside.select("gid", F.col("sid").alias("sid2"), F.col("comp").alias("comp2")), "gid").where("sid < sid2 and comp <> comp2")
-    more = _verified(across.select(F.col("sid").alias("a"), F.col("sid2").alias("b")).unionByName(inside.select(F.col("sid").alias("a"), F.col("sid2").alias("b"))), sets, percent)
-    linked = common.components(first.unionByName(more), "jaccard-components")
+    pairs = across.unionByName(inside, allowMissingColumns=True).select(F.col("sid").alias("a"), F.col("sid2").alias("b"))
+    linked = common.components(first.unionByName(_verified(pairs, classes, docs, width, percent)), "jaccard-components")
 
     by_set = members.join(linked, members.sid == linked.node, "left").select("set_key", F.coalesce("component", "sid").alias("component_id"))
     out = signed.select("doc_id", "n", "set_key").join(by_set, "set_key", "left")
@@ -195,6 +252,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (of repeated rows, one)."""
+    found, _ = common.stored(jaccard_components(docs), "jaccard-result")
+    kept = common.without(docs, found.where("doc_id <> component_id").select("doc_id"))
+    again, _ = common.stored(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "jaccard-repeated")
+    if again.isEmpty():
+        return kept
+    once = kept.join(common.sized(again), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return common.without(kept, again).unionByName(once)
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(common.table(spark, sf_dir, "documents"))
 
