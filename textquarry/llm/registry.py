@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from . import jaccard_join
+from . import decontaminate, embedding_dedup, jaccard_join, lm_score, mixing, quality, secrets, token_rollups, warc
 
 QUERIES = {
+    "op1_lm_scoring": lm_score.op1_lm_scoring,
+    "op2_mixing_sources": mixing.op2_mixing_sources,
+    "op3_quality_classifier": quality.op3_quality_classifier,
+    "op4_embedding_near_dedup": embedding_dedup.op4_embedding_near_dedup,
+    "op5_token_counts": token_rollups.op5_token_counts,
+    "op6_warc": warc.op6_warc,
+    "op7_secret_scans": secrets.op7_secret_scans,
+    "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
 }
 
 ORACLES = {
+    "op4_embedding_near_dedup": embedding_dedup.ORACLE,
+    "op6_warc": warc.ORACLE,
+    "op8_benchmark_decontamination": decontaminate.ORACLE,
     "op10_ngram_jaccard_join": jaccard_join.ORACLE,
 }
