@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, jaccard_join, lm_score, mixing, quality, secrets, token_rollups, warc
+from . import chat_format, decontaminate, embedding_dedup, jaccard_join, lm_score, mixing, quality, secrets, token_rollups, warc
 
 QUERIES = {
     "op1_lm_scoring": lm_score.op1_lm_scoring,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+    "op9_chat_format": chat_format.op9_chat_format,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
 }
 
@@ -20,5 +21,6 @@ ORACLES = {
     "op4_embedding_near_dedup": embedding_dedup.ORACLE,
     "op6_warc": warc.ORACLE,
     "op8_benchmark_decontamination": decontaminate.ORACLE,
+    "op9_chat_format": chat_format.ORACLE,
     "op10_ngram_jaccard_join": jaccard_join.ORACLE,
 }
