@@ -34,7 +34,7 @@ def _char_class(body: str) -> str | None:
         else:
             items.append(_plain(low))
             k += 1
-    return f"[{'^' if inverted else ''}{''.join(items)}]"
+    return f"[{'^' if inverted else ''}{''.join(items)}]" if items else None
 
 
 def _plain(char: str) -> str:
@@ -111,7 +111,7 @@ def _shell(glob: str) -> str:
         elif m["one"]:
             out.append("[\\s\\S]")
         elif m["set"] is not None:
-            out.append(_char_class(m["set"]) or NEVER)
+            out.append(_char_class(m["set"]) or "".join(map(_plain, m[0])))
         else:
             out.append(_plain(m["other"]))
     return "".join(out)
