@@ -3,7 +3,7 @@
 import pytest
 from conftest import DATA, plain
 
-from textquarry.plans import queries
+from textquarry.plans import bundle_queries, queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))

@@ -212,3 +212,17 @@ def left_pad(text: Column, width: int) -> Column:
 
 def manifest_row(tokens: Column, size: Column, path: Column) -> Column:
     return F.concat(F.lit("  "), left_pad(grouped(tokens), 9), F.lit("  "), left_pad(grouped(size), 10), F.lit("  "), path)
+
+
+def clip(text: Column, limit: int) -> Column:
+    """White space as single spaces, and three dots where the text is longer than ``limit``."""
+    flat = strip(F.regexp_replace(text, f"[{WS}]+", " "))
+    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, limit - 3)), F.lit("...")))
+
+
+def comment_opener(path: Column) -> Column:
+    """How a line comment begins in a file of this name."""
+    from textquarry.operators.blocks import STYLE
+
+    table = F.create_map(*(F.lit(x) for ext, (opener, _) in STYLE.items() for x in (ext, opener)))
+    return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(path, r"(?s)\.[^.]*$", 0))), F.lit("#"))
