@@ -66,8 +66,10 @@ def scan_cut(files: DataFrame, n: int) -> DataFrame:
     """
     if not n:
         return files.withColumn("considered", F.lit(True))
-    edge = files.select("score", "path").orderBy(F.desc("score"), "path").limit(n).orderBy("score", F.desc("path")).limit(1).select(F.col("score").alias("_s"), F.col("path").alias("_p"))
-    return files.crossJoin(F.broadcast(edge)).withColumn("considered", (F.col("score") > F.col("_s")) | ((F.col("score") == F.col("_s")) & (F.col("path") <= F.col("_p")))).drop("_s", "_p")
+    last = files.select("score", "path").orderBy(F.desc("score"), "path").limit(n).orderBy("score", F.desc("path")).first()
+    if last is None:
+        return files.withColumn("considered", F.lit(True))
+    return files.withColumn("considered", (F.col("score") > last["score"]) | ((F.col("score") == last["score"]) & (F.col("path") <= last["path"])))
 
 
 def round_robin(files: DataFrame) -> DataFrame:

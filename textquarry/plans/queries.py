@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions import columns as C
@@ -245,7 +245,7 @@ def count_report(spark, sf_dir):
     firsts = ranking.top(_meta(spark, sf_dir), 40).select("doc_id", "path", "score")
     files = corpus.documents(spark, sf_dir).select("doc_id", "text").join(F.broadcast(firsts), "doc_id")
     shown = C.with_tokens(files).select("path", "score", "tokens")
-    return shown.crossJoin(F.broadcast(shown.agg(F.sum("tokens").alias("shown"))))
+    return shown.withColumn("shown", F.sum("tokens").over(Window.partitionBy()))
 
 
 _PAIRS = f"WITH {PARTS}, {token_sql('parts', 'doc_id')}, pairs AS (SELECT ext, tokens AS estimate, CAST(len(text) // 4 AS BIGINT) AS truth FROM parts JOIN tok USING (doc_id))"
