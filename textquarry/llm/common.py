@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy pass looks at; a longer document is a pass of its own.
-PASS_BYTES = 4 << 20
+#: Bytes of text that one numpy pass looks at; a longer document is a pass of its own. Passes that send counts take more,
+#: as what repeats within a pass is sent once.
+PASS_BYTES, COUNT_BYTES = 1 << 20, 3 << 20
 
 
 # --------------------------------------------------------------------------- work folder
@@ -26,7 +27,13 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder among those of this application."""
+    return f"{work_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Drop all stored tables of this application, once no result needs them any more."""
+    drop_path(spark, f"{work_dir(spark)}/{spark.sparkContext.applicationId}")
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -46,6 +53,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch of texts: small, as one text may be very long.
+BATCH_ROWS = 1_000
+
+
+def in_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, with the session's Arrow batches kept small for what Python reads from it."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return docs
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

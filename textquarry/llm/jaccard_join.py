@@ -14,7 +14,7 @@ Method
    verified too. A pair inside one component needs no comparison, so a group of copies costs a number of pairs linear in
    its size, and no link between different components is lost.
 
-Defined results: null and empty texts have an empty set and link with nothing; a null doc_id links with nothing and has a
+Defined results: doc_id names a text; null and empty texts have an empty set and link with nothing; a null doc_id links with nothing and has a
 null component; repeated rows are rows of one node; an empty table gives an empty result; columns other than doc_id and
 text are ignored.
 """
@@ -47,7 +47,7 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
     def count(batches):
         for batch in batches:
-            for _, data, offs in common.passes(batch.column(0)):
+            for _, data, offs in common.passes(batch.column(0), common.COUNT_BYTES):
                 every = [(s >> np.uint64(32)).astype(np.uint32) for s in common.shingle_sets(data, offs, width)]
                 keys, n = np.unique(np.concatenate(every), return_counts=True)
                 cut = np.searchsorted(keys, (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
@@ -209,7 +209,7 @@ def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, width: int, p
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = common.in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = _frequent(docs, width)
     signed, _ = common.stored(signatures(docs, width, percent, frequent), "jaccard-signed")
 

@@ -57,7 +57,7 @@ def vocabulary(texts: list[DataFrame], size: int = VOCABULARY) -> np.ndarray:
 
     def count(batches):
         for batch in batches:
-            for _, data, offs in common.passes(batch.column(0)):
+            for _, data, offs in common.passes(batch.column(0), common.COUNT_BYTES):
                 starts, ends, _ = common.word_spans(data, offs)
                 keys, n = np.unique(common.word_hashes(data, starts, ends), return_counts=True)
                 cut = np.searchsorted(keys, np.array([(k << 64) // parts for k in range(parts)], np.uint64)).tolist() + [len(keys)]
@@ -69,7 +69,7 @@ def vocabulary(texts: list[DataFrame], size: int = VOCABULARY) -> np.ndarray:
         top = np.lexsort((keys, -n))[:size]
         return pa.table({"word": keys[top].view(np.int64), "n": n[top]})
 
-    counts = [t.select("text").mapInArrow(count, "p int, keys binary, n binary") for t in texts]
+    counts = [common.in_batches(t).select("text").mapInArrow(count, "p int, keys binary, n binary") for t in texts]
     every = counts[0]
     for more in counts[1:]:
         every = every.unionByName(more)
@@ -83,7 +83,7 @@ def _tokenised(docs: DataFrame, words, target: bool) -> DataFrame:
     def cut(batches):
         seq = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for at, data, offs in common.passes(batch.column(1)):
+            for at, data, offs in common.passes(batch.column(1), common.COUNT_BYTES):
                 starts, ends, first = common.word_spans(data, offs)
                 h, known = common.word_hashes(data, starts, ends), words.value
                 k = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))

@@ -5,7 +5,8 @@ gives each document a posterior over domains. A document's rate r says how often
 domain d are ``sum_i r_i * tokens_i * p_id``. Rates minimise the squared distance of these totals from the targets,
 whitened by the Gram matrix ``G = sum_i tokens_i p_i p_i'``, over r >= 0, from r = 1. In the metric that weighs a document
 by its tokens the gradient step is ``r_i - p_i . G^-1 (totals - target)`` and its step size is 1: the change of a rate
-depends on the posterior alone, not on the length. Every step is one aggregate of as many sums as there are domains.
+depends on the posterior alone, not on the length. Steps are accelerated (momentum, restarted where the error grows), and
+every step is one aggregate of as many sums as there are domains.
 
 Domains of the query: ``good`` (quality 1), ``poor`` (quality 0) and ``toxic`` (toxic 1).
 
@@ -16,6 +17,7 @@ what least squares reaches; rows without any tokens at all leave every rate at 1
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -104,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                     names=["doc_id", "y", "col", "val"],
                 )
 
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("text", "doc_id", "y").mapInArrow(sparse, "doc_id long, y int, col array<int>, val array<float>").toArrow()
+    got = common.in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("text", "doc_id", "y").mapInArrow(sparse, "doc_id long, y int, col array<int>, val array<float>").toArrow()
     if not got.num_rows:
         return Softmax(np.zeros((len(DOMAINS), WIDTH)), np.zeros(len(DOMAINS)))
     got = got.sort_by("doc_id")
@@ -127,34 +129,38 @@ def posteriors(docs: DataFrame, model: Softmax) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(n)) for k in range(len(others))), pa.array(n.astype(np.int64)), lists], names=[*others, "n_tokens", "p"])
 
     fields = [docs.schema[c] for c in others]
-    return docs.select(*others, "text").mapInArrow(apply, StructType([*fields, StructField("n_tokens", LongType()), StructField("p", ArrayType(DoubleType()))]))
+    return common.in_batches(docs).select(*others, "text").mapInArrow(apply, StructType([*fields, StructField("n_tokens", LongType()), StructField("p", ArrayType(DoubleType()))]))
 
 
 def rates(members: DataFrame, target: list[float], total: float | None = None, steps: int = 200, tolerance: float = 1e-9) -> DataFrame:
     """``members`` (n_tokens, p, ...) with a nonnegative ``rate``; ``target`` are shares of ``total`` (all tokens if unset)."""
-    k = len(target)
-    pair = [(a, b) for a in range(k) for b in range(a, k)]
+    k_domains = len(target)
+    pair = [(a, b) for a in range(k_domains) for b in range(a, k_domains)]
     sums = members.agg(F.sum("n_tokens").alias("t"), *(F.sum(F.col("n_tokens") * F.col("p")[a] * F.col("p")[b]).alias(f"g{a}_{b}") for a, b in pair)).first()
     if not sums["t"]:
         return members.withColumn("rate", F.lit(1.0))
-    gram = np.zeros((k, k))
+    gram = np.zeros((k_domains, k_domains))
     for a, b in pair:
         gram[a, b] = gram[b, a] = sums[f"g{a}_{b}"]
     inverse = np.linalg.pinv(gram, rcond=1e-9)
     goal = np.array(target, float) / sum(target) * (total if total is not None else float(sums["t"]))
-    rate, steps_in = F.lit(1.0), 0
-    for _ in range(steps):
-        state = members.select("*", rate.alias("_r")) if "_r" not in members.columns else members.withColumn("_r", rate)
-        got = np.array(state.agg(*(F.sum(F.col("_r") * F.col("n_tokens") * F.col("p")[d]) for d in range(k))).first(), float)
+    state = members.withColumns({"_r": F.lit(1.0), "_q": F.lit(1.0)})
+    pace, least = 1.0, math.inf
+    for k in range(1, steps + 1):
+        following = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        push = (pace - 1) / following
+        state = state.withColumn("_y", F.col("_r") + push * (F.col("_r") - F.col("_q")))
+        got = np.array(state.agg(*(F.sum(F.col("_y") * F.col("n_tokens") * F.col("p")[d]) for d in range(k_domains))).first(), float)
         step = inverse @ (got - goal)
+        error = float((got - goal) @ step)
         if np.abs(step).max() <= tolerance:
             break
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col("p")[d] * float(step[d]) for d in range(1, k)), F.col("p")[0] * float(step[0])))
-        steps_in += 1
-        if steps_in % 12 == 0:  # the expression stays short; the state so far is a table
-            members, _ = common.stored(members.withColumn("_r", rate), "mixing-rates")
-            rate = F.col("_r")
-    return members.withColumn("rate", F.round(rate, 9)).drop("_r")
+        pace, least = (1.0 if error > least else following), error
+        moved = F.greatest(F.lit(0.0), F.col("_y") - sum((F.col("p")[d] * float(step[d]) for d in range(1, k_domains)), F.col("p")[0] * float(step[0])))
+        state = state.withColumns({"_q": F.col("_r"), "_r": moved}).drop("_y")
+        if k % 8 == 0:  # the chain of steps stays short; the state so far is a table
+            state, _ = common.stored(state, "mixing-rates")
+    return state.withColumn("rate", F.round("_r", 9)).drop("_r", "_q", "_y")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:

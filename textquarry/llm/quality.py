@@ -194,7 +194,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, sample_rows:
                 x = statistics(data, offs)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(x)), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))], names=["y", "x"])
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y", "doc_id")
+    joined = common.in_batches(docs).select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y", "doc_id")
     got = joined.select("text", F.struct("doc_id", "y").alias("y")).mapInArrow(stats, "y struct<doc_id: long, y: int>, x array<double>").toArrow()
     if got.num_rows == 0:
         return np.zeros((0, len(NAMES))), np.zeros(0)
@@ -222,7 +222,7 @@ def scored(docs: DataFrame, trees: Trees) -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(apply, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return common.in_batches(docs).mapInArrow(apply, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,7 +74,7 @@ def counted(docs: DataFrame, versions: tuple[str, ...], vocabulary: str = VOCABU
                 keys = list(zip(*sums)) or [()] * 3
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in keys), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())], names=[*KEYS, "n_docs", "n_tokens"])
 
-    return docs.select("text", "source", "lang").mapInArrow(count, "source string, lang string, tokenizer string, n_docs long, n_tokens long")
+    return common.in_batches(docs).select("text", "source", "lang").mapInArrow(count, "source string, lang string, tokenizer string, n_docs long, n_tokens long")
 
 
 def inserts(counts: DataFrame) -> DataFrame:
