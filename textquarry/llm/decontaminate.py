@@ -5,7 +5,8 @@ words of a benchmark item are a window; an item of fewer words is one window. Th
 table; each document's token windows are hashed and probed in one pass, and a probe that hits is verified word by word in
 the join condition, so the result is exact. Only hits and one row for each document leave that pass.
 
-The broadcast is checked: beyond ``BROADCAST_WINDOWS`` windows the same join runs without the hint, as a shuffled join.
+The broadcast is checked: beyond ``BROADCAST_WINDOWS`` windows the hashes are shuffled instead, and the words of a document
+are joined again to its hits only.
 
 Defined results: null and empty texts have no words and are not contaminated; items without words or with a null item_id
 have no windows; repeated documents each give a row; repeated items count once; an empty benchmark hits nothing; other
@@ -50,20 +51,26 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = benchmark_windows(benchmark)
     stats = windows.groupBy(F.size("win").alias("len")).count().collect()  # at most ten rows
     lengths = sorted((r["len"] for r in stats), reverse=True)
-    marker = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("h"), F.lit(None).cast("array<string>").alias("win"), F.lit(None).cast("array<string>").alias("items"))
-    probes = marker.unionByName(windows)
-    if sum(r["count"] for r in stats) <= BROADCAST_WINDOWS:
-        probes = F.broadcast(probes)
-
     hashed = [f"if(size(w) >= {n}, transform(sequence(1, greatest(1, size(w) - {n - 1})), i -> xxhash64(slice(w, i, {n}))), array())" for n in lengths]
-    token = docs.select("rid", "doc_id", _let(words(F.col("text")), "w"))
-    token = token.select("rid", "doc_id", "w", F.expr(f"concat({', '.join(['array(0L)', *hashed])})").alias("hs"))
-    token = token.select("rid", "doc_id", "w", F.posexplode_outer("hs").alias("pos", "h"))
     skip = "0" + "".join(f" + if(size(win) < {n}, greatest(0, size(w) - {n - 1}), 0)" for n in lengths)
     start = f"(pos - ({skip}))"
     real = f"pos > 0 and win is not null and {start} between 1 and size(w) - size(win) + 1 and slice(w, greatest(1, {start}), size(win)) = win"
-    met = token.join(probes, "h").where(f"(pos = 0 and win is null) or ({real})")
-    met = met.select("rid", "doc_id", F.expr("if(win is null, size(w), null)").alias("n_words"), "items", F.expr(f"if(win is null, null, struct({start} as s, {start} + size(win) as e))").alias("span"))
+    span = F.expr(f"if(win is null, null, struct({start} as s, {start} + size(win) as e))").alias("span")
+    marker = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("h"), F.lit(None).cast("array<string>").alias("win"), F.lit(None).cast("array<string>").alias("items"))
+
+    token = docs.select("rid", "doc_id", _let(words(F.col("text")), "w"))
+    token = token.select("rid", "doc_id", "w", F.expr(f"concat({', '.join(['array(0L)', *hashed])})").alias("hs"))
+    if sum(r["count"] for r in stats) <= BROADCAST_WINDOWS:
+        # The words ride along within the task; a row is made only of what the probe and the comparison leave.
+        spread = token.select("rid", "doc_id", "w", F.posexplode_outer("hs").alias("pos", "h"))
+        met = spread.join(F.broadcast(marker.unionByName(windows)), "h").where(f"(pos = 0 and win is null) or ({real})")
+    else:
+        # The shuffle carries hashes alone; the words come back for the rows that hit.
+        token, _ = common.stored(token, "benchmark-words")
+        spread = token.select("rid", F.posexplode_outer("hs").alias("pos", "h")).where("pos > 0")
+        met = spread.join(windows, "h").join(token.select("rid", "doc_id", "w"), "rid").where(real)
+        met = met.unionByName(token.select(F.lit(0).cast("long").alias("h"), "rid", F.lit(0).alias("pos"), F.lit(None).cast("array<string>").alias("win"), F.lit(None).cast("array<string>").alias("items"), "doc_id", "w"))
+    met = met.select("rid", "doc_id", F.expr("if(win is null, size(w), null)").alias("n_words"), "items", span)
     found = met.groupBy("rid", "doc_id").agg(F.max("n_words").cast("long").alias("n_words"), F.collect_list("span").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     covered = "aggregate(array_sort(spans), struct(0 as e, 0L as n), (a, x) -> struct(greatest(a.e, x.e) as e, a.n + greatest(0, x.e - greatest(a.e, x.s)) as n), a -> a.n)"
     return found.select("rid", "doc_id", "n_words", F.expr(covered).alias("n_hit"), F.array_sort("items").alias("items"))
