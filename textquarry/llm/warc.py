@@ -2,8 +2,8 @@
 
 Writing. Every page becomes one WARC/1.1 record whose block is an HTTP message with the html as payload. Of the records with
 equal payloads of at least ``REVISIT_BYTES`` bytes the one with the smallest page_id is a ``response``; the others are
-``revisit`` records that refer to it and carry no payload. Archives are written by Spark's own text writer, so they go to
-any store that Spark can write to.
+``revisit`` records that refer to it and carry no payload. Archives are written by Spark's own text writer, compressed as
+whole files, so they go to any store that Spark can write to; offsets count uncompressed bytes.
 
 Reading. Archives are parsed by Content-Length, never by looking for separators, and digests are computed again. Each
 archive yields a capture run that is sorted by URL key and timestamp and stored. The runs are cut by range of (URL key,
@@ -17,6 +17,7 @@ an empty table gives no archives and an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 
@@ -57,7 +58,7 @@ def archive_records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    archive_records(pages).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", ARCHIVE_RECORDS).option("compression", "none").text(path)
+    archive_records(pages).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", ARCHIVE_RECORDS).option("compression", "gzip").text(path)
 
 
 def _fields(head: bytes) -> dict[bytes, bytes]:
@@ -104,7 +105,7 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
                 rows = []
-                for offset, length, head, http, payload in parse(content.as_py()):
+                for offset, length, head, http, payload in parse(gzip.decompress(content.as_py())):
                     digest = head[b"WARC-Payload-Digest"].removeprefix(b"sha256:").decode()
                     kind = head[b"WARC-Type"].decode()
                     if kind == "response" and (len(payload) != int(http[b"Content-Length"]) or hashlib.sha256(payload).hexdigest() != digest):
