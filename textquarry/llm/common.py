@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -98,6 +99,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _trim() -> None:
+    """Give freed memory back to the system: workers outlive the task whose arrays they held."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # another C library: nothing to trim
+    _libc = None
+
+
 def passes(column: pa.Array, limit: int = PASS_BYTES):
     """Slices of a string column as (first row, bytes, offsets); nulls count as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -112,6 +127,7 @@ def passes(column: pa.Array, limit: int = PASS_BYTES):
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
         yield i, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
+    _trim()
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray, gap: np.ndarray = SPACE):
