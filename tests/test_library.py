@@ -359,3 +359,31 @@ def test_calibration_file(tmp_path, monkeypatch):
     assert T.load_calibration() == 0.98
     (tmp_path / "c.json").write_text('{"factor": -1}')
     assert T.load_calibration() == 1.0
+
+
+def test_corpus_object(spark, project):
+    from textquarry.api import Corpus
+
+    c = Corpus.tree(spark, str(project))
+    assert c.ranked(1).first()["path"] == "README.md" and c.counted(3).count() == 3
+    assert {r["path"] for r in c.where(include=["*.ts"]).files.collect()} == {"src/app/index.ts", "src/app/types.ts"}
+    assert [tuple(r)[:2] for r in c.near_duplicates().collect()] == [("locales/en.py", "locales/fr.py")]
+    edges, _, _ = c.imports()
+    assert ("src/app/main.py", "src/app/types.py") in {tuple(r) for r in edges.collect()}
+    seen = []
+    assert c.pack(5_000, progress=seen.append).accounted <= 5_000 and not seen
+    rows = spark.createDataFrame([("a.py", "x = 1"), ("node_modules/b.js", "y")], "path string, text string")
+    t = Corpus.table(rows)
+    assert {r["path"] for r in t.without_ignored().files.collect()} == {"a.py"} and t.outlines().count() == 2
+
+
+def test_exact_tokens(spark, tmp_path):
+    import base64
+
+    vocabulary = tmp_path / "v"
+    vocabulary.write_bytes(b"\n".join(base64.b64encode(bytes([k])) + b" %d" % k for k in range(256)))
+    rows = C.with_exact_tokens(spark.createDataFrame([("hé",), ("",), (None,)], "text string"), str(vocabulary)).collect()
+    assert [r["tokens"] for r in rows] == [3, 0, None] and T.TokenCounter("exact", str(vocabulary))("ab") == 2
+    with pytest.raises(ValueError):
+        T.TokenCounter("exact")
+    assert watch.mtime(str(tmp_path / "none")) == -1.0

@@ -153,13 +153,25 @@ def raw_cost(pieces_name: str, costs: dict[str, tuple[float, float]] = fixed.TOK
     return F.aggregate(marks, start, add, total)
 
 
-def with_tokens(df: DataFrame, text: str = "text", calibration: float = 1.0, out: str = "tokens") -> DataFrame:
+def with_tokens(df: DataFrame, text: str = "text", calibration: float = 1.0, out: str = "tokens", costs: dict[str, tuple[float, float]] = fixed.TOKEN_COSTS) -> DataFrame:
     """``df`` with its estimated token count."""
     df = bound(df, _pieces=pieces(F.col(text)))
-    cost = raw_cost("_pieces") * calibration
+    cost = raw_cost("_pieces", costs) * calibration
     return df.withColumn(out, F.when(F.col(text) == "", 0).otherwise(F.greatest(F.lit(1), F.ceil(cost))).cast("long")).drop("_pieces")
 
 
+def with_exact_tokens(df: DataFrame, vocabulary: str, text: str = "text", out: str = "tokens") -> DataFrame:
+    """``df`` with its token count by a vocabulary file that every executor can read; each worker loads it once."""
+
+    @F.pandas_udf("long")
+    def count(texts):
+        from textquarry.functions.tokens import encoding
+
+        return texts.map(lambda t: None if t is None else len(encoding(vocabulary).encode_ordinary(t)))
+
+    return df.withColumn(out, count(F.col(text)))
+
+
 def size_tokens(size: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(size / fixed.SIZE_CHARS_PER_TOKEN)).cast("long")
 

@@ -98,6 +98,7 @@ def pack(
     shared_min_lines: int = 4,
     shared_min_occurrences: int = 3,
     ignored: int = 0,
+    progress: Callable[[str], None] | None = None,
 ) -> Bundle:
     """``files`` has path, size, ext, dirname, and text or whatever ``read`` makes text of.
 
@@ -118,9 +119,11 @@ def pack(
     texts = read(picked) if read else picked.join(files.select("path", "text"), "path")
     texts = transform(texts) if transform else texts
     counted = C.with_tokens(texts.where("text is not null"), calibration=calibration)
-    rows = [r.asDict() for r in counted.select("path", "size", "ext", "dirname", "score", "text", "tokens").orderBy(F.desc("score"), "path").toLocalIterator()]
-    for r in rows:
-        r["lines"] = r["text"].count("\n") + 1 if r["text"] else 0
+    rows = []
+    for r in counted.select("path", "size", "ext", "dirname", "score", "text", "tokens").orderBy(F.desc("score"), "path").toLocalIterator():
+        rows.append(r.asDict() | {"lines": r["text"].count("\n") + 1 if r["text"] else 0})
+        if progress and len(rows) % 500 == 0:
+            progress(f"priced {len(rows):,} files")
     considered, total = picked.count(), meta.count()
     rest = meta.where("not considered").select("path", "size", C.size_tokens(F.col("size")).alias("tokens")).orderBy(F.desc("score"), "path")
     entries = [{"path": r["path"], "tokens": r["tokens"], "size": r["size"], "estimated": False} for r in rows]

@@ -25,6 +25,14 @@ def stamps(paths: Iterable[str], root: str = "") -> Stamps:
     return out
 
 
+def mtime(path: str) -> float:
+    """Seconds of the last change; -1 if the path is gone."""
+    try:
+        return os.stat(path).st_mtime
+    except OSError:
+        return -1.0
+
+
 def diff(before: Stamps, after: Stamps) -> list[tuple[str, str]]:
     """(path, kind) by path, deletions last."""
     kept = [(p, "modified" if p in before else "added") for p in sorted(after) if before.get(p) != after[p]]
