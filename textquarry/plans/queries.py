@@ -418,13 +418,16 @@ def entry_points(spark, sf_dir):
 
 # changes ----------------------------------------------------------------------------------------------------------------
 
+#: Microseconds of a time without zone, whatever the session's zone is.
+_MICROS_SQL = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))"
+
 _SNAP = """ev AS (SELECT user_id, event_id, epoch_us(ts) AS t, round(value * 100)::BIGINT AS v FROM events), mid AS (SELECT (min(t) + max(t)) // 2 AS m FROM ev),
 s2 AS (SELECT user_id, max(struct_pack(t := t, v := v)) AS x FROM ev GROUP BY 1), s1 AS (SELECT user_id, max(struct_pack(t := t, v := v)) AS x FROM ev, mid WHERE t < m GROUP BY 1)"""
 
 
 def _events(spark, sf_dir):
     ev = corpus.read(spark, sf_dir, "events")
-    return ev.select(F.col("user_id").cast("string").alias("path"), F.unix_micros(F.col("ts").cast("timestamp")).alias("mtime_ns"), F.round(F.col("value") * 100).cast("long").alias("size"), "event_id")
+    return ev.select(F.col("user_id").cast("string").alias("path"), F.expr(_MICROS_SQL).alias("mtime_ns"), F.round(F.col("value") * 100).cast("long").alias("size"), "event_id")
 
 
 @query(f"WITH {_SNAP} SELECT user_id::VARCHAR AS path, CASE WHEN s1.x IS NULL THEN 'added' ELSE 'modified' END AS kind FROM s2 LEFT JOIN s1 USING (user_id) WHERE s1.x IS NULL OR s1.x <> s2.x")
@@ -439,13 +442,13 @@ def snapshot_diff(spark, sf_dir):
 b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM g) SELECT user_id AS key, burst::BIGINT AS burst, min(t) AS "begin", max(t) AS "end", count(*) AS n FROM b GROUP BY 1, 2"""
 )
 def debounce_sessions(spark, sf_dir):
-    ev = corpus.read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    ev = corpus.read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.expr(_MICROS_SQL) / 1e6).alias("t"))
     return changes.bursts(ev, 3600)
 
 
 @query(None)
 def rebuild_times(spark, sf_dir):
-    ev = corpus.read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    ev = corpus.read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.expr(_MICROS_SQL) / 1e6).alias("t"))
     return changes.rebuilds(ev, 3600.0, 7200.0)
 
 
