@@ -42,7 +42,10 @@ def archive_records(pages: DataFrame) -> DataFrame:
     for raw, safe in (("\r", "%0D"), ("\n", "%0A"), (" ", "%20"), ("\t", "%09")):
         rows = rows.withColumn("url", F.replace("url", F.lit(raw), F.lit(safe)))
     rows = rows.withColumn("url", F.regexp_replace("url", r"[\x00-\x1F\x7F]", ""))
-    stamp = F.expr(f"date_format(timestamp_seconds({_EPOCH} + coalesce(page_id, 0)), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")")
+    second = F.expr(f"{_EPOCH} + coalesce(page_id, 0)")
+    day = F.date_format(F.expr(f"date_from_unix_date(CAST(({_EPOCH} + coalesce(page_id, 0)) div 86400 AS INT))"), "yyyy-MM-dd")
+    parts = [F.lpad((F.pmod(second, F.lit(wide)) / tall).cast("long").cast("string"), 2, "0") for wide, tall in ((86_400, 3_600), (3_600, 60), (60, 1))]
+    stamp = F.concat(day, F.lit("T"), F.concat_ws(":", *parts), F.lit("Z"))  # UTC, whatever the session's zone is
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes"), F.lit("\r\n\r\n"))
     block = F.concat(http, F.when(F.col("refers").isNull(), F.col("html")).otherwise(""))
     kind = F.when(F.col("refers").isNull(), "response").otherwise("revisit")
