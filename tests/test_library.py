@@ -387,3 +387,25 @@ def test_exact_tokens(spark, tmp_path):
     with pytest.raises(ValueError):
         T.TokenCounter("exact")
     assert watch.mtime(str(tmp_path / "none")) == -1.0
+
+
+def test_grid_and_integrity(spark):
+    from textquarry.plans import shapes
+
+    rows = shapes.grid(spark, (2_000, 10_000), ("balanced",), ("identical", "long_name", "mixed"))
+    table = shapes.packing_table(rows)
+    got = {r["shape"]: r for r in table.collect()}
+    assert all(r["max_over"] <= 0 for r in got.values()) and set(got) == {"identical", "long_name", "mixed"}
+    assert [r["duplicates"] for r in rows.where("shape = 'identical' and budget = 10000").collect()] == [199]
+    assert shapes.regressions(table, table).isEmpty()
+    assert shapes.integrity_problems(spark) == []
+
+
+def test_fit_from_files(spark, tmp_path):
+    import base64
+
+    (tmp_path / "v").write_bytes(b"\n".join(base64.b64encode(bytes([k])) + b" %d" % k for k in range(256)))
+    files = spark.createDataFrame([(f"f{k}.py", "some words = 12\n" * (k + 1)) for k in range(10)], "path string, text string")
+    model, error, held = accuracy.fitted(files, str(tmp_path / "v"))
+    start = sum(abs(T.cost(T.histogram("some words = 12\n" * (k + 1))) - 16 * (k + 1)) / (16 * (k + 1)) for k in range(10)) / 10
+    assert error < start and held < start and set(model) == set(T.fixed.TOKEN_COSTS)

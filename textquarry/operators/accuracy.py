@@ -39,3 +39,31 @@ def sampled(files: DataFrame, most: int, key: str = "ext", seed: int = 0) -> Dat
 
     order = Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), "path"), "path")
     return files.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+
+
+def piece_counts(files: DataFrame) -> DataFrame:
+    """(path, cls, len, n): the pieces of every file, counted; the cost model is fitted on these, not on texts."""
+    from textquarry.functions import columns as C
+
+    rows = files.select("path", F.explode(C.pieces(F.col("text"))).alias("p"))
+    return rows.groupBy("path", C.piece_class(F.col("p")).alias("cls"), F.length("p").alias("len")).agg(F.count("*").alias("n"))
+
+
+def fitted(files: DataFrame, vocabulary: str, samples: int = 900, hold_out: float = 0.3):
+    """A cost model fitted to exact counts of at most ``samples`` files, and its error on the fit and on the rest."""
+    from collections import Counter
+
+    from textquarry.functions import columns as C
+    from textquarry.functions import tokens as T
+
+    chosen = files.orderBy(F.xxhash64("path"), "path").limit(samples)
+    truth = {r["path"]: r["tokens"] for r in C.with_exact_tokens(chosen, vocabulary).select("path", "tokens").collect()}
+    found: dict[str, Counter] = {p: Counter() for p in truth}
+    for r in piece_counts(chosen).collect():
+        found[r["path"]][r["cls"], r["len"]] = r["n"]
+    rows = [(found[p], truth[p]) for p in sorted(truth) if truth[p]]
+    cut = max(1, int(len(rows) * (1 - hold_out)))
+    model, error = T.fit(rows[:cut])
+    rest = rows[cut:]
+    held = sum(abs(T.cost(h, model) - t) / t for h, t in rest) / len(rest) if rest else error
+    return model, error, held
