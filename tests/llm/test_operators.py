@@ -420,8 +420,9 @@ def brute_lm(docs, target, size):
     return out
 
 
-@pytest.mark.parametrize("size", [65_534, 3])
-def test_lm_brute_force(spark, size):
+@pytest.mark.parametrize("size, chunk", [(65_534, 2_000_000), (65_534, 4), (3, 4)])
+def test_lm_brute_force(spark, monkeypatch, size, chunk):
+    monkeypatch.setattr(lm_score, "CHUNK_WORDS", chunk)
     docs = ["the cat sat on the mat", "The dog sat", "", None, "cat cat cat cat dog", "a b c d e f g the the the the sat sat sat cat cat", "the"]
     target = ["the cat sat", "a cat on the mat", None, ""]
     got = sorted(lm_score.cross_entropy_difference(docs_of(spark, docs), spark.createDataFrame([(t,) for t in target], "text string"), size).collect(), key=lambda r: r["doc_id"])
@@ -430,7 +431,8 @@ def test_lm_brute_force(spark, size):
 
 
 def test_lm_odd_cases(spark, monkeypatch):
-    monkeypatch.setattr(common, "COUNT_BYTES", 64)
+    monkeypatch.setattr(lm_score, "CHUNK_WORDS", 5)
+    monkeypatch.setattr(lm_score, "HELD", 3)
     empty = spark.createDataFrame([], "text string")
     rows = lm_score.cross_entropy_difference(odd(spark), empty).collect()
     assert len(rows) == len(ODD_TEXTS) + 2 and all(math.isfinite(r["ce_diff"]) for r in rows)

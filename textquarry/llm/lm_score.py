@@ -5,11 +5,11 @@ rest is one unknown word), the order, the smoothing (interpolated absolute disco
 discount. A document's score is the mean over its words of (target loss - background loss), in nats: lower is more like the
 target. Counts cover every row of both corpora.
 
-Dataflow. Texts become rows of 16-bit word ids, a pass of documents each, which are stored. Every pass sends the sorted
-distinct bigrams it has, packed, to the task that counts them; that task adds them up and answers each pass in the same
-order, so a pass gets exactly the counts that its documents need, and no task holds more than its share of the model. Only
+Dataflow. Texts become rows of 16-bit word ids, some millions each, which are stored. Every such chunk sends the sorted
+distinct bigrams it has, packed, to the task that counts them; that task adds them up and answers each chunk in the same
+order, so a chunk gets exactly the counts that its documents need, and no task holds more than its share of the model. Only
 the unigram and context sums, at most one row for each word of the bounded vocabulary, reach the driver. A very common pair
-of words is one entry a pass, and a very common context is spread over ``SPREAD`` tasks.
+of words is one entry a chunk, and a very common context is spread over ``SPREAD`` tasks.
 
 Defined results: null and empty texts have 0 tokens and a score of 0; repeated rows count and are scored as often as they
 occur; with an empty target every target loss is that of the uniform unigram; an empty table gives an empty result; other
@@ -32,6 +32,8 @@ VOCABULARY = 65_534
 START = 65_535
 DISCOUNT = 0.75
 SPREAD = 16
+#: Words that a task holds before it sends their counts, and words of a stored row, about.
+HELD, CHUNK_WORDS = 3_000_000, 2_000_000
 
 
 def _zip(x: np.ndarray) -> bytes:
@@ -53,16 +55,26 @@ def _sum_by(keys: np.ndarray, *values: np.ndarray):
 
 def vocabulary(texts: list[DataFrame], size: int = VOCABULARY) -> np.ndarray:
     """Sorted word hashes of the most frequent words of all ``texts`` (text)."""
-    parts = common.partitions(texts[0])
+    parts, most_held = common.partitions(texts[0]), HELD
+
+    def emit(held) -> pa.RecordBatch:
+        keys, n = _sum_by(*(np.concatenate(x) for x in zip(*held)))
+        cut = np.searchsorted(keys, np.array([(k << 64) // parts for k in range(parts)], np.uint64)).tolist() + [len(keys)]
+        rows = [(p, keys[a:b].tobytes(), _zip(n[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["p", "keys", "n"])
 
     def count(batches):
+        held, size = [], 0
         for batch in batches:
-            for _, data, offs in common.passes(batch.column(0), common.COUNT_BYTES):
+            for _, data, offs in common.passes(batch.column(0)):
                 starts, ends, _ = common.word_spans(data, offs)
-                keys, n = np.unique(common.word_hashes(data, starts, ends), return_counts=True)
-                cut = np.searchsorted(keys, np.array([(k << 64) // parts for k in range(parts)], np.uint64)).tolist() + [len(keys)]
-                rows = [(p, keys[a:b].tobytes(), _zip(n[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["p", "keys", "n"])
+                held.append(np.unique(common.word_hashes(data, starts, ends), return_counts=True))
+                size += len(held[-1][0])
+                if size >= most_held:
+                    yield emit(held)
+                    held, size = [], 0
+        if held:
+            yield emit(held)
 
     def add(rows: pa.Table) -> pa.Table:
         keys, n = _sum_by(np.frombuffer(b"".join(rows["keys"].to_pylist()), np.uint64), np.concatenate([_unzip(x, np.uint32) for x in rows["n"].to_pylist()]).astype(np.int64))
@@ -78,19 +90,32 @@ def vocabulary(texts: list[DataFrame], size: int = VOCABULARY) -> np.ndarray:
 
 
 def _tokenised(docs: DataFrame, words, target: bool) -> DataFrame:
-    """chunk, ids, lens and words (packed 16-bit ids) of each pass over ``docs`` (doc_id, text)."""
+    """chunk, ids, lens and words (packed 16-bit ids) of ``docs`` (doc_id, text), ``CHUNK_WORDS`` or a document more a row."""
+
+    most = CHUNK_WORDS
 
     def cut(batches):
         seq = TaskContext.get().partitionId() << 32
+        names, lens, held, size = [], [], [], 0
+
+        def emit() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([seq]), pa.array([names], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([_zip(np.concatenate(held))], pa.binary())], names=["chunk", "ids", "lens", "words"])
+
         for batch in batches:
-            for at, data, offs in common.passes(batch.column(1), common.COUNT_BYTES):
+            for at, data, offs in common.passes(batch.column(1)):
                 starts, ends, first = common.word_spans(data, offs)
                 h, known = common.word_hashes(data, starts, ends), words.value
                 k = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                ids = np.where(known[k] == h, k + 1, 0).astype(np.uint16) if len(known) else np.zeros(len(h), np.uint16)
-                docs_of = pa.array([batch.column(0).slice(at, len(offs) - 1).to_pylist()], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([seq]), docs_of, pa.array([np.diff(first).tolist()], pa.list_(pa.int64())), pa.array([_zip(ids)], pa.binary())], names=["chunk", "ids", "lens", "words"])
-                seq += 1
+                held.append(np.where(known[k] == h, k + 1, 0).astype(np.uint16) if len(known) else np.zeros(len(h), np.uint16))
+                names += batch.column(0).slice(at, len(offs) - 1).to_pylist()
+                lens += np.diff(first).tolist()
+                size += len(h)
+                if size >= most:
+                    yield emit()
+                    seq += 1
+                    names, lens, held, size = [], [], [], 0
+        if names:
+            yield emit()
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "chunk long, ids array<long>, lens array<long>, words binary")
     return out.withColumn("target", F.lit(target))
@@ -133,7 +158,7 @@ _ANSWER = "p int, chunk long, context int, background binary, target binary, sum
 
 
 def _answered(pieces: DataFrame) -> DataFrame:
-    """For each piece of a background pass its counts in both models; and for each context its sums."""
+    """For each piece of a background chunk its counts in both models; and for each context its sums."""
 
     def answer(rows: pa.Table) -> pa.Table:
         p, target = rows["p"][0].as_py(), rows["target"].to_pylist()
@@ -172,7 +197,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, size: int = VOC
     known = vocabulary([docs, target], min(size, VOCABULARY))
     shared = spark.sparkContext.broadcast(known)
     chunks, _ = common.stored(_tokenised(docs, shared, False).unionByName(_tokenised(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), shared, True)), "lm-words", "none")
-    parts = max(1, 2 * common.partitions(docs))
+    parts = common.partitions(docs)
     answers, _ = common.stored(_answered(_counted(chunks, parts)), "lm-answers", "none")
 
     def tally(batches):
@@ -205,11 +230,13 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, size: int = VOC
             rank[order] = np.arange(len(order))
             at = rank[np.searchsorted(every, keys)]
             h = (keys >> np.uint32(16)).astype(np.int64)
+            loss = np.zeros((2, len(w)))
+            for a in range(0, len(w), 1 << 18):
+                part = slice(a, a + (1 << 18))
+                for m in (0, 1):
+                    loss[m, part] = -np.log(probability(pair[m][at[part]], uni[m][w[part]], ctx[m][h[part]], ctx[2 + m][h[part]], int(uni[m].sum()), kinds))
             doc = np.repeat(np.arange(len(lens)), lens)
-            means = []
-            for m in (1, 0):
-                p = probability(pair[m][at], uni[m][w], ctx[m][h], ctx[2 + m][h], int(uni[m].sum()), kinds)
-                means.append(np.bincount(doc, -np.log(p), len(lens)) / np.maximum(lens, 1))
+            means = [np.bincount(doc, loss[m], len(lens)) / np.maximum(lens, 1) for m in (1, 0)]
             for store, v in zip(out, (ids, lens.tolist(), means[0].tolist(), means[1].tolist())):
                 store += v
         ids, lens, ce_t, ce_b = out
