@@ -10,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy pass looks at; a longer document is a pass of its own. Passes that send counts take more,
-#: as what repeats within a pass is sent once.
-PASS_BYTES, COUNT_BYTES = 1 << 20, 3 << 20
+#: Bytes of text that one numpy pass looks at; a longer document is a pass of its own.
+PASS_BYTES = 1 << 20
 
 
 # --------------------------------------------------------------------------- work folder

@@ -33,6 +33,8 @@ from . import common
 
 #: From this many documents on a shingle comes late in the order.
 OFTEN = 4
+#: Shingle keys that a task holds before it sends their counts.
+HELD = 6_000_000
 #: The most frequent shingles that the order knows: 12 bytes each in a broadcast. It bounds cost, not results.
 FREQUENT = 1_000_000
 
@@ -40,19 +42,30 @@ FREQUENT = 1_000_000
 def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted 32-bit keys of frequent shingles and their counts.
 
-    Every pass sends its sorted distinct keys, packed, to the tasks that add them up: a few bytes for each shingle. Keys are
-    cut to 32 bits, which the order may be: shingles that share a key share its count.
+    A task adds up to ``HELD`` keys itself and sends them sorted and packed to the tasks that add up all: a few bytes for each
+    shingle, in one piece for each part. Keys are cut to 32 bits, which the order may be: shingles that share a key share its
+    count.
     """
-    parts = 4 * common.partitions(docs)
+    parts, often, most, most_held = common.partitions(docs), OFTEN, FREQUENT, HELD
+
+    def emit(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        cut = np.searchsorted(keys, (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
+        rows = [(p, _pack(keys[a:b]), _packed(np.minimum(n[a:b], 65535).astype(np.uint16))) for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["p", "keys", "n"])
 
     def count(batches):
+        held, size = [], 0
         for batch in batches:
-            for _, data, offs in common.passes(batch.column(0), common.COUNT_BYTES):
-                every = [(s >> np.uint64(32)).astype(np.uint32) for s in common.shingle_sets(data, offs, width)]
-                keys, n = np.unique(np.concatenate(every), return_counts=True)
-                cut = np.searchsorted(keys, (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
-                rows = [(p, _pack(keys[a:b]), _packed(np.minimum(n[a:b], 65535).astype(np.uint16))) for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["p", "keys", "n"])
+            for _, data, offs in common.passes(batch.column(0)):
+                for s in common.shingle_sets(data, offs, width):
+                    held.append((s >> np.uint64(32)).astype(np.uint32))
+                    size += len(s)
+                if size >= most_held:
+                    yield emit(held)
+                    held, size = [], 0
+        if held:
+            yield emit(held)
 
     def add(rows: pa.Table) -> pa.Table:
         keys = np.concatenate([_unpack(x) for x in rows["keys"].to_pylist()])
@@ -61,12 +74,12 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
         keys, n = keys[order], n[order].astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         n, keys = np.add.reduceat(n, first), keys[first]
-        keep = np.flatnonzero(n >= OFTEN)
-        keep = keep[np.argsort(-n[keep], kind="stable")][: 2 * FREQUENT // parts + 1]  # keys are even, so few of the top are lost
+        keep = np.flatnonzero(n >= often)
+        keep = keep[np.argsort(-n[keep], kind="stable")][: 2 * most // parts + 1]  # keys are even, so few of the top are lost
         return pa.table({"shingle": keys[keep].astype(np.int64), "n": n[keep]})
 
     top = docs.select("text").mapInArrow(count, "p int, keys binary, n binary").groupBy("p").applyInArrow(add, "shingle long, n long")
-    rows = top.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow().sort_by("shingle")
+    rows = top.orderBy(F.desc("n"), "shingle").limit(most).toArrow().sort_by("shingle")
     return rows["shingle"].to_numpy().astype(np.uint32), rows["n"].to_numpy()
 
 
@@ -113,7 +126,7 @@ def _most_shared(n1: int, x: np.ndarray, n2: int, y: np.ndarray) -> float:
 
 def signatures(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, n (set size), set_key, prefix_key (digests), bits, and prefix (packed 64-bit hashes in the global order)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared, ordered = docs.sparkSession.sparkContext.broadcast(frequent), _ordered
 
     def sign(batches):
         known, times = shared.value
@@ -124,7 +137,7 @@ def signatures(docs: DataFrame, width: int, percent: int, frequent: tuple[np.nda
                 for s in common.shingle_sets(data, offs, width):
                     n = len(s)
                     need = -(-percent * n // 100)
-                    prefix = _ordered(s, known, times)[: n - need + 1 if n else 0].tobytes()
+                    prefix = ordered(s, known, times)[: n - need + 1 if n else 0].tobytes()
                     sizes.append(n)
                     for store, v in zip(out, (hashlib.blake2b(s.tobytes(), digest_size=16).digest(), hashlib.blake2b(prefix, digest_size=16).digest(), _bitmap(s), prefix)):
                         store.append(v)
