@@ -409,3 +409,30 @@ def test_fit_from_files(spark, tmp_path):
     model, error, held = accuracy.fitted(files, str(tmp_path / "v"))
     start = sum(abs(T.cost(T.histogram("some words = 12\n" * (k + 1))) - 16 * (k + 1)) / (16 * (k + 1)) for k in range(10)) / 10
     assert error < start and held < start and set(model) == set(T.fixed.TOKEN_COSTS)
+
+
+def test_windowed_streams_and_batches(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    stamp = lambda minute: f"2024-01-01T00:{minute:02d}:00"
+    for k, minutes in enumerate([[0, 1, 2, 20], [21, 59], [1, 58]]):
+        (src / f"{k}.json").write_text("\n".join(json.dumps({"ts": stamp(m), "key": "k", "event_type": "e", "value": 1.0}) for m in minutes))
+    read = lambda: spark.readStream.schema("ts timestamp, key string, event_type string, value double").option("maxFilesPerTrigger", 1).json(str(src))
+    queries = {"bursts": watch.stream_bursts(read(), "5 minutes", "10 minutes"), "counts": watch.stream_counts(read(), "10 minutes", late="10 minutes")}
+    for name, df in queries.items():
+        q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
+        q.processAllAvailable()
+        q.stop()
+    assert [(r["begin"].minute, r["n"]) for r in spark.table("bursts").orderBy("begin").collect()] == [(0, 3), (20, 2)]
+    assert [(r["begin"].minute, r["n"]) for r in spark.table("counts").orderBy("begin").collect()] == [(0, 3), (20, 2)]
+    seen, failed = [], []
+
+    def rebuild(batch, number):
+        seen.append(batch.count())
+        if number == 1:
+            raise ValueError("once")
+
+    q = watch.each_batch(read(), rebuild, str(tmp_path / "each"), failed.append).start()
+    q.processAllAvailable()
+    q.stop()
+    assert seen == [4, 2, 2] and len(failed) == 1
