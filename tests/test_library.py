@@ -1,4 +1,5 @@
 import json
+import os
 import subprocess
 import xml.etree.ElementTree as ET
 from collections import Counter
@@ -417,6 +418,7 @@ def test_windowed_streams_and_batches(spark, tmp_path):
     stamp = lambda minute: f"2024-01-01T00:{minute:02d}:00"
     for k, minutes in enumerate([[0, 1, 2, 20], [21, 59], [1, 58]]):
         (src / f"{k}.json").write_text("\n".join(json.dumps({"ts": stamp(m), "key": "k", "event_type": "e", "value": 1.0}) for m in minutes))
+        os.utime(src / f"{k}.json", (1_700_000_000 + k * 60,) * 2)  # a source takes the oldest file first
     read = lambda: spark.readStream.schema("ts timestamp, key string, event_type string, value double").option("maxFilesPerTrigger", 1).json(str(src))
     queries = {"bursts": watch.stream_bursts(read(), "5 minutes", "10 minutes"), "counts": watch.stream_counts(read(), "10 minutes", late="10 minutes")}
     for name, df in queries.items():

@@ -112,45 +112,50 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
 
 
-def piece_class(piece: Column) -> Column:
+def _piece_code(piece: Column, code: dict[str, int]) -> Column:
     """A piece's class by its last character: the splitter joins characters of one kind, after one space at most."""
-    code = F.ascii(F.right(piece, F.lit(1)))
+    last = F.ascii(F.right(piece, F.lit(1)))
+    short = piece.isin("'s", "'d", "'m", "'t", "'ll", "'ve", "'re")
     return (
-        F.when(F.octet_length(piece) != F.length(piece), "nonascii")
-        .when(piece.isin("'s", "'d", "'m", "'t", "'ll", "'ve", "'re"), "mixed")
-        .when(code == 95, "underscore")
-        .when(code.between(97, 122) | code.between(65, 90), "letters")
-        .when(code.between(48, 57), "digits")
-        .when(code.between(9, 13) | code.between(28, 32), "ws")
-        .otherwise("punct")
+        F.when(F.octet_length(piece) != F.length(piece), code["nonascii"])
+        .when(last.between(97, 122), F.when(short, code["mixed"]).otherwise(code["letters"]))
+        .when(last.between(65, 90), code["letters"])
+        .when(last.between(9, 13) | last.between(28, 32), code["ws"])
+        .when(last.between(48, 57), code["digits"])
+        .when(last == 95, code["underscore"])
+        .otherwise(code["punct"])
     )
 
 
+def piece_class(piece: Column) -> Column:
+    names = list(fixed.TOKEN_COSTS)
+    return F.get(F.array(*map(F.lit, names)), _piece_code(piece, {c: k for k, c in enumerate(names)}))
+
+
 def raw_cost(pieces_name: str, costs: dict[str, tuple[float, float]] = fixed.TOKEN_COSTS) -> Column:
     """Cost of the pieces in a (bound) column: short pieces cost 1, others their length beyond the free part by the ratio.
 
     Spans are summed by class before they are divided, in a fixed order, so engines agree to the last digit that matters.
     """
     which = list(costs)
-    marks = F.transform(F.col(pieces_name), lambda x: F.struct(piece_class(x).alias("c"), F.length(x).cast("double").alias("n")))
-    start = F.struct(F.lit(0).cast("long").alias("f"), *(F.lit(0).cast("double").alias(f"s_{c}") for c in which))
+    code = {c: k for k, c in enumerate(which)}
+    kinds = F.transform(F.col(pieces_name), lambda x: F.struct(_piece_code(x, code).alias("c"), F.length(x).cast("double").alias("n")))
+    free_part = F.array(*(F.lit(costs[c][1]) for c in which))
+    spans = F.transform(kinds, lambda x: F.struct(x["c"].alias("c"), (x["n"] - F.get(free_part, x["c"])).alias("s")))
+    start = F.struct(F.lit(0).cast("long").alias("f"), *(F.lit(0).cast("double").alias(f"s{k}") for k in code.values()))
 
     def add(acc: Column, x: Column) -> Column:
-        free = F.lit(False)
-        for c in which:
-            free = free | ((x["c"] == c) & (x["n"] <= costs[c][1]))
-        return F.struct(
-            (acc["f"] + free.cast("long")).alias("f"),
-            *((acc[f"s_{c}"] + F.when((x["c"] == c) & (x["n"] > costs[c][1]), x["n"] - costs[c][1]).otherwise(0.0)).alias(f"s_{c}") for c in which),
-        )
+        more = x["s"] > 0
+        sums = (F.when(more & (x["c"] == k), acc[f"s{k}"] + x["s"]).otherwise(acc[f"s{k}"]).alias(f"s{k}") for k in code.values())
+        return F.struct(F.when(more, acc["f"]).otherwise(acc["f"] + 1).alias("f"), *sums)
 
     def total(acc: Column) -> Column:
         out = acc["f"].cast("double")
-        for c in which:
-            out = out + acc[f"s_{c}"] / costs[c][0]
+        for c, k in code.items():
+            out = out + acc[f"s{k}"] / costs[c][0]
         return out
 
-    return F.aggregate(marks, start, add, total)
+    return F.aggregate(spans, start, add, total)
 
 
 def with_tokens(df: DataFrame, text: str = "text", calibration: float = 1.0, out: str = "tokens", costs: dict[str, tuple[float, float]] = fixed.TOKEN_COSTS) -> DataFrame:

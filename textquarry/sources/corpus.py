@@ -38,11 +38,18 @@ def with_parts(files: DataFrame) -> DataFrame:
     return files.withColumns({"ext": C.extension(path), "name": C.name(path), "depth": C.depth(path), "dirname": C.dirname(path)})
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where their files make fewer splits than there are cores; larger tables stay as they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def documents(spark: SparkSession, sf_dir: str, even: bool = True) -> DataFrame:
     """files(doc_id, path, size, text, lang, source) of the documents table."""
     docs = read(spark, sf_dir, "documents")
+    docs = spread(docs) if even else docs
     return docs.select("doc_id", F.expr(DOCUMENT_PATH).alias("path"), F.octet_length("text").cast("long").alias("size"), "text", "lang", "source")
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", "path", "size")
+    return documents(spark, sf_dir, even=False).select("doc_id", "path", "size")
