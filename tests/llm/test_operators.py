@@ -430,6 +430,14 @@ def test_lm_brute_force(spark, monkeypatch, size, chunk):
         assert r["n_tokens"] == n and r["ce_target"] == pytest.approx(t, abs=1e-6) and r["ce_background"] == pytest.approx(b, abs=1e-6) and r["ce_diff"] == pytest.approx(t - b, abs=1e-6)
 
 
+def test_lm_models_every_word(spark):
+    docs = [" ".join(f"w{k} w{k}" for k in range(a, a + 7_000)) for a in range(0, 70_000, 7_000)] + ["seldom heard words"]
+    target = ["seldom heard words", "other words seldom w3"]
+    got = sorted(lm_score.cross_entropy_difference(docs_of(spark, docs), spark.createDataFrame([(t,) for t in target], "text string")).collect(), key=lambda r: r["doc_id"])
+    for r, (n, t, b) in zip(got, brute_lm(docs, target, 10**6), strict=True):
+        assert r["n_tokens"] == n and r["ce_target"] == pytest.approx(t, abs=1e-6) and r["ce_background"] == pytest.approx(b, abs=1e-6)
+
+
 def test_lm_odd_cases(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "CHUNK_WORDS", 5)
     monkeypatch.setattr(lm_score, "HELD", 3)

@@ -1,15 +1,16 @@
 """LM scoring by cross-entropy difference of two matched bigram models.
 
-A target and a background model share one vocabulary (the ``VOCABULARY`` most frequent words of both corpora together, the
-rest is one unknown word), the order, the smoothing (interpolated absolute discounting over add-one unigrams) and its
-discount. A document's score is the mean over its words of (target loss - background loss), in nats: lower is more like the
-target. Counts cover every row of both corpora.
-
-Dataflow. Texts become rows of 16-bit word ids, some millions each, which are stored. Every such chunk sends the sorted
-distinct bigrams it has, packed, to the task that counts them; that task adds them up and answers each chunk in the same
-order, so a chunk gets exactly the counts that its documents need, and no task holds more than its share of the model. Only
-the unigram and context sums, at most one row for each word of the bounded vocabulary, reach the driver. A very common pair
-of words is one entry a chunk, and a very common context is spread over ``SPREAD`` tasks.
+A target and a background model share one vocabulary (every word of both corpora; a caller may ask for the most frequent
+ones, the rest being one unknown word), the order, the smoothing (interpolated absolute discounting over add-one unigrams)
+and its discount. A document's score is the mean over its words of (target loss - background loss), in nats: lower is more
+like the target. Counts cover every row of both corpora. Words are compared by 64-bit hashes.
+
+Dataflow. Texts become chunks of some millions of words, each with its own sorted word table, which are stored. Every chunk
+sends the sorted distinct bigrams it has, packed, to the tasks that count them; such a task adds them up, answers each chunk
+in the same order, and sends on how many followers each context has. The words of a chunk go the same way: the task of a
+range of hashes adds up their counts, as words and as contexts, and their followers, and answers. So a chunk gets exactly the
+counts that its documents need, and no task holds more than its share of the model; only three sums reach the driver. A very
+common pair of words is one entry a chunk, and a very common context is spread over ``SPREAD`` tasks.
 
 Defined results: null and empty texts have 0 tokens and a score of 0; repeated rows count and are scored as often as they
 occur; with an empty target every target loss is that of the uniform unigram; an empty table gives an empty result; other
@@ -27,9 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words of the shared vocabulary, at most; ids 1.., 0 is unknown and 65535 the start of a text.
-VOCABULARY = 65_534
-START = 65_535
+#: Stand-ins for hashes: the start of a text, and all words outside an asked vocabulary. Those of words are larger.
+START, UNKNOWN = np.uint64(0), np.uint64(1)
 DISCOUNT = 0.75
 SPREAD = 16
 #: Words that a task holds before it sends their counts, and words of a stored row, about.
@@ -53,13 +53,22 @@ def _sum_by(keys: np.ndarray, *values: np.ndarray):
     return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values)
 
 
-def vocabulary(texts: list[DataFrame], size: int = VOCABULARY) -> np.ndarray:
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return np.maximum(common.word_hashes(data, starts, ends), UNKNOWN + np.uint64(1))
+
+
+def _cuts(keys: np.ndarray, parts: int) -> list[int]:
+    """Bounds of the equal ranges of hashes in sorted ``keys``."""
+    return np.searchsorted(keys, np.array([(k << 64) // parts for k in range(parts)], np.uint64)).tolist() + [len(keys)]
+
+
+def vocabulary(texts: list[DataFrame], size: int) -> np.ndarray:
     """Sorted word hashes of the most frequent words of all ``texts`` (text)."""
     parts, most_held = common.partitions(texts[0]), HELD
 
     def emit(held) -> pa.RecordBatch:
         keys, n = _sum_by(*(np.concatenate(x) for x in zip(*held)))
-        cut = np.searchsorted(keys, np.array([(k << 64) // parts for k in range(parts)], np.uint64)).tolist() + [len(keys)]
+        cut = _cuts(keys, parts)
         rows = [(p, keys[a:b].tobytes(), _zip(n[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["p", "keys", "n"])
 
@@ -68,7 +77,7 @@ def vocabulary(texts: list[DataFrame], size: int = VOCABULARY) -> np.ndarray:
         for batch in batches:
             for _, data, offs in common.passes(batch.column(0)):
                 starts, ends, _ = common.word_spans(data, offs)
-                held.append(np.unique(common.word_hashes(data, starts, ends), return_counts=True))
+                held.append(np.unique(_hashes(data, starts, ends), return_counts=True))
                 size += len(held[-1][0])
                 if size >= most_held:
                     yield emit(held)
@@ -90,7 +99,10 @@ def vocabulary(texts: list[DataFrame], size: int = VOCABULARY) -> np.ndarray:
 
 
 def _tokenised(docs: DataFrame, words, target: bool) -> DataFrame:
-    """chunk, ids, lens and words (packed 16-bit ids) of ``docs`` (doc_id, text), ``CHUNK_WORDS`` or a document more a row."""
+    """chunk, ids, lens, table (sorted hashes, ``START`` first) and words (places in the table) of ``docs`` (doc_id, text).
+
+    A row has ``CHUNK_WORDS`` or a document more. ``words`` is a broadcast vocabulary, or None for all words.
+    """
 
     most = CHUNK_WORDS
 
@@ -99,14 +111,17 @@ def _tokenised(docs: DataFrame, words, target: bool) -> DataFrame:
         names, lens, held, size = [], [], [], 0
 
         def emit() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([seq]), pa.array([names], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([_zip(np.concatenate(held))], pa.binary())], names=["chunk", "ids", "lens", "words"])
+            table, at = np.unique(np.concatenate([np.array([START]), *held]), return_inverse=True)
+            packed = [pa.array([_zip(np.diff(table, prepend=START))], pa.binary()), pa.array([_zip(at[1:].astype(np.uint32))], pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array([seq]), pa.array([names], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), *packed], names=["chunk", "ids", "lens", "table", "words"])
 
         for batch in batches:
             for at, data, offs in common.passes(batch.column(1)):
                 starts, ends, first = common.word_spans(data, offs)
-                h, known = common.word_hashes(data, starts, ends), words.value
-                k = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                held.append(np.where(known[k] == h, k + 1, 0).astype(np.uint16) if len(known) else np.zeros(len(h), np.uint16))
+                h = _hashes(data, starts, ends)
+                if words is not None:
+                    h = np.where(np.isin(h, words.value), h, UNKNOWN)
+                held.append(h)
                 names += batch.column(0).slice(at, len(offs) - 1).to_pylist()
                 lens += np.diff(first).tolist()
                 size += len(h)
@@ -117,71 +132,127 @@ def _tokenised(docs: DataFrame, words, target: bool) -> DataFrame:
         if names:
             yield emit()
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "chunk long, ids array<long>, lens array<long>, words binary")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "chunk long, ids array<long>, lens array<long>, table binary, words binary")
     return out.withColumn("target", F.lit(target))
 
 
-def _bigrams(ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """context << 16 | word of every word."""
-    before = np.empty(len(ids), np.uint32)
-    before[1:] = ids[:-1]
+def _sorted(blob: bytes) -> np.ndarray:
+    """Sorted hashes that were packed as differences."""
+    return np.cumsum(_unzip(blob, np.uint64), dtype=np.uint64)
+
+
+def _contexts(words: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The place in the table of what stands before every word."""
+    before = np.empty(len(words), np.uint32)
+    before[1:] = words[:-1]
     starts = np.cumsum(lens) - lens
-    before[starts[lens > 0]] = START
-    return (before << np.uint32(16)) | ids
+    before[starts[lens > 0]] = 0
+    return before
+
+
+def _pieces(keys: np.ndarray, table: np.ndarray, parts: int):
+    """Sorted bigrams (context << 32 | word, places in ``table``) by part: the order, each one's hashes, and the parts' bounds."""
+    context, word = table[keys >> np.uint64(32)], table[keys & np.uint64(0xFFFFFFFF)]
+    part = (common.mix(context + (word % np.uint64(SPREAD)) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, context[order], word[order], np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+
+
+_PIECE = "p int, chunk long, target boolean, contexts binary, words binary, n binary"
+_SHARE = "p int, chunk long, target boolean, keys binary, n binary, more binary"
+
 
+def _table(schema: str, rows: list[dict]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.table({name: pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))})
 
-def _pieces(keys: np.ndarray, parts: int):
-    """The part of every key, and the order that puts keys by part, sorted within."""
-    spread = (keys >> np.uint32(16)).astype(np.uint64) * np.uint64(SPREAD) + (keys % np.uint32(SPREAD)).astype(np.uint64)
-    part = (common.mix(spread + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
-    return part, np.lexsort((keys, part))
 
+def _bigrams(chunks: DataFrame, parts: int) -> DataFrame:
+    """The distinct bigrams of each chunk and their counts, by part."""
 
-def _counted(chunks: DataFrame, parts: int) -> DataFrame:
     def count(batches):
         for batch in batches:
-            for chunk, lens, words, target in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                keys, n = np.unique(_bigrams(_unzip(words, np.uint16), np.array(lens, np.int64)), return_counts=True)
-                part, order = _pieces(keys, parts)
-                keys, n, part = keys[order], n[order].astype(np.uint32), part[order]
-                cut = np.searchsorted(part, np.arange(parts + 1)).tolist()
-                rows = [(p, _zip(np.diff(keys[a:b], prepend=np.uint32(0))), _zip(n[a:b])) for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([target] * len(rows), pa.bool_()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-                    names=["p", "chunk", "target", "keys", "n"],
-                )
+            for chunk, lens, table, words, target in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                words, table = _unzip(words, np.uint32), _sorted(table)
+                keys, n = np.unique((_contexts(words, np.array(lens, np.int64)).astype(np.uint64) << np.uint64(32)) | words, return_counts=True)
+                order, context, word, cut = _pieces(keys, table, parts)
+                n = n[order].astype(np.uint32)
+                rows = [{"p": p, "chunk": chunk, "target": target, "contexts": _zip(np.diff(context[a:b], prepend=START)), "words": _zip(word[a:b]), "n": _zip(n[a:b])} for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+                yield from _table(_PIECE, rows).to_batches()
 
-    return chunks.select("chunk", "lens", "words", "target").mapInArrow(count, "p int, chunk long, target boolean, keys binary, n binary")
+    return chunks.select("chunk", "lens", "table", "words", "target").mapInArrow(count, _PIECE)
 
 
-_ANSWER = "p int, chunk long, context int, background binary, target binary, sums array<long>"
+def _shares(chunks: DataFrame, parts: int) -> DataFrame:
+    """The words of each chunk and their counts as words and as contexts, by range of hashes."""
+
+    def count(batches):
+        for batch in batches:
+            for chunk, lens, table, words, target in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                words, table = _unzip(words, np.uint32), _sorted(table)
+                n, more = (np.bincount(x, minlength=len(table)).astype(np.uint32) for x in (words, _contexts(words, np.array(lens, np.int64))))
+                cut = _cuts(table, parts)
+                rows = [{"p": p, "chunk": chunk, "target": target, "keys": _zip(np.diff(table[a:b], prepend=START)), "n": _zip(n[a:b]), "more": _zip(more[a:b])} for p, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+                yield from _table(_SHARE, rows).to_batches()
+
+    return chunks.select("chunk", "lens", "table", "words", "target").mapInArrow(count, _SHARE)
 
 
-def _answered(pieces: DataFrame) -> DataFrame:
-    """For each piece of a background chunk its counts in both models; and for each context its sums."""
+def _counted(pieces: DataFrame, parts: int) -> DataFrame:
+    """For each piece of a background chunk its counts in both models; and (no chunk) the followers of contexts."""
 
     def answer(rows: pa.Table) -> pa.Table:
         p, target = rows["p"][0].as_py(), rows["target"].to_pylist()
-        keys = [np.cumsum(_unzip(x, np.uint32), dtype=np.uint32) for x in rows["keys"].to_pylist()]
+        context = [_sorted(x) for x in rows["contexts"].to_pylist()]
+        ends = np.cumsum([len(x) for x in context]).tolist()
+        context, word = np.concatenate(context), np.concatenate([_unzip(x, np.uint64) for x in rows["words"].to_pylist()])
         n = [_unzip(x, np.uint32).astype(np.int64) for x in rows["n"].to_pylist()]
-        every, cb, ct = _sum_by(np.concatenate(keys), np.concatenate([x * (not t) for x, t in zip(n, target)]), np.concatenate([x * t for x, t in zip(n, target)]))
-        out = {c.split()[0]: [] for c in _ANSWER.split(", ")}
+        order = np.lexsort((word, context))
+        context, word = context[order], word[order]
+        new = np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
+        first = np.flatnonzero(new)
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(new) - 1
+        cb, ct = (np.add.reduceat(np.concatenate([x * (t == m) for x, t in zip(n, target)])[order], first) for m in (False, True))
+        out = []
+        for chunk, a, b, t in zip(rows["chunk"].to_pylist(), [0, *ends], ends, target):
+            if not t:
+                out.append({"p": p, "chunk": chunk, "n": _zip(cb[at[a:b]]), "more": _zip(ct[at[a:b]])})
+        keys, kb, kt = _sum_by(context[first], (cb > 0).astype(np.int64), (ct > 0).astype(np.int64))
+        cut = _cuts(keys, parts)
+        out += [{"p": q, "keys": _zip(np.diff(keys[a:b], prepend=START)), "n": _zip(kb[a:b].astype(np.uint32)), "more": _zip(kt[a:b].astype(np.uint32))} for q, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+        return _table(_SHARE, out)
 
-        def put(**row):
-            for name, store in out.items():
-                store.append(row.get(name))
+    return pieces.groupBy("p").applyInArrow(answer, _SHARE)
 
-        for chunk, k, t in zip(rows["chunk"].to_pylist(), keys, target):
-            if not t:
-                at = np.searchsorted(every, k)
-                put(p=p, chunk=chunk, background=_zip(cb[at].astype(np.uint64)), target=_zip(ct[at].astype(np.uint64)))
-        context, *sums = _sum_by(every >> np.uint32(16), cb, ct, (cb > 0).astype(np.int64), (ct > 0).astype(np.int64))
-        for c, *s in zip(context.tolist(), *(x.tolist() for x in sums)):
-            put(p=p, context=c, sums=s)
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-        return pa.table({name: pa.array(v, kind) for (name, v), kind in zip(out.items(), kinds)})
 
-    return pieces.groupBy("p").applyInArrow(answer, _ANSWER)
+_SUMS = "p int, chunk long, sums binary, words long, background long, target long"
+
+
+def _summed(shares: DataFrame) -> DataFrame:
+    """For each share of a background chunk the sums of its words; and (no chunk) how many words there are, and their counts."""
+
+    def answer(rows: pa.Table) -> pa.Table:
+        p, chunks, target = rows["p"][0].as_py(), rows["chunk"].to_pylist(), rows["target"].to_pylist()
+        keys = [_sorted(x) for x in rows["keys"].to_pylist()]
+        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums, a = np.zeros((6, len(every)), np.int64), 0
+        own = []
+        for chunk, t, k, n, more in zip(chunks, target, keys, rows["n"].to_pylist(), rows["more"].to_pylist()):
+            i, n, more = at[a : a + len(k)], _unzip(n, np.uint32), _unzip(more, np.uint32)
+            a += len(k)
+            if chunk is None:
+                sums[4, i] += n
+                sums[5, i] += more
+            else:
+                sums[int(t), i] += n
+                sums[2 + int(t), i] += more
+                own += [] if t else [(chunk, i)]
+        out = [{"p": p, "chunk": chunk, "sums": _zip(sums[:, i].ravel())} for chunk, i in own]
+        out.append({"p": p, "words": int((every > UNKNOWN).sum()), "background": int(sums[0].sum()), "target": int(sums[1].sum())})
+        return _table(_SUMS, out)
+
+    return shares.groupBy("p").applyInArrow(answer, _SUMS)
 
 
 def probability(pair: np.ndarray, word: np.ndarray, context: np.ndarray, kinds: np.ndarray, total: int, size: int, discount: float = DISCOUNT) -> np.ndarray:
@@ -191,50 +262,39 @@ def probability(pair: np.ndarray, word: np.ndarray, context: np.ndarray, kinds:
     return np.where(context > 0, np.maximum(pair - discount, 0) / seen + discount * kinds / seen * single, single)
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, size: int = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, ce_target, ce_background and ce_diff of every row of ``docs`` (doc_id, text); ``target`` has text."""
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, size: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, ce_target, ce_background and ce_diff of every row of ``docs`` (doc_id, text); ``target`` has text.
+
+    With a ``size``, only so many words, the most frequent ones, are told apart.
+    """
     spark = docs.sparkSession
-    known = vocabulary([docs, target], min(size, VOCABULARY))
-    shared = spark.sparkContext.broadcast(known)
+    shared = None if size is None else spark.sparkContext.broadcast(vocabulary([docs, target], size))
     chunks, _ = common.stored(_tokenised(docs, shared, False).unionByName(_tokenised(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), shared, True)), "lm-words", "none")
     parts = common.partitions(docs)
-    answers, _ = common.stored(_answered(_counted(chunks, parts)), "lm-answers", "none")
-
-    def tally(batches):
-        sums = np.zeros((2, START + 1), np.int64)
-        for batch in batches:
-            for words, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[int(t)] += np.bincount(_unzip(words, np.uint16), minlength=START + 1)
-        at = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], names=["word", "b", "t"])
-
-    singles = chunks.select("words", "target").mapInArrow(tally, "word long, b long, t long").groupBy("word").agg(F.sum("b").alias("b"), F.sum("t").alias("t")).toArrow()
-    word = np.zeros((2, START + 1), np.int64)
-    word[:, singles["word"].to_numpy()] = [singles["b"].to_numpy(), singles["t"].to_numpy()]
-    per = answers.where("context is not null").groupBy("context").agg(*(F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(4))).toArrow()
-    context = np.zeros((4, START + 1), np.int64)
-    context[:, per["context"].to_numpy()] = [per[f"s{k}"].to_numpy() for k in range(4)]
-    model = spark.sparkContext.broadcast((word, context, len(known) + 1))
+    pairs, _ = common.stored(_counted(_bigrams(chunks, parts), parts), "lm-pairs", "none")
+    sums, _ = common.stored(_summed(_shares(chunks, parts).unionByName(pairs.where("chunk is null"))), "lm-sums", "none")
+    words, *totals = (x or 0 for x in sums.agg(F.sum("words"), F.sum("background"), F.sum("target")).first())
+    size = words + 1
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        uni, ctx, kinds = model.value
-        right = right.sort_by("p")
-        pair = [np.concatenate([_unzip(x, np.uint64) for x in right[c].to_pylist()]).astype(np.int64) if right.num_rows else np.zeros(0, np.int64) for c in ("background", "target")]
+        right = right.sort_by("p").select(["n", "more", "sums"]).to_pylist()
+        pair = [np.concatenate([_unzip(r[c], np.int64) for r in right if r["sums"] is None] or [np.zeros(0, np.int64)]) for c in ("n", "more")]
+        per = np.concatenate([_unzip(r["sums"], np.int64).reshape(6, -1) for r in right if r["sums"] is not None], axis=1)
+        uni, ctx, kinds = per[:2], per[2:4], per[4:]
         out = ([], [], [], [])
-        for ids, lens, words in zip(*(left[c].to_pylist() for c in ("ids", "lens", "words"))):
-            lens, w = np.array(lens, np.int64), _unzip(words, np.uint16)
-            keys = _bigrams(w, lens)
-            every = np.unique(keys)
-            _, order = _pieces(every, parts)
+        for ids, lens, table, words in zip(*(left[c].to_pylist() for c in ("ids", "lens", "table", "words"))):
+            lens, w = np.array(lens, np.int64), _unzip(words, np.uint32)
+            h = _contexts(w, lens)
+            every, place = np.unique((h.astype(np.uint64) << np.uint64(32)) | w, return_inverse=True)
+            order = _pieces(every, _sorted(table), parts)[0]
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            at = rank[np.searchsorted(every, keys)]
-            h = (keys >> np.uint32(16)).astype(np.int64)
+            at = rank[place]
             loss = np.zeros((2, len(w)))
             for a in range(0, len(w), 1 << 18):
                 part = slice(a, a + (1 << 18))
                 for m in (0, 1):
-                    loss[m, part] = -np.log(probability(pair[m][at[part]], uni[m][w[part]], ctx[m][h[part]], ctx[2 + m][h[part]], int(uni[m].sum()), kinds))
+                    loss[m, part] = -np.log(probability(pair[m][at[part]], uni[m][w[part]], ctx[m][h[part]], kinds[m][h[part]], totals[m], size))
             doc = np.repeat(np.arange(len(lens)), lens)
             means = [np.bincount(doc, loss[m], len(lens)) / np.maximum(lens, 1) for m in (1, 0)]
             for store, v in zip(out, (ids, lens.tolist(), means[0].tolist(), means[1].tolist())):
@@ -243,7 +303,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, size: int = VOC
         t, b = np.round(np.array(ce_t, float), 9), np.round(np.array(ce_b, float), 9)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(lens, pa.int64()), "ce_target": t, "ce_background": b, "ce_diff": np.round(t - b, 9)})
 
-    own = chunks.where("not target").groupBy("chunk").cogroup(answers.where("chunk is not null").select("chunk", "p", "background", "target").groupBy("chunk"))
+    answers = pairs.where("chunk is not null").select("chunk", "p", "n", "more", F.lit(None).cast("binary").alias("sums"))
+    answers = answers.unionByName(sums.where("chunk is not null").select("chunk", "p", F.lit(None).cast("binary").alias("n"), F.lit(None).cast("binary").alias("more"), "sums"))
+    own = chunks.where("not target").select("chunk", "ids", "lens", "table", "words").groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return own.applyInArrow(score, "doc_id long, n_tokens long, ce_target double, ce_background double, ce_diff double")
 
 
