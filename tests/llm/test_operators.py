@@ -111,6 +111,16 @@ def test_jaccard_brute_force(spark, seed):
     assert got == brute_components(texts)
 
 
+def test_shingles_of_few_words_alone_in_a_pass():
+    import pyarrow as pa
+
+    for n in range(1, 7):
+        ((_, data, offs),) = common.passes(pa.array([" ".join("abcdef"[:n])]))
+        (alone,) = common.shingle_sets(data, offs)
+        ((_, data, offs),) = common.passes(pa.array([" ".join("abcdef"[:n]), "g h i j k l m"]))
+        assert len(alone) == max(1, n - 4) and alone.tolist() == next(common.shingle_sets(data, offs)).tolist()
+
+
 def test_jaccard_order_and_frequent_table_do_not_change_results(spark, monkeypatch):
     texts = near_copies(7)
     want = brute_components(texts)

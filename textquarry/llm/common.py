@@ -164,7 +164,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int = 5):
     starts, ends, first = word_spans(data, offs)
     h = word_hashes(data, starts, ends)
     rolled = np.zeros(max(0, len(h) - width + 1), np.uint64)
-    for k in range(width):
+    for k in range(width if len(rolled) else 0):
         rolled += h[k : len(h) - width + 1 + k] * _power(0xC2B2AE3D27D4EB4F | 1, width + 1)[k + 1]
     rolled = mix(rolled)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
