@@ -233,6 +233,14 @@ def test_secret_base_spans_are_exact(spark):
     assert "novel:22:44" in [r for r in got if r["doc_id"] == 7][0]["spans"] and not [r for r in got if r["doc_id"] == 8][0]["spans"]
 
 
+def test_repeated_secrets_are_all_found():
+    key = "hj3H8sKq02LmZx91PwQe77"
+    for gap in ("\n", "\nplain words between\n", " x" * 1_020 + "\n"):
+        text = f"Authorization: Bearer {key}{gap}Authorization: Bearer {key}.{gap}auth header AUTH={key}"
+        assert [text[a:b].strip(".").removeprefix("AUTH=") for a, kind, b in secrets.spans(text) if kind == 3] == [key] * 3
+        assert key not in secrets.redact(text, secrets.spans(text))
+
+
 def test_novelty_and_redaction(spark):
     assert secrets.novelty("hj3H8sKq02LmZx91PwQe", "token ", "") > 0.9 > 0.7 > secrets.novelty("example12example12example12", "token ", "")
     seen = "key is hj3H8sKq02LmZx91PwQe; "
