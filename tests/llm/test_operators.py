@@ -241,6 +241,29 @@ def test_repeated_secrets_are_all_found():
         assert key not in secrets.redact(text, secrets.spans(text))
 
 
+def test_secrets_over_lines_and_far_from_their_keyword():
+    import base64
+
+    rng = np.random.default_rng(5)
+    body = base64.b64encode(rng.bytes(600)).decode()
+    lines = [body[k : k + 64] for k in range(0, len(body), 64)]
+    novel = lambda text: [text[a:b] for a, kind, b in secrets.spans(text) if kind == 3]
+    for end in ("\n", "\\n", "\r\n"):
+        pem = end.join(lines)
+        assert novel(f"x = 1\n-----BEGIN RSA PRIVATE KEY-----{end}{pem}{end}-----END RSA PRIVATE KEY-----\nplain") == [pem]
+    cut = "\n".join(lines)
+    assert novel(f"-----BEGIN PRIVATE KEY-----\n{cut}\n\nplain words") == [cut]
+    hidden = secrets.redact(f"secret: {cut}\nmore", secrets.spans(f"secret: {cut}\nmore"))
+    assert not any(x in hidden for x in lines[:-1]) and hidden.endswith("\nmore")
+    far = f'"credential": ["for the second of the two machines in the cellar of the old house", "{body[:40]}"]'
+    assert novel(far) == [body[:40]] and novel(far.replace("credential", "label")) == []
+    assert novel(f"The credential is lost. {'Plain words follow here. ' * 3}{body[:40]}") == []
+    for n in (80, 128, 512):
+        key = rng.bytes(n // 2).hex().upper()
+        assert novel(f"bearer {key}") == [key]
+    assert novel("bearer " + "AB12CD34" * 16) == []
+
+
 def test_novelty_and_redaction(spark):
     assert secrets.novelty("hj3H8sKq02LmZx91PwQe", "token ", "") > 0.9 > 0.7 > secrets.novelty("example12example12example12", "token ", "")
     seen = "key is hj3H8sKq02LmZx91PwQe; "
