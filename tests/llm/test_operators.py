@@ -588,6 +588,13 @@ def test_chat_links_order_and_checks(spark):
     assert chat_format.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_json_after_white_space(spark):
+    call, answer = json.dumps({"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "q"}}]}), json.dumps({"tool_call_id": "a", "content": "ok"})
+    rows = [(k, t, r, w + x) for k, w in enumerate(("", " ", "\n", "\t", "\r", " \r\n\t ")) for t, r, x in ((0, "assistant", call), (1, "tool", answer))]
+    got = chat_format.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows) and all(r["n_linked"] == 1 and not r["problems"] and r["n_calls"] == (r["role"] == "assistant") for r in got)
+
+
 # pipeline
 
 

@@ -83,7 +83,7 @@ def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def formatted(messages: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]] = TOOLS) -> DataFrame:
     """conv_id, turn, role, n_calls, n_linked, problems, order_key and json of every row of ``messages``."""
     rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    maybe = F.expr("coalesce(role in ('assistant', 'tool') and startswith(ltrim(text), '{') and (contains(text, '\"tool_calls\"') or contains(text, '\"tool_call_id\"')), false)")
+    maybe = F.expr("coalesce(role in ('assistant', 'tool') and startswith(ltrim(' \\t\\n\\r', text), '{') and (contains(text, '\"tool_calls\"') or contains(text, '\"tool_call_id\"')), false)")
     plain = rows.where(~maybe)
 
     body = rows.where(maybe).select(F.monotonically_increasing_id().alias("rid"), "*").withColumn("body", F.expr("try_parse_json(text)"))
