@@ -83,6 +83,16 @@ def test_fit_does_not_get_worse():
     assert error <= start
 
 
+def test_hops_end_with_the_graph(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(6)] + [("n6", "n0")], "src string, dst string")
+    starts = spark.createDataFrame([("n0",)], "path string")
+    with pytest.raises(ValueError):
+        graph.hop_distance(edges, starts, most=3)
+    monkeypatch.setattr(graph, "FOLD", 2)
+    for most in (None, 7):
+        assert {(r["path"], r["hops"]) for r in graph.hop_distance(edges, starts, most).collect()} == {(f"n{k}", k) for k in range(7)}
+
+
 def test_graph(spark):
     files = [
         ("main.py", "import pkg.a\nfrom pkg import b\n"), ("pkg/__init__.py", ""), ("pkg/a.py", "from . import c\n"), ("pkg/b.py", "from .sub.d import x"), ("pkg/c.py", ""), ("pkg/sub/__init__.py", ""), ("pkg/sub/d.py", "def broken(:"),
