@@ -3,14 +3,15 @@
 A target and a background model share one vocabulary (every word of both corpora; a caller may ask for the most frequent
 ones, the rest being one unknown word), the order, the smoothing (interpolated absolute discounting over add-one unigrams)
 and its discount. A document's score is the mean over its words of (target loss - background loss), in nats: lower is more
-like the target. Counts cover every row of both corpora. Words are compared by 64-bit hashes.
+like the target. Counts cover every row of both corpora. Words are compared by 48-bit hashes.
 
 Dataflow. Texts become chunks of some millions of words, each with its own sorted word table, which are stored. Every chunk
 sends the sorted distinct bigrams it has, packed, to the tasks that count them; such a task adds them up, answers each chunk
 in the same order, and sends on how many followers each context has. The words of a chunk go the same way: the task of a
 range of hashes adds up their counts, as words and as contexts, and their followers, and answers. So a chunk gets exactly the
-counts that its documents need, and no task holds more than its share of the model; only three sums reach the driver. A very
-common pair of words is one entry a chunk, and a very common context is spread over ``SPREAD`` tasks.
+counts that its documents need; only a few sums reach the driver. There are as many parts as keep each at ``PART_WORDS``
+words, whatever the number of tasks. A very common pair of words is one entry a chunk, and a very common context is spread
+over ``SPREAD`` parts or one in eight of all parts.
 
 Defined results: null and empty texts have 0 tokens and a score of 0; repeated rows count and are scored as often as they
 occur; with an empty target every target loss is that of the uniform unigram; an empty table gives an empty result; other
@@ -32,8 +33,12 @@ from . import common
 START, UNKNOWN = np.uint64(0), np.uint64(1)
 DISCOUNT = 0.75
 SPREAD = 16
+#: Bits of a word's hash.
+BITS = 48
 #: Words that a task holds before it sends their counts, and words of a stored row, about.
-HELD, CHUNK_WORDS = 3_000_000, 2_000_000
+HELD, CHUNK_WORDS = 3_000_000, 1_500_000
+#: Words whose counts one part adds up, at most.
+PART_WORDS = 4_000_000
 
 
 def _zip(x: np.ndarray) -> bytes:
@@ -54,12 +59,12 @@ def _sum_by(keys: np.ndarray, *values: np.ndarray):
 
 
 def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return np.maximum(common.word_hashes(data, starts, ends), UNKNOWN + np.uint64(1))
+    return np.maximum(common.word_hashes(data, starts, ends) >> np.uint64(64 - BITS), UNKNOWN + np.uint64(1))
 
 
 def _cuts(keys: np.ndarray, parts: int) -> list[int]:
     """Bounds of the equal ranges of hashes in sorted ``keys``."""
-    return np.searchsorted(keys, np.array([(k << 64) // parts for k in range(parts)], np.uint64)).tolist() + [len(keys)]
+    return np.searchsorted(keys, np.array([(k << BITS) // parts for k in range(parts)], np.uint64)).tolist() + [len(keys)]
 
 
 def vocabulary(texts: list[DataFrame], size: int) -> np.ndarray:
@@ -132,7 +137,7 @@ def _tokenised(docs: DataFrame, words, target: bool) -> DataFrame:
         if names:
             yield emit()
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "chunk long, ids array<long>, lens array<long>, table binary, words binary")
+    out = common.in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "chunk long, ids array<long>, lens array<long>, table binary, words binary")
     return out.withColumn("target", F.lit(target))
 
 
@@ -153,7 +158,8 @@ def _contexts(words: np.ndarray, lens: np.ndarray) -> np.ndarray:
 def _pieces(keys: np.ndarray, table: np.ndarray, parts: int):
     """Sorted bigrams (context << 32 | word, places in ``table``) by part: the order, each one's hashes, and the parts' bounds."""
     context, word = table[keys >> np.uint64(32)], table[keys & np.uint64(0xFFFFFFFF)]
-    part = (common.mix(context + (word % np.uint64(SPREAD)) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64)
+    spread = np.uint64(max(SPREAD, parts // 8))
+    part = (common.mix(context + (word % spread) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     return order, context[order], word[order], np.searchsorted(part[order], np.arange(parts + 1)).tolist()
 
@@ -270,11 +276,12 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, size: int | Non
     spark = docs.sparkSession
     shared = None if size is None else spark.sparkContext.broadcast(vocabulary([docs, target], size))
     chunks, _ = common.stored(_tokenised(docs, shared, False).unionByName(_tokenised(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), shared, True)), "lm-words", "none")
-    parts = common.partitions(docs)
+    words = chunks.agg(F.sum(F.expr("aggregate(lens, 0L, (a, x) -> a + x)"))).first()[0] or 0
+    parts = max(common.partitions(docs), -(-words // PART_WORDS))
     pairs, _ = common.stored(_counted(_bigrams(chunks, parts), parts), "lm-pairs", "none")
     sums, _ = common.stored(_summed(_shares(chunks, parts).unionByName(pairs.where("chunk is null"))), "lm-sums", "none")
-    words, *totals = (x or 0 for x in sums.agg(F.sum("words"), F.sum("background"), F.sum("target")).first())
-    size = words + 1
+    distinct, *totals = (x or 0 for x in sums.agg(F.sum("words"), F.sum("background"), F.sum("target")).first())
+    size = distinct + 1
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("p").select(["n", "more", "sums"]).to_pylist()
