@@ -439,18 +439,27 @@ def brute_lm(docs, target, size):
     known = {w for w, _ in Counter(w for x in d + t for w in x).most_common(size)}
     d, t = [[w if w in known else None for w in x] for x in d], [[w if w in known else None for w in x] for x in t]
     out = []
-    models = []
-    for rows in (t, d):
+
+    def model(rows):
         uni = Counter(w for x in rows for w in x)
         pair = Counter(p for x in rows for p in zip(["^"] + x[:-1], x))
         ctx, kinds = Counter(), Counter()
         for (h, _), n in pair.items():
             ctx[h] += n
             kinds[h] += 1
-        models.append((uni, pair, ctx, kinds, sum(uni.values())))
+        return uni, pair, ctx, kinds, sum(uni.values())
+
+    like, every = model(t), model(d)
+
+    def without(x):
+        uni, pair = every[0] - Counter(x), every[1] - Counter(zip(["^"] + x[:-1], x))
+        ctx = every[2] - Counter((["^"] + x[:-1])[: len(x)])
+        gone = Counter(h for h, w in set(zip(["^"] + x[:-1], x)) if (h, w) not in pair)
+        return uni, pair, ctx, every[3] - gone, every[4] - len(x)
+
     for x in d:
         ce = []
-        for uni, pair, ctx, kinds, total in models:
+        for uni, pair, ctx, kinds, total in (like, without(x)):
             loss = 0.0
             for h, w in zip(["^"] + x[:-1], x):
                 single = (uni[w] + 1) / (total + len(known) + 1)

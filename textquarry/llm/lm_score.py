@@ -3,7 +3,8 @@
 A target and a background model share one vocabulary (every word of both corpora; a caller may ask for the most frequent
 ones, the rest being one unknown word), the order, the smoothing (interpolated absolute discounting over add-one unigrams)
 and its discount. A document's score is the mean over its words of (target loss - background loss), in nats: lower is more
-like the target. Counts cover every row of both corpora. Words are compared by 48-bit hashes.
+like the target. The background of a document is all other documents: its own counts are taken out first, else each
+document would predict itself. Counts cover every row of both corpora. Words are compared by 48-bit hashes.
 
 Dataflow. Texts become chunks of some millions of words, each with its own sorted word table, which are stored. Every chunk
 sends the sorted distinct bigrams it has, packed, to the tasks that count them; such a task adds them up, answers each chunk
@@ -14,7 +15,8 @@ words, whatever the number of tasks. A very common pair of words is one entry a
 over ``SPREAD`` parts or one in eight of all parts.
 
 Defined results: null and empty texts have 0 tokens and a score of 0; repeated rows count and are scored as often as they
-occur; with an empty target every target loss is that of the uniform unigram; an empty table gives an empty result; other
+occur; with an empty target, or as the only
+document, the loss is that of the uniform unigram; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -261,7 +263,23 @@ def _summed(shares: DataFrame) -> DataFrame:
     return shares.groupBy("p").applyInArrow(answer, _SUMS)
 
 
-def probability(pair: np.ndarray, word: np.ndarray, context: np.ndarray, kinds: np.ndarray, total: int, size: int, discount: float = DISCOUNT) -> np.ndarray:
+def _own(doc: np.ndarray, place: np.ndarray, context: np.ndarray, counts: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    """What a document itself adds to the counts at each of its words: to the pair, the context, its followers, and the word.
+
+    ``place`` names each word's bigram among the chunk's sorted ones, whose contexts and background counts are given.
+    """
+    both, at, n = np.unique(doc * np.int64(max(1, len(context))) + place, return_inverse=True, return_counts=True)
+    pair = both % max(1, len(context))
+    owner, behind = both // max(1, len(context)), context[pair]
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (behind[1:] != behind[:-1])])) if len(both) else np.zeros(0, np.int64)
+    group = np.repeat(np.arange(len(first)), np.diff(first, append=len(both)))
+    held, alone = (np.add.reduceat(x, first) if len(first) else n for x in (n, (counts[pair] == n).astype(np.int64)))
+    top = np.int64(words.max() + 1 if len(words) else 1)
+    _, word, m = np.unique(doc * top + words, return_inverse=True, return_counts=True)
+    return [n[at], held[group[at]], alone[group[at]], m[word]]
+
+
+def probability(pair: np.ndarray, word: np.ndarray, context: np.ndarray, kinds: np.ndarray, total, size: int, discount: float = DISCOUNT) -> np.ndarray:
     """Interpolated absolute discounting: counts of the pair, the word, the context, and its distinct followers."""
     single = (word + 1.0) / (total + size)
     seen = np.maximum(context, 1)
@@ -297,12 +315,15 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, size: int | Non
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             at = rank[place]
+            doc = np.repeat(np.arange(len(lens)), lens)
+            own = _own(doc, place, (every >> np.uint64(32)).astype(np.int64), pair[0][rank], w)
             loss = np.zeros((2, len(w)))
             for a in range(0, len(w), 1 << 18):
                 part = slice(a, a + (1 << 18))
-                for m in (0, 1):
-                    loss[m, part] = -np.log(probability(pair[m][at[part]], uni[m][w[part]], ctx[m][h[part]], kinds[m][h[part]], totals[m], size))
-            doc = np.repeat(np.arange(len(lens)), lens)
+                p, v, c = at[part], w[part], h[part]
+                less = [x[part] for x in own]
+                loss[0, part] = -np.log(probability(pair[0][p] - less[0], uni[0][v] - less[3], ctx[0][c] - less[1], kinds[0][c] - less[2], totals[0] - lens[doc[part]], size))
+                loss[1, part] = -np.log(probability(pair[1][p], uni[1][v], ctx[1][c], kinds[1][c], totals[1], size))
             means = [np.bincount(doc, loss[m], len(lens)) / np.maximum(lens, 1) for m in (1, 0)]
             for store, v in zip(out, (ids, lens.tolist(), means[0].tolist(), means[1].tolist())):
                 store += v
