@@ -11,7 +11,8 @@ from textquarry.llm import common, decontaminate, jaccard_join, mixing, quality,
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     trees = quality.train(docs, common.table(spark, sf_dir, "labels"))
-    return quality.scored(docs, trees).where("score >= 0.5").select(docs.columns)
+    (name,) = common.fresh(docs.columns, ["score"])
+    return quality.scored(docs, trees, name).where(F.col(name) >= 0.5).select(common.columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +31,14 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document gets its domain posterior and its rate; those whose fitted rate is 0 are never drawn and go."""
-    weighted = mixing.mixed(docs.withColumn("body", F.col("text")), common.table(spark, sf_dir, "labels"))
-    weighted = weighted.withColumnRenamed("body", "text").where("rate > 0")
-    return weighted.select(*docs.columns, "n_tokens", *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)), "rate")
+    """Every document gets its domain posterior and its rate; those whose fitted rate is 0 are never drawn and go.
+
+    A column of the documents that is called like a new one keeps its name; the new one then ends in ``_``.
+    """
+    weighted = mixing.mixed(docs, common.table(spark, sf_dir, "labels"))
+    n_tokens, p, rate = weighted.columns[len(docs.columns) :]
+    shares = common.fresh([*docs.columns, n_tokens, rate], [f"p_{d}" for d in mixing.DOMAINS])
+    return weighted.where(F.col(rate) > 0).select(*common.columns(docs), n_tokens, *(F.col(p)[k].alias(name) for k, name in enumerate(shares)), rate)
 
 
 STAGES = [
