@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass looks at; a longer document is a pass of its own.
@@ -53,6 +53,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(taken: list[str], names: list[str]) -> list[str]:
+    """``names``, each with ``_`` appended until no column of ``taken`` is called so (in any case)."""
+    out, have = [], {c.lower() for c in taken}
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 #: Rows of an Arrow batch of texts: small, as one text may be very long.
 BATCH_ROWS = 1_000
 
@@ -220,4 +236,4 @@ def sized(ids: DataFrame) -> DataFrame:
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` less the rows whose doc_id is in ``ids`` (doc_id); rows without a doc_id stay."""
-    return docs.join(sized(ids.where("doc_id is not null").distinct()), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(sized(ids.where("doc_id is not null").distinct()), "doc_id", "left_anti").select(columns(docs))

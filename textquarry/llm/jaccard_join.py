@@ -272,7 +272,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     again, _ = common.stored(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "jaccard-repeated")
     if again.isEmpty():
         return kept
-    once = kept.join(common.sized(again), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    once = kept.join(common.sized(again), "doc_id", "left_semi").select(common.columns(docs)).dropDuplicates(["doc_id"])
     return common.without(kept, again).unionByName(once)
 
 

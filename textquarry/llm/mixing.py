@@ -1,18 +1,25 @@
-"""Mixing sources to target weights: soft memberships, and rates by distributed projected-gradient least squares.
+"""Mixing sources to target weights: soft memberships, and rates by distributed projected-gradient weighted least squares.
 
 A softmax classifier, fitted on a bounded sample of the labelled table (``SAMPLE_ROWS``, smallest hash of doc_id first),
 gives each document a posterior over domains. A document's rate r says how often it is to be drawn; the expected tokens of
-domain d are ``sum_i r_i * tokens_i * p_id``. Rates minimise the squared distance of these totals from the targets,
-whitened by the Gram matrix ``G = sum_i tokens_i p_i p_i'``, over r >= 0, from r = 1. In the metric that weighs a document
-by its tokens the gradient step is ``r_i - p_i . G^-1 (totals - target)`` and its step size is 1: the change of a rate
-depends on the posterior alone, not on the length. Steps are accelerated (momentum, restarted where the error grows), and
-every step is one aggregate of as many sums as there are domains.
+domain d are ``totals_d = sum_i r_i * tokens_i * p_id``. Rates minimise ``(totals - target)' G^-1 (totals - target)`` with the
+Gram matrix ``G = sum_i tokens_i p_i p_i'`` over r >= 0, from r = 1. Targets that nonnegative rates can reach are met; others
+are missed by least in this metric, which is not that of plain differences. In the metric that weighs a document by its
+tokens the gradient step is ``r_i - p_i . G^-1 (totals - target)`` and its step size is 1: the change of a rate depends on the
+posterior alone, not on the length. Steps are accelerated (momentum, restarted where the error grows), and every step is one
+aggregate of a few sums over a slim table of tokens, posteriors and rates. The steps are then replayed on every document, so
+texts and other columns are never written in between.
+
+The search ends when the targets are met, or when the duality gap says that the error is within ``GAP`` of the least one. After
+``STEPS`` steps without that it raises and gives no rates: a target on the very edge of what documents can supply takes most
+steps, and the caller may ask for more of them or for a wider gap.
 
 Domains of the query: ``good`` (quality 1), ``poor`` (quality 0) and ``toxic`` (toxic 1).
 
 Defined results: null and empty texts have 0 tokens and the posterior of an empty vector, and a rate like any other;
 repeated rows have equal rates; without labels the posterior is uniform; a domain that no document can supply stays at
-what least squares reaches; rows without any tokens at all leave every rate at 1; other columns are carried through.
+what least squares reaches; rows without any tokens at all leave every rate at 1; other columns are carried through, and a
+column of theirs that is called n_tokens, p or rate stays, the new one having ``_`` appended.
 """
 
 from __future__ import annotations
@@ -33,6 +40,8 @@ SAMPLE_ROWS = 6_000
 DOMAINS = ("good", "poor", "toxic")
 #: Share of the expected tokens that each domain is to have.
 TARGETS = {"good": 0.88, "poor": 0.04, "toxic": 0.08}
+#: Steps of the fit before it gives up, and the error above the least one at which it ends: of all tokens, or of the least error.
+STEPS, GAP = 1_000, (1e-9, 0.01)
 _WORDS = 1 << 14
 _SHAPES = 1 << 9
 WIDTH = _WORDS + _SHAPES
@@ -115,58 +124,94 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return fit(row, col.flatten().to_numpy().astype(np.int64), val.flatten().to_numpy().astype(float), got["y"].to_numpy().astype(np.int64), len(DOMAINS))
 
 
-def posteriors(docs: DataFrame, model: Softmax) -> DataFrame:
-    """``docs`` without text, with n_tokens (words) and p (posterior by DOMAINS)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c != "text"]
+def posteriors(docs: DataFrame, model: Softmax, moves: np.ndarray | None = None) -> DataFrame:
+    """``docs`` with n_tokens (words), p (posterior by DOMAINS) and, given the ``moves`` of a fit, rate."""
+    shared, again = docs.sparkSession.sparkContext.broadcast(model), replayed
+    where = docs.columns.index("text")
+    new = common.fresh(docs.columns, ["n_tokens", "p"] + (["rate"] if moves is not None else []))
 
     def apply(batches):
         for batch in batches:
-            for at, data, offs in common.passes(batch.column(len(others))):
+            for at, data, offs in common.passes(batch.column(where)):
                 row, col, val, n = features(data, offs)
                 p = np.round(shared.value.posterior(row, col, val, len(n)), 9)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(n)) for k in range(len(others))), pa.array(n.astype(np.int64)), lists], names=[*others, "n_tokens", "p"])
+                rate = [] if moves is None else [pa.array(again(p, moves))]
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(n)).columns, pa.array(n.astype(np.int64)), lists, *rate], names=[*batch.schema.names, *new])
 
-    fields = [docs.schema[c] for c in others]
-    return common.in_batches(docs).select(*others, "text").mapInArrow(apply, StructType([*fields, StructField("n_tokens", LongType()), StructField("p", ArrayType(DoubleType()))]))
+    kinds = (LongType(), ArrayType(DoubleType()), DoubleType())
+    return common.in_batches(docs).mapInArrow(apply, StructType([*docs.schema.fields, *(StructField(name, kind) for name, kind in zip(new, kinds))]))
 
 
-def rates(members: DataFrame, target: list[float], total: float | None = None, steps: int = 200, tolerance: float = 1e-9) -> DataFrame:
-    """``members`` (n_tokens, p, ...) with a nonnegative ``rate``; ``target`` are shares of ``total`` (all tokens if unset)."""
+def replayed(p: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Rates of documents with posteriors ``p`` (rows x domains) after ``moves`` (momentum, then a step by domain)."""
+    r = q = np.ones(len(p))
+    for push, *step in moves:
+        r, q = np.maximum(0.0, r + push * (r - q) - p @ np.array(step)), r
+    return np.round(r, 9)
+
+
+def fitted(members: DataFrame, target: list[float], total: float | None = None, steps: int = STEPS, gap: tuple[float, float] = GAP) -> np.ndarray:
+    """The moves that fit the rates of ``members`` (n_tokens, p); ``target`` are shares of ``total`` (all tokens if unset)."""
     k_domains = len(target)
     pair = [(a, b) for a in range(k_domains) for b in range(a, k_domains)]
     sums = members.agg(F.sum("n_tokens").alias("t"), *(F.sum(F.col("n_tokens") * F.col("p")[a] * F.col("p")[b]).alias(f"g{a}_{b}") for a, b in pair)).first()
+    moves: list[list[float]] = []
     if not sums["t"]:
-        return members.withColumn("rate", F.lit(1.0))
+        return np.zeros((0, 1 + k_domains))
+    tokens = float(sums["t"])
     gram = np.zeros((k_domains, k_domains))
     for a, b in pair:
         gram[a, b] = gram[b, a] = sums[f"g{a}_{b}"]
     inverse = np.linalg.pinv(gram, rcond=1e-9)
-    goal = np.array(target, float) / sum(target) * (total if total is not None else float(sums["t"]))
-    state = members.withColumns({"_r": F.lit(1.0), "_q": F.lit(1.0)})
-    pace, least = 1.0, math.inf
+    goal = np.array(target, float) / sum(target) * (total if total is not None else tokens)
+    state = members.where("n_tokens > 0").select("n_tokens", "p", F.lit(1.0).alias("r"), F.lit(1.0).alias("q"), F.lit(0.0).alias("slope"))
+    pace, least, step, path = 1.0, math.inf, None, None
     for k in range(1, steps + 1):
         following = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
         push = (pace - 1) / following
-        state = state.withColumn("_y", F.col("_r") + push * (F.col("_r") - F.col("_q")))
-        got = np.array(state.agg(*(F.sum(F.col("_y") * F.col("n_tokens") * F.col("p")[d]) for d in range(k_domains))).first(), float)
-        step = inverse @ (got - goal)
-        error = float((got - goal) @ step)
-        if np.abs(step).max() <= tolerance:
-            break
-        pace, least = (1.0 if error > least else following), error
-        moved = F.greatest(F.lit(0.0), F.col("_y") - sum((F.col("p")[d] * float(step[d]) for d in range(1, k_domains)), F.col("p")[0] * float(step[0])))
-        state = state.withColumns({"_q": F.col("_r"), "_r": moved}).drop("_y")
+        state = state.withColumn("y", F.col("r") + push * (F.col("r") - F.col("q")))
+        got = np.array(state.agg(*(F.sum(F.col(x) * F.col("n_tokens") * F.col("p")[d]) for x in ("y", "r") for d in range(k_domains)), F.min("slope")).first(), float)
+        ahead, here, lowest = got[:k_domains], got[k_domains : 2 * k_domains], got[-1]
+        error = float((here - goal) @ inverse @ (here - goal)) / 2
+        if step is not None:  # the last step, moved until it slopes up everywhere, bounds the least error from below
+            bound = step + max(0.0, -lowest)
+            if error - (-(bound @ gram @ bound) / 2 - goal @ bound) <= max(gap[0] * tokens, gap[1] * error):
+                return np.array(moves)
+        step = inverse @ (ahead - goal)
+        if np.abs(step).max() <= 1e-9:
+            return np.array([*moves, [push, *np.zeros(k_domains)]])
+        rise = float((ahead - goal) @ step)
+        pace, least = (1.0 if rise > least else following), rise
+        moves.append([push, *step])
+        slope = sum((F.col("p")[d] * float(step[d]) for d in range(1, k_domains)), F.col("p")[0] * float(step[0]))
+        state = state.select("n_tokens", "p", F.greatest(F.lit(0.0), F.col("y") - slope).alias("r"), F.col("r").alias("q"), slope.alias("slope"))
         if k % 8 == 0:  # the chain of steps stays short; the state so far is a table
-            state, _ = common.stored(state, "mixing-rates")
-    return state.withColumn("rate", F.round("_r", 9)).drop("_r", "_q", "_y")
+            state, new = common.stored(state, "mixing-rates")
+            if path:
+                common.drop_path(members.sparkSession, path)
+            path = new
+    raise RuntimeError(f"no fit after {steps} steps: expected tokens by domain are {here.tolist()} for a target of {goal.tolist()}; allow more steps or a wider gap")
+
+
+def rates(members: DataFrame, target: list[float], total: float | None = None, steps: int = STEPS, gap: tuple[float, float] = GAP) -> DataFrame:
+    """``members`` (n_tokens, p, ...) with a nonnegative ``rate``."""
+    moves, again = fitted(members, target, total, steps, gap), replayed
+    where, (name,) = members.columns.index("p"), common.fresh(members.columns, ["rate"])
+
+    def apply(batches):
+        for batch in batches:
+            p = np.array(batch.column(where).to_pylist(), float).reshape(batch.num_rows, len(target))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(again(p, moves))], names=[*batch.schema.names, name])
+
+    return members.mapInArrow(apply, StructType([*members.schema.fields, StructField(name, DoubleType())]))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The columns of ``docs`` but text, with n_tokens, p and rate."""
-    members, _ = common.stored(posteriors(docs, train(docs, labels)), "mixing-members")
-    return rates(members, [targets[d] for d in DOMAINS])
+    """``docs`` with n_tokens, p and rate."""
+    model = train(docs, labels)
+    members, _ = common.stored(posteriors(docs.select("text"), model).select("n_tokens", "p"), "mixing-members")
+    return posteriors(docs, model, fitted(members, [targets[d] for d in DOMAINS]))
 
 
 def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

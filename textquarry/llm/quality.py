@@ -7,7 +7,7 @@ shuffles nothing.
 
 Defined results: null and empty texts have all-zero statistics and get a score like any other; a null doc_id is never
 held out; repeated rows are scored alike; without usable labels the score is 0.5 (of one class only: that class's share);
-a doc_id labelled both 0 and 1 counts as 0; other columns are ignored.
+a doc_id labelled both 0 and 1 counts as 0; other columns are carried through by ``scored`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -210,19 +210,20 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", sample_ro
     return fit(*training_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, column, sample_rows))
 
 
-def scored(docs: DataFrame, trees: Trees) -> DataFrame:
-    """``docs`` with a ``score`` column appended; all columns are carried through."""
+def scored(docs: DataFrame, trees: Trees, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` appended, with ``_`` at its end where ``docs`` has a column of that name."""
+    (name,) = common.fresh(docs.columns, [name])
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     where = docs.columns.index("text")
 
     def apply(batches):
         for batch in batches:
             out = [shared.value.score(statistics(data, offs)) for _, data, offs in common.passes(batch.column(where))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*batch.schema.names, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return common.in_batches(docs).mapInArrow(apply, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return common.in_batches(docs).mapInArrow(apply, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

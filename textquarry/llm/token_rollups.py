@@ -30,8 +30,6 @@ from . import common
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 KEYS = ("source", "lang", "tokenizer")
 _PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A longer text is counted in pieces that end at white space, so that its token list stays small.
-_PIECE_CHARS = 1 << 16
 
 
 @lru_cache(maxsize=4)
@@ -94,7 +92,7 @@ def _summed(deltas: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals in the folder ``root`` of any store that Spark can write to."""
+    """Totals in the folder ``root`` of a file system whose create-without-overwrite and rename are atomic (HDFS, local disk)."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
