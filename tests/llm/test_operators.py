@@ -318,9 +318,9 @@ def test_trees_match_a_plain_walk():
 
 def test_quality_odd_cases(spark):
     docs, labels = labelled(spark, 60)
-    out = quality.scored(odd(spark).drop("score"), quality.train(docs, labels))
+    out = quality.scored(odd(spark), quality.train(docs, labels))
     rows = out.collect()
-    assert len(rows) == len(ODD_TEXTS) + 2 and all(0 <= r["score"] <= 1 for r in rows)
+    assert len(rows) == len(ODD_TEXTS) + 2 and all(0 <= r["score_"] <= 1 and r["score"] == 1 for r in rows)
     assert quality.train(docs, labels.limit(0)).score(np.zeros((1, len(quality.NAMES))))[0] == 0.5
     none = spark.createDataFrame([(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     assert quality.train(docs, none).score(np.zeros((1, len(quality.NAMES))))[0] == 0.5
@@ -354,16 +354,31 @@ def test_rates_against_numpy(spark, target):
     for _ in range(20_000):
         best = np.maximum(0, best - p @ (inverse @ (a.T @ best - goal)))
     members = spark.createDataFrame([(k, int(t), x.tolist()) for k, (t, x) in enumerate(zip(n, p))], "k int, n_tokens long, p array<double>")
-    got = mixing.rates(members, target, steps=60).orderBy("k").collect()
+    edge = target[0] == 1  # hardly to be reached, so that many steps bring little
+    got = mixing.rates(members, target, gap=(1e-3, 0.01) if edge else mixing.GAP).orderBy("k").collect()
     rates = np.array([r["rate"] for r in got])
-    assert (rates >= 0).all() and error(rates) < error(best) + 5e-3
-    assert target[0] > 0.8 or error(rates) < 1e-9
+    assert (rates >= 0).all() and error(rates) < error(best) + (2e-3 if edge else 1e-8)
+    assert edge or np.allclose((a.T @ rates) / n.sum(), goal / n.sum(), atol=1e-6)
+    with pytest.raises(RuntimeError):
+        mixing.rates(members, target, steps=2)
+
+
+def test_unreachable_targets_are_missed_by_least(spark):
+    p = np.array([[0.6, 0.2, 0.2], [0.5, 0.3, 0.2], [0.7, 0.1, 0.2]])
+    n = np.array([10.0, 20.0, 30.0])
+    goal, a = np.array([0.0, 0.0, 1.0]) * n.sum(), p * n[:, None]
+    inverse = np.linalg.pinv(a.T @ p, rcond=1e-9)
+    error = lambda r: (a.T @ r - goal) @ inverse @ (a.T @ r - goal)
+    members = spark.createDataFrame([(k, int(t), x.tolist()) for k, (t, x) in enumerate(zip(n, p))], "k int, n_tokens long, p array<double>")
+    rates = np.array([r["rate"] for r in mixing.rates(members, [0, 0, 1]).orderBy("k").collect()])
+    best = min(error(np.array([x, y, z])) for x in np.linspace(0, 4, 41) for y in np.linspace(0, 4, 41) for z in np.linspace(0, 4, 41))
+    assert error(rates) <= best * 1.02
 
 
 def test_mixing_odd_cases(spark):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (5, 1, 1), (5, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    rows = mixing.mixed(odd(spark).drop("n", "rate"), labels).collect()
-    assert len(rows) == len(ODD_TEXTS) + 2 and all(math.isfinite(r["rate"]) and r["rate"] >= 0 for r in rows)
+    rows = mixing.mixed(odd(spark), labels).collect()
+    assert len(rows) == len(ODD_TEXTS) + 2 and all(math.isfinite(r["rate_"]) and r["rate_"] >= 0 and r["rate"] == 4 for r in rows)
     assert {r["rate"] for r in mixing.mixed(docs_of(spark, ["", None]), labels.limit(0)).collect()} == {1.0}
     assert mixing.mixed(docs_of(spark, []), labels).count() == 0
 
@@ -511,8 +526,10 @@ def test_rollup_is_idempotent_and_additive(spark, tmp_path):
     assert total() == {("s", "en", "v1"): (3, 11), (None, "en", "v1"): (1, 5)}
     assert roll.commit("two", token_rollups.revisions(a.where("source = 's'"), b)) and roll.commit("none", a.limit(0))
     assert total() == {("s", "en", "v2"): (2, 12), (None, "en", "v1"): (1, 5)}
-    for _ in range(2):
+    for clean in (False, True):
         roll.compact()
+        if clean:
+            roll.clean()
         assert total() == {("s", "en", "v2"): (2, 12), (None, "en", "v1"): (1, 5)} and roll.committed() == ["none", "one", "two"]
         assert not roll.commit("two", token_rollups.inserts(a))
     assert roll.commit("three", token_rollups.deletes(b)) and total() == {(None, "en", "v1"): (1, 5)}
@@ -520,6 +537,26 @@ def test_rollup_is_idempotent_and_additive(spark, tmp_path):
         roll.commit("../x", a)
 
 
+def test_rollup_commits_race(spark, tmp_path, monkeypatch):
+    """A commit between a compaction's look and its end counts once, and of two commits of one id one counts."""
+    roll, other = (token_rollups.Rollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+    ten = spark.createDataFrame([("s", "en", "v1", 1, 10)], schema)
+    roll.commit("one", ten)
+    planned, sums = roll.totals(), roll._totals
+    monkeypatch.setattr(roll, "_totals", lambda *a: (other.commit("two", ten), sums(*a))[1])
+    roll.compact()
+    monkeypatch.undo()
+    assert [r["n_tokens"] for r in roll.totals().collect()] == [20] and roll.committed() == ["one", "two"]
+    assert [r["n_tokens"] for r in planned.collect()] == [10]
+    roll.clean()
+    assert [r["n_tokens"] for r in roll.totals().collect()] == [20]
+    monkeypatch.setattr(roll, "committed", lambda: (other.commit("three", ten), [])[1])
+    assert not roll.commit("three", ten)
+    monkeypatch.undo()
+    assert [r["n_tokens"] for r in roll.totals().collect()] == [30]
+
+
 def test_token_counts_brute_force(spark):
     got = {tuple(r)[:3]: tuple(r)[3:] for r in registry.QUERIES["op5_token_counts"](spark, f"{DATA}/sf0.001").collect()}
     want = Counter(), Counter()
@@ -604,6 +641,25 @@ def test_chat_json_after_white_space(spark):
     assert len(got) == len(rows) and all(r["n_linked"] == 1 and not r["problems"] and r["n_calls"] == (r["role"] == "assistant") for r in got)
 
 
+def test_chat_chains_settle_in_few_rounds(spark, monkeypatch):
+    """Long chains, a call that waits for a later one, cycles and what is behind them, and two things to wait for."""
+    j, rows, n = json.dumps, [], 150
+    call = lambda k, after: j({"tool_calls": [{"id": f"c{k}", "name": "search", "arguments": {"query": "q"}, "after": after}]})
+    for k in range(n):  # conversation 1: every call waits for the next one's result
+        rows += [(1, 2 * k, "assistant", call(k, [f"c{k + 1}"] if k + 1 < n else [])), (1, 2 * k + 1, "tool", j({"tool_call_id": f"c{k}", "content": "x" * 10}))]
+    for k in range(20):  # conversation 2: two results to wait for
+        rows += [(2, 2 * k, "assistant", call(k, [f"c{k - 1}", f"c{k - 2}"])), (2, 2 * k + 1, "tool", j({"tool_call_id": f"c{k}", "content": "é\u0001" * 50_000}))]
+    for k, after in enumerate(([2], [0], [1], [2], [])):  # conversation 3: 0, 1 and 2 wait for each other, 3 for them, 4 for nothing
+        rows += [(3, 2 * k, "assistant", call(k, [f"c{x}" for x in after])), (3, 2 * k + 1, "tool", j({"tool_call_id": f"c{k}", "content": None}))]
+    names, stored = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name, *a: (names.append(name), stored(df, name, *a))[1])
+    got = {(r["conv_id"], r["turn"]): r for r in chat_format.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == len(rows) and names.count("chat-settled") <= 16
+    order = lambda c: [t for (x, t) in sorted(got, key=lambda k: got[k]["order_key"]) if x == c]
+    assert order(1) == [t for k in reversed(range(n)) for t in (2 * k, 2 * k + 1)] and order(2) == list(range(40))
+    assert {t for (c, t), r in got.items() if c == 3 and "cycle" in r["problems"]} == set(range(8)) and not any("cycle" in r["problems"] for (c, _), r in got.items() if c < 3)
+
+
 # pipeline
 
 
@@ -632,3 +688,43 @@ def test_pipeline_stages(spark):
             assert gone and np.mean([marks[k] == 0 for k in gone if k in marks]) > 0.8
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert set(columns) <= set(last.columns) and last.where("rate > 0").count() == last.count() > 0
+
+
+def test_pipeline_odd_documents(spark, tmp_path):
+    """Nulls, repeats, long texts, an empty table, and columns called like everything that stages use inside."""
+    folder = tmp_path / "odd"
+    taken = "n_tokens p rate p_good p_poor p_toxic score y r q slope m w rid h win items spans n_words n_hit sid gid comp node component component_id n_shingles set_key prefix_key bits prefix known text_ body _r"
+    rows = odd(spark).select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(k).alias(c) for k, c in enumerate(taken.split())), F.lit("dot").alias("a.b c"))
+    for name in ("labels", "benchmark"):
+        common.table(spark, f"{DATA}/sf0.001", name).write.parquet(f"file://{folder}/{name}.parquet")
+    for docs, least in ((rows, 1), (rows.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out, _ = common.stored(stage(spark, docs, f"file://{folder}"), "odd-stage")
+            assert out.columns[: len(rows.columns)] == rows.columns and (name == "source_mixing" or out.columns == rows.columns)
+            assert all(r["rate"] == taken.split().index("rate") and r["n_tokens"] == 0 and r["a.b c"] == "dot" for r in out.collect())
+            docs = out if out.count() else docs
+        assert least <= docs.count() <= len(ODD_TEXTS) + 2
+    assert out.columns[-5:] == ["n_tokens_", "p_good_", "p_poor_", "p_toxic_", "rate_"]
+
+
+@pytest.mark.parametrize("name", ["op1_lm_scoring", "op3_quality_classifier", "op7_secret_scans"])
+def test_registered_query(spark, name):
+    """Queries without SQL: every document once; op3 by its held-out share, op7 by its base spans, op1 by its models."""
+    sf = f"{DATA}/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in common.table(spark, sf, "documents").collect()}
+    got = {r["doc_id"]: r for r in registry.QUERIES[name](spark, sf).collect()}
+    assert set(got) == set(docs)
+    if name.startswith("op3"):
+        marks = {r["doc_id"]: r["quality"] for r in common.table(spark, sf, "labels").collect()}
+        assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for k, r in got.items())
+        held = [got[k]["predicted"] == v for k, v in marks.items() if k in got and got[k]["held_out"]]
+        assert len(held) > 10 and np.mean(held) > 0.9
+    elif name.startswith("op7"):
+        for k, r in got.items():
+            joined = ",".join(f"{secrets.KINDS[kind]}:{a}:{b}" for a, kind, b in brute_base(docs[k] or ""))
+            assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and set(joined.split(",")) - {""} <= set(r["spans"].split(","))
+    else:
+        turns = [r["text"] for r in common.table(spark, sf, "conversations").where("role = 'assistant'").collect()]
+        ids = sorted(docs)
+        for k, (n, t, b) in zip(ids, brute_lm([docs[k] for k in ids], turns, 10**7), strict=True):
+            assert got[k]["n_tokens"] == n and got[k]["ce_target"] == pytest.approx(t, abs=1e-6) and got[k]["ce_background"] == pytest.approx(b, abs=1e-6)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that one numpy pass looks at; a longer document is a pass of its own.
 PASS_BYTES = 1 << 20
@@ -69,6 +70,18 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def mapped(df: DataFrame, kernel, appended: tuple[StructField, ...] = ()) -> DataFrame:
+    """``kernel`` over Arrow batches of ``df``, all of whose columns it returns by position, and ``appended`` ones after them."""
+    plain = [f"c{k}" for k in range(len(df.columns) + len(appended))]
+
+    def named(batches):
+        for batch in kernel(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=plain)
+
+    fields = [StructField(name, f.dataType) for name, f in zip(plain, [*df.schema.fields, *appended])]
+    return df.toDF(*plain[: len(df.columns)]).mapInArrow(named, StructType(fields)).toDF(*df.columns, *(f.name for f in appended))
+
+
 #: Rows of an Arrow batch of texts: small, as one text may be very long.
 BATCH_ROWS = 1_000
 

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField
 
 from . import common
 from .quality import _KIND
@@ -140,7 +140,7 @@ def posteriors(docs: DataFrame, model: Softmax, moves: np.ndarray | None = None)
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(n)).columns, pa.array(n.astype(np.int64)), lists, *rate], names=[*batch.schema.names, *new])
 
     kinds = (LongType(), ArrayType(DoubleType()), DoubleType())
-    return common.in_batches(docs).mapInArrow(apply, StructType([*docs.schema.fields, *(StructField(name, kind) for name, kind in zip(new, kinds))]))
+    return common.mapped(common.in_batches(docs), apply, tuple(StructField(name, kind) for name, kind in zip(new, kinds)))
 
 
 def replayed(p: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -204,7 +204,7 @@ def rates(members: DataFrame, target: list[float], total: float | None = None, s
             p = np.array(batch.column(where).to_pylist(), float).reshape(batch.num_rows, len(target))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(again(p, moves))], names=[*batch.schema.names, name])
 
-    return members.mapInArrow(apply, StructType([*members.schema.fields, StructField(name, DoubleType())]))
+    return common.mapped(members, apply, (StructField(name, DoubleType()),))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:

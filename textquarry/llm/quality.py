@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
 from . import common
 
@@ -221,9 +222,7 @@ def scored(docs: DataFrame, trees: Trees, name: str = "score") -> DataFrame:
             out = [shared.value.score(statistics(data, offs)) for _, data, offs in common.passes(batch.column(where))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], names=[*batch.schema.names, name])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return common.in_batches(docs).mapInArrow(apply, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return common.mapped(common.in_batches(docs), apply, (StructField(name, DoubleType()),))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Token counts: totals by source, language and tokenizer version, kept by signed deltas.
 
 A change is an insert (+ count), a delete (- count) or a revision (- old count, + new count). A batch of changes is combined
-to signed sums before and after one shuffle and committed under its id: the sums are written to a staging folder, which one
-rename publishes. A batch whose folder exists is not written again, so a repeated or restarted commit changes nothing, and a
-commit that died leaves only a staging folder. Totals are the sums over committed batches; ``compact`` folds them into one
-file set that names the batches it holds.
+to signed sums before and after one shuffle and committed under its id: the sums are written under a name of their own, and
+one rename that cannot replace anything puts the marker of the id in place. So a repeated, restarted or concurrent commit of
+an id changes nothing, and a commit that died leaves only sums that nothing names. Totals are the sums over committed
+batches; ``compact`` folds those that one look has found into one set of sums that names the batches it holds.
 
 Token counters are versions: ``words-1`` counts runs without ASCII white space, ``words-2`` runs of letters and digits, and
 ``byte_bpe_50k`` the tokens of a public byte-level vocabulary, whose path is a parameter.
@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,28 +93,61 @@ def _summed(deltas: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals in the folder ``root`` of a file system whose create-without-overwrite and rename are atomic (HDFS, local disk)."""
+    """Totals in the folder ``root`` of a file system with atomic renames, such as HDFS.
+
+    ``data`` holds sums under names of their own. A batch counts once its marker, which names its sums, is in ``batches``; a
+    compaction counts once its numbered marker is in ``compact``. Markers appear by a rename that fails where one is already.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+        path = hadoop.Path(self.root)
+        self._fs, self._files = path.getFileSystem(conf), hadoop.FileContext.getFileContext(path.toUri(), conf)
+        self._plain = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def _names(self, folder: str) -> list[str]:
-        where = self._path(folder)
-        return sorted(x.getPath().getName() for x in self._fs.listStatus(where)) if self._fs.exists(where) else []
+    def _marked(self, folder: str) -> dict[str, str]:
+        """The markers in ``folder`` and what they name."""
+        if not self._fs.exists(self._path(folder)):
+            return {}
+        rows = self.spark.read.text(f"{self.root}/{folder}").select("_metadata.file_name", "value").collect()
+        return {r["file_name"].removeprefix("m-"): r["value"] for r in rows}
+
+    def _mark(self, folder: str, name: str, value: str) -> bool:
+        """Whether this call has put the marker ``name`` in place; then it is there as a whole, else another was there first."""
+        self._fs.mkdirs(self._path(folder))
+        draft = self._path(f"staging/{name}-{common.uuid.uuid4().hex}")
+        out = self._fs.create(draft)
+        out.writeBytes(value)
+        out.close()
+        try:
+            self._files.rename(draft, self._path(f"{folder}/m-{name}"), self._plain)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            self._fs.delete(draft, False)
+            return False
+        return True
+
+    def _state(self) -> tuple[int, str | None, set[str], dict[str, str]]:
+        """The newest compaction: its number, its sums and the batches in them; and the other batches' sums.
 
-    def _compacted(self) -> tuple[str | None, set[str]]:
-        """The newest compaction and the batches it holds; an older one that a crash has left does not count."""
-        names = self._names("compact")
-        return (names[-1], {r["value"] for r in self.spark.read.text(f"{self.root}/compact/{names[-1]}/batches").collect()}) if names else (None, set())
+        Batches are listed first: one that is gone by then is in a compaction that is seen afterwards.
+        """
+        batches, compacted = self._marked("batches"), self._marked("compact")
+        if not compacted:
+            return -1, None, set(), batches
+        number, where = max((int(k), v) for k, v in compacted.items())
+        inside = {r["value"] for r in self.spark.read.text(f"{self.root}/{where}/batches").collect()}
+        return number, where, inside, {k: v for k, v in batches.items() if k not in inside}
 
     def committed(self) -> list[str]:
         """Ids of the batches that count, compacted ones too."""
-        return sorted({*self._compacted()[1], *self._names("batches")})
+        _, _, inside, others = self._state()
+        return sorted(inside | set(others))
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Whether the batch was new; a batch that is committed already leaves everything as it is."""
@@ -121,48 +155,55 @@ class Rollup:
             raise ValueError(f"a batch id has letters, digits, - and _ only: {batch_id!r}")
         if batch_id in self.committed():
             return False
-        staged = f"staging/{batch_id}-{common.uuid.uuid4().hex}"
-        _summed(deltas).where("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{self.root}/{staged}")
-        self._fs.mkdirs(self._path("batches"))
-        target = self._path(f"batches/{batch_id}")
-        # A rename onto a folder that has appeared meanwhile would move into it, so look once more.
-        if self._fs.exists(target) or not self._fs.rename(self._path(staged), target):
-            self._fs.delete(self._path(staged), True)
-            return False
-        return True
-
-    def totals(self) -> DataFrame:
+        sums = f"data/{batch_id}-{common.uuid.uuid4().hex}"
+        _summed(deltas).where("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{self.root}/{sums}")
+        if self._mark("batches", batch_id, sums):
+            return True
+        self._fs.delete(self._path(sums), True)
+        return False
+
+    def _totals(self, where: str | None, others: dict[str, str]) -> DataFrame:
         schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
-        newest, inside = self._compacted()
-        paths = [f"{self.root}/compact/{newest}/sums"] if newest else []
-        paths += [f"{self.root}/batches/{b}" for b in self._names("batches") if b not in inside]
+        paths = [f"{self.root}/{x}" for x in ([f"{where}/sums"] if where else []) + sorted(others.values())]
         rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         return _summed(rows).where("n_docs <> 0 or n_tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        _, where, _, others = self._state()
+        return self._totals(where, others)
+
     def compact(self) -> None:
-        """Fold every committed batch into one set of sums; what it replaces goes after it is published."""
-        batches, old = self.committed(), self._names("compact")
-        name = f"{int(old[-1]) + 1 if old else 0:012d}"
-        staged = f"staging/compact-{common.uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{self.root}/{staged}/sums")
-        self.spark.createDataFrame([(b,) for b in batches], "value string").coalesce(1).write.text(f"{self.root}/{staged}/batches")
-        self._fs.mkdirs(self._path("compact"))
-        if self._fs.exists(self._path(f"compact/{name}")) or not self._fs.rename(self._path(staged), self._path(f"compact/{name}")):
+        """Fold what one look finds committed into one set of sums. What it replaces stays for those who read it: ``clean``."""
+        number, where, inside, others = self._state()
+        new = f"data/compact-{common.uuid.uuid4().hex}"
+        self._totals(where, others).write.parquet(f"{self.root}/{new}/sums")
+        self.spark.createDataFrame([(b,) for b in sorted(inside | set(others))], "value string").coalesce(1).write.text(f"{self.root}/{new}/batches")
+        if not self._mark("compact", f"{number + 1:012d}", new):
+            self._fs.delete(self._path(new), True)
             raise RuntimeError("another compaction has just been published")
-        for gone in old:
-            self._fs.delete(self._path(f"compact/{gone}"), True)
-        for b in self._names("batches"):
-            if b in batches:
-                self._fs.delete(self._path(f"batches/{b}"), True)
+
+    def clean(self) -> None:
+        """Drop what the newest compaction has replaced, once nobody reads totals that are older."""
+        number, where, inside, _ = self._state()
+        for folder, gone in (("batches", lambda k: k in inside), ("compact", lambda k: int(k) < number)):
+            for name, sums in self._marked(folder).items():
+                if gone(name):
+                    self._fs.delete(self._path(f"{folder}/m-{name}"), False)
+                    self._fs.delete(self._path(sums), True)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loads every document under two tokenizers, revises one of them for every document, and replays the load."""
+    """Loads every document under two tokenizers, revises one of them for every document, replays the load, and takes the
+    documents of one language out and back in, with a compaction in between."""
     docs = common.table(spark, sf_dir, "documents")
     rollup = Rollup(spark, common.new_path(spark, "token-rollup"))
     counts, _ = common.stored(counted(docs, ("words-1", "words-2", "byte_bpe_50k")), "token-counts")
     load = counts.where("tokenizer <> 'words-2'")
     rollup.commit("load", inserts(load))
     rollup.commit("words-2", revisions(counts.where("tokenizer = 'words-1'"), counts.where("tokenizer = 'words-2'")))
+    moved = counts.where("tokenizer <> 'words-1' and lang = 'en'")
+    rollup.commit("out", deletes(moved))
+    rollup.compact()
     rollup.commit("load", inserts(load))
+    rollup.commit("back", inserts(moved))
     return rollup.totals()
