@@ -7,12 +7,13 @@ whole files, so they go to any store that Spark can write to; offsets count unco
 
 Reading. Archives are parsed by Content-Length, never by looking for separators, and digests are computed again. Each
 archive yields a capture run that is sorted by URL key and timestamp and stored. The runs are cut by range of (URL key,
-timestamp, page_id), so no key has to fit one task, and each range merges its pieces of all runs by a loser tree: the
-result's partitions, in order, are the capture histories in global order.
+timestamp, page_id), so no key has to fit one task, and each range merges its pieces of all runs by a loser tree. A row's
+``capture`` is its place in the merged order: the rows of the ranges before, and its place in its own.
 
 Defined results: a null html is an empty payload, a null url is ``urn:none``; control characters in a URL are escaped; rows
 that repeat a page_id and payload each give a record, all of the same type; a null page_id is kept, and never referred to;
-an empty table gives no archives and an empty result; other columns are ignored.
+an empty table gives no archives and an empty result; other columns are ignored. Archives are cut by the size of their
+records, so that one is never larger than ``ARCHIVE_BYTES`` or one record.
 """
 
 from __future__ import annotations
@@ -22,14 +23,15 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 REVISIT_BYTES = 100
-#: Records of an archive, at most, and rows that one range of the merge holds, about.
-ARCHIVE_RECORDS, RANGE_ROWS = 2_000, 50_000
+#: Records and bytes of an archive, at most, and rows that one range of the merge holds, about.
+ARCHIVE_RECORDS, ARCHIVE_BYTES, RANGE_ROWS = 2_000, 256_000_000, 50_000
 _EPOCH = 1_700_000_000
 
 
@@ -61,7 +63,15 @@ def archive_records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    archive_records(pages).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", ARCHIVE_RECORDS).option("compression", "gzip").text(path)
+    """Records of up to ``ARCHIVE_BYTES / ARCHIVE_RECORDS`` bytes, most often all, in one go; larger ones by power of 8, fewer to an archive."""
+    records, least = archive_records(pages), ARCHIVE_BYTES // ARCHIVE_RECORDS
+    longest = pages.agg(F.max(F.octet_length("html") + F.coalesce(F.octet_length("url"), F.lit(0)) * 3)).first()[0] or 0
+    low, high = -1, least
+    while low < longest + 1_000:  # of a record's head
+        part = records if longest + 1_000 <= least else records.where(F.octet_length("value").between(low + 1, high))
+        many = max(1, min(ARCHIVE_RECORDS, ARCHIVE_BYTES // high))
+        part.write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", many).option("compression", "gzip").text(path)
+        low, high = high, high * 8
 
 
 def _fields(head: bytes) -> dict[bytes, bytes]:
@@ -162,7 +172,7 @@ def loser_tree(runs: list[list]):
 
 
 def merged(runs: DataFrame) -> DataFrame:
-    """All captures in global order of URL key, timestamp and page."""
+    """All captures in global order of URL key, timestamp and page, with their places in it (``capture``, from 0)."""
     parts = max(1, runs.count() // RANGE_ROWS)
     pieces = runs.repartitionByRange(parts, "url_key", "ts", "page_id").sortWithinPartitions("run", "seq")
 
@@ -175,9 +185,13 @@ def merged(runs: DataFrame) -> DataFrame:
         key = [(u, t, p is not None, p or 0) for u, t, p in zip(*key)]
         cuts = [0, *(k for k in range(1, len(run)) if run[k] != run[k - 1]), len(run)]
         order = [cuts[r] + k for r, k in loser_tree([key[a:b] for a, b in zip(cuts, cuts[1:])])]
-        yield from table.take(pa.array(order)).to_batches(max_chunksize=10_000)
+        table = table.take(pa.array(order)).append_column("range", pa.array([TaskContext.get().partitionId()] * len(order), pa.int32()))
+        yield from table.append_column("place", pa.array(range(len(order)), pa.int64())).to_batches(max_chunksize=10_000)
 
-    return pieces.mapInArrow(merge, RUN)
+    rows, _ = common.stored(pieces.mapInArrow(merge, f"{RUN}, range int, place long"), "warc-merged")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sizes = rows.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return rows.join(F.broadcast(sizes), "range").withColumn("capture", F.col("first") + F.col("place")).drop("range", "place", "first")
 
 
 def capture_index(spark: SparkSession, pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -189,13 +203,18 @@ def capture_index(spark: SparkSession, pages: DataFrame, path: str | None = None
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture_index(spark, common.table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return capture_index(spark, common.table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "capture")
 
 
 ORACLE = """
-WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+  regexp_extract(coalesce(url, 'urn:none'), '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^@/?#]*@)?([^/:?#]*)(?::[0-9]+)?([^#]*)', ['host', 'rest']) AS u, coalesce(url, 'urn:none') AS url,
+  strftime(to_timestamp(1700000000 + coalesce(page_id, 0))::TIMESTAMP, '%Y-%m-%dT%H:%M:%SZ') AS ts FROM pages),
+k AS (SELECT page_id, ts, CASE WHEN NOT regexp_matches(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)?//') THEN url
+  ELSE array_to_string(list_reverse(string_split(regexp_replace(lower(u.host), '^www\\.', ''), '.')), ',') || ')' || CASE WHEN u.rest = '' THEN '/' ELSE u.rest END END AS url_key FROM p),
+o AS (SELECT *, row_number() OVER (ORDER BY url_key, ts, page_id) - 1 AS capture FROM k),
 f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN first <> page_id THEN first END AS refers_to
-FROM p LEFT JOIN f USING (payload_digest)
+  CASE WHEN first <> page_id THEN first END AS refers_to, url_key, o.ts, capture
+FROM p LEFT JOIN f USING (payload_digest) JOIN o USING (page_id)
 """
