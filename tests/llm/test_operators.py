@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -131,6 +132,16 @@ def test_jaccard_order_and_frequent_table_do_not_change_results(spark, monkeypat
         assert got == want
 
 
+@pytest.mark.parametrize("hot, salt, side", [(2, 3, 4), (1, 256, 2_048)])
+def test_jaccard_hot_buckets_are_dealt(spark, monkeypatch, hot, salt, side):
+    for name, value in (("HOT", hot), ("SALT", salt), ("SIDE", side), ("OFTEN", 1)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    monkeypatch.setattr(jaccard_join, "_ordered", lambda keys, known, times: keys)
+    texts = near_copies(11) + [" ".join(f"t{k}" for k in range(60)) + f" tail{j}" for j in range(12)] + [f"a b c d e x{k}" for k in range(30)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs_of(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
 def test_jaccard_groups_with_one_prefix(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "_ordered", lambda keys, known, times: keys)
     texts = [" ".join(f"t{k}" for k in range(60)) + f" tail{j}" for j in range(12)]
@@ -264,6 +275,12 @@ def test_secrets_over_lines_and_far_from_their_keyword():
     assert novel("bearer " + "AB12CD34" * 16) == []
 
 
+def test_many_spans_in_a_long_text():
+    text = "".join(f"token=abc{k}def password: q{k}w{k}e\n" for k in range(20_000))
+    began = time.monotonic()
+    assert sum(kind == 0 for _, kind, _ in secrets.spans(text)) == 39_990 and time.monotonic() - began < 30
+
+
 def test_novelty_and_redaction(spark):
     assert secrets.novelty("hj3H8sKq02LmZx91PwQe", "token ", "") > 0.9 > 0.7 > secrets.novelty("example12example12example12", "token ", "")
     seen = "key is hj3H8sKq02LmZx91PwQe; "
@@ -580,6 +597,7 @@ def pages(spark):
 
 def test_warc_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 2)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3_000)
     monkeypatch.setattr(warc, "RANGE_ROWS", 3)
     df, rows = pages(spark)
     got = warc.capture_index(spark, df).collect()
@@ -591,8 +609,9 @@ def test_warc_round_trip(spark, monkeypatch):
         revisit = first is not None and page != first
         want.append((page, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == Counter(want)
-    keys = [(r["url_key"], r["ts"]) for r in got]
-    assert keys == sorted(keys) and warc.capture_index(spark, df.limit(0)).count() == 0
+    got.sort(key=lambda r: r["capture"])
+    keys = [(r["url_key"], r["ts"], r["page_id"] is not None, r["page_id"] or 0) for r in got]
+    assert keys == sorted(keys) and [r["capture"] for r in got] == list(range(len(rows))) and warc.capture_index(spark, df.limit(0)).count() == 0
 
 
 def test_loser_tree():

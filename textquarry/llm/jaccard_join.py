@@ -9,10 +9,13 @@ Method
    passage that many share is seldom part of a prefix. The order steers cost only: any order gives the same links.
 2. Documents with equal sets collapse into one class, classes with an equal prefix and size into one group.
 3. Each group sends its prefix once, and within a shingle's bucket every group meets the bucket's leader (the one that has
-   the shingle earliest). Group pairs that pass the size and position bounds are expanded and verified on the sets.
+   the shingle earliest). The bucket of a shingle that very many documents hold is dealt into ``SALT`` parts, each with a
+   leader of its own, and these meet the first of them. Group pairs that pass the size and position bounds are expanded and
+   verified on the sets.
 4. Members that share a bucket but are not yet connected are the only further pairs; they pass the same bounds and are
    verified too. A pair inside one component needs no comparison, so a group of copies costs a number of pairs linear in
-   its size, and no link between different components is lost.
+   its size, and no link between different components is lost. A bucket's members are dealt into blocks of ``SIDE``, about,
+   and two blocks meet at a time, so that a large bucket is many small joins.
 
 Defined results: doc_id names a text; null and empty texts have an empty set and link with nothing; a null doc_id links with nothing and has a
 null component; repeated rows are rows of one node; an empty table gives an empty result; columns other than doc_id and
@@ -37,6 +40,8 @@ OFTEN = 4
 HELD = 6_000_000
 #: The most frequent shingles that the order knows: 12 bytes each in a broadcast. It bounds cost, not results.
 FREQUENT = 1_000_000
+#: Documents with a shingle from which on its bucket is dealt into so many parts, and members of a bucket on one side of a join.
+HOT, SALT, SIDE = 20_000, 256, 2_048
 
 
 def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,8 +151,9 @@ def signatures(docs: DataFrame, width: int, percent: int, frequent: tuple[np.nda
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, set_key binary, prefix_key binary, bits binary, prefix binary")
 
 
-def _unpacked(rows: DataFrame) -> DataFrame:
-    """One row for each shingle of a group's prefix: shingle, gid, n, pos."""
+def _unpacked(rows: DataFrame, hot: np.ndarray) -> DataFrame:
+    """One row for each shingle of a group's prefix: shingle, salt (0 unless its key is in ``hot``), gid, n, pos."""
+    shared, parts = rows.sparkSession.sparkContext.broadcast(np.sort(hot)), SALT
 
     def unpack(batches):
         for batch in batches:
@@ -155,11 +161,15 @@ def _unpacked(rows: DataFrame) -> DataFrame:
             lens = np.array([len(b) // 8 for b in blobs.to_pylist()], np.int64)
             flat = np.frombuffer(b"".join(blobs.to_pylist()), np.int64)
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
-            out = [flat, np.repeat(gid.to_numpy(), lens), np.repeat(n.to_numpy(), lens).astype(np.int32), pos.astype(np.int32)]
+            owner, salt = np.repeat(gid.to_numpy(), lens), np.zeros(len(flat), np.int32)
+            if len(shared.value):
+                often = np.isin((flat.view(np.uint64) >> np.uint64(32)).astype(np.uint32), shared.value)
+                salt[often] = 1 + (common.mix(owner[often].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+            out = [flat, salt, owner, np.repeat(n.to_numpy(), lens).astype(np.int32), pos.astype(np.int32)]
             for k in range(0, len(flat), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 200_000]) for x in out], names=["shingle", "gid", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 200_000]) for x in out], names=["shingle", "salt", "gid", "n", "pos"])
 
-    return rows.select("gid", "n", "prefix").mapInArrow(unpack, "shingle long, gid long, n int, pos int")
+    return rows.select("gid", "n", "prefix").mapInArrow(unpack, "shingle long, salt int, gid long, n int, pos int")
 
 
 def _bounds(percent: int, n1: str, p1: str, n2: str, p2: str) -> str:
@@ -191,6 +201,16 @@ def _with_both(pairs: DataFrame, side: DataFrame, *columns: str) -> DataFrame:
     return pairs.select("a", "b", *(f"{c}{k}" for k in (0, 1) for c in columns))
 
 
+def _apart(rows: DataFrame, key: str, bounds: str = "true") -> DataFrame:
+    """Pairs (a, b) of ``rows`` (sid, comp, ...) with one ``key`` and different comps that pass ``bounds``, block by block."""
+    blocks = rows.groupBy(key).agg(F.expr(f"CAST(ceil(count(*) / {SIDE}) AS INT)").alias("blocks"))
+    dealt = rows.join(blocks, key).withColumn("block", F.expr("CAST(pmod(xxhash64(sid), blocks) AS INT)")).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
+    left = dealt.where("o >= block").withColumnsRenamed({"block": "bi", "o": "bj"})
+    right = dealt.where("o <= block").withColumnsRenamed({"block": "bj", "o": "bi"} | {c: f"{c}2" for c in rows.columns if c != key})
+    met = left.join(right, [key, "bi", "bj"]).where(f"(bi < bj or sid < sid2) and comp <> comp2 and {bounds}")
+    return met.select(F.col("sid").alias("a"), F.col("sid2").alias("b"))
+
+
 def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets are as similar as asked: by the bound of their bitmaps, then by the sets."""
 
@@ -234,13 +254,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
     heads = usable.join(members.where("sid = gid").select(F.col("set_key"), F.col("gid").alias("doc_id")), ["set_key", "doc_id"])
     heads = heads.select(F.col("doc_id").alias("gid"), "n", "prefix").dropDuplicates(["gid"])
-    bucket = Window.partitionBy("shingle").orderBy("pos", "gid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    met = _unpacked(heads).withColumns({"lead": F.first(F.struct("gid", "n", "pos")).over(bucket), "many": F.count("*").over(bucket)})
-    met, _ = common.stored(met.where("many > 1").select("shingle", "gid", "n", "pos", F.col("lead.gid").alias("lg"), F.col("lead.n").alias("ln"), F.col("lead.pos").alias("lp")), "jaccard-buckets")
+    bucket = Window.partitionBy("shingle", "salt").orderBy("pos", "gid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known, times = frequent
+    met = _unpacked(heads, known[times >= HOT]).withColumns({"lead": F.first(F.struct("gid", "n", "pos")).over(bucket), "many": F.count("*").over(bucket)})
+    met, _ = common.stored(met.where("many > 1 or salt > 0").select("shingle", "salt", "gid", "n", "pos", F.col("lead.gid").alias("lg"), F.col("lead.n").alias("ln"), F.col("lead.pos").alias("lp")), "jaccard-buckets")
     crowd = members.groupBy("gid").agg(F.count("*").alias("size")).where("size > 1").select("gid")
     cast = members.join(met.select("gid").union(crowd).distinct(), "gid").select("sid", "gid")
 
-    led = met.where(f"gid <> lg and {_bounds(percent, 'n', 'pos', 'ln', 'lp')}").select(F.col("gid").alias("a"), F.col("lg").alias("b"))
+    chiefs = met.where("salt > 0 and gid = lg").select("shingle", "gid", "n", "pos")  # at most SALT of a shingle
+    over = Window.partitionBy("shingle").orderBy("pos", "gid")
+    chiefs = chiefs.withColumn("lead", F.first(F.struct("gid", "n", "pos")).over(over)).select("shingle", "gid", "n", "pos", F.col("lead.gid").alias("lg"), F.col("lead.n").alias("ln"), F.col("lead.pos").alias("lp"))
+    led = met.drop("salt").unionByName(chiefs).where(f"gid <> lg and {_bounds(percent, 'n', 'pos', 'ln', 'lp')}").select(F.col("gid").alias("a"), F.col("lg").alias("b"))
     within = members.where("sid <> gid").select(F.col("sid").alias("a"), F.col("gid").alias("b"))
     first, _ = common.stored(_verified(led.unionByName(within), classes, docs, width, percent), "jaccard-links")
     joined, _ = common.stored(common.components(first, "jaccard-first"), "jaccard-joined")
@@ -252,11 +276,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     mixed = open_ones.groupBy("shingle").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("shingle")
     rows = open_ones.select("shingle", "gid", "n", "pos").join(mixed, "shingle").join(labelled, "gid").select("shingle", "sid", "comp", "n", "pos")
     rows, _ = common.stored(rows, "jaccard-open")
-    other = rows.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("sid", "comp", "n", "pos")))
-    across = rows.join(other, "shingle").where(f"sid < sid2 and comp <> comp2 and {_bounds(percent, 'n', 'pos', 'n2', 'pos2')}")
-    inside = labelled.join(spread.where("lo <> hi").join(crowd, "gid").select("gid"), "gid")
-    inside = inside.join(inside.select("gid", F.col("sid").alias("sid2"), F.col("comp").alias("comp2")), "gid").where("sid < sid2 and comp <> comp2")
-    pairs = across.unionByName(inside, allowMissingColumns=True).select(F.col("sid").alias("a"), F.col("sid2").alias("b"))
+    across = _apart(rows, "shingle", _bounds(percent, "n", "pos", "n2", "pos2"))
+    inside, _ = common.stored(labelled.join(spread.where("lo <> hi").join(crowd, "gid").select("gid"), "gid"), "jaccard-inside")
+    pairs = across.unionByName(_apart(inside, "gid"))
     linked = common.components(first.unionByName(_verified(pairs, classes, docs, width, percent)), "jaccard-components")
 
     by_set = members.join(linked, members.sid == linked.node, "left").select("set_key", F.coalesce("component", "sid").alias("component_id"))
