@@ -122,15 +122,15 @@ def _docs(n, tokens=100, ext=".py", folder="d", text="x"):
 
 def test_selection_limits():
     out = selection.choose(_docs(12), Budget(10_000), 9_000)
-    assert Counter(d["verdict"] for d in out) == {"selected": 8, "d file-count cap": 4}
+    assert Counter(d["verdict"] for d in out) == {"selected": 8, "file limit of d": 4}
     out = selection.choose(_docs(3, 1000), Budget(10_000, max_per_dir=99), 1500)
-    assert [d["verdict"] for d in out] == ["selected", "out of budget", "out of budget"]
+    assert [d["verdict"] for d in out] == ["selected", "no budget left", "no budget left"]
     out = selection.choose(_docs(5, 1000), Budget(10_000, per_dir_frac=0.2), 9_000)
-    assert Counter(d["verdict"] for d in out) == {"selected": 2, "d share cap": 3}
+    assert Counter(d["verdict"] for d in out) == {"selected": 2, "share of d": 3}
     text = "\n".join(f"a long distinct line number {k}" for k in range(30))
     out = selection.choose(_docs(2, 100, text=text), Budget(10_000), 9_000)
     assert [d["verdict"] for d in out] == ["selected", "duplicate"] and out[1]["of_path"] == "d/0.py" and out[1]["similarity"] == 1.0
-    assert selection.choose(_docs(1, 5000), Budget(10_000, truncate=False), 9_000)[0]["verdict"] == "too big"
+    assert selection.choose(_docs(1, 5000), Budget(10_000, truncate=False), 9_000)[0]["verdict"] == "larger than a file may be"
 
 
 def test_truncation():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -57,31 +58,19 @@ def index_lines(entries: list[dict], mode: str) -> list[str]:
 
 
 def trimmed_index(entries: list[dict], cap: int, mode: str, count=T.estimate) -> tuple[str, int, int]:
-    """The longest leading part of the index that was tried and fits ``cap``; its tokens, and those of the whole.
-
-    Up to eight rounds each keep nine tenths of what the last round's density allows.
-    """
-    text = "\n".join(index_lines(entries, mode))
-    whole = count(text)
+    """The longest leading part of the index that fits ``cap``, found by bisection; its tokens, and those of the whole."""
     if mode == "none" or not entries:
-        return "", 0, 0 if mode == "none" else whole
+        return "", 0, 0
+    lines = index_lines(entries, mode)
+
+    def leading(n: int) -> str:
+        return "\n".join(lines[:n] + ([f"  ... and {len(lines) - n:,} more files (not listed)"] if n < len(lines) else []))
+
+    whole = count(leading(len(lines)))
     if whole <= cap:
-        return text, whole, whole
-    if cap <= 0:
-        return "", 0, whole
-    keep = max(1, min(len(entries), int(len(entries) * cap / max(1, whole))))
-    for _ in range(9):
-        lines = index_lines(entries[:keep], mode)
-        if left := len(entries) - keep:
-            lines.append(f"  ... and {left:,} more files (not listed)")
-        text = "\n".join(lines)
-        tokens = count(text)
-        if tokens <= cap:
-            return text, tokens, whole
-        keep = int(keep * cap / tokens * 0.9)
-        if keep < 1:
-            break
-    return "", 0, whole
+        return leading(len(lines)), whole, whole
+    fits = bisect_right(range(1, len(lines)), cap, key=lambda n: count(leading(n)))
+    return (leading(fits), count(leading(fits)), whole) if fits else ("", 0, whole)
 
 
 def pack(
