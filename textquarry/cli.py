@@ -7,10 +7,12 @@ import fnmatch
 import json
 import os
 import sys
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry import work
 from textquarry.functions import columns as C
 from textquarry.functions import tokens as T
 from textquarry.operators import accuracy, filters, ranking
@@ -125,29 +127,30 @@ def _count(spark, args, opts) -> None:
 
 def _explain(spark, args, opts) -> None:
     _, files = _files(spark, args, opts)
-    rows = ranking.explained(ranking.scored(files)).orderBy(F.desc("score"), "path").collect()
-    rows = [r for r in rows if not args.filter or fnmatch.fnmatch(r["path"], args.filter)]
-    rows = rows[: args.limit] if args.limit else rows
+    if args.filter:
+        files = files.where(F.col("path").rlike(r"\A" + fnmatch.translate(args.filter).removesuffix(r"\Z").removesuffix(r"\z") + r"\z"))
+    shown = ranking.explained(ranking.scored(files)).orderBy(F.desc("score"), "path")
+    rows = (shown.limit(args.limit) if args.limit else shown).collect()
     print(json.dumps([{"path": r["path"], "score": r["score"], "line": r["line"]} for r in rows], indent=2) if args.json else "\n".join(r["line"] for r in rows))
 
 
 def _calibrate(spark, args, opts) -> None:
     if not getattr(args, "vocabulary", None):
         raise ValueError("calibration needs --vocabulary, a file of exact tokens")
-    exact, rows = T.TokenCounter("exact", args.vocabulary), []
-    for root in args.path:
-        scan = tree.walk(root, opts["include"], opts["exclude"], opts["max_size"], args.default_ignores, args.ignore_files)
-        for r in accuracy.sampled(tree.texts(tree.relation(spark, scan)), args.limit).where("text is not null").toLocalIterator():
-            rows.append((T.estimate(r["text"]), exact(r["text"])))
-    if len(rows) < 5:
+    scans = [tree.walk(root, opts["include"], opts["exclude"], opts["max_size"], args.default_ignores, args.ignore_files) for root in args.path]
+    texts = [tree.texts(accuracy.round_robin(tree.relation(spark, scan), args.limit)).where("text is not null") for scan in scans]
+    chosen = accuracy.round_robin(reduce(DataFrame.unionByName, texts), args.limit)
+    counted = C.with_exact_tokens(C.with_tokens(chosen).withColumnRenamed("tokens", "estimate"), args.vocabulary)
+    pairs = work.stored(counted.select("estimate", F.col("tokens").alias("truth")), "calibration")
+    n = pairs.count()
+    if n < 5:
         raise ValueError("calibration needs at least five files")
-    pairs = spark.createDataFrame(rows[: args.limit], "estimate long, truth long")
     factor = accuracy.factor(pairs).first()["factor"]
     before = accuracy.error(pairs).first()["mape"]
     after = accuracy.error(pairs.withColumn("estimate", F.col("estimate") * factor)).first()["mape"]
-    print(f"raw {before:.2%}, factor {factor:.4f}, after {after:.2%}, {len(rows):,} files")
+    print(f"raw {before:.2%}, factor {factor:.4f}, after {after:.2%}, {n:,} files")
     if args.write:
-        print(T.save_calibration(factor, len(rows), after))
+        print(T.save_calibration(factor, n, after))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

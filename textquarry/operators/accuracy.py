@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,10 +35,17 @@ def by_group(pairs: DataFrame, key: str = "ext", least: int = 5) -> DataFrame:
 
 def sampled(files: DataFrame, most: int, key: str = "ext", seed: int = 0) -> DataFrame:
     """At most ``most`` rows of every group, the same ones every time: those with the smallest hash of seed and path."""
-    from pyspark.sql import Window
+    return _dealt(files, key, seed).where(F.col("_n") <= most).drop("_n")
 
-    order = Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), "path"), "path")
-    return files.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+
+def _dealt(files: DataFrame, key: str, seed: int) -> DataFrame:
+    order = Window.partitionBy(key).orderBy(F.md5(F.concat(F.lit(str(seed)), "path")), "path")
+    return files.withColumn("_n", F.row_number().over(order))
+
+
+def round_robin(files: DataFrame, most: int, key: str = "ext", seed: int = 0) -> DataFrame:
+    """``most`` rows in all, one of every group in turn, in each group those with the smallest hash first."""
+    return _dealt(files, key, seed).orderBy("_n", key).limit(most).drop("_n")
 
 
 def piece_counts(files: DataFrame) -> DataFrame:

@@ -52,10 +52,10 @@ def rstrip_unicode(spark, sf_dir):
     return rows.select("item_id", F.md5(C.rstrip(F.concat("text", F.lit(" \t\u00a0")))).alias("digest"))
 
 
-@query(f"SELECT page_id, CASE WHEN len(f) <= 60 THEN f ELSE rtrim(substr(f, 1, 57)) || '...' END AS short FROM (SELECT page_id, {_STRIP.replace('(x,', '(x1,')} AS f FROM (SELECT page_id, regexp_replace(substr(html, 1, 40 + page_id::INT % 60), '[{_WS}]+', ' ', 'g') AS x1 FROM pages))")
+@query(f"SELECT page_id, CASE WHEN len(f) <= 60 THEN f ELSE rtrim(substr(f, 1, 57)) || '...' END AS short FROM (SELECT page_id, {_STRIP.replace('(x,', '(x1,')} AS f FROM (SELECT page_id, regexp_replace(html, '[{_WS}]+', ' ', 'g') AS x1 FROM pages))")
 def clipped_text(spark, sf_dir):
     rows = corpus.read(spark, sf_dir, "pages")
-    return rows.select("page_id", C.clip(F.expr("substring(html, 1, CAST(40 + page_id % 60 AS INT))"), 60).alias("short"))
+    return rows.select("page_id", C.clip(F.col("html"), 60).alias("short"))
 
 
 @query(f"WITH {PARTS}, st(ext, opener) AS (VALUES {', '.join(f'({e!r}, {o!r})' for e, (o, _) in blocks.STYLE.items())}) SELECT path, coalesce(opener, '#') AS opener FROM parts LEFT JOIN st ON st.ext = lower(regexp_extract(path, '\\.[^.]*$'))")
@@ -130,31 +130,43 @@ def block_ids(spark, sf_dir):
     return best.select(F.md5("window").alias("digest"), F.concat(F.lit("B"), number.cast("string")).alias("id"))
 
 
-@query(f"WITH {FILES}, {_LINES}, s AS (SELECT path, start, row_number() OVER (PARTITION BY path ORDER BY start) AS k FROM w WHERE start % 3 <> 1) SELECT a.path, a.start::INT AS start, count(*) AS overlaps FROM s a JOIN s b ON a.path = b.path AND a.start <> b.start AND a.start < b.start + 2 AND b.start < a.start + 2 GROUP BY ALL")
+@query(f"WITH {FILES}, {_LINES}, s AS (SELECT path, start, row_number() OVER (PARTITION BY path ORDER BY start) AS k FROM w) SELECT a.path, a.start::INT AS start, count(*) AS overlaps FROM s a JOIN s b ON a.path = b.path AND a.start <> b.start AND a.start < b.start + 2 AND b.start < a.start + 2 GROUP BY ALL")
 def interval_overlaps(spark, sf_dir):
     """Runs of one file that overlap: an equi-join on the file and a range condition."""
-    runs = blocks.windows(corpus.documents(spark, sf_dir), 2).where("start % 3 <> 1").select("path", "start")
+    runs = blocks.windows(corpus.documents(spark, sf_dir), 2).select("path", "start")
     other = runs.select("path", F.col("start").alias("start2"))
     met = runs.join(other, "path").where("start <> start2 and start < start2 + 2 and start2 < start + 2")
     return met.groupBy("path", "start").agg(F.count("*").alias("overlaps"))
 
 
+def _commented(mark: str):
+    """The whole text of a document as comment lines."""
+    return F.concat(F.lit(f"\n{mark} "), F.regexp_replace(F.translate("text", "\x00", ""), "[\r\n]", f"\n{mark} "))
 
 
-@query(None)
+@query(
+    f"""WITH {FILES}, ts AS (SELECT * FROM files WHERE path LIKE '%.ts'), types AS (SELECT path, row_number() OVER (ORDER BY path) AS k FROM ts WHERE path LIKE '%/types.ts'),
+own AS (SELECT a.path AS src, b.path AS dst FROM ts a JOIN files b ON b.path = 'lib/t' || a.doc_id % 50 || '/types.ts'),
+e AS (SELECT a.path AS src, b.path AS dst FROM files a JOIN files b ON b.path = 'core/' || a.lang || '/x' || (a.doc_id + 8) || '_server.py' WHERE a.path LIKE '%.py'
+  UNION SELECT a.path, b.path FROM ts a JOIN files b ON b.path = 'src/' || a.lang || '/w' || (a.doc_id + 16) || '/index.ts' WHERE a.path LIKE 'src/%'
+  UNION SELECT * FROM own UNION SELECT ts.path, types.path FROM ts, types WHERE types.k <= 8 AND ts.path NOT IN (SELECT src FROM own))
+SELECT src, dst FROM e WHERE src <> dst"""
+)
 def import_edges(spark, sf_dir):
-    """The whole graph: each index.ts imports a neighbour by its runtime name, each module names its package."""
+    """The whole graph: each index.ts imports a neighbour by its runtime name, each module names its package; texts follow as comments."""
     docs = corpus.documents(spark, sf_dir).where("path like '%.ts' or path like '%.py'")
-    script = F.expr("concat('import a from \\'../w', doc_id + 16, '/index.js\\'\\nimport b from \\'t', doc_id % 50, '/types\\'')")
-    python = F.expr("concat('from lib import x\\nimport core.', lang, '.x', doc_id + 8, '_server')")
+    script = F.concat(F.expr("concat('import a from \\'../w', doc_id + 16, '/index.js\\'\\nimport b from \\'t', doc_id % 50, '/types\\'')"), _commented("//"))
+    python = F.concat(F.expr("concat('from lib import x\\nimport core.', lang, '.x', doc_id + 8, '_server')"), _commented("#"))
     return graph.edges(docs.select("path", F.when(F.col("path").endswith(".ts"), script).otherwise(python).alias("text")))
 
 
 @query(None)
 def outline_nodes(spark, sf_dir):
-    files = _meta(spark, sf_dir).where("path like '%.py' or path like '%.ts'")
-    code = F.when(F.col("path").endswith(".py"), F.expr("concat('class C', doc_id, '(Base):\\n    def run(self, a=1):\\n        return a\\n')")).otherwise(F.expr("concat('export class C', doc_id, ' extends Base {\\n  run(a: number): void {\\n  }\\n}\\n')"))
-    return outline.rendered(outline.nodes(files.select("path", code.alias("text"))))
+    """Classes of every source file, with its whole text as the comment of a method."""
+    files = corpus.documents(spark, sf_dir).where("path like '%.py' or path like '%.ts'")
+    python = F.concat(F.expr("concat('class C', doc_id, '(Base):\\n    def run(self, a=1):\\n        return a')"), _commented("#"), F.lit("\n"))
+    script = F.concat(F.expr("concat('export class C', doc_id, ' extends Base {\\n  run(a: number): void {')"), _commented("//"), F.lit("\n  }\n}\n"))
+    return outline.rendered(outline.nodes(files.select("path", F.when(F.col("path").endswith(".py"), python).otherwise(script).alias("text"))))
 
 
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS "begin", event_type, count(*) AS n FROM events GROUP BY ALL""")

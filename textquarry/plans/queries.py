@@ -275,7 +275,7 @@ def accuracy_grouping_sets(spark, sf_dir):
     return accuracy.by_group(_pairs(spark, sf_dir))
 
 
-@query(None)
+@query(f"WITH {PARTS}, o AS (SELECT path, ext, row_number() OVER (PARTITION BY ext ORDER BY md5('0' || path), path) AS k FROM parts) SELECT path, ext FROM o WHERE k <= 20")
 def stratified_sample(spark, sf_dir):
     return accuracy.sampled(corpus.with_parts(_meta(spark, sf_dir)), 20).select("path", "ext")
 
@@ -325,7 +325,13 @@ def window_groups(spark, sf_dir):
     return blocks.shared_windows(corpus.documents(spark, sf_dir), 2).select(F.md5("window").alias("digest"), "n_files", "n_spots")
 
 
-@query(None)
+@query(
+    f"""WITH {FILES}, {_LINES}, many AS (SELECT w.path, w.start, ls.l, first_value(w.start) OVER g AS s1, first_value(ls.l) OVER g AS l1, w."window" AS x FROM w JOIN ls USING (path)
+  WHERE w."window" IN (SELECT "window" FROM w GROUP BY 1 HAVING count(DISTINCT path) >= 2) WINDOW g AS (PARTITION BY w."window" ORDER BY w.path, w.start)),
+met AS (SELECT *, least(200, len(l) - start, len(l1) - s1) AS m FROM many),
+far AS (SELECT *, coalesce(list_min([i FOR i IN range(m) IF l[start + 1 + i] <> l1[s1 + 1 + i]]), m) AS reach FROM met)
+SELECT path, start::INT AS start, (min(reach) OVER (PARTITION BY x))::INT AS length FROM far""".replace("AS window", 'AS "window"')
+)
 def shared_block_runs(spark, sf_dir):
     return blocks.runs(corpus.documents(spark, sf_dir), 2).select("path", "start", "length")
 
@@ -446,7 +452,12 @@ def debounce_sessions(spark, sf_dir):
     return changes.bursts(ev, 3600)
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE ev AS (SELECT user_id AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+r AS (SELECT key, k, t AS first, least(t + 3600, t + 7200) AS due, 1 AS n FROM ev WHERE k = 1
+  UNION ALL SELECT r.key, ev.k, CASE WHEN ev.t > r.due THEN ev.t ELSE r.first END, least(ev.t + 3600, CASE WHEN ev.t > r.due THEN ev.t ELSE r.first END + 7200), CASE WHEN ev.t > r.due THEN 1 ELSE r.n + 1 END FROM r JOIN ev ON ev.key = r.key AND ev.k = r.k + 1),
+o AS (SELECT *, lead(n) OVER (PARTITION BY key ORDER BY k) AS following FROM r) SELECT key, due AS at, n::BIGINT AS n FROM o WHERE coalesce(following, 1) = 1"""
+)
 def rebuild_times(spark, sf_dir):
     ev = corpus.read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.expr(_MICROS_SQL) / 1e6).alias("t"))
     return changes.rebuilds(ev, 3600.0, 7200.0)
