@@ -207,8 +207,10 @@ def test_decontamination_odd_cases(spark, monkeypatch):
     want = decontaminate.contamination(odd(spark), items).collect()
     assert len(want) == len(ODD_TEXTS) + 2 and sorted(r["doc_id"] for r in want if r["contaminated"]) == [8, 8, 9]
     assert not any(r["contaminated"] for r in decontaminate.contamination(odd(spark), items.limit(0)).collect())
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
-    assert sorted(map(str, decontaminate.contamination(odd(spark), items).collect())) == sorted(map(str, want))
+    for bound in ("BROADCAST_WINDOWS", "BROADCAST_BYTES"):
+        with monkeypatch.context() as low:
+            low.setattr(decontaminate, bound, 0)
+            assert sorted(map(str, decontaminate.contamination(odd(spark), items).collect())) == sorted(map(str, want))
     assert decontaminate.contamination(docs_of(spark, []), items).count() == 0
 
 

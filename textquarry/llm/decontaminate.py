@@ -5,8 +5,8 @@ words of a benchmark item are a window; an item of fewer words is one window. Th
 table; each document's token windows are hashed and probed in one pass, and a probe that hits is verified word by word in
 the join condition, so the result is exact. Only hits and one row for each document leave that pass.
 
-The broadcast is checked: beyond ``BROADCAST_WINDOWS`` windows the hashes are shuffled instead, and the words of a document
-are joined again to its hits only.
+The broadcast is checked: beyond ``BROADCAST_WINDOWS`` windows, or ``BROADCAST_BYTES`` of their words and ids, the hashes are
+shuffled instead, and the words of a document are joined again to its hits only.
 
 Defined results: null and empty texts have no words and are not contaminated; items without words or with a null item_id
 have no windows; repeated documents each give a row; repeated items count once; an empty benchmark hits nothing; other
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 10
-BROADCAST_WINDOWS = 500_000
+BROADCAST_WINDOWS, BROADCAST_BYTES = 500_000, 256 << 20
 #: Characters below U+0080 that end a word.
 _BREAKS = "".join(chr(c) for c in [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 
@@ -49,7 +49,8 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Of every row of ``docs`` (rid, doc_id, text): n_words, n_hit, items (sorted ids of the items with occurring windows)."""
     windows = benchmark_windows(benchmark)
-    stats = windows.groupBy(F.size("win").alias("len")).count().collect()  # at most ten rows
+    weight = sum(F.octet_length(F.array_join(x, " ")) + 16 * F.size(x) for x in ("win", "items"))
+    stats = windows.groupBy(F.size("win").alias("len")).agg(F.count("*").alias("n"), F.sum(weight.cast("long")).alias("bytes")).collect()  # at most ten rows
     lengths = sorted((r["len"] for r in stats), reverse=True)
     hashed = [f"if(size(w) >= {n}, transform(sequence(1, greatest(1, size(w) - {n - 1})), i -> xxhash64(slice(w, i, {n}))), array())" for n in lengths]
     skip = "0" + "".join(f" + if(size(win) < {n}, greatest(0, size(w) - {n - 1}), 0)" for n in lengths)
@@ -60,7 +61,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     token = docs.select("rid", "doc_id", _let(words(F.col("text")), "w"))
     token = token.select("rid", "doc_id", "w", F.expr(f"concat({', '.join(['array(0L)', *hashed])})").alias("hs"))
-    if sum(r["count"] for r in stats) <= BROADCAST_WINDOWS:
+    if sum(r["n"] for r in stats) <= BROADCAST_WINDOWS and sum(r["bytes"] for r in stats) <= BROADCAST_BYTES:
         # The words ride along within the task; a row is made only of what the probe and the comparison leave.
         spread = token.select("rid", "doc_id", "w", F.posexplode_outer("hs").alias("pos", "h"))
         met = spread.join(F.broadcast(marker.unionByName(windows)), "h").where(f"(pos = 0 and win is null) or ({real})")
