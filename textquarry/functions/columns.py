@@ -237,9 +237,18 @@ def clip(text: Column, limit: int) -> Column:
     return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, limit - 3)), F.lit("...")))
 
 
+def _comment_mark(path: Column, part: int, default: str) -> Column:
+    from textquarry.operators.blocks import STYLE
+
+    table = F.create_map(*(F.lit(x) for ext, marks in STYLE.items() for x in (ext, marks[part])))
+    return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(path, r"(?s)\.[^.]*$", 0))), F.lit(default))
+
+
 def comment_opener(path: Column) -> Column:
     """How a line comment begins in a file of this name."""
-    from textquarry.operators.blocks import STYLE
+    return _comment_mark(path, 0, "#")
+
 
-    table = F.create_map(*(F.lit(x) for ext, (opener, _) in STYLE.items() for x in (ext, opener)))
-    return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(path, r"(?s)\.[^.]*$", 0))), F.lit("#"))
+def comment_closer(path: Column) -> Column:
+    """How it ends: mostly with nothing."""
+    return _comment_mark(path, 1, "")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,9 +31,17 @@ def bursts(events: DataFrame, settle: float, key: str = "key") -> DataFrame:
 def rebuilds(events: DataFrame, settle: float, most: float, key: str = "key") -> DataFrame:
     """(key, at, n): a rebuild ``settle`` after the last of a burst's events, but ``most`` after the first at the latest.
 
-    Bursts are cut by a built-in window; only the latest-time rule, which depends on its own last decision, is a fold over
-    one key's events in time order.
+    Bursts are cut by a built-in window: a gap longer than ``settle`` outlasts any rebuild that is due. A burst that ends
+    within ``most`` is one rebuild; only in longer ones the latest-time rule depends on its own last decision and is a fold
+    over one burst's events in time order.
     """
+    late = F.col("t") > F.lag("t").over(Window.partitionBy(key).orderBy("t")) + settle
+    order = Window.partitionBy(key).orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    rows = events.select(key, "t", late.cast("int").alias("_late")).select(key, "t", F.coalesce(F.sum("_late").over(order), F.lit(0)).alias("_burst"))
+    whole = Window.partitionBy(key, "_burst")
+    rows = rows.withColumns({"_begin": F.min("t").over(whole), "_end": F.max("t").over(whole)})
+    short = F.col("_end") <= F.col("_begin") + most
+    once = rows.where(short).groupBy(key, "_burst").agg(F.least(F.max("_end") + settle, F.min("_begin") + most).alias("at"), F.count("*").alias("n")).select(key, "at", "n")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, first, due, n = [], None, None, 0
@@ -52,7 +58,7 @@ def rebuilds(events: DataFrame, settle: float, most: float, key: str = "key") ->
         return pd.DataFrame(rows, columns=[key, "at", "n"])
 
     kind = events.schema[key].dataType.simpleString()
-    return events.select(key, "t").groupBy(key).applyInPandas(fold, f"{key} {kind}, at double, n long")
+    return once.unionByName(rows.where(~short).select(key, "t", "_burst").groupBy(key, "_burst").applyInPandas(fold, f"{key} {kind}, at double, n long"))
 
 
 def snapshots(events: DataFrame, cut) -> tuple[DataFrame, DataFrame]:

@@ -58,9 +58,9 @@ def clipped_text(spark, sf_dir):
     return rows.select("page_id", C.clip(F.col("html"), 60).alias("short"))
 
 
-@query(f"WITH {PARTS}, st(ext, opener) AS (VALUES {', '.join(f'({e!r}, {o!r})' for e, (o, _) in blocks.STYLE.items())}) SELECT path, coalesce(opener, '#') AS opener FROM parts LEFT JOIN st ON st.ext = lower(regexp_extract(path, '\\.[^.]*$'))")
+@query(f"WITH {PARTS}, st(ext, opener, closer) AS (VALUES {', '.join(f'({e!r}, {o!r}, {c!r})' for e, (o, c) in blocks.STYLE.items())}) SELECT path, coalesce(opener, '#') AS opener, coalesce(closer, '') AS closer FROM parts LEFT JOIN st ON st.ext = lower(regexp_extract(path, '\\.[^.]*$'))")
 def comment_styles(spark, sf_dir):
-    return _meta(spark, sf_dir).select("path", C.comment_opener(F.col("path")).alias("opener"))
+    return _meta(spark, sf_dir).select("path", C.comment_opener(F.col("path")).alias("opener"), C.comment_closer(F.col("path")).alias("closer"))
 
 
 @query(f"WITH {PARTS}, n AS (SELECT lang, ext, count(*) AS n FROM parts GROUP BY ALL) SELECT lang, first(ext ORDER BY n DESC, ext) AS ext FROM n GROUP BY lang")
@@ -69,9 +69,11 @@ def dominant_extension(spark, sf_dir):
     return rows.groupBy("lang").agg(F.min(F.struct((-F.col("n")).alias("n"), "ext")).alias("x")).select("lang", "x.ext")
 
 
-@query("SELECT page_id, contains(CASE WHEN page_id % 3 = 0 THEN chr(0) || html ELSE html END, chr(0)) AS is_binary, CASE WHEN page_id % 3 <> 0 THEN len(html) END::VARCHAR AS chars FROM pages")
+@query("SELECT page_id, contains(CASE WHEN page_id % 3 = 0 THEN chr(0) || html ELSE html END, chr(0)) AS is_binary, CASE page_id % 3 WHEN 1 THEN len(html) + 2 WHEN 2 THEN len(html) END::VARCHAR AS chars FROM pages")
 def binary_sniff(spark, sf_dir):
-    content = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("\x00"), "html")).otherwise(F.col("html")).cast("binary")
+    """Of three pages, one begins with a zero byte, one ends in a byte that is no UTF-8 and a bracket, one is left as it is."""
+    html = F.col("html").cast("binary")
+    content = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(b"\x00"), html)).when(F.col("page_id") % 3 == 1, F.concat(html, F.lit(b"\xc3("))).otherwise(html)
     rows = corpus.read(spark, sf_dir, "pages").select("page_id", content.alias("content"))
     return rows.select("page_id", C.binary(F.col("content")).alias("is_binary"), F.length(C.decoded(F.col("content"))).cast("string").alias("chars"))
 
@@ -98,6 +100,11 @@ def extension_spend(spark, sf_dir):
     return _chosen(spark, sf_dir).groupBy("bundle", "ext").agg(F.sum("tokens").alias("spent"), F.count("*").alias("files"))
 
 
+@query(f"WITH RECURSIVE {_CHOSEN} SELECT lang AS bundle, dirname, sum(tokens)::BIGINT AS spent, count(*) AS files FROM r WHERE chosen GROUP BY ALL")
+def directory_spend(spark, sf_dir):
+    return _chosen(spark, sf_dir).groupBy("bundle", "dirname").agg(F.sum("tokens").alias("spent"), F.count("*").alias("files"))
+
+
 @query(f"WITH RECURSIVE {_CHOSEN} SELECT lang AS bundle, sum(tokens)::BIGINT AS content, sum(tokens)::BIGINT + 600 AS accounted, greatest(0, sum(tokens)::BIGINT + 600 - 20600) AS over_budget, 20000 - sum(tokens) > 0.15 * 20000 AS headroom FROM r WHERE chosen GROUP BY lang")
 def bundle_accounts(spark, sf_dir):
     content = F.sum("tokens")
@@ -160,7 +167,10 @@ def import_edges(spark, sf_dir):
     return graph.edges(docs.select("path", F.when(F.col("path").endswith(".ts"), script).otherwise(python).alias("text")))
 
 
-@query(None)
+@query(
+    f"""WITH {FILES} SELECT path, 'class C' || doc_id || '(Base)' || chr(10) || CASE WHEN path LIKE '%.py' THEN '  run(self, a = 1)' ELSE '  run(a: number): void' END AS outline
+FROM files WHERE (path LIKE '%.py' OR path LIKE '%.ts') AND text IS NOT NULL"""
+)
 def outline_nodes(spark, sf_dir):
     """Classes of every source file, with its whole text as the comment of a method."""
     files = corpus.documents(spark, sf_dir).where("path like '%.py' or path like '%.ts'")

@@ -436,11 +436,15 @@ def _events(spark, sf_dir):
     return ev.select(F.col("user_id").cast("string").alias("path"), F.expr(_MICROS_SQL).alias("mtime_ns"), F.round(F.col("value") * 100).cast("long").alias("size"), "event_id")
 
 
-@query(f"WITH {_SNAP} SELECT user_id::VARCHAR AS path, CASE WHEN s1.x IS NULL THEN 'added' ELSE 'modified' END AS kind FROM s2 LEFT JOIN s1 USING (user_id) WHERE s1.x IS NULL OR s1.x <> s2.x")
+@query(
+    f"""WITH {_SNAP}, a AS (SELECT * FROM s1 WHERE x.v >= 2000), b AS (SELECT * FROM s2 WHERE x.v >= 2000)
+SELECT user_id::VARCHAR AS path, CASE WHEN a.x IS NULL THEN 'added' WHEN b.x IS NULL THEN 'deleted' ELSE 'modified' END AS kind FROM a FULL JOIN b USING (user_id) WHERE a.x IS DISTINCT FROM b.x"""
+)
 def snapshot_diff(spark, sf_dir):
+    """A path is there while its last event has a value of 20 at least."""
     ev = _events(spark, sf_dir)
     middle = ev.agg(F.expr("(min(mtime_ns) + max(mtime_ns)) div 2").alias("m")).first()["m"]
-    return changes.diff(*changes.snapshots(ev, middle))
+    return changes.diff(*(s.where("size >= 2000") for s in changes.snapshots(ev, middle)))
 
 
 @query(
@@ -486,4 +490,27 @@ def pack_by_lang(spark, sf_dir):
     return selection.select(files, selection.Budget(32_000)).select("bundle", "path", "ord", "tokens", "verdict", "truncated")
 
 
+@query(
+    f"""WITH RECURSIVE {SCORED}, {token_sql('files', 'doc_id')}, {_SIG}, sz AS (SELECT doc_id, count(*) AS n FROM slines GROUP BY 1),
+o AS (SELECT lang, path, ext, dirname, tokens, doc_id, row_number() OVER (PARTITION BY lang ORDER BY score DESC, path) AS k FROM scored JOIN tok USING (doc_id)),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM slines x JOIN slines y USING (line) JOIN o p ON p.doc_id = x.doc_id JOIN o q ON q.doc_id = y.doc_id AND q.lang = p.lang AND q.k < p.k GROUP BY 1, 2),
+near AS (SELECT a, list(b) AS bs FROM met JOIN sz u ON u.doc_id = a JOIN sz v ON v.doc_id = b WHERE met.n::DOUBLE / (u.n + v.n - met.n) >= 0.85 GROUP BY a),
+oo AS (SELECT o.*, coalesce(bs, []) AS bs FROM o LEFT JOIN near ON a = doc_id WHERE k <= 3000),
+r AS (SELECT lang, 0::BIGINT AS k, ''::VARCHAR AS path, 0::BIGINT AS tokens, ''::VARCHAR AS verdict, []::STRUCT(e VARCHAR, d VARCHAR, t BIGINT, i BIGINT)[] AS got FROM o GROUP BY lang
+  UNION ALL SELECT lang, k, path, tokens, verdict, CASE WHEN verdict = 'selected' THEN list_append(got, struct_pack(e := ext, d := dirname, t := tokens, i := doc_id::BIGINT)) ELSE got END FROM (
+    SELECT o.lang, o.k, o.path, o.tokens, o.ext, o.dirname, o.doc_id, r.got, CASE WHEN o.tokens > 14400 THEN 'larger than a file may be'
+      WHEN coalesce(list_sum([g.t FOR g IN r.got]), 0) + o.tokens > 103600 THEN 'no budget left'
+      WHEN len([g.t FOR g IN r.got IF g.d = o.dirname]) >= 8 THEN 'file limit of ' || coalesce(nullif(o.dirname, ''), '.')
+      WHEN len(r.got) > 0 AND coalesce(list_sum([g.t FOR g IN r.got IF g.e = o.ext]), 0) + o.tokens > 66000 THEN 'share of ' || o.ext
+      WHEN len(r.got) > 0 AND coalesce(list_sum([g.t FOR g IN r.got IF g.d = o.dirname]), 0) + o.tokens > 48000 THEN 'share of ' || coalesce(nullif(o.dirname, ''), '.')
+      WHEN list_has_any([g.i FOR g IN r.got], o.bs) THEN 'duplicate' ELSE 'selected' END AS verdict
+    FROM r JOIN oo o ON o.lang = r.lang AND o.k = r.k + 1))
+SELECT lang AS bundle, path, k::INT AS ord, tokens, verdict FROM r WHERE k > 0"""
+)
+def select_by_lang(spark, sf_dir):
+    """Greedy selection under all caps, whole files only, near-duplicates of any size left out."""
+    files = ranking.scored(corpus.with_parts(C.with_tokens(corpus.documents(spark, sf_dir))).withColumn("bundle", F.col("lang")))
+    return selection.select(files, selection.Budget(120_000, truncate=False, dedupe_min_lines=1)).select("bundle", "path", "ord", "tokens", "verdict")
+
+
 FLAGSHIP = count_report
