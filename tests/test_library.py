@@ -50,6 +50,32 @@ def test_walk(project):
         tree.walk(str(project / "nothing"))
 
 
+def test_links_and_counts_of_a_walk(project):
+    before = tree.walk(str(project))
+    os.symlink(project / "src", project / "linked")
+    os.symlink(project / "src", project / "build" / "inner")
+    os.symlink(project / "src", project / "node_modules")
+    os.symlink("keep.log", project / "also.md")
+    scan = tree.walk(str(project))
+    assert (scan.symlinks, scan.ignored) == (before.symlinks + 1, before.ignored + 1)
+    assert dict((f[0], f[2]) for f in scan.files)["also.md"] == len("keep.log")
+    assert scan.directories == before.directories == 1 + len({"a", "a/deep", "src", "src/app", "locales"})
+
+
+def test_scan_counts_of_a_listing(spark, project):
+    rules = [("", k, r) for k, r in enumerate(filters.patterns.ignore_rules("build/\n*.log\n!keep.log\n"))]
+    listing = [(os.path.relpath(os.path.join(d, f), project), os.path.getsize(os.path.join(d, f)), f in ("pic", "logo.png")) for d, _, fs in os.walk(project) for f in fs]
+    listing.append((".git/objects/x", 3, False))
+    files = spark.createDataFrame(listing, "path string, size long, is_binary boolean")
+    got = filters.scan_counts(files, rules, exclude=["CHANGELOG*"], max_size=3_000).first().asDict()
+    kept = [r for r in listing if not r[0].startswith(("build/", ".git/")) and r[0] not in ("debug.log", "CHANGELOG.md")]
+    small = [r for r in kept if r[1] <= 3_000]
+    assert got == {
+        "files": sum(not r[2] for r in small), "total_bytes": sum(r[1] for r in small if not r[2]), "ignored": 4, "too_large": len(kept) - len(small), "binary": 2, "directories": 6,
+    }
+    assert filters.scan_counts(files.limit(0), rules).first().asDict() == {"files": 0, "total_bytes": 0, "ignored": 0, "too_large": 0, "binary": 0, "directories": 1}
+
+
 def test_texts_and_decoding(spark, tmp_path):
     (tmp_path / "bad.txt").write_bytes(b"a\xffb")
     (tmp_path / "ok.txt").write_text("h\u00e9")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +29,14 @@ def verdict(path: Column, rules: Iterable[tuple[str, int, patterns.Rule]]) -> Co
     return out
 
 
-def ignored(files: DataFrame, rules: list[tuple[str, int, patterns.Rule]]) -> DataFrame:
-    """``files`` with ``is_ignored``: by their own path, or because a directory above is."""
+def _above(path: Column) -> Column:
+    """The directories above ``path``, outermost first, and the path itself."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def _chained(rules: list[tuple[str, int, patterns.Rule]]) -> Callable[[Column], Column]:
+    """The verdict of ``rules`` on one path, where neighbouring rules of one base and sign are one alternation."""
     run, chains = [], []
     for rule in sorted(rules, key=lambda r: (r[0].count("/") + bool(r[0]), r[0], r[1])):
         if run and (run[-1][0], run[-1][2].negated) != (rule[0], rule[2].negated):
@@ -38,11 +44,8 @@ def ignored(files: DataFrame, rules: list[tuple[str, int, patterns.Rule]]) -> Da
             run = []
         run.append(rule)
     chains += [run] if run else []
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
     def one(path: Column) -> Column:
-        """Neighbouring rules of one base and sign are one alternation."""
         out = F.lit(False)
         for chain in chains:
             base, sign = chain[0][0], not chain[0][2].negated
@@ -52,7 +55,40 @@ def ignored(files: DataFrame, rules: list[tuple[str, int, patterns.Rule]]) -> Da
             out = F.when(hit, F.lit(sign)).otherwise(out)
         return out
 
-    return files.withColumn("is_ignored", F.exists(above, one))
+    return one
+
+
+def ignored(files: DataFrame, rules: list[tuple[str, int, patterns.Rule]]) -> DataFrame:
+    """``files`` with ``is_ignored``: by their own path, or because a directory above is."""
+    return files.withColumn("is_ignored", F.exists(_above(F.col("path")), _chained(rules)))
+
+
+def scan_counts(files: DataFrame, rules: list[tuple[str, int, patterns.Rule]], include: Iterable[str] = (), exclude: Iterable[str] = (), max_size: int | None = None) -> DataFrame:
+    """One row of what a walk over a listing (path, size, is_binary) finds and leaves out.
+
+    A directory that is ignored counts once, whatever lies below it; a file is left out by the first of rules, globs, size
+    and binary content. Directories without files are not in a listing.
+    """
+    hit = _chained(rules)
+    skip = F.array(*map(F.lit, fixed.HARD_SKIP_DIRS))
+    above = _above(F.col("path"))
+    at = F.filter(above, lambda p: hit(p) | ((p != F.col("path")) & F.array_contains(skip, F.substring_index(p, "/", -1))))
+    rows = files.select("path", "size", "is_binary", F.get(at, F.lit(0)).alias("at"), above.alias("above"))
+    seen, large = F.col("at").isNull(), F.lit(False) if max_size is None else F.col("size") > max_size
+    wanted = globbed(F.col("path"), include, exclude)
+    kind = F.when(~seen, "pruned").when(~wanted, "unwanted").when(large, "too_large").when(F.col("is_binary"), "binary").otherwise("file")
+    inner = F.expr("filter(above, p -> p <> path and (at is null or (p <> at and not startswith(p, at || '/'))))")
+    rows = rows.select(F.col("size").cast("long").alias("size"), kind.alias("kind"), F.when(~seen, F.col("at")).otherwise("").alias("key"), inner.alias("inner"))
+    facts = F.concat(F.array(F.struct("kind", "key", "size")), F.transform("inner", lambda d: F.struct(F.lit("inner").alias("kind"), d.alias("key"), F.lit(0).cast("long").alias("size"))))
+    each = rows.select(F.explode(facts).alias("x")).groupBy("x.kind", "x.key").agg(F.count("*").alias("n"), F.sum("x.size").alias("size"))
+
+    def total(column: str, kind: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(column))), F.lit(0))
+
+    return each.agg(
+        total("n", "file").alias("files"), total("size", "file").alias("total_bytes"), (F.count_if(F.col("kind") == "pruned") + total("n", "unwanted")).alias("ignored"),
+        total("n", "too_large").alias("too_large"), total("n", "binary").alias("binary"), (F.count_if(F.col("kind") == "inner") + 1).alias("directories"),
+    )
 
 
 def last_match(files: DataFrame, rules: DataFrame) -> DataFrame:

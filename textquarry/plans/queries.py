@@ -163,10 +163,22 @@ def relative_paths(spark, sf_dir):
     return filters.relative(_meta(spark, sf_dir).select(F.col("doc_id").alias("ord"), "path"), "/src/").select("path", "ord")
 
 
-@query(f"WITH {PARTS} SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS total_bytes, count(*) FILTER (size > 20000) AS too_large, count(DISTINCT ext) AS exts FROM parts")
+@query(
+    f"""WITH {FILES}, up AS (SELECT *, string_split(path, '/') AS parts, [array_to_string(string_split(path, '/')[1:i], '/') FOR i IN range(1, len(string_split(path, '/')) + 1)] AS ps FROM files),
+cut AS (SELECT *, list_filter(ps, lambda p: regexp_matches(p, '(^|/)(vendor|tests)(/|$)') OR (regexp_matches(p, '\\.min\\.js$') AND NOT regexp_matches(p, '3\\.min\\.js$'))
+  OR regexp_matches(p, '^docs/en(/|$)') OR (p <> path AND string_split(p, '/')[-1] IN {_in(V.HARD_SKIP_DIRS)}))[1] AS top FROM up),
+kinds AS (SELECT *, CASE WHEN top IS NOT NULL THEN 'pruned' WHEN path LIKE 'cmd/%' OR path LIKE '%/cmd/%' THEN 'unwanted' WHEN size > 4000 THEN 'too_large' WHEN doc_id % 40 = 9 THEN 'binary' ELSE 'file' END AS kind FROM cut),
+dirs AS (SELECT DISTINCT d FROM (SELECT top, unnest(ps[:-2]) AS d FROM kinds) WHERE top IS NULL OR (d <> top AND NOT starts_with(d, top || '/')))
+SELECT count(*) FILTER (kind = 'file') AS files, CAST(coalesce(sum(size) FILTER (kind = 'file'), 0) AS BIGINT) AS total_bytes, count(DISTINCT top) + count(*) FILTER (kind = 'unwanted') AS ignored,
+  count(*) FILTER (kind = 'too_large') AS too_large, count(*) FILTER (kind = 'binary') AS binary, (SELECT count(*) FROM dirs) + 1 AS directories FROM kinds"""
+)
 def scan_counters(spark, sf_dir):
-    files = corpus.with_parts(_meta(spark, sf_dir))
-    return files.agg(F.count("*").alias("files"), F.sum("size").alias("total_bytes"), F.count_if(F.col("size") > 20000).alias("too_large"), F.countDistinct("ext").alias("exts"))
+    """What a walk over all paths counts; some files begin with a zero byte."""
+    files = corpus.documents(spark, sf_dir, even=False)
+    content = F.when(F.col("doc_id") % 40 == 9, F.concat(F.lit(b"\x00"), F.col("text").cast("binary"))).otherwise(F.col("text").cast("binary"))
+    rows = files.select("path", "size", C.binary(content).alias("is_binary"))
+    rules = [("", k, patterns.ignore_rule(line)) for k, line in enumerate(("vendor/", "tests/", "*.min.js", "!*3.min.js", "/docs/en"))]
+    return filters.scan_counts(rows, rules, exclude=["cmd/*"], max_size=4000)
 
 
 # ranking ----------------------------------------------------------------------------------------------------------------

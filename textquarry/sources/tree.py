@@ -60,7 +60,8 @@ class _Layers:
 def walk(root: str, include: Iterable[str] = (), exclude: Iterable[str] = (), max_size: int | None = None, default_ignores: bool = True, ignore_files: bool = True) -> Scan:
     """Files below ``root``. An ignored directory is never entered, so nothing below it comes back.
 
-    Links to directories are not followed, unreadable entries are skipped; a root that is a file skips every filter.
+    Links to directories are not followed, and counted unless they are ignored; a link to a file has the link's own size.
+    Unreadable entries are skipped; a root that is a file skips every filter. The root is one of the directories.
     """
     import re
 
@@ -80,6 +81,8 @@ def walk(root: str, include: Iterable[str] = (), exclude: Iterable[str] = (), ma
             entries = sorted(os.scandir(where), key=lambda e: e.name)
         except OSError:
             return
+        finally:
+            scan.directories += 1
         depth = len(layers.layers)
         names = {e.name for e in entries} if ignore_files else ()
         for name in IGNORE_FILES:
@@ -95,17 +98,16 @@ def walk(root: str, include: Iterable[str] = (), exclude: Iterable[str] = (), ma
             path = f"{folder}/{entry.name}" if folder else entry.name
             try:
                 if entry.is_dir():
-                    if entry.is_symlink():
-                        scan.symlinks += 1
-                    elif entry.name in fixed.HARD_SKIP_DIRS or layers.ignored(path):
+                    if entry.name in fixed.HARD_SKIP_DIRS or layers.ignored(path):
                         scan.ignored += 1
+                    elif entry.is_symlink():
+                        scan.symlinks += 1
                     else:
-                        scan.directories += 1
                         enter(path)
                     continue
                 if not entry.is_file():
                     continue
-                stat = entry.stat()
+                stat = entry.stat(follow_symlinks=False)
             except OSError:
                 continue
             if layers.ignored(path) or (wanted and not any(r.search(path) for r in wanted)) or any(r.search(path) for r in unwanted):
