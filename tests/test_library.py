@@ -5,6 +5,7 @@ import xml.etree.ElementTree as ET
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from textquarry import cli
 from textquarry.functions import columns as C
@@ -76,6 +77,28 @@ def test_scan_counts_of_a_listing(spark, project):
     assert filters.scan_counts(files.limit(0), rules).first().asDict() == {"files": 0, "total_bytes": 0, "ignored": 0, "too_large": 0, "binary": 0, "directories": 1}
 
 
+def test_bundles_in_tasks_are_those_of_the_driver(spark, tmp_path):
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rows = [(f"repo{k % 3}", f"src/{words[k % 8]}/m{k}.py", "".join(f"value_{j}_{k if k % 7 else 0} = {words[(j + k) % 8]!r}\n" for j in range(5 + k))) for k in range(90)]
+    rows += [("repo0", "gone.bin", None), ("lone", "a.md", "")]
+    files = tree.corpus.with_parts(spark.createDataFrame(rows, "bundle string, path string, text string").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(9)).cast("long")))
+    for mode, budget in (("balanced", Budget(4_000)), ("coverage", Budget(3_000, max_scan=12, manifest="paths"))):
+        got = {r["bundle"]: r for r in pack.bundled(files, budget, mode).collect()}
+        assert set(got) == {"repo0", "repo1", "repo2", "lone"}
+        assert "more files" not in got["repo0"]["value"].split("## Files")[0] or budget.max_scan == 12
+        for name in ("repo0", "lone"):
+            r = got[name]
+            want = pack.pack(files.where(F.col("bundle") == name).drop("bundle"), budget, mode, name)
+            assert r["value"] == pack.render(want) and (r["n_files"], r["discovered"], r["accounted"]) == (len(want.files), want.discovered, want.accounted)
+    pack.write_bundles(pack.bundled(files, Budget(4_000), form="json"), str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").glob("bundle=*")) == ["bundle=lone", "bundle=repo0", "bundle=repo1", "bundle=repo2"]
+    (part,) = (tmp_path / "out" / "bundle=repo1").glob("*.txt")
+    assert json.loads(part.read_text())["root"] == "repo1"
+    assert pack.bundled(files.limit(0), Budget(4_000)).count() == 0
+    cut, tokens, _ = pack.trimmed_index([{"path": f"a{k}", "tokens": 1, "size": 1} for k in range(50)], 60, "paths", total=1_000)
+    assert tokens <= 60 and f"and {1_000 - cut.count('  a'):,} more files" in cut
+
+
 def test_texts_and_decoding(spark, tmp_path):
     (tmp_path / "bad.txt").write_bytes(b"a\xffb")
     (tmp_path / "ok.txt").write_text("h\u00e9")

@@ -11,7 +11,7 @@ from xml.sax.saxutils import escape, quoteattr
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry import work
@@ -57,14 +57,18 @@ def index_lines(entries: list[dict], mode: str) -> list[str]:
     return [f"  {e['path']}" if mode == "paths" else f"  {e['tokens']:>9,}  {e['size']:>10,}  {e['path']}" for e in entries]
 
 
-def trimmed_index(entries: list[dict], cap: int, mode: str, count=T.estimate) -> tuple[str, int, int]:
-    """The longest leading part of the index that fits ``cap``, found by bisection; its tokens, and those of the whole."""
+def trimmed_index(entries: list[dict], cap: int, mode: str, count=T.estimate, total: int = 0) -> tuple[str, int, int]:
+    """The longest leading part of the index that fits ``cap``, found by bisection; its tokens, and those of all ``entries``.
+
+    ``entries`` may be the first ones of ``total``, if they are more than fit.
+    """
     if mode == "none" or not entries:
         return "", 0, 0
     lines = index_lines(entries, mode)
+    total = max(total, len(lines))
 
     def leading(n: int) -> str:
-        return "\n".join(lines[:n] + ([f"  ... and {len(lines) - n:,} more files (not listed)"] if n < len(lines) else []))
+        return "\n".join(lines[:n] + ([f"  ... and {total - n:,} more files (not listed)"] if n < total else []))
 
     whole = count(leading(len(lines)))
     if whole <= cap:
@@ -103,7 +107,6 @@ def pack(
         scored = ranking.boosted(scored, hops, reach_weight)
     meta = ranking.scan_cut(scored.drop("text", "signals"), budget.max_scan) if budget.max_scan else scored.drop("text", "signals").withColumn("considered", F.lit(True))
     meta = work.stored(meta, "pack-ranked")
-    notes: list[str] = []
     picked = meta.where("considered")
     texts = read(picked) if read else picked.join(files.select("path", "text"), "path")
     texts = transform(texts) if transform else texts
@@ -117,12 +120,20 @@ def pack(
     rest = meta.where("not considered").select("path", "size", C.size_tokens(F.col("size")).alias("tokens")).orderBy(F.desc("score"), "path")
     entries = [{"path": r["path"], "tokens": r["tokens"], "size": r["size"], "estimated": False} for r in rows]
     entries += [{"path": r["path"], "tokens": r["tokens"], "size": r["size"], "estimated": True} for r in rest.toLocalIterator()]
+    made = assembled(rows, entries, total, considered, budget, mode, root, ignored, calibration)
+    return factored(files.sparkSession, made, shared_min_lines, shared_min_occurrences) if factor_shared else made
+
+
+def assembled(rows: list[dict], entries: list[dict], total: int, considered: int, budget: Budget, mode: str = "balanced", root: str = "", ignored: int = 0, calibration: float = 1.0) -> Bundle:
+    """One bundle of the texts that were read (``rows``, by rank), the index ``entries`` and the number of all files."""
+    notes: list[str] = []
     count = lambda text: T.estimate(text, calibration)
-    text, index_tokens, whole = trimmed_index(entries, budget.index_cap, budget.manifest, count)
+    listed = total - (considered - len(rows))
+    text, index_tokens, whole = trimmed_index(entries, budget.index_cap, budget.manifest, count, listed)
     if total > considered:
         notes.append(f"contents of the top {considered:,} of {total:,} files by rank were read; the rest are in the index only")
     if whole > budget.manifest_cap:
-        notes.append(f"index trimmed from {whole:,} to {budget.index_cap:,} tokens")
+        notes.append(f"index trimmed from {whole:,}{' or more' if listed > len(entries) else ''} to {budget.index_cap:,} tokens")
     if mode == "coverage":
         turn: Counter = Counter()
         for r in rows:
@@ -144,8 +155,57 @@ def pack(
     for n, said in ((out, "files left out by budget and limits"), (len(copies), f"near-duplicates left out (similarity {budget.dedupe_threshold:.0%} or more)"), (considered - len(rows), "files unreadable or not text"), (total - considered, "files below the scan cutoff")):
         if n:
             notes.append(f"{n:,} {said}")
-    made = Bundle(root, budget, mode, chosen, entries, text, index_tokens, copies, notes, [], total, len(rows), total - considered, ignored, "heuristic", calibration)
-    return factored(files.sparkSession, made, shared_min_lines, shared_min_occurrences) if factor_shared else made
+    return Bundle(root, budget, mode, chosen, entries, text, index_tokens, copies, notes, [], total, len(rows), total - considered, ignored, "heuristic", calibration)
+
+
+_BUNDLE = "bundle string, value string, n_files long, n_index long, n_duplicates long, discovered long, content_tokens long, accounted long"
+
+
+def bundled(files: DataFrame, budget: Budget, mode: str = "balanced", form: str = "markdown", calibration: float = 1.0) -> DataFrame:
+    """A rendered bundle for every value of ``bundle`` in ``files`` (bundle, path, text, size, ext, dirname), each in one task.
+
+    Files are ranked by metadata; a task gets the first ``max_scan`` texts of its bundle and as many index rows as can fit,
+    a token being spent on each at least, whatever the number of files. Paths are distinct within a bundle. The index holds
+    these rows only. Blocks are not factored.
+    """
+    if mode not in ("balanced", "coverage", "depth"):
+        raise ValueError(f"unknown mode {mode!r}; choose balanced, coverage or depth")
+    if form not in SINKS:
+        raise ValueError(f"unknown format {form!r}; choose one of {', '.join(SINKS)}")
+    if not budget.max_scan:
+        raise ValueError("bundles need max_scan, the number of texts that one task may hold")
+    first = budget.max_scan + budget.index_cap + 1
+    meta = ranking.scored(files.select("bundle", "path", "size", "ext", "dirname")).drop("signals")
+    order = Window.partitionBy("bundle").orderBy(F.desc("score"), "path")
+    ranked = meta.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= first)
+    totals = meta.groupBy("bundle").agg(F.count("*").alias("total"))
+    wanted = ranked.where(F.col("ord") <= budget.max_scan)
+    read = C.with_tokens(files.select("bundle", "path", "text").join(wanted.select("bundle", "path"), ["bundle", "path"]).where("text is not null"), calibration=calibration)
+    rows = ranked.join(read.select("bundle", "path", "text", "tokens"), ["bundle", "path"], "left").join(totals, "bundle")
+    rows = rows.withColumn("priced", C.size_tokens(F.col("size")))
+
+    def kernel(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("ord")
+        name, total = pdf["bundle"].iloc[0], int(pdf["total"].iloc[0])
+        top, rest = pdf[pdf["ord"] <= budget.max_scan], pdf[pdf["ord"] > budget.max_scan]
+        texts = top[top["text"].notna()]
+        docs = [
+            {"path": r.path, "size": int(r.size), "ext": r.ext, "dirname": r.dirname, "score": float(r.score), "text": r.text, "tokens": int(r.tokens), "lines": r.text.count("\n") + 1 if r.text else 0}
+            for r in texts.astype(object).itertuples()
+        ]
+        entries = [{"path": d["path"], "tokens": d["tokens"], "size": d["size"], "estimated": False} for d in docs]
+        entries += [{"path": r.path, "tokens": int(r.priced), "size": int(r.size), "estimated": True} for r in rest.astype(object).itertuples()]
+        made = assembled(docs, entries, total, len(top), budget, mode, name, 0, calibration)
+        return pd.DataFrame([(name, render(made, form), len(made.files), len(entries), len(made.duplicates), total, made.content_tokens, made.accounted)], columns=[c.split()[0] for c in _BUNDLE.split(", ")])
+
+    return rows.groupBy("bundle").applyInPandas(kernel, _BUNDLE)
+
+
+def write_bundles(bundles: DataFrame, path: str) -> None:
+    """The texts (``value``) of ``bundles`` below ``path``, a folder for each bundle, in any store that Spark writes."""
+    bundles.select("bundle", F.regexp_replace("value", "\\n\\z", "").alias("value")).write.partitionBy("bundle").text(path)
 
 
 def factored(spark, bundle: Bundle, min_lines: int = 4, min_occurrences: int = 3) -> Bundle:
