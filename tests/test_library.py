@@ -63,6 +63,11 @@ def test_links_and_counts_of_a_walk(project):
     assert scan.directories == before.directories == 1 + len({"a", "a/deep", "src", "src/app", "locales"})
 
 
+def test_fence_language_of_a_block():
+    assert pack._common_language(("a.ts", "b.py", "c.PY")) == "python" and pack._common_language(("b.ts", "a.py")) == "python"
+    assert pack._common_language(("Makefile", "x.unknown")) == "" and pack._common_language(()) == ""
+
+
 def test_scan_counts_of_a_listing(spark, project):
     rules = [("", k, r) for k, r in enumerate(filters.patterns.ignore_rules("build/\n*.log\n!keep.log\n"))]
     listing = [(os.path.relpath(os.path.join(d, f), project), os.path.getsize(os.path.join(d, f)), f in ("pic", "logo.png")) for d, _, fs in os.walk(project) for f in fs]

@@ -251,6 +251,13 @@ def _language(path: str) -> str:
     return selection.LANGUAGES.get(m[0].lower(), "") if m else ""
 
 
+def _common_language(paths) -> str:
+    """That of the most frequent extension, of equally frequent ones the first in order."""
+    counts = Counter(m[0].lower() if (m := re.search(r"\.[^.]*$", p, re.DOTALL)) else "" for p in paths)
+    best = min(counts, key=lambda ext: (-counts[ext], ext), default="")
+    return selection.LANGUAGES.get(best, "")
+
+
 def fence(text: str, language: str = "") -> str:
     longest = max((len(m) for m in re.findall("`{3,}", text)), default=2)
     ticks = "`" * max(3, longest + 1)
@@ -302,7 +309,7 @@ def markdown(b: Bundle) -> str:
     if b.shared:
         parts += ["## Shared blocks", "> Repeated blocks stand here once; files refer to them. The bundle is for reading, not for compiling."]
         for name, x in _ids(b):
-            parts += [f"### {name}: {x.lines} lines", fence(x.text.rstrip("\n"))]
+            parts += [f"### {name}: {x.lines} lines", fence(x.text.rstrip("\n"), _common_language(x.files))]
     return "\n\n".join(parts) + "\n"
 
 
