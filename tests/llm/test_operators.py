@@ -394,6 +394,20 @@ def test_unreachable_targets_are_missed_by_least(spark):
     assert error(rates) <= best * 1.02
 
 
+def test_mixing_without_documents_of_a_domain(spark):
+    """One label of a domain that no document looks like: its trace in all posteriors is no supply, and the fit ends."""
+    rng = np.random.default_rng(11)
+    words = {0: [f"calm{k}" for k in range(60)], 2: [f"vile{k}" for k in range(60)]}
+    kinds = [2 if k % 9 == 4 else 0 for k in range(270)]
+    texts = {kind: [" ".join(rng.choice(words[kind], 20 + k)) for k in range(10)] for kind in words}
+    marks = [(k, int(k != 100), int(kind == 2)) for k, kind in enumerate(kinds)]
+    out = mixing.mixed(docs_of(spark, [texts[kind][k % 10] for k, kind in enumerate(kinds)]), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).toPandas()
+    p, tokens = np.array(out["p"].tolist()), out["n_tokens"].to_numpy()
+    assert kinds[100] == 0 and 0 < p[:, 1].max() < 0.2 and (out["rate"] > 0).all()
+    got = p.T @ (tokens * out["rate"]) / tokens.sum()
+    assert got[0] == pytest.approx(mixing.TARGETS["good"], abs=1e-5) and got[2] == pytest.approx(mixing.TARGETS["toxic"], abs=1e-5) and got[1] < 0.04
+
+
 def test_mixing_odd_cases(spark):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (5, 1, 1), (5, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     rows = mixing.mixed(odd(spark), labels).collect()

@@ -14,12 +14,15 @@ The search ends when the targets are met, or when the duality gap says that the
 ``STEPS`` steps without that it raises and gives no rates: a target on the very edge of what documents can supply takes most
 steps, and the caller may ask for more of them or for a wider gap.
 
-Domains of the query: ``good`` (quality 1), ``poor`` (quality 0) and ``toxic`` (toxic 1).
+Domains of the query: ``good`` (quality 1), ``poor`` (quality 0) and ``toxic`` (toxic 1). A domain that is the likeliest of no
+document with tokens is no source there (a filter before may have taken it away): ``mixed`` leaves its target out of the fit,
+and the others keep theirs. What posteriors give such a domain is a trace in documents of other ones; a target for it would be
+met, if at all, by drawing very few documents millions of times and no other.
 
 Defined results: null and empty texts have 0 tokens and the posterior of an empty vector, and a rate like any other;
-repeated rows have equal rates; without labels the posterior is uniform; a domain that no document can supply stays at
-what least squares reaches; rows without any tokens at all leave every rate at 1; other columns are carried through, and a
-column of theirs that is called n_tokens, p or rate stays, the new one having ``_`` appended.
+repeated rows have equal rates; without labels the posterior is uniform, and every domain is a likeliest one; rows without
+any tokens at all leave every rate at 1; other columns are carried through, and a column of theirs that is called n_tokens,
+p or rate stays, the new one having ``_`` appended.
 """
 
 from __future__ import annotations
@@ -154,6 +157,7 @@ def replayed(p: np.ndarray, moves: np.ndarray) -> np.ndarray:
 def fitted(members: DataFrame, target: list[float], total: float | None = None, steps: int = STEPS, gap: tuple[float, float] = GAP) -> np.ndarray:
     """The moves that fit the rates of ``members`` (n_tokens, p); ``target`` are shares of ``total`` (all tokens if unset)."""
     k_domains = len(target)
+    whole = sum((F.col("p")[d] for d in range(1, k_domains)), F.col("p")[0])  # 1, unless domains are left out
     pair = [(a, b) for a in range(k_domains) for b in range(a, k_domains)]
     sums = members.agg(F.sum("n_tokens").alias("t"), *(F.sum(F.col("n_tokens") * F.col("p")[a] * F.col("p")[b]).alias(f"g{a}_{b}") for a, b in pair)).first()
     moves: list[list[float]] = []
@@ -171,7 +175,7 @@ def fitted(members: DataFrame, target: list[float], total: float | None = None,
         following = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
         push = (pace - 1) / following
         state = state.withColumn("y", F.col("r") + push * (F.col("r") - F.col("q")))
-        got = np.array(state.agg(*(F.sum(F.col(x) * F.col("n_tokens") * F.col("p")[d]) for x in ("y", "r") for d in range(k_domains)), F.min("slope")).first(), float)
+        got = np.array(state.agg(*(F.sum(F.col(x) * F.col("n_tokens") * F.col("p")[d]) for x in ("y", "r") for d in range(k_domains)), F.min(F.coalesce(F.try_divide("slope", whole), F.lit(0.0)))).first(), float)
         ahead, here, lowest = got[:k_domains], got[k_domains : 2 * k_domains], got[-1]
         error = float((here - goal) @ inverse @ (here - goal)) / 2
         if step is not None:  # the last step, moved until it slopes up everywhere, bounds the least error from below
@@ -207,11 +211,25 @@ def rates(members: DataFrame, target: list[float], total: float | None = None, s
     return common.mapped(members, apply, (StructField(name, DoubleType()),))
 
 
+def supplied(members: DataFrame) -> list[int]:
+    """The domains that are the likeliest of some document with tokens, a tie counting for all in it."""
+    likely = [F.max(F.col("p")[d] == F.array_max("p")) for d in range(len(DOMAINS))]
+    return [d for d, some in enumerate(members.where("n_tokens > 0").agg(*likely).first()) if some]
+
+
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """``docs`` with n_tokens, p and rate."""
     model = train(docs, labels)
     members, _ = common.stored(posteriors(docs.select("text"), model).select("n_tokens", "p"), "mixing-members")
-    return posteriors(docs, model, fitted(members, [targets[d] for d in DOMAINS]))
+    there = supplied(members)
+    target = [targets[DOMAINS[d]] for d in there]
+    if len(there) == len(DOMAINS) or not sum(target):  # all of them, or no tokens at all
+        return posteriors(docs, model, fitted(members, [targets[d] for d in DOMAINS]))
+    n_tokens = members.agg(F.sum("n_tokens")).first()[0]
+    part = fitted(members.select("n_tokens", F.array(*(F.col("p")[d] for d in there)).alias("p")), target, n_tokens * sum(target) / sum(targets.values()))
+    moves = np.zeros((len(part), 1 + len(DOMAINS)))
+    moves[:, [0, *(1 + d for d in there)]] = part
+    return posteriors(docs, model, moves)
 
 
 def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
