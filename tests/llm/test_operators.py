@@ -630,6 +630,35 @@ def test_warc_round_trip(spark, monkeypatch):
     assert keys == sorted(keys) and [r["capture"] for r in got] == list(range(len(rows))) and warc.capture_index(spark, df.limit(0)).count() == 0
 
 
+def test_warc_shuffles_each_page_once(spark, monkeypatch):
+    """Pages of three sizes of archives, some of them copies: their html crosses the shuffle once, not once for each size."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2_000 * warc.ARCHIVE_RECORDS)
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(33, 127, n))) for n in [500] * 20 + [9_000] * 20 + [60_000] * 20]
+    rows = [(k, f"http://a.b/{k}", t) for k, t in enumerate([*texts, texts[0], texts[25], texts[45]])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+
+    def shuffled():
+        spark.range(1).collect()
+        time.sleep(2)
+        found = spark._jsc.sc().statusStore().executorList(True)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    bytes_in, path = sum(len(t) for *_, t in rows), common.new_path(spark, "warc-test")
+    df, _ = common.stored(df, "warc-pages")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        warc.write_archives(df, path)
+        moved = shuffled() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0.5 * bytes_in < moved < 1.5 * bytes_in
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.capture_runs(spark, path).collect()}
+    copies = {60: 0, 61: 25, 62: 45}
+    assert got == {k: (len(t), "revisit" if k in copies else "response", copies.get(k)) for k, _, t in rows}
+
+
 def test_loser_tree():
     rng = np.random.default_rng(0)
     for k in (0, 1, 2, 3, 7, 16):

@@ -32,15 +32,33 @@ from . import common
 REVISIT_BYTES = 100
 #: Records and bytes of an archive, at most, and rows that one range of the merge holds, about.
 ARCHIVE_RECORDS, ARCHIVE_BYTES, RANGE_ROWS = 2_000, 256_000_000, 50_000
+#: Bytes of a record besides its payload and its URL, at most.
+HEAD_BYTES = 1_000
 _EPOCH = 1_700_000_000
 
 
-def archive_records(pages: DataFrame) -> DataFrame:
-    """One column ``value``: the WARC record of each row of ``pages`` (page_id, url, html)."""
+def first_captures(pages: DataFrame) -> DataFrame:
+    """(digest, first): the smallest page_id of every payload that more than one row has, and that is large enough to refer to."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.where((F.octet_length("html") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).select("page_id", F.sha2("html", 256).alias("digest"))
+    return rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+
+
+def archive_records(pages: DataFrame, first: DataFrame, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """One column ``value``: the WARC record of each row of ``pages`` (page_id, url, html).
+
+    With ``sizes`` (low, high) only records whose bound of bytes is above low and at most high. A row whose response is
+    not among them goes without its html, as it can only be a revisit: so each html is shuffled once for all sizes.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("urn:none")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha2("html", 256), "bytes": F.octet_length("html")})
-    first = rows.where(f"bytes >= {REVISIT_BYTES} and page_id is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    if sizes is not None:
+        short = F.octet_length("url") * 3 + HEAD_BYTES
+        rows = rows.withColumns({"full_in": _within(short + F.col("bytes"), sizes), "short_in": _within(short, sizes)}).where("full_in or short_in")
+        rows = rows.withColumn("html", F.when(F.col("full_in"), F.col("html")))
     rows = rows.join(first, "digest", "left").withColumn("refers", F.expr("if(first is not null and page_id is distinct from first, first, null)"))
+    if sizes is not None:
+        rows = rows.where("if(refers is null, full_in, short_in)")
     for raw, safe in (("\r", "%0D"), ("\n", "%0A"), (" ", "%20"), ("\t", "%09")):
         rows = rows.withColumn("url", F.replace("url", F.lit(raw), F.lit(safe)))
     rows = rows.withColumn("url", F.regexp_replace("url", r"[\x00-\x1F\x7F]", ""))
@@ -62,16 +80,23 @@ def archive_records(pages: DataFrame) -> DataFrame:
     )
 
 
+def _within(size, sizes: tuple[int, int]):
+    return (size > sizes[0]) & (size <= sizes[1])
+
+
 def write_archives(pages: DataFrame, path: str) -> None:
     """Records of up to ``ARCHIVE_BYTES / ARCHIVE_RECORDS`` bytes, most often all, in one go; larger ones by power of 8, fewer to an archive."""
-    records, least = archive_records(pages), ARCHIVE_BYTES // ARCHIVE_RECORDS
-    longest = pages.agg(F.max(F.octet_length("html") + F.coalesce(F.octet_length("url"), F.lit(0)) * 3)).first()[0] or 0
+    least = ARCHIVE_BYTES // ARCHIVE_RECORDS
+    bound = F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(8)) * 3 + HEAD_BYTES
+    longest = pages.agg(F.max(bound)).first()[0] or 0
+    first, kept = common.stored(first_captures(pages), "warc-first")
     low, high = -1, least
-    while low < longest + 1_000:  # of a record's head
-        part = records if longest + 1_000 <= least else records.where(F.octet_length("value").between(low + 1, high))
+    while low < longest:
         many = max(1, min(ARCHIVE_RECORDS, ARCHIVE_BYTES // high))
+        part = archive_records(pages, first, None if longest <= least else (low, high))
         part.write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", many).option("compression", "gzip").text(path)
         low, high = high, high * 8
+    common.drop_path(pages.sparkSession, kept)
 
 
 def _fields(head: bytes) -> dict[bytes, bytes]:
