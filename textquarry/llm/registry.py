@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, embedding_dedup, jaccard_join, lm_score, mixing, quality, secrets, token_rollups, warc
+from . import chat_format, decontaminate, embedding_dedup, jaccard_join, lexical, lm_score, mixing, neighbours, quality, secrets, token_rollups, warc, whitening
 
 QUERIES = {
     "op1_lm_scoring": lm_score.op1_lm_scoring,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_nearest_neighbours": neighbours.op12_nearest_neighbours,
+    "op13_ranked_lexical_search": lexical.op13_ranked_lexical_search,
 }
 
 ORACLES = {
@@ -23,4 +26,5 @@ ORACLES = {
     "op8_benchmark_decontamination": decontaminate.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
     "op10_ngram_jaccard_join": jaccard_join.ORACLE,
+    "op13_ranked_lexical_search": lexical.ORACLE,
 }
