@@ -3,7 +3,8 @@
 Equal vectors collapse into one node first. The graph has, for every node, the ``DEGREE`` nearest others found so far.
 
 Building
-1. Nodes are dealt at random into buckets of about ``2 DEGREE``; the nearest of a node's bucket are its first neighbours.
+1. Nodes are dealt at random into buckets of about ``2 DEGREE``, ``DEALS`` times; the nearest of a node's buckets are its first
+   neighbours. One deal would leave every bucket a graph of its own.
 2. In each round every node introduces its neighbours to each other: up to ``INTRODUCED`` new and as many old ones that it
    points to, as many that point to it, and itself, are joined with their vectors, and pairs of which one is new are compared
    by a matrix product. A task keeps the best of each node before anything is shuffled; candidates and present neighbours
@@ -34,9 +35,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Neighbours of a node in the graph, and how many of each kind (new, old) it introduces in a round.
-DEGREE, INTRODUCED = 32, 16
-ROUNDS, SETTLED = 14, 0.005
-ENTRIES, BEAM, OPENED = 1_024, 128, 24
+DEGREE, INTRODUCED, DEALS = 32, 16, 3
+ROUNDS, SETTLED = 14, 0.02
+ENTRIES, BEAM, OPENED = 1_024, 256, 48
 #: Nearest results of a query, and rows with vectors that a task holds, about.
 K, GROUP_ROWS = 10, 40_000
 _SOUND = "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)"
@@ -139,9 +140,11 @@ def graph(units: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataF
     n = units.count()
     parts = max(1, n * degree // 200_000)
     crowd = units.groupBy("dim").agg(F.count("*").alias("crowd"))
-    bucket = F.expr(f"xxhash64(dim, pmod(xxhash64(node, 7), greatest(1L, crowd div {2 * degree})))")
-    members = units.join(F.broadcast(crowd), "dim").select(bucket.alias("v"), "node", F.lit(True).alias("fresh"))  # a row for each dimension
-    found = _introduced(members, units.select("node", F.lit(float("inf")).alias("worst"), "unit"), 1 + n // GROUP_ROWS, degree)
+    deals = F.explode(F.sequence(F.lit(1), F.lit(DEALS))).alias("deal")
+    bucket = F.expr(f"xxhash64(dim, deal, pmod(xxhash64(node, deal), greatest(1L, crowd div {2 * degree})))")
+    members = units.join(F.broadcast(crowd), "dim").select("dim", "crowd", "node", deals)  # crowd: a row for each dimension
+    members = members.select(bucket.alias("v"), "node", F.lit(True).alias("fresh"))
+    found = _introduced(members, units.select("node", F.lit(float("inf")).alias("worst"), "unit"), 1 + DEALS * n // GROUP_ROWS, degree)
     edges, path = common.stored(_merged(None, found, parts, degree), "neighbours-graph")
     for _ in range(rounds):
         chosen = edges.where(F.col("turn") < INTRODUCED).select("node", "to", "d", "fresh")
