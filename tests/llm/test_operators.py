@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from textquarry.llm import chat_format, common, decontaminate, embedding_dedup, jaccard_join, lm_score, mixing, quality, registry, secrets, token_rollups, warc
+from textquarry.llm import chat_format, common, decontaminate, embedding_dedup, jaccard_join, lexical, lm_score, mixing, neighbours, quality, registry, secrets, token_rollups, warc, whitening
 
 ODD_TEXTS = [None, "", " \n\t ", "one", "A b c d", "x" * 200_000, "word " * 30_000, "é中\U0001f600 \x00 z", "same text here with more words than ten in it ok", "same text here with more words than ten in it ok"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -40,7 +40,7 @@ def test_sql(spark, oracle, name):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 # words
@@ -214,6 +214,21 @@ def test_decontamination_odd_cases(spark, monkeypatch):
     assert decontaminate.contamination(docs_of(spark, []), items).count() == 0
 
 
+def test_clean_decides_by_text(spark, monkeypatch):
+    """Null, repeated and shared ids: every contaminated row goes and no clean one does."""
+    window = "same text here with more words than ten in it"
+    items = spark.createDataFrame([(1, window)], "item_id long, text string")
+    rows = [(None, window, 1), (None, "clean", 2), (7, "clean", 3), (7, f"so {window} ok", 4), (8, window, 5), (8, window, 5), (9, None, 6), (9, None, 6), (None, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_digest int")
+    want = sorted(str(r) for r in docs.collect() if window not in (r["text"] or ""))
+    for bound in (decontaminate.BROADCAST_WINDOWS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", bound)
+        assert sorted(map(str, decontaminate.clean(docs, items).collect())) == want
+    staged = dict(corpus_pipeline.STAGES)["benchmark_decontamination"]
+    monkeypatch.setattr(common, "table", lambda *_: items)
+    assert sorted(map(str, staged(spark, docs, "").collect())) == want
+
+
 def test_native_plans(spark):
     for df in (registry.QUERIES["op8_benchmark_decontamination"](spark, f"{DATA}/sf0.001"), registry.QUERIES["op9_chat_format"](spark, f"{DATA}/sf0.001")):
         plan = df._jdf.queryExecution().executedPlan().toString()
@@ -354,64 +369,69 @@ def test_mixing_meets_targets(spark):
     tokens = out["n_tokens"].to_numpy()
     for d in mixing.DOMAINS:
         assert (out[f"p_{d}"] * tokens * out["rate"]).sum() / tokens.sum() == pytest.approx(mixing.TARGETS[d], abs=1e-5)
+        assert out[f"wanted_{d}"].iloc[0] == mixing.TARGETS[d] and out[f"reached_{d}"].nunique() == 1 and out[f"reached_{d}"].iloc[0] == pytest.approx(mixing.TARGETS[d], abs=1e-5)
     assert (out["rate"] >= 0).all() and np.allclose(out[[f"p_{d}" for d in mixing.DOMAINS]].sum(axis=1), 1, atol=1e-6)
     docs = {r["doc_id"]: len((r["text"] or "").encode().split()) for r in common.table(spark, f"{DATA}/sf0.001", "documents").collect()}
     assert dict(zip(out["doc_id"], out["n_tokens"])) == docs
 
 
-@pytest.mark.parametrize("target", [[0.5, 0.3, 0.2], [0.9, 0.06, 0.04], [1, 0, 0]])
+def members_of(spark, n, p):
+    return spark.createDataFrame([(k, int(t), x.tolist()) for k, (t, x) in enumerate(zip(n, p))], "k int, n_tokens long, p array<double>")
+
+
+def above_least(n, p, rates, goal, most):
+    """How far half the sum of squares of ``rates`` is above the least one, at most: the duality gap of the box."""
+    slope, w = p @ ((n / n.sum() * rates) @ p - goal), n / n.sum()
+    return float(w @ (slope * rates - np.minimum(slope, 0) * most))
+
+
+@pytest.mark.parametrize("target", [[0.5, 0.3, 0.2], [0.9, 0.06, 0.04], [1, 0, 0], [0, 0, 1]])
 def test_rates_against_numpy(spark, target):
-    """The error is close to what plain projected gradient reaches after very many steps."""
+    """Rates keep their bounds, and no rates have a smaller error."""
     rng = np.random.default_rng(5)
-    p = rng.dirichlet([0.4, 0.4, 0.4], 200)
-    n = rng.integers(0, 500, 200).astype(float)
-    goal = np.array(target) / sum(target) * n.sum()
-    a = p * n[:, None]
-    inverse = np.linalg.pinv(a.T @ p, rcond=1e-9)
-    error = lambda r: (a.T @ r - goal) @ inverse @ (a.T @ r - goal) / n.sum()
-    best = np.ones(200)
-    for _ in range(20_000):
-        best = np.maximum(0, best - p @ (inverse @ (a.T @ best - goal)))
-    members = spark.createDataFrame([(k, int(t), x.tolist()) for k, (t, x) in enumerate(zip(n, p))], "k int, n_tokens long, p array<double>")
-    edge = target[0] == 1  # hardly to be reached, so that many steps bring little
-    got = mixing.rates(members, target, gap=(1e-3, 0.01) if edge else mixing.GAP).orderBy("k").collect()
-    rates = np.array([r["rate"] for r in got])
-    assert (rates >= 0).all() and error(rates) < error(best) + (2e-3 if edge else 1e-8)
-    assert edge or np.allclose((a.T @ rates) / n.sum(), goal / n.sum(), atol=1e-6)
+    p, n = rng.dirichlet([0.4, 0.4, 0.4], 200), rng.integers(0, 500, 200).astype(float)
+    goal = np.array(target) / sum(target)
+    members = members_of(spark, n, p)
+    fit = mixing.fitted(members, target, most=3.0)
+    rates = np.array([r["rate"] for r in mixing.rates(members, target, most=3.0).orderBy("k").collect()])
+    share = (n / n.sum() * rates) @ p
+    assert rates.min() >= 0 and rates.max() <= 3 and np.allclose(share, fit.reached, atol=1e-9) and np.allclose(fit.wanted, goal)
+    assert above_least(n, p, rates, goal, 3.0) <= 1e-6
     with pytest.raises(RuntimeError):
-        mixing.rates(members, target, steps=2)
-
-
-def test_unreachable_targets_are_missed_by_least(spark):
-    p = np.array([[0.6, 0.2, 0.2], [0.5, 0.3, 0.2], [0.7, 0.1, 0.2]])
-    n = np.array([10.0, 20.0, 30.0])
-    goal, a = np.array([0.0, 0.0, 1.0]) * n.sum(), p * n[:, None]
-    inverse = np.linalg.pinv(a.T @ p, rcond=1e-9)
-    error = lambda r: (a.T @ r - goal) @ inverse @ (a.T @ r - goal)
-    members = spark.createDataFrame([(k, int(t), x.tolist()) for k, (t, x) in enumerate(zip(n, p))], "k int, n_tokens long, p array<double>")
-    rates = np.array([r["rate"] for r in mixing.rates(members, [0, 0, 1]).orderBy("k").collect()])
-    best = min(error(np.array([x, y, z])) for x in np.linspace(0, 4, 41) for y in np.linspace(0, 4, 41) for z in np.linspace(0, 4, 41))
-    assert error(rates) <= best * 1.02
-
-
-def test_mixing_without_documents_of_a_domain(spark):
-    """One label of a domain that no document looks like: its trace in all posteriors is no supply, and the fit ends."""
-    rng = np.random.default_rng(11)
-    words = {0: [f"calm{k}" for k in range(60)], 2: [f"vile{k}" for k in range(60)]}
-    kinds = [2 if k % 9 == 4 else 0 for k in range(270)]
-    texts = {kind: [" ".join(rng.choice(words[kind], 20 + k)) for k in range(10)] for kind in words}
-    marks = [(k, int(k != 100), int(kind == 2)) for k, kind in enumerate(kinds)]
-    out = mixing.mixed(docs_of(spark, [texts[kind][k % 10] for k, kind in enumerate(kinds)]), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).toPandas()
-    p, tokens = np.array(out["p"].tolist()), out["n_tokens"].to_numpy()
-    assert kinds[100] == 0 and 0 < p[:, 1].max() < 0.2 and (out["rate"] > 0).all()
-    got = p.T @ (tokens * out["rate"]) / tokens.sum()
-    assert got[0] == pytest.approx(mixing.TARGETS["good"], abs=1e-5) and got[2] == pytest.approx(mixing.TARGETS["toxic"], abs=1e-5) and got[1] < 0.04
+        mixing.fitted(members, target, steps=0)
+
+
+def test_targets_that_are_no_targets(spark):
+    for target in ([0, 0, 0], [1, -1, 1]):
+        with pytest.raises(ValueError):
+            mixing.fitted(members_of(spark, [1.0], np.array([[0.2, 0.3, 0.5]])), target)
+
+
+@pytest.mark.parametrize("trace", [0.01, 0.001, 0.0001])
+@pytest.mark.parametrize("likeliest", [None, 3, 300])
+def test_a_domain_that_few_documents_supply(spark, trace, likeliest):
+    """Its target stays; within reach it is met, out of reach it is missed and the others hardly move."""
+    rng = np.random.default_rng(1)
+    size = 4_000
+    poor = np.minimum(rng.gamma(2, trace / 2, size), 0.4)
+    toxic = np.where(rng.random(size) < 0.1, rng.beta(8, 2, size), rng.beta(1, 12, size)) * (1 - poor)
+    p, n = np.column_stack([1 - poor - toxic, poor, toxic]), rng.integers(20, 900, size).astype(float)
+    if likeliest:
+        p[0], n[0] = [0.1, 0.85, 0.05], likeliest
+    fit = mixing.fitted(members_of(spark, n, p), list(mixing.TARGETS.values()))
+    rates = mixing.replayed(p, fit.moves)
+    assert rates.min() >= 0 and rates.max() <= mixing.MOST and np.allclose((n / n.sum() * rates) @ p, fit.reached, atol=1e-9)
+    off = fit.reached - fit.wanted
+    assert abs(off[0]) <= 0.001 and abs(off[2]) <= 0.001 and off[1] <= 1e-5
+    assert above_least(n, p, rates, fit.wanted, mixing.MOST) <= 1e-6 and fit.reached[1] > 3 * trace
+    if trace == 0.01 and likeliest == 300:  # within reach
+        assert np.abs(off).max() <= 1e-5
 
 
 def test_mixing_odd_cases(spark):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (5, 1, 1), (5, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     rows = mixing.mixed(odd(spark), labels).collect()
-    assert len(rows) == len(ODD_TEXTS) + 2 and all(math.isfinite(r["rate_"]) and r["rate_"] >= 0 and r["rate"] == 4 for r in rows)
+    assert len(rows) == len(ODD_TEXTS) + 2 and all(0 <= r["rate_"] <= mixing.MOST and r["rate"] == 4 and sum(r["wanted"]) == pytest.approx(1) for r in rows)
     assert {r["rate"] for r in mixing.mixed(docs_of(spark, ["", None]), labels.limit(0)).collect()} == {1.0}
     assert mixing.mixed(docs_of(spark, []), labels).count() == 0
 
@@ -478,6 +498,14 @@ def test_embeddings_empty(spark):
     assert sorted(map(str, got)) == sorted(map(str, [(r) for r in got])) and Counter((r["vec_id"], r["n_links"], r["kept"]) for r in got) == Counter({(None, 0, False): 1, (3, 0, True): 2})
 
 
+def test_two_vectors_under_one_id_keep_their_links_apart(spark):
+    e = np.eye(8)
+    near = lambda k: (e[k] + 0.05 * e[(k + 1) % 8]).tolist()
+    rows = [(5, e[0].tolist()), (5, e[4].tolist()), (9, near(0)), (7, near(4)), (3, near(4)), (3, near(4)), (1, e[6].tolist())]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter(map(tuple, got)) == Counter({(5, 1, 5, True): 1, (9, 1, 5, False): 1, (5, 2, 3, False): 1, (7, 2, 3, False): 1, (3, 2, 3, True): 2, (1, 0, 1, True): 1})
+
+
 # 1: LM scoring
 
 
@@ -752,6 +780,11 @@ def test_pipeline_stages(spark):
             assert gone and np.mean([marks[k] == 0 for k in gone if k in marks]) > 0.8
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert set(columns) <= set(last.columns) and last.where("rate > 0").count() == last.count() > 0
+    rows = last.toPandas()
+    for d in mixing.DOMAINS:  # every target is there, and reached totals are those of the rates
+        share = (rows["rate"] * rows["n_tokens"] * rows[f"p_{d}"]).sum() / sum(len((r["text"] or "").encode().split()) for r in docs.collect())
+        assert rows[f"wanted_{d}"].iloc[0] == mixing.TARGETS[d] and rows[f"reached_{d}"].iloc[0] == pytest.approx(share, abs=1e-6)
+    assert rows["rate"].max() <= mixing.MOST
 
 
 def test_pipeline_odd_documents(spark, tmp_path):
@@ -768,7 +801,7 @@ def test_pipeline_odd_documents(spark, tmp_path):
             assert all(r["rate"] == taken.split().index("rate") and r["n_tokens"] == 0 and r["a.b c"] == "dot" for r in out.collect())
             docs = out if out.count() else docs
         assert least <= docs.count() <= len(ODD_TEXTS) + 2
-    assert out.columns[-5:] == ["n_tokens_", "p_good_", "p_poor_", "p_toxic_", "rate_"]
+    assert out.columns[-11:-6] == ["n_tokens_", "p_good_", "p_poor_", "p_toxic_", "rate_"] and out.columns[-6:] == [f"{w}_{d}" for w in ("wanted", "reached") for d in mixing.DOMAINS]
 
 
 @pytest.mark.parametrize("name", ["op1_lm_scoring", "op3_quality_classifier", "op7_secret_scans"])
@@ -792,3 +825,171 @@ def test_registered_query(spark, name):
         ids = sorted(docs)
         for k, (n, t, b) in zip(ids, brute_lm([docs[k] for k in ids], turns, 10**7), strict=True):
             assert got[k]["n_tokens"] == n and got[k]["ce_target"] == pytest.approx(t, abs=1e-6) and got[k]["ce_background"] == pytest.approx(b, abs=1e-6)
+
+
+# 11: whitening
+
+
+def plain_whitening(vectors, top=32):
+    x = np.floor(64 * np.array(vectors, float)).astype(np.int64) + 1_000_000
+    n, sums = len(x), x.sum(axis=0)
+    c = (n * x - sums) / n
+    e, u = np.linalg.eigh(c.T @ c / n)
+    e, u = e[::-1][:top], u[:, ::-1][:, :top]
+    return ((n * x - sums) ** 2).sum(axis=1), c @ u / np.sqrt(e), e / np.trace(c.T @ c / n)
+
+
+def test_whitening_of_the_table(spark):
+    table = common.table(spark, f"{DATA}/sf0.001", "embeddings")
+    rows = {r["vec_id"]: r["embedding"] for r in table.collect()}
+    got = registry.QUERIES["op11_embedding_whitening"](spark, f"{DATA}/sf0.001").toPandas().sort_values(["vec_id", "component"])
+    ids = sorted(rows)
+    deviation, white, share = plain_whitening([rows[k] for k in ids])
+    mine = got["whitened"].to_numpy().reshape(len(ids), 32)
+    assert got["vec_id"].to_numpy().reshape(-1, 32)[:, 0].tolist() == ids and (got["deviation"].to_numpy().reshape(-1, 32) == deviation[:, None]).all()
+    assert np.abs(mine * np.sign((mine * white).sum(axis=0)) - white).max() < 1e-9
+    assert np.allclose(got["explained"].to_numpy()[:32], share, rtol=1e-12) and got["identity_error"].max() < 1e-9 and set(got["n"]) == {len(ids)}
+
+
+def test_lanczos_finds_copies_of_eigenvalues_and_small_ones():
+    rng = np.random.default_rng(3)
+    for dim, top, block, values in ((40, 12, 4, [9.0] * 10 + [1.0] * 30), (60, 8, 3, [1.0] * 60), (90, 10, 4, 0.8 ** np.arange(90)), (30, 32, 16, [5.0] * 3 + [0.0] * 27), (200, 20, 8, 1 / (1 + np.arange(200.0)))):
+        u = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+        v = (u * np.array(values)) @ u.T
+        passes = []
+        e, q = whitening.lanczos(lambda x: passes.append(1) or v @ x, dim, min(top, dim), block)
+        want = np.sort(values)[::-1][: min(top, dim)]
+        assert np.allclose(e, want, atol=1e-11) and np.abs(q.T @ q - np.eye(len(e))).max() < 1e-12
+        assert np.linalg.norm(v @ q - q * e, axis=0).max() < 1e-11 and len(passes) <= -(-dim // block)
+
+
+def test_whitening_odd_cases(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(1, [0.5, 1.0, 2.0]), (2, [0.25, -1.0, 2.0]), (None, [1.0, 0.0, 2.0]), (2, [0.25, -1.0, 2.0]), (3, None), (4, [None, 1.0, 2.0]), (5, [math.nan, 1.0, 1.0]), (6, [math.inf, 0.0, 0.0]), (7, []), (8, [1.0, 2.0]), (9, [0.0, 0.0, 2.0])]
+    got = whitening.whitened(spark.createDataFrame(rows, schema).selectExpr("*", "1 as x", "2 as n")).collect()
+    assert Counter(r["vec_id"] for r in got) == Counter({1: 3, 2: 6, None: 3, 9: 3}) and {r["n"] for r in got} == {5}
+    assert {r["component"] for r in got if r["whitened"] is None} == {3} and all(abs(r["identity_error"]) < 1e-9 for r in got)
+    deviation, _, _ = plain_whitening([v for k, v in rows if v and len(v) == 3 and None not in v and all(map(math.isfinite, v))], 2)
+    assert sorted(int(r["deviation"]) for r in got if r["component"] == 1) == sorted(deviation.tolist())
+    for alone in ([(1, [1.0, 2.0])], [(k, [3.0, 4.0]) for k in range(5)]):
+        got = whitening.whitened(spark.createDataFrame(alone, schema)).collect()
+        assert len(got) == 2 * len(alone) and all(r["whitened"] is None and r["explained"] == 0 and r["deviation"] == 0 for r in got)
+    assert whitening.whitened(spark.createDataFrame([], schema)).count() == 0
+    far = whitening.whitened(spark.createDataFrame([(1, [1e300, 0.0]), (2, [-1e300, 1.0]), (3, [0.0, 5.0])], schema)).collect()
+    x = [[2**52 + 10**6, 10**6], [-(2**52) + 10**6, 10**6 + 64], [10**6, 10**6 + 320]]
+    sums = [sum(c) for c in zip(*x)]
+    assert {r["vec_id"]: int(r["deviation"]) for r in far} == {k + 1: sum((3 * v - s) ** 2 for v, s in zip(row, sums)) for k, row in enumerate(x)}
+
+
+# 12: nearest neighbours
+
+
+def brute_nearest(rows, k=10, every=1):
+    ok = [(i, np.array(v, float)) for i, v in {(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}]
+    out = set()
+    for q, x in ok:
+        if q % every == 0:
+            near = sorted((float(np.sqrt(((x - y) ** 2).sum())), i) for i, y in ok if i != q and len(y) == len(x))[:k]
+            out |= {(q, r + 1, i, round(d, 9)) for r, (d, i) in enumerate(near)}
+    return out
+
+
+def found(df):
+    return {(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in df.collect()}
+
+
+@pytest.mark.parametrize("kind", ["even", "clustered", "copies"])
+def test_nearest_neighbours_recall(spark, kind):
+    rng = np.random.default_rng(6)
+    n, dim = 1_500, 24
+    x = rng.normal(size=(n, dim))
+    if kind == "clustered":
+        x = rng.normal(size=(12, dim))[rng.integers(0, 12, n)] * 4 + 0.2 * x
+    if kind == "copies":
+        x[: n // 3] = x[0]
+        x[n // 3 : n // 2] = x[n // 2] + 1e-3 * x[n // 3 : n // 2]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = found(neighbours.nearest(vectors, vectors.where("vec_id % 10 = 0"))), brute_nearest(rows, every=10)
+    assert len(got) == len(want) and {t[:2] for t in got} == {t[:2] for t in want}
+    pairs = {(a, b) for a, _, b, _ in want}
+    assert len({(a, b) for a, _, b, _ in got} & pairs) >= 0.95 * len(pairs)
+
+
+def test_the_graph_itself(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 16))
+    units, _ = common.stored(neighbours._packed(spark.createDataFrame([(k, 16, v.tolist()) for k, v in enumerate(x)], "node long, dim int, embedding array<double>"), "f4", 1.0), "test-units")
+    edges = neighbours.graph(units).toPandas()
+    d = ((x[:, None] - x) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    true = {(k, j) for k in range(600) for j in np.argsort(d[k])[:10].tolist()}
+    assert set(edges.groupby("node").size()) == {neighbours.DEGREE} and np.allclose(edges["d"], d[edges["node"], edges["to"]], rtol=1e-4)
+    assert len(true & set(zip(edges["node"], edges["to"]))) >= 0.98 * len(true)
+
+
+def test_neighbours_odd_cases(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [1.0, 0.0]), (10, [1.0, 0.1]), (20, [5.0, 5.0]), (20, [5.0, 5.0]), (30, [1.0, 0.0]), (40, None), (50, [0.0, 0.0]), (60, [math.nan, 1.0]), (70, [None, 1.0]), (80, []), (None, [1.0, 0.2]), (90, [1.0, 2.0, 3.0]), (91, [1e300, 2.0, 3.0]), (100, [1e-300, 1.0]), (110, [1.0, 2.0, 3.0, 4.0])]
+    vectors = spark.createDataFrame(rows, schema).selectExpr("*", "1 as node", "2 as d", "3 as q")
+    assert found(neighbours.nearest(vectors, vectors)) == brute_nearest(rows)
+    twice = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0])]
+    got = Counter((r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest(spark.createDataFrame(twice, schema), spark.createDataFrame(twice[:2], schema)).collect())
+    assert got == Counter({(1, 1, 2): 1, (1, 2, 3): 1, (1, 1, 3): 1, (1, 2, 2): 1})
+    assert neighbours.nearest(spark.createDataFrame([], schema), spark.createDataFrame([], schema)).count() == 0
+    assert neighbours.nearest(spark.createDataFrame(rows[:1], schema), spark.createDataFrame(rows[:1], schema)).count() == 0
+
+
+# 13: lexical search
+
+
+def brute_search(docs, items, k=20):
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    texts = [(d, cut(t)) for d, t in docs]
+    some = [t for _, t in texts if t]
+    n_docs, n_terms = len(some), sum(map(len, some))
+    df = Counter(w for t in some for w in set(t))
+    asked = {}
+    for item, text in set(items):
+        if item is not None:
+            asked.setdefault(item, []).extend(cut(text))
+    out = []
+    for item, terms in asked.items():
+        scored = []
+        for d, t in texts:
+            tf, m = Counter(t), 75 + (25 * len(t) * n_docs) // max(n_terms, 1)
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1))) * (10**9 * tf[w] // (1000 * tf[w] + 12 * m)) for w in terms if tf[w])
+            scored.append((-score, d is None, d or 0, d, score))
+        out += [(item, r + 1, x[3], x[4]) for r, x in enumerate(sorted(x for x in scored if x[4] > 0)[:k])]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("shard, pairs", [(lexical.SHARD, lexical.PAIRS), (300, 40)])
+def test_lexical_brute_force(spark, monkeypatch, shard, pairs):
+    """Copies, ties, null ids and repeats; also where there are many shards and blocks of items."""
+    monkeypatch.setattr(lexical, "SHARD", shard)
+    monkeypatch.setattr(lexical, "PAIRS", pairs)
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(60)] + ["Été", "中文", "É"]
+    text = lambda n: " ".join(np.array(words)[(rng.random(n) ** 2 * len(words)).astype(int)])
+    docs = [(k, text(int(rng.integers(1, 60)))) for k in range(150)] + [(200 + k, "w3 W4, w5-w6") for k in range(60)] + [(None, "w3 w4 w5 w6"), (7, "w3 w4 w5 w6"), (900, None), (901, ""), (902, "!?")]
+    items = [(k, text(12)) for k in range(12)] + [(50, "w3 w4 w5 w6"), (51, "w3 w3 w3"), (52, ""), (53, None), (None, "w3"), (54, "nothing of it"), (55, "w1"), (55, "w2"), (55, "w2")]
+    got = lexical.search(lexical.build(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == brute_search(docs, items)
+
+
+def test_lexical_bounds_hold():
+    tf, n = np.repeat(np.arange(1, 400), 60), np.tile(np.arange(1, 61) ** 2 * 5, 399)
+    c = lexical.impact(tf, n, 1000, 90_000)
+    q = -(-c // lexical.STEP)
+    assert c.max() < 10**6 and q.max() <= 255 and (q * lexical.STEP >= c).all() and ((q - 1) * lexical.STEP + 1 <= c)[q > 0].all()
+    assert lexical.impact(np.array([3]), np.array([10**9]), 10**12, 10**13)[0] == (3 * 10**9) // (3000 + 12 * (75 + 25 * 10**9 * 10**12 // 10**13))
+
+
+def test_lexical_odd_cases(spark):
+    items = spark.createDataFrame([("a", "same words"), ("b", None)], "item_id string, text string")
+    got = lexical.search(lexical.build(odd(spark)), items.selectExpr("*", "1 as term")).collect()
+    assert [r["item_id"] for r in got] == ["a"] * 3 and got[0]["score"] >= got[-1]["score"] > 0
+    assert lexical.search(lexical.build(docs_of(spark, [])), items).count() == 0
+    assert lexical.search(lexical.build(odd(spark)), items.limit(0)).count() == 0
+    assert lexical.search(lexical.build(docs_of(spark, [None, "", "?"])), items).count() == 0

@@ -242,9 +242,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def sized(ids: DataFrame) -> DataFrame:
-    """``ids`` (one long column) hinted for broadcast if it is proven small."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+def sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``ids`` (one column of fixed width) hinted for broadcast if it is proven small."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ The broadcast is checked: beyond ``BROADCAST_WINDOWS`` windows, or ``BROADCAST_B
 shuffled instead, and the words of a document are joined again to its hits only.
 
 Defined results: null and empty texts have no words and are not contaminated; items without words or with a null item_id
-have no windows; repeated documents each give a row; repeated items count once; an empty benchmark hits nothing; other
-columns are carried through by ``clean`` and ignored otherwise.
+have no windows; repeated documents each give a row; repeated items count once; an empty benchmark hits nothing; ``clean``
+decides by text alone, so every row that holds a contaminated text goes, also one without a doc_id, and no other row does,
+whatever doc_id it shares; other columns are carried through by ``clean`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -86,9 +87,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold an occurrence of a benchmark window."""
-    bad = hits(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), benchmark).where("n_hit > 0")
-    found, _ = common.stored(bad.select("doc_id"), "contaminated")
-    return common.without(docs, found)
+    digest, (key,) = F.unhex(F.sha2("text", 256)), common.fresh(docs.columns, ["text_digest"])
+    bad = hits(docs.select(F.monotonically_increasing_id().alias("rid"), digest.alias("doc_id"), "text"), benchmark).where("n_hit > 0")
+    found, _ = common.stored(bad.select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return docs.withColumn(key, digest).join(common.sized(found, BROADCAST_WINDOWS), key, "left_anti").select(common.columns(docs))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

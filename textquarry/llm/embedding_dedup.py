@@ -12,7 +12,8 @@ the pairs. A pair that several cells find is counted in one of them only, which
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do vectors
 of different dimensions; a null vec_id has no links, no component and is not kept; exactly repeated rows count once as a
-node and each give a row; an empty table gives an empty result; other columns are ignored.
+vector and each give a row; different vectors under one vec_id are vectors of their own, each with its links and its component,
+of which the smallest vec_id is the name; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -200,7 +201,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     sound = "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)"
     rows = vectors.where(sound).distinct()
-    classes = rows.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("cnt"))
+    classes = rows.groupBy("embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("cnt"))
+    classes, _ = common.stored(classes.select(F.monotonically_increasing_id().alias("rep"), "low", "cnt", "embedding"), "embedding-classes")
     units, _ = common.stored(_units(classes), "embedding-units", "none")
 
     cells, _ = common.stored(_cells(units), "embedding-cells")
@@ -215,8 +217,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
 
     direct = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = common.components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "embedding-components")
-    per_class = classes.join(direct, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left")
-    per_class = per_class.select("embedding", F.expr("cnt - 1 + coalesce(links, 0L)").alias("links"), F.coalesce("component", "rep").alias("component"))
+    named = comps.join(classes.select(F.col("rep").alias("node"), "low"), "node")
+    named = named.join(named.groupBy("component").agg(F.min("low").alias("name")), "component").select(F.col("node").alias("rep"), "name")
+    per_class = classes.join(direct, "rep", "left").join(named, "rep", "left")
+    per_class = per_class.select("embedding", F.expr("cnt - 1 + coalesce(links, 0L)").alias("links"), F.coalesce("name", "low").alias("component"))
     out = vectors.where(sound).join(per_class, "embedding").select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     rest = vectors.where(f"not coalesce({sound}, false)").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.expr("vec_id = component_id"), F.lit(False)))

@@ -1,33 +1,33 @@
-"""Mixing sources to target weights: soft memberships, and rates by distributed projected-gradient weighted least squares.
+"""Mixing sources to target weights: soft memberships, and rates by distributed projected-gradient least squares.
 
 A softmax classifier, fitted on a bounded sample of the labelled table (``SAMPLE_ROWS``, smallest hash of doc_id first),
-gives each document a posterior over domains. A document's rate r says how often it is to be drawn; the expected tokens of
-domain d are ``totals_d = sum_i r_i * tokens_i * p_id``. Rates minimise ``(totals - target)' G^-1 (totals - target)`` with the
-Gram matrix ``G = sum_i tokens_i p_i p_i'`` over r >= 0, from r = 1. Targets that nonnegative rates can reach are met; others
-are missed by least in this metric, which is not that of plain differences. In the metric that weighs a document by its
-tokens the gradient step is ``r_i - p_i . G^-1 (totals - target)`` and its step size is 1: the change of a rate depends on the
-posterior alone, not on the length. Steps are accelerated (momentum, restarted where the error grows), and every step is one
-aggregate of a few sums over a slim table of tokens, posteriors and rates. The steps are then replayed on every document, so
-texts and other columns are never written in between.
-
-The search ends when the targets are met, or when the duality gap says that the error is within ``GAP`` of the least one. After
-``STEPS`` steps without that it raises and gives no rates: a target on the very edge of what documents can supply takes most
-steps, and the caller may ask for more of them or for a wider gap.
-
-Domains of the query: ``good`` (quality 1), ``poor`` (quality 0) and ``toxic`` (toxic 1). A domain that is the likeliest of no
-document with tokens is no source there (a filter before may have taken it away): ``mixed`` leaves its target out of the fit,
-and the others keep theirs. What posteriors give such a domain is a trace in documents of other ones; a target for it would be
-met, if at all, by drawing very few documents millions of times and no other.
+gives each document a posterior over domains. A document's rate r says how often it is to be drawn; the expected share of
+domain d is ``share_d = sum_i r_i * tokens_i * p_id`` over all tokens. Rates minimise the plain sum of squares of ``share -
+target`` over ``0 <= r <= MOST``, from r = 1: no target is left out, whatever supplies it, and ``MOST`` says how often one
+document may be drawn. Targets that such rates can reach are met. One that they cannot is missed by as little as the sum of
+squares allows, which leaves the others close to theirs, and the wanted and reached shares stand beside the rates.
+
+A step moves a rate against the gradient, ``p_i . (share - target)`` for each token of the document, and back into its bounds.
+Its length is ``PACE``, so great that the gradient has to be taken where the step ends, not where it begins: that makes an
+implicit step, which never overshoots. Its end is where ``e = share(clip(r - PACE p . e)) - target`` for a vector e of one
+number for each domain, found by Newton steps with several trial lengths at once. A trial is one aggregate over a slim table of
+tokens and posteriors, so a fit takes some twenty passes over that table and the driver holds a few numbers for each domain.
+The steps are then replayed on every document, so texts and other columns are never written in between.
+
+The fit ends when every share is within ``WITHIN`` of its target or a step moves none by more than that. After ``STEPS`` steps
+without that it raises and gives no rates.
+
+Domains of the query: ``good`` (quality 1), ``poor`` (quality 0) and ``toxic`` (toxic 1).
 
 Defined results: null and empty texts have 0 tokens and the posterior of an empty vector, and a rate like any other;
-repeated rows have equal rates; without labels the posterior is uniform, and every domain is a likeliest one; rows without
-any tokens at all leave every rate at 1; other columns are carried through, and a column of theirs that is called n_tokens,
-p or rate stays, the new one having ``_`` appended.
+repeated rows have equal rates; without labels the posterior is uniform; rows without any tokens at all leave every rate at 1
+and reach no share; other columns are carried through, and a column of theirs that is called like a new one (n_tokens, p, rate,
+wanted, reached) stays, the new one having ``_`` appended.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,8 +43,12 @@ SAMPLE_ROWS = 6_000
 DOMAINS = ("good", "poor", "toxic")
 #: Share of the expected tokens that each domain is to have.
 TARGETS = {"good": 0.88, "poor": 0.04, "toxic": 0.08}
-#: Steps of the fit before it gives up, and the error above the least one at which it ends: of all tokens, or of the least error.
-STEPS, GAP = 1_000, (1e-9, 0.01)
+#: How often a document may be drawn, at most.
+MOST = 100.0
+#: The length of a step, the shares within which the fit ends, and the steps after which it gives up.
+PACE, WITHIN, STEPS = 1e8, 1e-6, 100
+#: Lengths of a Newton step that are tried at once, and how many such steps a search takes at most.
+_TRIALS, _NEWTON = np.concatenate([0.5 ** np.arange(8), 0.1 ** np.arange(3, 10)]), 100
 _WORDS = 1 << 14
 _SHAPES = 1 << 9
 WIDTH = _WORDS + _SHAPES
@@ -146,92 +150,111 @@ def posteriors(docs: DataFrame, model: Softmax, moves: np.ndarray | None = None)
     return common.mapped(common.in_batches(docs), apply, tuple(StructField(name, kind) for name, kind in zip(new, kinds)))
 
 
-def replayed(p: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Rates of documents with posteriors ``p`` (rows x domains) after ``moves`` (momentum, then a step by domain)."""
-    r = q = np.ones(len(p))
-    for push, *step in moves:
-        r, q = np.maximum(0.0, r + push * (r - q) - p @ np.array(step)), r
-    return np.round(r, 9)
-
-
-def fitted(members: DataFrame, target: list[float], total: float | None = None, steps: int = STEPS, gap: tuple[float, float] = GAP) -> np.ndarray:
-    """The moves that fit the rates of ``members`` (n_tokens, p); ``target`` are shares of ``total`` (all tokens if unset)."""
-    k_domains = len(target)
-    whole = sum((F.col("p")[d] for d in range(1, k_domains)), F.col("p")[0])  # 1, unless domains are left out
-    pair = [(a, b) for a in range(k_domains) for b in range(a, k_domains)]
-    sums = members.agg(F.sum("n_tokens").alias("t"), *(F.sum(F.col("n_tokens") * F.col("p")[a] * F.col("p")[b]).alias(f"g{a}_{b}") for a, b in pair)).first()
-    moves: list[list[float]] = []
-    if not sums["t"]:
-        return np.zeros((0, 1 + k_domains))
-    tokens = float(sums["t"])
-    gram = np.zeros((k_domains, k_domains))
-    for a, b in pair:
-        gram[a, b] = gram[b, a] = sums[f"g{a}_{b}"]
-    inverse = np.linalg.pinv(gram, rcond=1e-9)
-    goal = np.array(target, float) / sum(target) * (total if total is not None else tokens)
-    state = members.where("n_tokens > 0").select("n_tokens", "p", F.lit(1.0).alias("r"), F.lit(1.0).alias("q"), F.lit(0.0).alias("slope"))
-    pace, least, step, path = 1.0, math.inf, None, None
-    for k in range(1, steps + 1):
-        following = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
-        push = (pace - 1) / following
-        state = state.withColumn("y", F.col("r") + push * (F.col("r") - F.col("q")))
-        got = np.array(state.agg(*(F.sum(F.col(x) * F.col("n_tokens") * F.col("p")[d]) for x in ("y", "r") for d in range(k_domains)), F.min(F.coalesce(F.try_divide("slope", whole), F.lit(0.0)))).first(), float)
-        ahead, here, lowest = got[:k_domains], got[k_domains : 2 * k_domains], got[-1]
-        error = float((here - goal) @ inverse @ (here - goal)) / 2
-        if step is not None:  # the last step, moved until it slopes up everywhere, bounds the least error from below
-            bound = step + max(0.0, -lowest)
-            if error - (-(bound @ gram @ bound) / 2 - goal @ bound) <= max(gap[0] * tokens, gap[1] * error):
-                return np.array(moves)
-        step = inverse @ (ahead - goal)
-        if np.abs(step).max() <= 1e-9:
-            return np.array([*moves, [push, *np.zeros(k_domains)]])
-        rise = float((ahead - goal) @ step)
-        pace, least = (1.0 if rise > least else following), rise
-        moves.append([push, *step])
-        slope = sum((F.col("p")[d] * float(step[d]) for d in range(1, k_domains)), F.col("p")[0] * float(step[0]))
-        state = state.select("n_tokens", "p", F.greatest(F.lit(0.0), F.col("y") - slope).alias("r"), F.col("r").alias("q"), slope.alias("slope"))
-        if k % 8 == 0:  # the chain of steps stays short; the state so far is a table
-            state, new = common.stored(state, "mixing-rates")
-            if path:
-                common.drop_path(members.sparkSession, path)
-            path = new
-    raise RuntimeError(f"no fit after {steps} steps: expected tokens by domain are {here.tolist()} for a target of {goal.tolist()}; allow more steps or a wider gap")
-
-
-def rates(members: DataFrame, target: list[float], total: float | None = None, steps: int = STEPS, gap: tuple[float, float] = GAP) -> DataFrame:
-    """``members`` (n_tokens, p, ...) with a nonnegative ``rate``."""
-    moves, again = fitted(members, target, total, steps, gap), replayed
+def replayed(p: np.ndarray, moves: np.ndarray, most: float = MOST) -> np.ndarray:
+    """Rates of documents with posteriors ``p`` (rows x domains) after ``moves`` (a vector by domain for each step)."""
+    r = np.ones(len(p))
+    for e in moves:
+        r = np.clip(r - PACE * (p @ np.asarray(e)), 0.0, most)
+    return r
+
+
+@dataclass(frozen=True)
+class Fit:
+    moves: np.ndarray  # steps x domains
+    wanted: np.ndarray  # shares of all tokens
+    reached: np.ndarray
+
+
+def _trials(members: DataFrame, tokens: float, most: float) -> Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+    """A function of (moves so far, trial steps): for each trial the shares of its rates, and the Gram matrix of the documents
+    that are within their bounds; one aggregate over ``members`` (n_tokens, p)."""
+    again = replayed
+
+    def tried(moves: np.ndarray, trials: np.ndarray):
+        domains = trials.shape[1]
+
+        def add(batches):
+            total = np.zeros((len(trials), domains + domains * domains))
+            for batch in batches:
+                p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                w, before = batch.column(0).to_numpy() / tokens, again(p, moves, most)
+                for k, e in enumerate(trials):
+                    y = before - PACE * (p @ e)
+                    free = (y > 0) & (y < most)
+                    total[k, :domains] += (w * np.clip(y, 0.0, most)) @ p
+                    total[k, domains:] += (p[free].T @ (p[free] * w[free, None])).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["k", "s"])
+
+        got = members.select("n_tokens", "p").mapInArrow(add, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).orderBy("k").collect()
+        table = np.array([r["s"] for r in got]).reshape(len(trials), -1)
+        return [(x[:domains], x[domains:].reshape(domains, domains)) for x in table]
+
+    return tried
+
+
+def _step(tried, moves: np.ndarray, goal: np.ndarray, e: np.ndarray, within: float):
+    """The vector at which an implicit step ends, and the shares there.
+
+    ``e + target - share`` is the gradient of a convex function of e: Newton steps, each as long as that function falls on it.
+    """
+    share, gram = tried(moves, e[None])[0]
+    for _ in range(_NEWTON):
+        slope = e + goal - share
+        if np.abs(slope).max() <= within / 10:
+            return e, share
+        way = -np.linalg.solve(np.eye(len(e)) + PACE * gram, slope)
+        trials = e + _TRIALS[:, None] * way
+        seen = tried(moves, trials)
+        falls = [k for k, (x, (y, _)) in enumerate(zip(trials, seen)) if (x + goal - y) @ way <= 0.1 * abs(slope @ way)]
+        best = falls[0] if falls else len(trials) - 1
+        e, (share, gram) = trials[best], seen[best]
+    raise RuntimeError(f"a step does not end: shares by domain are {share.tolist()} for {goal.tolist()}; allow a wider tolerance")
+
+
+def fitted(members: DataFrame, target: list[float], most: float = MOST, within: float = WITHIN, steps: int = STEPS) -> Fit:
+    """The fit of the rates of ``members`` (n_tokens, p) to shares ``target`` (of their sum) of all tokens."""
+    if not sum(target) > 0 or min(target) < 0:
+        raise ValueError(f"target shares must be nonnegative and some of them positive: {target}")
+    goal = np.array(target, float) / sum(target)
+    members = members.where("n_tokens > 0")
+    tokens = members.agg(F.sum("n_tokens")).first()[0]
+    if not tokens:
+        return Fit(np.zeros((0, len(goal))), goal, np.zeros(len(goal)))
+    tried, moves = _trials(members, float(tokens), most), np.zeros((0, len(goal)))
+    before, share, e = None, np.zeros(len(goal)), np.zeros(len(goal))
+    for _ in range(steps):
+        e, share = _step(tried, moves, goal, e, within)
+        moves = np.vstack([moves, e])
+        if np.abs(share - goal).max() <= within or (before is not None and np.abs(share - before).max() <= within):
+            return Fit(moves, goal, share)
+        before = share
+    raise RuntimeError(f"no fit after {steps} steps: shares by domain are {share.tolist()} for {goal.tolist()}; allow more steps or a wider tolerance")
+
+
+def rates(members: DataFrame, target: list[float], most: float = MOST, within: float = WITHIN, steps: int = STEPS) -> DataFrame:
+    """``members`` (n_tokens, p, ...) with a ``rate`` between 0 and ``most``."""
+    moves, again = fitted(members, target, most, within, steps).moves, replayed
     where, (name,) = members.columns.index("p"), common.fresh(members.columns, ["rate"])
 
     def apply(batches):
         for batch in batches:
             p = np.array(batch.column(where).to_pylist(), float).reshape(batch.num_rows, len(target))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(again(p, moves))], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(again(p, moves, most))], names=[*batch.schema.names, name])
 
     return common.mapped(members, apply, (StructField(name, DoubleType()),))
 
 
-def supplied(members: DataFrame) -> list[int]:
-    """The domains that are the likeliest of some document with tokens, a tie counting for all in it."""
-    likely = [F.max(F.col("p")[d] == F.array_max("p")) for d in range(len(DOMAINS))]
-    return [d for d, some in enumerate(members.where("n_tokens > 0").agg(*likely).first()) if some]
-
-
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """``docs`` with n_tokens, p and rate."""
+    """``docs`` with n_tokens, p, rate, and the wanted and reached shares of all domains (the same in every row)."""
     model = train(docs, labels)
     members, _ = common.stored(posteriors(docs.select("text"), model).select("n_tokens", "p"), "mixing-members")
-    there = supplied(members)
-    target = [targets[DOMAINS[d]] for d in there]
-    if len(there) == len(DOMAINS) or not sum(target):  # all of them, or no tokens at all
-        return posteriors(docs, model, fitted(members, [targets[d] for d in DOMAINS]))
-    n_tokens = members.agg(F.sum("n_tokens")).first()[0]
-    part = fitted(members.select("n_tokens", F.array(*(F.col("p")[d] for d in there)).alias("p")), target, n_tokens * sum(target) / sum(targets.values()))
-    moves = np.zeros((len(part), 1 + len(DOMAINS)))
-    moves[:, [0, *(1 + d for d in there)]] = part
-    return posteriors(docs, model, moves)
+    fit = fitted(members, [targets[d] for d in DOMAINS])
+    out = posteriors(docs, model, fit.moves)
+    shares = zip(common.fresh(out.columns, ["wanted", "reached"]), (fit.wanted, fit.reached))
+    return out.select(*common.columns(out), *(F.array(*(F.lit(float(x)) for x in values)).alias(name) for name, values in shares))
 
 
 def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixed(common.table(spark, sf_dir, "documents").select("doc_id", "text", "source"), common.table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "source", "n_tokens", *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate")
+    by_domain = [F.col(c)[k].alias(f"{c}_{d}") for c in ("p", "wanted", "reached") for k, d in enumerate(DOMAINS)]
+    return out.select("doc_id", "source", "n_tokens", *by_domain[:3], "rate", *by_domain[3:])
