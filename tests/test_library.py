@@ -1,16 +1,20 @@
 import json
 import os
+import random
+import re
 import subprocess
+import time
 import xml.etree.ElementTree as ET
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from textquarry import cli
+from textquarry import cli, work
 from textquarry.functions import columns as C
 from textquarry.functions import tokens as T
-from textquarry.operators import accuracy, blocks, changes, filters, graph, outline, ranking, selection
+from textquarry.operators import accuracy, blocks, changes, duplicates, factoring, filters, graph, ordered, outline, ranking, selection
+from textquarry.operators.blocks import Claims
 from textquarry.operators.selection import Budget
 from textquarry.plans import config, pack
 from textquarry.sources import git, tree
@@ -502,3 +506,142 @@ def test_windowed_streams_and_batches(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == [4, 2, 2] and len(failed) == 1
+
+
+# orders over a whole corpus
+
+
+def test_running_totals_need_no_single_partition(spark):
+    rows = spark.range(500).selectExpr("(id * 7919) % 500 as k", "id % 11 as v", "id as other").repartition(5)
+    out = ordered.running(rows, [F.desc("k")], n=F.lit(1), total=F.col("v"))
+    assert "Exchange SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    total = 0
+    for n, r in enumerate(sorted(out.collect(), key=lambda r: -r["k"]), 1):
+        total += r["v"]
+        assert (r["n"], r["total"]) == (n, total)
+    assert ordered.running(rows.limit(0), [F.col("k")], n=F.lit(1)).count() == 0
+
+
+@pytest.mark.parametrize("digit", [ordered.DIGIT, 2, 3])
+def test_order_statistics(spark, monkeypatch, digit):
+    """Ties, very large and very small values, nulls and NaN, groups of one and a null group."""
+    monkeypatch.setattr(ordered, "DIGIT", digit)
+    rng = random.Random(2)
+    groups = {"a": [rng.choice([0.5, 0.25, 3.0]) for _ in range(60)], "b": [1.0], None: [rng.gauss(0, 1) for _ in range(40)], "c": [-1e300, 1e-300, 0.0, 1e300, -2.5]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("a", float("nan")), ("d", None)]
+    ranks = [(g, str(r), r) for g, vs in groups.items() for r in {0, len(vs) // 2, len(vs) - 1, len(vs)}]
+    values = spark.createDataFrame(rows, "g string, value double")
+    out = ordered.order_statistics(values, spark.createDataFrame(ranks, "g string, want string, rank long"), ["g"])
+    got = {(r["g"], int(r["want"])): r["value"] for r in out.collect()}
+    assert got == {(g, r): sorted(groups[g])[r] for g, _, r in ranks if r < len(groups[g])}
+
+
+def test_accuracy_collects_no_group(spark):
+    pairs = spark.createDataFrame([("a" if k % 3 else "b", float(k), float(k % 7 + 1)) for k in range(60)], "ext string, estimate double, truth double")
+    plan = accuracy.by_group(pairs)._jdf.queryExecution().toString()
+    assert not re.search("collect_list|percentile|sort_array", plan)
+
+
+# factoring as relations
+
+
+def tangled(n=40):
+    """Files with shared blocks that overlap, nest, repeat within a file and stand inside brackets."""
+    rng = random.Random(5)
+    shared = ["".join(f"# clause {b} {k} of the text\n" for k in range(rng.randint(4, 9))) for b in range(5)]
+    shared.append("x = [\n" + "".join(f'    "item {k} of the list",\n' for k in range(6)) + "]\n")
+    shared.append("".join("# the same line again\n" for _ in range(9)))
+    shared.append(shared[0] + shared[1])
+    texts = {}
+    for k in range(n):
+        parts = [rng.choice(shared) for _ in range(rng.randint(1, 4))]
+        own = [f"def only_{k}_{j}():\n    return {j}\n" for j in range(len(parts))]
+        texts[f"src/m{k:02}.py"] = ("\r\n" if k % 9 == 0 else "\n").join("".join(a + b for a, b in zip(parts, own)).split("\n"))
+    return texts
+
+
+def test_factoring_as_relations_is_that_of_a_bundle(spark):
+    texts = tangled()
+    files = spark.createDataFrame([*texts.items(), ("empty.py", ""), ("none.py", None)], "path string, text string")
+    found = blocks.find_blocks(files.where("text is not null"))
+    ours = work.stored(factoring.found_blocks(files.where("text is not null")), "test-found")
+    assert sorted((r["text"], r["occurrences"], r["tokens"]) for r in ours.collect()) == sorted((b.text, b.occurrences, b.tokens) for b in found)
+    want, used = blocks.factor(texts, found)
+    new, table = factoring.factored(files, ours)
+    assert {r["path"]: r["text"] for r in new.collect()} == want | {"empty.py": "", "none.py": None}
+    ids = blocks.block_ids(used)
+    assert used and {r["id"]: (r["text"], r["lines"], r["occurrences"]) for r in table.collect()} == {ids[b.text]: (b.text, b.lines, b.occurrences) for b in used}
+
+
+def test_blocks_are_located_wherever_they_are(spark):
+    rng = random.Random(3)
+    texts = {f"f{k}": [rng.choice("abc") for _ in range(rng.randint(0, 60))] for k in range(30)}
+    runs = [texts[f"f{k}"][s : s + n] for k, s, n in ((1, 0, 1), (2, 3, 2), (3, 1, 3), (4, 2, 5), (5, 0, 7), (6, 0, 8), (7, 1, 13))] + [["a"] * 3, ["zz"], []]
+    files = spark.createDataFrame([(p, "\n".join(x)) for p, x in texts.items()], "path string, text string")
+    blocks_ = spark.createDataFrame(list(enumerate(runs)), "block int, lines array<string>")
+    got = sorted(tuple(r) for r in factoring.located(files, blocks_).collect())
+    assert got == sorted((b, p, k) for b, run in enumerate(runs) if run for p, x in texts.items() for k in range(len(x)) if x[k : k + len(run)] == run)
+    assert factoring.located(files, blocks_.limit(0)).count() == 0
+
+
+def test_claims_of_one_file_with_very_many_spots(spark):
+    rng = random.Random(1)
+    few = [(rng.randint(1, 9), f"f{rng.randint(0, 3)}", rng.randint(0, 40)) for _ in range(200)]
+    length = {r: rng.randint(1, 6) for r in range(1, 10)}
+    order, want, taken = Claims(), [], sorted(set(few))
+    for rank in length:
+        mine = order.free([(p, s) for r, p, s in taken if r == rank], length[rank])
+        order.take(mine, length[rank])
+        want += [(rank, p, s) for p, s in mine]
+    rows = spark.createDataFrame([(r, p, s, length[r]) for r, p, s in sorted(set(few), key=lambda _: rng.random())], "rank long, path string, start int, n int")
+    assert sorted(map(tuple, factoring.claims(rows).collect())) == sorted(want)
+    many = spark.range(100_000).selectExpr("id % 7 + 1 as rank", "'one' as path", "cast(id as int) as start", "cast(id % 7 + 2 as int) as n")
+    at = time.monotonic()
+    got = sorted((r["start"], r["start"] + r["rank"] + 1) for r in factoring.claims(many).collect())
+    assert len(got) > 10_000 and all(a[1] <= b[0] for a, b in zip(got, got[1:])) and time.monotonic() - at < 60
+
+
+# similar files
+
+
+def test_copies_are_a_class_and_never_pairs(spark):
+    text = "\n".join(f"a line of the text number {k}" for k in range(20))
+    near = text.replace("number 3", "number 99")
+    files = spark.range(3_000).select(F.format_string("c%05d", "id").alias("path"), F.when(F.col("id") % 1_000 == 7, near).otherwise(text).alias("text"), F.col("id").alias("ord"))
+    pairs, members = duplicates.similar_pairs(files)
+    assert [(r["a"], r["b"]) for r in pairs.collect()] == [("c00000", "c00007")] and members.count() == 3_000 and members.select("rep").distinct().count() == 2
+    best = {r["path"]: (r["of_path"], r["similarity"]) for r in duplicates.best_match(files, pairs, members).collect()}
+    assert len(best) == 2_999 and best["c00007"][0] == "c00000" and best["c00007"][1] < 1 and best["c01007"] == ("c00007", 1.0) and best["c02999"] == ("c00000", 1.0)
+
+
+# imports and cuts
+
+
+def test_script_imports_by_token(spark):
+    cases = {
+        "import a from 'x'": ["x"], "import 'x'; import b from \"y\"": ["x", "y"], "export {\n a,\n b as c\n} from './z'": ["./z"], "export * as n from 'n'": ["n"], "import type {T} from 't'": ["t"],
+        "const q = require( 'r' )": ["r"], "await import(\n'dyn')": ["dyn"], "import x = require('eq')": ["eq"], "// import a from 'no'": [], "/* require('no') */ f()": [], "s = \"import('no')\"": [],
+        "`import a from 'no'`": [], "from 'no'": [], "export const a = from('no')": [], "x.from('no')": [], "export default 'no'": [], "import {a /* 'no' */, b} from 'yes'": ["yes"], "import a from 'x'\nimport a from 'x'": ["x"],
+        "'a\\'b' + require('esc')": ["esc"], "": [], "/* open require('no')": [], "import '": [], "import ''": [],
+    }
+    rows = spark.createDataFrame(list(cases.items()), "text string, want array<string>").withColumn("got", graph.js_imports(F.col("text"))).collect()
+    assert {r["text"]: r["got"] for r in rows} == cases
+    long = spark.createDataFrame([("'" + "x\\'" * 20_000 + "' + require('a')" + "\n/* " + "y" * 100_000 + "*/ import('b')",)], "text string").select(graph.js_imports(F.col("text")).alias("got"))
+    assert long.first()["got"] == ["a", "b"]
+
+
+def test_popular_stems_meet_no_specifier_more_than_the_fan_out(spark):
+    files = spark.createDataFrame([(f"lib/d{k:03}/types.ts", "") for k in range(300)] + [("src/a.ts", "import x from 'types'")], "path string, text string")
+    assert [(r["src"], r["dst"]) for r in graph.edges(files).orderBy("dst").collect()] == [("src/a.ts", f"lib/d{k:03}/types.ts") for k in range(8)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_truncation_keeps_as_many_lines_as_fit(seed):
+    rng = random.Random(seed)
+    text = "".join("".join(rng.choice(["word ", "12 ", "  ", "it's ", "é", "__", "…\t", "x=y;", "\x0c"]) for _ in range(rng.randint(0, 9))) + rng.choice(["\n", "\r\n", "\n\n", "\n    "]) for _ in range(80))
+    lines = text.splitlines(keepends=True)
+    for limit in (20, 60, 200):
+        cut, tokens, kept = selection.truncated(text, limit)
+        whole = [T.estimate("".join(lines[:k]) + selection._note(text.count("\n") + 1 - k, text.count("\n") + 1)) for k in range(1, len(lines))]
+        assert tokens == T.estimate(cut) == whole[kept - 1] and cut.startswith("".join(lines[:kept]))
+        assert (tokens <= limit or kept == 1) and (kept == len(whole) or whole[kept] > limit)  # costs may fall by one, where white space joins

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.functions import columns as C
-from textquarry.operators import blocks, duplicates, filters, graph, outline, ranking
+from textquarry.operators import blocks, duplicates, factoring, filters, graph, outline, ranking
 from textquarry.operators.selection import Budget
 from textquarry.plans import pack as plan
 from textquarry.sources import corpus, tree
@@ -65,12 +65,18 @@ class Corpus:
         """Edges, entry points and hop distances."""
         return graph.analysed(self.texts())
 
-    def near_duplicates(self, threshold: float = 0.85) -> DataFrame:
+    def near_duplicates(self, threshold: float = 0.85) -> tuple[DataFrame, DataFrame]:
+        """Similar pairs of texts that differ, and the class of equal ones that each file is in."""
         return duplicates.similar_pairs(self.texts().where("text is not null"), threshold)
 
     def shared_blocks(self, **options) -> list[blocks.Block]:
         return blocks.find_blocks(self.texts().where("text is not null"), **options)
 
+    def factored(self, min_lines: int = 4, min_occurrences: int = 3) -> tuple[DataFrame, DataFrame]:
+        """All texts with their repeated blocks replaced by markers, and the blocks."""
+        texts = self.texts().where("text is not null")
+        return factoring.factored(texts, factoring.found_blocks(texts, min_lines), min_occurrences)
+
     def outlines(self) -> DataFrame:
         return outline.rendered(outline.nodes(self.texts()))
 

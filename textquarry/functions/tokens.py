@@ -36,6 +36,25 @@ def cost(pieces: Counter, costs=fixed.TOKEN_COSTS) -> float:
     return sum(n * (1.0 if size <= costs[c][1] else (size - costs[c][1]) / costs[c][0]) for (c, size), n in pieces.items())
 
 
+def _price(piece_cls: str, size: int, costs) -> float:
+    ratio, free = costs[piece_cls]
+    return 1.0 if size <= free else (size - free) / ratio
+
+
+def line_costs(text: str, ends: list[int], costs=fixed.TOKEN_COSTS) -> list[tuple[float, int]]:
+    """For every offset in ``ends`` (rising, each behind a line end): the cost of the pieces that end before the white space
+    there, and where that white space begins. A piece that an offset cuts is white space."""
+    out, total, k = [], 0.0, 0
+    for m in _SPLIT.finditer(text):
+        start, stop = m.span()
+        while k < len(ends) and ends[k] <= stop:
+            if ends[k] > start:
+                out.append((total, start))
+            k += 1
+        total += _price(piece_class(m[0]), stop - start, costs)
+    return out
+
+
 def estimate(text: str, calibration: float = 1.0, costs=fixed.TOKEN_COSTS) -> int:
     """0 for an empty text, otherwise 1 at least."""
     return max(1, math.ceil(round(cost(histogram(text), costs) * calibration, 9))) if text else 0

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textquarry import work
 from textquarry.functions import columns as C
 
 
@@ -16,13 +17,27 @@ def signatures(files: DataFrame, min_lines: int = 12) -> DataFrame:
     return out.select("path", "sig", F.size("sig").alias("n")).where(F.col("n") >= min_lines)
 
 
-def similar_pairs(files: DataFrame, threshold: float = 0.85, min_lines: int = 12) -> DataFrame:
-    """(a, b, similarity), a < b, of the pairs that reach ``threshold``.
+def classes(files: DataFrame, min_lines: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(path, rep) of every file with a signature, rep being the first path of those with equal signature lines, and (path, sig,
+    n) of the representatives. Copies meet by a digest, so a class of any size is one row for each file."""
+    every = C.bound(signatures(files, min_lines), lines=F.array_sort("sig"))
+    every = every.select("path", "sig", "n", F.sha2(F.to_json("lines"), 256).alias("digest"))
+    every = work.stored(every, "signatures")
+    first = every.groupBy("digest").agg(F.min("path").alias("rep"))
+    members = work.stored(every.select("path", "digest").join(first, "digest").select("path", "rep"), "signature-classes")
+    return members, every.join(members.where("path = rep").select("path"), "path", "left_semi").select("path", "sig", "n")
 
-    Lines are ordered by how many files hold them; only a file's rarest lines (its prefix) can make it a candidate, so a line
-    that every file has joins nothing. Candidates are verified on the whole signatures.
+
+def similar_pairs(files: DataFrame, threshold: float = 0.85, min_lines: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(a, b, similarity), a < b, of the representatives that reach ``threshold``, and (path, rep) of all files with a signature.
+
+    Files with equal signatures are one class and are compared once, so copies never become pairs; a file is as similar to
+    another as their representatives are, and wholly similar to those of its class. Lines are ordered by how many classes hold
+    them; only a class's rarest lines (its prefix) can make it a candidate, so a line that every file has joins nothing.
+    Candidates are verified on the whole signatures.
     """
-    sigs = signatures(files, min_lines)
+    members, sigs = classes(files, min_lines)
+    sigs = work.stored(sigs, "signature-heads")
     lines = sigs.select("path", "n", F.explode("sig").alias("line"))
     often = lines.groupBy("line").agg(F.count("*").alias("df")).where("df > 1")
     order = Window.partitionBy("path").orderBy("df", "line")
@@ -33,17 +48,22 @@ def similar_pairs(files: DataFrame, threshold: float = 0.85, min_lines: int = 12
     both = pairs.join(sigs.select(F.col("path").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("path").alias("b"), F.col("sig").alias("y")), "b")
     inter = F.size(F.array_intersect("x", "y"))
     out = both.select("a", "b", (inter / (F.size("x") + F.size("y") - inter)).alias("similarity"))
-    return out.where(F.col("similarity") >= threshold - 1e-12)
+    return out.where(F.col("similarity") >= threshold - 1e-12), members
 
 
-def best_match(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(path, of_path, similarity): the most similar file of a lower ordinal; ties go to the lowest ordinal."""
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    mine = ranked.select(F.col("path").alias("a"), F.col("ord").alias("mine"))
-    theirs = ranked.select(F.col("path").alias("b"), F.col("ord").alias("theirs"))
-    earlier = both.join(mine, "a").join(theirs, "b").where("theirs < mine")
-    best = earlier.groupBy("a").agg(F.max(F.struct("similarity", (-F.col("theirs")).alias("first"), "b")).alias("m"))
-    return best.select(F.col("a").alias("path"), F.col("m.b").alias("of_path"), F.col("m.similarity").alias("similarity"))
+def best_match(ranked: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(path, of_path, similarity): the most similar file of a lower ordinal; ties go to the lowest ordinal.
+
+    Of a class only its file of the lowest ordinal can be a best match, so a file meets one row for each class near its own.
+    """
+    known = work.stored(members.join(ranked.select("path", "ord"), "path"), "matched-members")
+    heads = known.groupBy("rep").agg(F.min(F.struct("ord", "path")).alias("head"))
+    own = heads.select("rep", F.col("rep").alias("near"), F.lit(1.0).alias("similarity"))
+    near = own.unionByName(pairs.select(F.col("a").alias("rep"), F.col("b").alias("near"), "similarity")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("near"), "similarity"))
+    near = near.join(heads.withColumnRenamed("rep", "near"), "near").select("rep", "similarity", F.col("head.ord").alias("theirs"), F.col("head.path").alias("of"))
+    met = known.join(near, "rep").where("theirs < ord")
+    best = met.groupBy("path").agg(F.max(F.struct("similarity", (-F.col("theirs")).alias("first"), "of")).alias("m"))
+    return best.select("path", F.col("m.of").alias("of_path"), F.col("m.similarity").alias("similarity"))
 
 
 def jaccard(a: set, b: set) -> float:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from textquarry import work
 from textquarry.functions import columns as C
 from textquarry.functions import fixed as V
-from textquarry.operators import blocks, graph, outline, ranking, selection
+from textquarry.operators import blocks, factoring, graph, ordered, outline, ranking, selection
 from textquarry.plans.queries import _LINES, _LINKS, _STRIP, _TOP, _WS, FILES, PARTS, SCORED, _in, _links, _meta, query, token_sql
 from textquarry.sources import corpus
 
@@ -85,6 +86,32 @@ def manifest_entries(spark, sf_dir):
     return selection.manifest(C.with_tokens(texts), cut.where("not considered")).select("path", "size", "tokens", "estimated")
 
 
+_ENTRIES = f"""{SCORED}, o AS (SELECT path, size, greatest(1, ceil(size / 3.4))::BIGINT AS tokens, row_number() OVER (ORDER BY score DESC, path) AS k, count(*) OVER () AS total FROM scored),
+line AS (SELECT 2 * k AS id, CASE WHEN k > 1 THEN chr(10) ELSE '' END || format('  {{:>9}}  {{:>10}}  {{}}', format('{{:,}}', tokens), format('{{:,}}', size), path) AS text FROM o
+  UNION ALL SELECT 2 * k + 1, CASE WHEN k < total THEN chr(10) || '  ... and ' || format('{{:,}}', total - k) || ' more files (not listed)' ELSE '' END FROM o),
+{token_sql('line', 'id')}, spent AS (SELECT id, coalesce(cost, 0) AS c FROM line LEFT JOIN cost USING (id)),
+part AS (SELECT o.*, ceil(round(sum(a.c) OVER (ORDER BY k) + b.c, 6))::BIGINT AS used FROM o JOIN spent a ON a.id = 2 * k JOIN spent b ON b.id = 2 * k + 1)"""
+
+
+@query(f"WITH {_ENTRIES} SELECT path, k AS n, used FROM part WHERE used <= 2000")
+def manifest_trim(spark, sf_dir):
+    """The leading part of the index of all files that fits 2,000 tokens."""
+    files = ranking.scored(_meta(spark, sf_dir)).select("path", "size", "score", C.size_tokens(F.col("size")).alias("tokens"))
+    return selection.trimmed(files, [F.desc("score"), F.col("path")], 2_000, files.count()).select("path", "n", "used")
+
+
+_HEADS = f"""{FILES}, cut AS (SELECT doc_id, path, text, string_split(text, chr(10)) AS l FROM files WHERE text IS NOT NULL AND contains(text, chr(10))),
+upto AS (SELECT doc_id, path, unnest(range(1, len(l) + (l[-1] <> '')::INT)) AS k, l, len(l) AS total FROM cut),
+head AS (SELECT doc_id * 1000000 + k AS id, doc_id, path, k, array_to_string(l[1:k], chr(10)) || chr(10) || chr(10) || '... [' || format('{{:,}}', total - k) || ' of ' || format('{{:,}}', total) || ' lines left out]' || chr(10) AS text FROM upto WHERE k < len(l)),
+{token_sql('head', 'id')}, fit AS (SELECT doc_id, path, k, text, tokens, row_number() OVER (PARTITION BY doc_id ORDER BY (tokens <= 200) DESC, CASE WHEN tokens <= 200 THEN -k ELSE k END) AS r FROM head JOIN tok USING (id))"""
+
+
+@query(f"WITH {_HEADS} SELECT path, k::INT AS lines, tokens, md5(text) AS digest FROM fit WHERE r = 1")
+def truncated_texts(spark, sf_dir):
+    """Every text of several lines cut to 200 tokens with its note."""
+    return selection.cut(corpus.documents(spark, sf_dir).where("contains(text, '\n')").select("path", "text"), 200).select("path", "lines", "tokens", F.md5("text").alias("digest"))
+
+
 _CHOSEN = f"""{SCORED}, {token_sql('files', 'doc_id')}, o AS (SELECT lang, path, ext, dirname, tokens, row_number() OVER (PARTITION BY lang ORDER BY score DESC, path) AS k FROM scored JOIN tok USING (doc_id)),
 r AS (SELECT lang, path, ext, dirname, tokens, k, tokens <= 20000 AS chosen, CASE WHEN tokens <= 20000 THEN tokens ELSE 0 END AS used FROM o WHERE k = 1
   UNION ALL SELECT o.lang, o.path, o.ext, o.dirname, o.tokens, o.k, r.used + o.tokens <= 20000, r.used + CASE WHEN r.used + o.tokens <= 20000 THEN o.tokens ELSE 0 END FROM r JOIN o ON o.lang = r.lang AND o.k = r.k + 1)"""
@@ -116,10 +143,9 @@ def bundle_accounts(spark, sf_dir):
 
 @query(f"WITH {PARTS}, o AS (SELECT lang, size, row_number() OVER (PARTITION BY lang ORDER BY size) AS k, count(*) OVER (PARTITION BY lang) AS n FROM parts) SELECT lang, size AS upper_median FROM o WHERE k = n // 2 + 1")
 def upper_median(spark, sf_dir):
-    rows = corpus.documents(spark, sf_dir).select("lang", "size")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    order = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("size")))
-    return order.join(F.broadcast(counts), "lang").where("k = n div 2 + 1").select("lang", F.col("size").alias("upper_median"))
+    rows = corpus.documents(spark, sf_dir).select("lang", F.col("size").alias("value"))
+    middle = rows.groupBy("lang").agg(F.expr("count(*) div 2").alias("rank")).select("lang", F.lit("median").alias("want"), "rank")
+    return ordered.order_statistics(rows, middle, ["lang"]).select("lang", F.col("value").cast("long").alias("upper_median"))
 
 
 @query(f"WITH RECURSIVE {_LINKS}, r(node) AS (SELECT 'p1' UNION SELECT dst FROM r JOIN capped ON src = node) SELECT count(*) AS reached FROM r")
@@ -139,11 +165,47 @@ def block_ids(spark, sf_dir):
 
 @query(f"WITH {FILES}, {_LINES}, s AS (SELECT path, start, row_number() OVER (PARTITION BY path ORDER BY start) AS k FROM w) SELECT a.path, a.start::INT AS start, count(*) AS overlaps FROM s a JOIN s b ON a.path = b.path AND a.start <> b.start AND a.start < b.start + 2 AND b.start < a.start + 2 GROUP BY ALL")
 def interval_overlaps(spark, sf_dir):
-    """Runs of one file that overlap: an equi-join on the file and a range condition."""
+    """Runs of one file that overlap: those that start less than a width away, counted by a range frame."""
     runs = blocks.windows(corpus.documents(spark, sf_dir), 2).select("path", "start")
-    other = runs.select("path", F.col("start").alias("start2"))
-    met = runs.join(other, "path").where("start <> start2 and start < start2 + 2 and start2 < start + 2")
-    return met.groupBy("path", "start").agg(F.count("*").alias("overlaps"))
+    near = Window.partitionBy("path").orderBy("start").rangeBetween(-1, 1)
+    return runs.withColumn("overlaps", F.count("*").over(near) - 1).where("overlaps > 0")
+
+
+_BLOCKS = f"""{FILES}, {_LINES}, many AS (SELECT w.path, w.start, ls.l, first_value(w.start) OVER g AS s1, first_value(ls.l) OVER g AS l1, w."window" AS x FROM w JOIN ls USING (path)
+  WHERE w."window" IN (SELECT "window" FROM w GROUP BY 1 HAVING count(DISTINCT path) >= 2) WINDOW g AS (PARTITION BY w."window" ORDER BY w.path, w.start)),
+far AS (SELECT *, coalesce(list_min([i FOR i IN range(least(200, len(l) - start, len(l1) - s1)) IF l[start + 1 + i] <> l1[s1 + 1 + i]]), least(200, len(l) - start, len(l1) - s1)) AS reach FROM many),
+block AS (SELECT x, min(reach) AS n, count(*) AS spots, first(l1[s1 + 1:s1 + min_reach]) AS content FROM (SELECT *, min(reach) OVER (PARTITION BY x) AS min_reach FROM far) GROUP BY x)""".replace("AS window", 'AS "window"')
+
+
+@query(f'WITH {_BLOCKS} SELECT md5(x) AS block, path, start::INT AS start FROM block JOIN w ON w."window" = x JOIN ls USING (path) WHERE l[start + 1:start + n] = content')
+def block_locations(spark, sf_dir):
+    """Where the repeated runs of all documents occur, wherever they were found."""
+    files = corpus.documents(spark, sf_dir)
+    runs = work.stored(blocks.runs(files, 2), "located-runs")
+    return factoring.located(files, factoring.contents(files, runs))
+
+
+@query(
+    f"""WITH RECURSIVE {_BLOCKS}, o AS (SELECT path, start, n, x, row_number() OVER (PARTITION BY path ORDER BY n * spots DESC, content, start) AS k FROM block JOIN w ON w."window" = x),
+r AS (SELECT DISTINCT path, 0::BIGINT AS k, []::STRUCT(s BIGINT, e BIGINT)[] AS taken, false AS own, NULL::VARCHAR AS x, NULL::BIGINT AS start FROM o
+  UNION ALL SELECT path, k, CASE WHEN ok THEN list_append(taken, {{'s': start, 'e': start + n}}) ELSE taken END, ok, x, start FROM (SELECT o.path, o.k, r.taken, o.x, o.start, o.n, len([t FOR t IN r.taken IF t.s < o.start + o.n AND o.start < t.e]) = 0 AS ok FROM r JOIN o ON o.path = r.path AND o.k = r.k + 1))
+SELECT md5(x) AS block, path, start::INT AS start FROM r WHERE own"""
+)
+def block_claims(spark, sf_dir):
+    """Which spots the repeated runs take, those of most lines times spots first."""
+    files = corpus.documents(spark, sf_dir)
+    runs = work.stored(blocks.runs(files, 2), "claimed-runs")
+    order = work.stored(factoring.ranked(factoring.contents(files, runs)).select("block", "rank"), "claimed-order")
+    spots = runs.join(order.withColumnRenamed("block", "window"), "window").select("rank", "path", "start", F.col("length").alias("n"))
+    return factoring.claims(spots).join(order, "rank").select("block", "path", "start")
+
+
+@query(None)
+def factored_texts(spark, sf_dir):
+    """All documents with their repeated blocks replaced by markers; held against the driver's factoring of a bundle in tests."""
+    files = corpus.documents(spark, sf_dir).select("path", "text")
+    texts, _ = factoring.factored(files, work.stored(factoring.found_blocks(files, 2), "factored-found"))
+    return texts
 
 
 def _commented(mark: str):

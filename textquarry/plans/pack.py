@@ -141,7 +141,7 @@ def assembled(rows: list[dict], entries: list[dict], total: int, considered: int
             turn[r["dirname"]] += 1
         rows.sort(key=lambda r: (r["turn"], r["dirname"]))
     room = budget.total - index_tokens - budget.header
-    verdicts = selection.choose(rows, budget, room, count)
+    verdicts = selection.choose(rows, budget, room, calibration)
     chosen = [d for d in verdicts if d["verdict"] == "selected"]
     copies = [d for d in verdicts if d["verdict"] == "duplicate"]
     if room <= 0:

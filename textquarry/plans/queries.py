@@ -306,14 +306,21 @@ def signature_lines(spark, sf_dir):
     return rows.select("path", F.size("sig").cast("long").alias("n"), F.md5(F.array_join(F.sort_array("sig"), "|")).alias("digest"))
 
 
-_JACCARD = f"""WITH {FILES}, {_SIG}, cnt AS (SELECT doc_id, count(*) AS n FROM slines GROUP BY 1 HAVING count(*) >= 2),
+_JACCARD = f"""WITH {FILES}, {_SIG}, cnt AS (SELECT doc_id, path, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY line)) AS digest FROM slines GROUP BY 1, 2 HAVING count(*) >= 2),
+member AS (SELECT doc_id, path, n, min(path) OVER (PARTITION BY digest) AS rep FROM cnt),
 i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM slines a JOIN slines b ON a.line = b.line AND a.path < b.path GROUP BY 1, 2),
-pairs AS (SELECT f.path AS a, g.path AS b, f.doc_id AS da, g.doc_id AS db, c / (p.n + q.n - c) AS similarity FROM i JOIN cnt p ON p.doc_id = x JOIN cnt q ON q.doc_id = y JOIN files f ON f.doc_id = x JOIN files g ON g.doc_id = y WHERE c / (p.n + q.n - c) >= 0.5)"""
+pairs AS (SELECT f.path AS a, g.path AS b, f.doc_id AS da, g.doc_id AS db, c / (f.n + g.n - c) AS similarity, f.path = f.rep AND g.path = g.rep AS heads FROM i JOIN member f ON f.doc_id = x JOIN member g ON g.doc_id = y WHERE c / (f.n + g.n - c) >= 0.5)"""
 
 
-@query(f"{_JACCARD} SELECT a, b, round(similarity, 9) AS similarity FROM pairs")
+@query(f"{_JACCARD} SELECT a, b, round(similarity, 9) AS similarity FROM pairs WHERE heads")
 def jaccard_pairs(spark, sf_dir):
-    return duplicates.similar_pairs(corpus.documents(spark, sf_dir), 0.5, 2).withColumn("similarity", F.round("similarity", 9))
+    """Similar pairs of texts that differ; duplicate_classes has the copies."""
+    return duplicates.similar_pairs(corpus.documents(spark, sf_dir), 0.5, 2)[0].withColumn("similarity", F.round("similarity", 9))
+
+
+@query(f"{_JACCARD} SELECT path, rep FROM member")
+def duplicate_classes(spark, sf_dir):
+    return duplicates.classes(corpus.documents(spark, sf_dir), 2)[0]
 
 
 @query(
@@ -322,7 +329,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY similarity DESC, t
 )
 def duplicate_of(spark, sf_dir):
     files = corpus.documents(spark, sf_dir)
-    out = duplicates.best_match(files.select("path", F.col("doc_id").alias("ord")), duplicates.similar_pairs(files, 0.5, 2))
+    out = duplicates.best_match(files.select("path", F.col("doc_id").alias("ord")), *duplicates.similar_pairs(files, 0.5, 2))
     return out.withColumn("similarity", F.round("similarity", 9))
 
 
@@ -418,15 +425,15 @@ def suffix_index(spark, sf_dir):
     return graph.suffix_index(_meta(spark, sf_dir)).select(F.col("dst").alias("path"), "key")
 
 
-_SPECS = f"""src AS (SELECT path, concat_ws(chr(10), 'import a from ''./x' || doc_id % 5 || '''', 'export * from "lib/y"', 'const z = require(''z' || doc_id % 3 || ''')', 'import(''dyn'')', text) AS t FROM files WHERE path LIKE '%.ts')"""
-
-
-@query(
-    f"""WITH {FILES}, {_SPECS} SELECT path, unnest(list_distinct(list_concat({", ".join(f"regexp_extract_all(t, '{p.replace(chr(39), chr(39) * 2)}', 1)" for p in graph.JS_PATTERNS)}))) AS spec FROM src"""
-)
+@query(f"WITH {FILES} SELECT path, unnest(['./x' || doc_id % 5, 'lib/y', 'z' || doc_id % 3, 'dyn', 'side', '../m']) AS spec FROM files WHERE (path LIKE '%.ts' OR path LIKE '%.js') AND text IS NOT NULL")
 def import_specs_js(spark, sf_dir):
-    text = F.concat_ws("\n", F.expr("concat('import a from \\'./x', doc_id % 5, '\\'')"), F.lit('export * from "lib/y"'), F.expr("concat('const z = require(\\'z', doc_id % 3, '\\')')"), F.lit("import('dyn')"), "text")
-    return corpus.documents(spark, sf_dir).where("path like '%.ts'").select("path", F.explode(graph.js_imports(text)).alias("spec"))
+    """Imports of every form before each whole text, and the same forms in comments and strings, which import nothing."""
+    before = [
+        F.expr("concat('import a from \\'./x', doc_id % 5, '\\'')"), F.lit('export * from "lib/y"'), F.expr("concat('const z = require(\\'z', doc_id % 3, '\\')')"), F.lit("import('dyn').then(f)"),
+        F.lit("import 'side'; import type {\n  B as b, /* of 'no' */\n  c,\n} from \"../m\""), F.lit("// import d from 'no1'"), F.lit("/* require('no2')\nimport e from 'no3' */"), F.lit("const s = \"import('no4')\" + 'it\\'s from \"no5\"' + `\nimport 'no6'\n`"),
+    ]
+    docs = corpus.documents(spark, sf_dir).where("(path like '%.ts' or path like '%.js') and text is not null")
+    return docs.select("path", F.explode(graph.js_imports(F.concat_ws("\n", *before, "text"))).alias("spec"))
 
 
 @query(f"WITH {PARTS} SELECT path FROM parts WHERE ext NOT IN {_in(V.DOC_EXTS + V.CONFIG_EXTS)} AND lower(regexp_replace(name, '(.)\\.[^.]*$', '\\1')) IN {_in(V.ENTRY_STEMS)}")
