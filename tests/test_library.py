@@ -645,3 +645,115 @@ def test_truncation_keeps_as_many_lines_as_fit(seed):
         whole = [T.estimate("".join(lines[:k]) + selection._note(text.count("\n") + 1 - k, text.count("\n") + 1)) for k in range(1, len(lines))]
         assert tokens == T.estimate(cut) == whole[kept - 1] and cut.startswith("".join(lines[:kept]))
         assert (tokens <= limit or kept == 1) and (kept == len(whole) or whole[kept] > limit)  # costs may fall by one, where white space joins
+
+
+# rules as data
+
+
+def test_literal_keys():
+    from textquarry.functions import patterns as P
+
+    cases = {"*.md": "e:.md", "build/": "s:build", "/lib/": "s:lib", "a/**/main.go": "s:main.go", "deep_[0-4]*.go": "e:.go", "*": "*", "**/x": "s:x", "a**/b.c": "e:.c", "*.tar.gz": "e:.gz", "docs/*.txt": "s:docs", "f?o": "*", "a\\*b": "s:a*b", "[.]x": "*"}
+    assert {g: P.literal_key(P.ignore_rule(g).regex) for g in cases} == cases
+    assert P.literal_key("^(?:.*/)?[^/]*(?:/.*)?$", "a/bcd") == "s:bcd" and P.literal_key("(a|b)+") == "*" and P.literal_key("^x+y$") == "*"
+
+
+def test_very_many_rules_meet_only_their_paths(spark):
+    from textquarry.functions import patterns as P
+
+    rng = random.Random(4)
+    globs = ["*.md", "!keep.md", "d1/", "/d2/*.py", "d?/x*", "**/deep/*.go", "!d3/**/k.py", "[ab]*", "d4/**", "*.min.js", "x.y.z"]
+    rows = [(0, k, rng.choice(["", "", "d1", "d1/d2"]), P.ignore_rule(rng.choice(globs))) for k in range(60)]
+    paths = ["/".join([*(f"d{rng.randint(0, 5)}" for _ in range(rng.randint(0, 3))), *(["deep"] if rng.random() < 0.2 else []), rng.choice(["a.md", "keep.md", "k.py", "m.go", "x1", "q.min.js", "x.y.z", "b"])]) for _ in range(300)]
+    files = spark.createDataFrame([(p,) for p in sorted(set(paths))], "path string")
+    schema = "layer int, ord long, base string, regex string, negated boolean"
+    one = [(layer, k, base, r.regex, r.negated) for layer, k, base, r in rows]
+    got = {r["path"]: r["is_ignored"] for r in filters.last_match(files, spark.createDataFrame(one, schema)).collect()}
+    want = dict.fromkeys(got, False)
+    for p in want:
+        for _, _, base, r in rows:
+            if (not base or p.startswith(base + "/")) and re.search(r.regex, p[len(base) + 1 :] if base else p):
+                want[p] = not r.negated
+    assert got == want
+    many = spark.range(100_000).selectExpr("0 as layer", "id as ord", "'' as base", "concat('^(?:.*/)?n', id, '(?:/.*)?$') as regex", "id % 2 = 0 as negated")
+    far = spark.range(2_000).selectExpr("concat('top/n', id * 100 + 1, '/f.py') as path")
+    out = filters.last_match(far, many)
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("is_ignored").count() == 1_000
+    with pytest.raises(ValueError):
+        filters.last_match(far, spark.range(10_001).selectExpr("0 as layer", "id as ord", "'' as base", "'^(?:.*/)?[^/]*(?:/.*)?$' as regex", "false as negated"))
+
+
+# streams
+
+
+def test_stream_of_rebuilds_agrees_with_the_batch(spark, tmp_path):
+    """Several batches, out-of-order and late rows, and a restart from the checkpoint."""
+    rng = random.Random(7)
+    src, out, mark = tmp_path / "in", tmp_path / "out", tmp_path / "mark"
+    src.mkdir()
+    begin, batches, t = 1_700_000_000, [], 0.0
+    for _ in range(5):
+        rows = []
+        for _ in range(40):
+            t += rng.choice([0.1, 0.3, 0.5, 3.0])
+            rows.append((round(t - rng.choice([0, 0, 1.5]), 1), f"k{rng.randint(0, 2)}"))
+        batches.append(rows)
+    batches[3].append((0.2, "k0"))  # far behind the watermark: dropped
+    batches.append([(t + 1_000, "end")])
+    batches.append([(t + 2_000, "end")])
+    late = (0.2, "k0")
+
+    def run():
+        stream = spark.readStream.schema("ts timestamp, key string").option("maxFilesPerTrigger", 1).json(str(src))
+        q = watch.stream_rebuilds(stream, 0.4, 2.0, "5 seconds").writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(mark)).outputMode("append").start()
+        q.processAllAvailable()
+        q.stop()
+
+    for k, rows in enumerate(batches):
+        stamp = lambda s: time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime(begin + int(s * 10) // 10)) + f".{int(round(s * 10)) % 10}Z"
+        (src / f"{k}.json").write_text("\n".join(json.dumps({"ts": stamp(s), "key": key}) for s, key in rows))
+        os.utime(src / f"{k}.json", (begin + k, begin + k))
+        if k in (2, 6):
+            run()
+    kept = [(round(begin + s, 1), key) for rows in batches for s, key in rows if (s, key) != late]
+    batch = changes.rebuilds(spark.createDataFrame(kept, "t double, key string").withColumn("id", F.lit(0)), 0.4, 2.0)
+    want = sorted((r["key"], round(r["at"], 3), r["n"]) for r in batch.collect() if r["key"] != "end")
+    got = sorted((r["key"], round(r["at"], 3), r["n"]) for r in spark.read.parquet(str(out)).collect() if r["key"] != "end")
+    assert got == want and len(want) > 20
+
+
+def test_a_watched_folder_tells_new_changed_and_deleted_files(spark, tmp_path):
+    root, seen = tmp_path / "root", []
+    (root / "sub").mkdir(parents=True)
+    for name in ("a.txt", "sub/b.txt", "c.log"):
+        (root / name).write_text("one")
+
+    def run(until):
+        rebuild = lambda moved, _: seen.append(sorted((r["path"].rsplit("/", 1)[1], r["kind"]) for r in moved.collect()))
+        q = watch.watch_folder(spark, str(root), f"file://{tmp_path}/mark", rebuild, lambda rows: rows.where("path not like '%.log'"), "200 milliseconds").start()
+        try:
+            until(q)
+        finally:
+            q.stop()
+
+    def waited(q, n):
+        at = time.monotonic()
+        while len(seen) < n and time.monotonic() - at < 60:
+            time.sleep(0.1)
+        assert q.exception() is None
+
+    def first(q):
+        while not (q.lastProgress and q.lastProgress["batchId"] >= 1):
+            time.sleep(0.1)
+        (root / "new.txt").write_text("two")
+        (root / "d.log").write_text("never watched")
+        waited(q, 1)
+        (root / "a.txt").write_text("changed")
+        (root / "sub/b.txt").unlink()
+        waited(q, 2)
+
+    run(first)
+    (root / "new.txt").unlink()  # while nobody looks
+    run(lambda q: waited(q, 3))
+    assert sum(seen[:1], []) == [("new.txt", "added")] and sorted(sum(seen[1:-1], [])) == [("a.txt", "modified"), ("b.txt", "deleted")] and seen[-1] == [("new.txt", "deleted")]

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textquarry import work
 from textquarry.functions import fixed, patterns
 
 
@@ -91,14 +92,32 @@ def scan_counts(files: DataFrame, rules: list[tuple[str, int, patterns.Rule]], i
     )
 
 
+#: Rules that name no part of a path, at most: every path meets all of them.
+MOST_WILD_RULES = 10_000
+
+
 def last_match(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same verdict for rules that are data: (layer, ord, base, regex, negated), joined to the paths they match.
+    """``files`` with ``is_ignored`` by rules that are data, as many as there are: (layer, ord, base, regex, negated).
 
-    The rule side is a parameter-sized table; its size is checked before it is broadcast.
+    A rule meets only paths that hold its longest literal, a segment or a segment's ending, by an equi-join; what meets is
+    matched. Rules without any literal meet every path: they are counted first, and too many of them are an error.
     """
-    small = rules.limit(10_001).count() <= 10_000
-    rules = F.broadcast(rules) if small else rules
-    hits = files.select("path").join(rules, F.expr("(base = '' or startswith(path, base || '/'))") & F.expr("rlike(if(base = '', path, substr(path, length(base) + 2)), regex)"))
+    key = F.udf(patterns.literal_key, "string", useArrow=True)  # once for each rule
+    keyed = work.stored(rules.where(F.col("regex") != patterns.NEVER).withColumn("key", key("regex", "base")), "keyed-rules")
+    wild = keyed.where("key = '*'")
+    if (n_wild := wild.limit(MOST_WILD_RULES + 1).count()) > MOST_WILD_RULES:
+        raise ValueError(f"more than {MOST_WILD_RULES} rules name no segment and no ending of a path")
+    parts = F.split("path", "/")
+    endings = F.transform(F.filter(parts, lambda s: s.contains(".")), lambda s: F.concat(F.lit("e:."), F.substring_index(s, ".", -1)))
+    keys = F.array_distinct(F.concat(F.transform(parts, lambda s: F.concat(F.lit("s:"), s)), endings))
+    paths = files.select("path").distinct()
+    known = paths.select("path", F.explode(keys).alias("key")).join(keyed.where("key <> '*'"), "key")
+    local = F.expr("rlike(if(base = '', path, substr(path, length(base) + 2)), regex)")
+    met = known.drop("key")
+    if n_wild:
+        every = paths.withColumn("key", F.when(F.length("path") >= 0, "*"))
+        met = met.unionByName(every.join(F.broadcast(wild), "key").drop("key"))
+    hits = met.where(F.expr("base = '' or startswith(path, base || '/')") & local)
     decided = hits.groupBy("path").agg(F.max_by(~F.col("negated"), F.struct("layer", "ord")).alias("hit"))
     return files.join(decided, "path", "left").withColumn("is_ignored", F.coalesce("hit", F.lit(False))).drop("hit")
 

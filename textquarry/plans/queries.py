@@ -112,6 +112,21 @@ def ignore_last_match(spark, sf_dir):
     return filters.last_match(_meta(spark, sf_dir).select("path"), rules)
 
 
+@query(
+    f"""WITH {FILES}, rules AS (SELECT doc_id AS ord, CASE doc_id % 4 WHEN 0 THEN '^(?:.*/)?w' || doc_id + 2 || '(?:/.*)?$' WHEN 1 THEN '^src/' || lang || '/' || source || '/mod_' || doc_id || '[^/]*(?:/.*)?$'
+  WHEN 2 THEN '^(?:.*/)?' || source || '/(?:.*/)?[^/]*_' || doc_id + 3 || '\\.min\\.js(?:/.*)?$' ELSE '^(?:.*/)?t' || doc_id || '/[^/]*\\.ts(?:/.*)?$' END AS regex, doc_id % 5 = 0 AS negated FROM documents),
+hit AS (SELECT path, arg_max(NOT negated, ord) AS v FROM files JOIN rules ON regexp_matches(path, regex) GROUP BY path)
+SELECT path, coalesce(v, false) AS is_ignored FROM files LEFT JOIN hit USING (path)"""
+)
+def rules_as_data(spark, sf_dir):
+    """A rule from every document, each tried only on the paths that hold its literal."""
+    regex = """CASE doc_id % 4 WHEN 0 THEN concat('^(?:.*/)?w', doc_id + 2, '(?:/.*)?$') WHEN 1 THEN concat('^src/', lang, '/', source, '/mod_', doc_id, '[^/]*(?:/.*)?$')
+      WHEN 2 THEN concat('^(?:.*/)?', source, '/(?:.*/)?[^/]*_', doc_id + 3, '\\\\.min\\\\.js(?:/.*)?$') ELSE concat('^(?:.*/)?t', doc_id, '/[^/]*\\\\.ts(?:/.*)?$') END"""
+    docs = corpus.documents(spark, sf_dir)
+    rules = docs.select(F.lit(0).alias("layer"), F.col("doc_id").alias("ord"), F.lit("").alias("base"), F.expr(regex).alias("regex"), (F.col("doc_id") % 5 == 0).alias("negated"))
+    return filters.last_match(docs.select("path"), rules)
+
+
 @query(f"WITH {FILES} SELECT path FROM files WHERE len(list_intersect(string_split(path, '/'), [{', '.join(repr(x) for x in V.HARD_SKIP_DIRS)}])) = 0 AND NOT contains(path, '/vendor/')")
 def skip_directories(spark, sf_dir):
     files = _meta(spark, sf_dir)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import time
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.operators import changes
+
 Stamps = dict[str, tuple[int, int]]
 
 
@@ -112,6 +115,81 @@ def stream_bursts(events: DataFrame, settle: str = "400 milliseconds", late: str
     return events.withWatermark("ts", late).groupBy("key", F.session_window("ts", settle)).agg(F.count("*").alias("n")).select("key", F.col("session_window.start").alias("begin"), F.col("session_window.end").alias("end"), "n")
 
 
+def stream_rebuilds(events: DataFrame, settle: float, most: float, late: str = "10 seconds") -> DataFrame:
+    """(key, at, n) over a stream of (ts, key): a rebuild ``settle`` seconds after the last of a burst's events, ``most`` after the
+    first at the latest, as in batch. Times of rebuilds are in seconds.
+
+    Events wait in their key's state until the watermark passes them, so they are folded in time order whatever batch they
+    came in; a timer wakes the key when its next event or its rebuild is due. Rows later than the watermark are dropped.
+    """
+
+    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        waiting, first, due, n = ([*state.get[0]], *state.get[1:]) if state.exists else ([], 0.0, 0.0, 0)
+        for frame in frames:
+            waiting += [t.timestamp() for t in frame["ts"]]
+        passed = state.getCurrentWatermarkMs() / 1000
+        waiting.sort()
+        ready, rows = bisect_right(waiting, passed), []
+        for t in waiting[:ready]:
+            if n and t > due:
+                rows.append((key[0], due, n))
+                n = 0
+            first = t if not n else first
+            due, n = min(t + settle, first + most), n + 1
+        waiting = waiting[ready:]
+        if n and due < passed:  # no event before the rebuild can come any more
+            rows.append((key[0], due, n))
+            n = 0
+        if waiting or n:
+            state.update((waiting, first, due, n))
+            state.setTimeoutTimestamp(int(max(passed, min([*waiting[:1], *([due] if n else [])])) * 1000) + 1)
+        else:
+            state.remove()
+        yield pd.DataFrame(rows, columns=["key", "at", "n"])
+
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    rows, kind = events.select("ts", "key").withWatermark("ts", late), events.schema["key"].dataType.simpleString()
+    return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, at double, n long", "waiting array<double>, first double, due double, n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, mtime_ns, size) of all files below ``root`` now; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select("path", (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"))
+
+
+def watch_folder(spark: SparkSession, root: str, checkpoint: str, rebuild: Callable[[DataFrame, int], None], keep: Callable[[DataFrame], DataFrame] = lambda rows: rows, every: str = "1 second"):
+    """A streaming query that looks at ``root`` each ``every`` and rebuilds from the changes (path, kind): new files, changed ones
+    and deleted ones. ``keep`` picks the watched rows of each listing anew, so the watch set may grow.
+
+    The listing of a batch is a table beside the checkpoint; it is compared with that of the last batch before it. A batch
+    that is run again after a failure compares with the same one. The first listing changes nothing.
+    """
+    from pyspark.errors import AnalysisException
+
+    base = f"{checkpoint.rstrip('/')}/listings"
+
+    def look(_: DataFrame, number: int) -> None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(base)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        known = sorted(int(x.getPath().getName()) for x in fs.listStatus(where)) if fs.exists(where) else []
+        try:
+            now = keep(listing(spark, root))
+            now.write.mode("overwrite").parquet(f"{base}/{number}")
+        except AnalysisException:  # the folder is gone: nothing is there
+            spark.createDataFrame([], "path string, mtime_ns long, size long").write.mode("overwrite").parquet(f"{base}/{number}")
+        if before := [k for k in known if k < number]:
+            moved = changes.diff(spark.read.parquet(f"{base}/{before[-1]}"), spark.read.parquet(f"{base}/{number}"))
+            if not moved.isEmpty():
+                rebuild(moved, number)
+            for old in before[:-1]:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{old}"), True)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(look).option("checkpointLocation", f"{checkpoint.rstrip('/')}/ticks").trigger(processingTime=every)
+
+
 def stream_counts(events: DataFrame, window: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Extension: counts and sums of events (ts, event_type, value) by tumbling or sliding windows; late rows are dropped."""
     span = F.window("ts", window, slide) if slide else F.window("ts", window)
