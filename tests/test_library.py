@@ -480,6 +480,18 @@ def test_fit_from_files(spark, tmp_path):
     assert error < start and held < start and set(model) == set(T.fixed.TOKEN_COSTS)
 
 
+def test_the_distributed_fit_is_that_of_its_samples(spark):
+    rng = random.Random(9)
+    texts = {f"f{k:02}": " ".join(rng.choice(["word", "a_long_name", "12345", "x == y;", "été", "\n\n    ", "it's"]) for _ in range(rng.randint(5, 60))) for k in range(12)}
+    truth = {p: max(1, round(len(t) / rng.uniform(2.5, 4.5))) for p, t in texts.items()}
+    files = spark.createDataFrame(list(texts.items()), "path string, text string")
+    pieces = work.stored(accuracy.piece_counts(files).join(spark.createDataFrame(list(truth.items()), "path string, truth long"), "path"), "test-pieces")
+    want, least = T.fit([(T.histogram(texts[p]), truth[p]) for p in sorted(texts)], 1)
+    got, error = accuracy.descended(pieces, 1)
+    assert error == pytest.approx(least, abs=1e-9) and {c: pytest.approx(v, abs=1e-9) for c, v in want.items()} == got
+    assert accuracy.descended(pieces.limit(0), 1)[0] == T.fixed.TOKEN_COSTS
+
+
 def test_windowed_streams_and_batches(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
