@@ -252,3 +252,8 @@ def comment_opener(path: Column) -> Column:
 def comment_closer(path: Column) -> Column:
     """How it ends: mostly with nothing."""
     return _comment_mark(path, 1, "")
+
+
+def marker(path: Column, block: Column, lines: Column) -> Column:
+    """The line that stands for a shared block, as a comment of the file's language."""
+    return F.concat(comment_opener(path), F.lit(" [shared "), block, F.lit(": "), lines.cast("string"), F.lit(" lines, listed under Shared blocks]"), comment_closer(path))

@@ -9,7 +9,7 @@ from textquarry import work
 from textquarry.functions import columns as C
 from textquarry.functions import fixed as V
 from textquarry.operators import blocks, factoring, graph, ordered, outline, ranking, selection
-from textquarry.plans.queries import _LINES, _LINKS, _STRIP, _TOP, _WS, FILES, PARTS, SCORED, _in, _links, _meta, query, token_sql
+from textquarry.plans.queries import _LINES, _LINKS, _STRIP, _TOP, _WS, FILES, ORACLES, PARTS, SCORED, _in, _links, _meta, query, token_sql
 from textquarry.sources import corpus
 
 
@@ -32,11 +32,22 @@ def score_signals(spark, sf_dir):
     return rows.select("path", F.array_join(F.transform("signals", lambda s: s["key"]), ",").alias("signals"))
 
 
-@query(f"WITH {SCORED} SELECT printf('%6.2f', score) AS shown, count(*) AS n FROM scored WHERE path LIKE '%.py' GROUP BY 1")
+_SHOWN = {"readme": 7.0, "anchor": 2.4, "anchor-suffix": 1.3, "source-root": 1.9, "source": 1.5, "docs": 1.0, "config": 0.7, "top-level": 1.2, "shallow": 0.6, "structural": 1.4, "boilerplate-doc": -4.0, "generated": -3.5, "vendored": -3.0, "low-value-dir": -1.5, "huge": -2.5, "large": -1.2, "small": 0.4}
+
+
+def _explain_sql() -> str:
+    """The signals of every path with their weights, as the report shows them."""
+    sql = ORACLES["score_signals"]
+    for key, weight in _SHOWN.items():
+        sql = sql.replace(f"THEN '{key}'", f"THEN '{key} {weight:+.1f}'")
+    sql = sql.replace("THEN 'depth'", "THEN 'depth ' || printf('%+.1f', -0.45 * least(depth - 2, 6))").replace("IS NOT NULL), ',')", "IS NOT NULL), ', ')")
+    return f"WITH {SCORED}, said AS ({sql}) SELECT path, printf('%6.2f', score) || '  ' || path || '  ' || signals AS line FROM scored JOIN said USING (path)"
+
+
+@query(_explain_sql())
 def explain_scores(spark, sf_dir):
-    """The explain report's filter and number format."""
-    rows = ranking.explained(ranking.scored(_meta(spark, sf_dir)).where("path like '%.py'"))
-    return rows.groupBy(F.substring("line", 1, 6).alias("shown")).agg(F.count("*").alias("n"))
+    """The whole explain line of every file."""
+    return ranking.explained(ranking.scored(_meta(spark, sf_dir))).select("path", "line")
 
 
 @query(f"WITH {FILES}, {_LINES}, g AS (SELECT path, unnest(g) AS ok, unnest(range(len(g))) AS line FROM good) SELECT path, line::INT AS line, sum(ok) OVER (PARTITION BY path ORDER BY line)::BIGINT AS before_next FROM g")
@@ -59,9 +70,10 @@ def clipped_text(spark, sf_dir):
     return rows.select("page_id", C.clip(F.col("html"), 60).alias("short"))
 
 
-@query(f"WITH {PARTS}, st(ext, opener, closer) AS (VALUES {', '.join(f'({e!r}, {o!r}, {c!r})' for e, (o, c) in blocks.STYLE.items())}) SELECT path, coalesce(opener, '#') AS opener, coalesce(closer, '') AS closer FROM parts LEFT JOIN st ON st.ext = lower(regexp_extract(path, '\\.[^.]*$'))")
+@query(f"WITH {PARTS}, st(ext, opener, closer) AS (VALUES {', '.join(f'({e!r}, {o!r}, {c!r})' for e, (o, c) in blocks.STYLE.items())}) SELECT path, coalesce(opener, '#') AS opener, coalesce(closer, '') AS closer, coalesce(opener, '#') || ' [shared B' || size || ': 12 lines, listed under Shared blocks]' || coalesce(closer, '') AS marker FROM parts LEFT JOIN st ON st.ext = lower(regexp_extract(path, '\\.[^.]*$'))")
 def comment_styles(spark, sf_dir):
-    return _meta(spark, sf_dir).select("path", C.comment_opener(F.col("path")).alias("opener"), C.comment_closer(F.col("path")).alias("closer"))
+    path, name = F.col("path"), F.concat(F.lit("B"), F.col("size"))
+    return _meta(spark, sf_dir).select("path", C.comment_opener(path).alias("opener"), C.comment_closer(path).alias("closer"), C.marker(path, name, F.lit(12)).alias("marker"))
 
 
 @query(f"WITH {PARTS}, n AS (SELECT lang, ext, count(*) AS n FROM parts GROUP BY ALL) SELECT lang, first(ext ORDER BY n DESC, ext) AS ext FROM n GROUP BY lang")
