@@ -436,10 +436,10 @@ def members_of(spark, n, p):
     return spark.createDataFrame([(k, int(t), x.tolist()) for k, (t, x) in enumerate(zip(n, p))], "k int, n_tokens long, p array<double>")
 
 
-def above_least(n, p, rates, goal, most):
+def above_least(n, p, rates, goal, most, least=mixing.LEAST):
     """How far half the sum of squares of ``rates`` is above the least one, at most: the duality gap of the box."""
     slope, w = p @ ((n / n.sum() * rates) @ p - goal), n / n.sum()
-    return float(w @ (slope * rates - np.minimum(slope, 0) * most))
+    return float(w @ (slope * rates - np.minimum(slope * least, slope * most)))
 
 
 @pytest.mark.parametrize("target", [[0.5, 0.3, 0.2], [0.9, 0.06, 0.04], [1, 0, 0], [0, 0, 1]])
@@ -452,7 +452,7 @@ def test_rates_against_numpy(spark, target):
     fit = mixing.fitted(members, target, most=3.0)
     rates = np.array([r["rate"] for r in mixing.rates(members, target, most=3.0).orderBy("k").collect()])
     share = (n / n.sum() * rates) @ p
-    assert rates.min() >= 0 and rates.max() <= 3 and np.allclose(share, fit.reached, atol=1e-9) and np.allclose(fit.wanted, goal)
+    assert rates.min() >= mixing.LEAST and rates.max() <= 3 and np.allclose(share, fit.reached, atol=1e-9) and np.allclose(fit.wanted, goal)
     assert above_least(n, p, rates, goal, 3.0) <= 1e-6
     with pytest.raises(RuntimeError):
         mixing.fitted(members, target, steps=0)
@@ -477,7 +477,7 @@ def test_a_domain_that_few_documents_supply(spark, trace, likeliest):
         p[0], n[0] = [0.1, 0.85, 0.05], likeliest
     fit = mixing.fitted(members_of(spark, n, p), list(mixing.TARGETS.values()))
     rates = mixing.replayed(p, fit.moves)
-    assert rates.min() >= 0 and rates.max() <= mixing.MOST and np.allclose((n / n.sum() * rates) @ p, fit.reached, atol=1e-9)
+    assert rates.min() >= mixing.LEAST and rates.max() <= mixing.MOST and np.allclose((n / n.sum() * rates) @ p, fit.reached, atol=1e-9)
     off = fit.reached - fit.wanted
     assert abs(off[0]) <= 0.001 and abs(off[2]) <= 0.001 and off[1] <= 1e-5
     assert above_least(n, p, rates, fit.wanted, mixing.MOST) <= 1e-6 and fit.reached[1] > 3 * trace
@@ -488,7 +488,7 @@ def test_a_domain_that_few_documents_supply(spark, trace, likeliest):
 def test_mixing_odd_cases(spark):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (5, 1, 1), (5, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     rows = mixing.mixed(odd(spark), labels).collect()
-    assert len(rows) == len(ODD_TEXTS) + 2 and all(0 <= r["rate_"] <= mixing.MOST and r["rate"] == 4 and sum(r["wanted"]) == pytest.approx(1) for r in rows)
+    assert len(rows) == len(ODD_TEXTS) + 2 and all(mixing.LEAST <= r["rate_"] <= mixing.MOST and r["rate"] == 4 and sum(r["wanted"]) == pytest.approx(1) for r in rows)
     assert {r["rate"] for r in mixing.mixed(docs_of(spark, ["", None]), labels.limit(0)).collect()} == {1.0}
     assert mixing.mixed(docs_of(spark, []), labels).count() == 0
 
@@ -841,7 +841,7 @@ def test_pipeline_stages(spark):
     for d in mixing.DOMAINS:  # every target is there, and reached totals are those of the rates
         share = (rows["rate"] * rows["n_tokens"] * rows[f"p_{d}"]).sum() / sum(len((r["text"] or "").encode().split()) for r in docs.collect())
         assert rows[f"wanted_{d}"].iloc[0] == mixing.TARGETS[d] and rows[f"reached_{d}"].iloc[0] == pytest.approx(share, abs=1e-6)
-    assert rows["rate"].max() <= mixing.MOST
+    assert mixing.LEAST <= rows["rate"].min() and rows["rate"].max() <= mixing.MOST and len(rows) == docs.count()  # no clean document goes
 
 
 def test_pipeline_odd_documents(spark, tmp_path):

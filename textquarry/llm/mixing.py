@@ -3,8 +3,8 @@
 A softmax classifier, fitted on a bounded sample of the labelled table (``SAMPLE_ROWS``, smallest hash of doc_id first),
 gives each document a posterior over domains. A document's rate r says how often it is to be drawn; the expected share of
 domain d is ``share_d = sum_i r_i * tokens_i * p_id`` over all tokens. Rates minimise the plain sum of squares of ``share -
-target`` over ``0 <= r <= MOST``, from r = 1: no target is left out, whatever supplies it, and ``MOST`` says how often one
-document may be drawn. Targets that such rates can reach are met. One that they cannot is missed by as little as the sum of
+target`` over ``LEAST <= r <= MOST``, from r = 1: no target is left out, whatever supplies it, ``MOST`` says how often one
+document may be drawn, and ``LEAST`` is above 0, so that a target out of reach takes no document away. Targets that such rates can reach are met. One that they cannot is missed by as little as the sum of
 squares allows, which leaves the others close to theirs, and the wanted and reached shares stand beside the rates.
 
 A step moves a rate against the gradient, ``p_i . (share - target)`` for each token of the document, and back into its bounds.
@@ -43,8 +43,8 @@ SAMPLE_ROWS = 6_000
 DOMAINS = ("good", "poor", "toxic")
 #: Share of the expected tokens that each domain is to have.
 TARGETS = {"good": 0.88, "poor": 0.04, "toxic": 0.08}
-#: How often a document may be drawn, at most.
-MOST = 100.0
+#: How often a document is drawn, at least and at most.
+LEAST, MOST = 0.05, 100.0
 #: The length of a step, the shares within which the fit ends, and the steps after which it gives up.
 PACE, WITHIN, STEPS = 1e8, 1e-6, 100
 #: Lengths of a Newton step that are tried at once, and how many such steps a search takes at most.
@@ -150,11 +150,11 @@ def posteriors(docs: DataFrame, model: Softmax, moves: np.ndarray | None = None)
     return common.mapped(common.in_batches(docs), apply, tuple(StructField(name, kind) for name, kind in zip(new, kinds)))
 
 
-def replayed(p: np.ndarray, moves: np.ndarray, most: float = MOST) -> np.ndarray:
+def replayed(p: np.ndarray, moves: np.ndarray, least: float = LEAST, most: float = MOST) -> np.ndarray:
     """Rates of documents with posteriors ``p`` (rows x domains) after ``moves`` (a vector by domain for each step)."""
     r = np.ones(len(p))
     for e in moves:
-        r = np.clip(r - PACE * (p @ np.asarray(e)), 0.0, most)
+        r = np.clip(r - PACE * (p @ np.asarray(e)), least, most)
     return r
 
 
@@ -165,7 +165,7 @@ class Fit:
     reached: np.ndarray
 
 
-def _trials(members: DataFrame, tokens: float, most: float) -> Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+def _trials(members: DataFrame, tokens: float, least: float, most: float) -> Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
     """A function of (moves so far, trial steps): for each trial the shares of its rates, and the Gram matrix of the documents
     that are within their bounds; one aggregate over ``members`` (n_tokens, p)."""
     again = replayed
@@ -177,11 +177,11 @@ def _trials(members: DataFrame, tokens: float, most: float) -> Callable[[np.ndar
             total = np.zeros((len(trials), domains + domains * domains))
             for batch in batches:
                 p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                w, before = batch.column(0).to_numpy() / tokens, again(p, moves, most)
+                w, before = batch.column(0).to_numpy() / tokens, again(p, moves, least, most)
                 for k, e in enumerate(trials):
                     y = before - PACE * (p @ e)
-                    free = (y > 0) & (y < most)
-                    total[k, :domains] += (w * np.clip(y, 0.0, most)) @ p
+                    free = (y > least) & (y < most)
+                    total[k, :domains] += (w * np.clip(y, least, most)) @ p
                     total[k, domains:] += (p[free].T @ (p[free] * w[free, None])).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["k", "s"])
 
@@ -211,7 +211,7 @@ def _step(tried, moves: np.ndarray, goal: np.ndarray, e: np.ndarray, within: flo
     raise RuntimeError(f"a step does not end: shares by domain are {share.tolist()} for {goal.tolist()}; allow a wider tolerance")
 
 
-def fitted(members: DataFrame, target: list[float], most: float = MOST, within: float = WITHIN, steps: int = STEPS) -> Fit:
+def fitted(members: DataFrame, target: list[float], least: float = LEAST, most: float = MOST, within: float = WITHIN, steps: int = STEPS) -> Fit:
     """The fit of the rates of ``members`` (n_tokens, p) to shares ``target`` (of their sum) of all tokens."""
     if not sum(target) > 0 or min(target) < 0:
         raise ValueError(f"target shares must be nonnegative and some of them positive: {target}")
@@ -220,7 +220,7 @@ def fitted(members: DataFrame, target: list[float], most: float = MOST, within:
     tokens = members.agg(F.sum("n_tokens")).first()[0]
     if not tokens:
         return Fit(np.zeros((0, len(goal))), goal, np.zeros(len(goal)))
-    tried, moves = _trials(members, float(tokens), most), np.zeros((0, len(goal)))
+    tried, moves = _trials(members, float(tokens), least, most), np.zeros((0, len(goal)))
     before, share, e = None, np.zeros(len(goal)), np.zeros(len(goal))
     for _ in range(steps):
         e, share = _step(tried, moves, goal, e, within)
@@ -231,15 +231,15 @@ def fitted(members: DataFrame, target: list[float], most: float = MOST, within:
     raise RuntimeError(f"no fit after {steps} steps: shares by domain are {share.tolist()} for {goal.tolist()}; allow more steps or a wider tolerance")
 
 
-def rates(members: DataFrame, target: list[float], most: float = MOST, within: float = WITHIN, steps: int = STEPS) -> DataFrame:
-    """``members`` (n_tokens, p, ...) with a ``rate`` between 0 and ``most``."""
-    moves, again = fitted(members, target, most, within, steps).moves, replayed
+def rates(members: DataFrame, target: list[float], least: float = LEAST, most: float = MOST, within: float = WITHIN, steps: int = STEPS) -> DataFrame:
+    """``members`` (n_tokens, p, ...) with a ``rate`` between ``least`` and ``most``."""
+    moves, again = fitted(members, target, least, most, within, steps).moves, replayed
     where, (name,) = members.columns.index("p"), common.fresh(members.columns, ["rate"])
 
     def apply(batches):
         for batch in batches:
             p = np.array(batch.column(where).to_pylist(), float).reshape(batch.num_rows, len(target))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(again(p, moves, most))], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(again(p, moves, least, most))], names=[*batch.schema.names, name])
 
     return common.mapped(members, apply, (StructField(name, DoubleType()),))
 
