@@ -31,8 +31,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document gets its domain posterior, its rate, and the wanted and reached shares of the domains; those whose fitted
-    rate is 0 are never drawn and go.
+    """Every document gets its domain posterior, its rate, and the wanted and reached shares of the domains; none goes, as the
+    least rate is above 0.
 
     A column of the documents that is called like a new one keeps its name; the new one then ends in ``_``.
     """
@@ -41,7 +41,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     by_domain = [(F.col(c)[k], f"{name}_{d}") for c, name in ((p, "p"), (wanted, "wanted"), (reached, "reached")) for k, d in enumerate(mixing.DOMAINS)]
     names = common.fresh([*docs.columns, n_tokens, rate], [name for _, name in by_domain])
     new = [value.alias(name) for (value, _), name in zip(by_domain, names)]
-    return weighted.where(F.col(rate) > 0).select(*common.columns(docs), n_tokens, *new[:3], rate, *new[3:])
+    return weighted.select(*common.columns(docs), n_tokens, *new[:3], rate, *new[3:])
 
 
 STAGES = [
