@@ -599,6 +599,17 @@ def test_blocks_are_located_wherever_they_are(spark):
     assert factoring.located(files, blocks_.limit(0)).count() == 0
 
 
+def test_replaceable_runs_as_columns(spark):
+    rng = random.Random(11)
+    some = ["# c", "", "x = [", "]", "  y", "f(", ")", "}}", '"""', "'''", '"""a"""', "\"\"\"'''", "'''b''' '''", "# '''", "z = 1", "{a}", "{", "if a:", "\ttab", "@d", "a;", "[]"]
+    texts = {f"f{k}": [rng.choice(some if k % 2 else some[:5] + some[14:]) for _ in range(rng.randint(1, 40))] for k in range(60)}
+    spots = [(p, s, n) for p, x in texts.items() for s in range(len(x)) for n in (1, 2, 3, 5) if s + n <= len(x)]
+    files = spark.createDataFrame([(p, "\n".join(x) + "\n") for p, x in texts.items()] + [("none", None), ("empty", "")], "path string, text string")
+    got = {tuple(r)[:3]: r["replaceable"] for r in factoring.replaceable(files, spark.createDataFrame(spots, "path string, start int, n int")).collect()}
+    want = {(p, s, n): blocks.replaceable(texts[p], s, n) for p, s, n in spots}
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
 def test_claims_of_one_file_with_very_many_spots(spark):
     rng = random.Random(1)
     few = [(rng.randint(1, 9), f"f{rng.randint(0, 3)}", rng.randint(0, 40)) for _ in range(200)]

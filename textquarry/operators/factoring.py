@@ -11,7 +11,7 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry import work
@@ -78,7 +78,7 @@ def _claimed(spots: list[tuple], length: dict, standing=None) -> list[tuple]:
         if start < behind or (at < len(starts) and starts[at] < end) or (at and ends[at - 1] > start):  # taken ones are disjoint
             continue
         behind = end
-        if standing is None or standing(start, length[rank]):
+        if standing is None or standing((rank, start)):
             starts.insert(at, start)
             ends.insert(at, end)
             out.append((rank, start))
@@ -95,6 +95,80 @@ def claims(spots: DataFrame) -> DataFrame:
     return spots.select("rank", "path", "start", "n").groupBy("path").applyInPandas(take, _SPOTS)
 
 
+#: Lines that stand alone whatever surrounds them: blank ones, comments and decorators.
+_ALONE = rf"^[{C.WS}]*(?:#|//|/\*|\*|--|;|%|<!--|@|$)"
+_DOUBLE, _SINGLE = '"""', "'''"
+
+
+def _times(text, mark):
+    return (F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / len(mark)
+
+
+def _quoting(x):
+    """What line ``x`` does to an open string, null if nothing: the states (0 none, 1 double, 2 single quotes) that follow each
+    state, as the digits of a number to base 3."""
+    double, single = F.contains(x, F.lit(_DOUBLE)), F.contains(x, F.lit(_SINGLE))
+    opened = F.when(double, F.when(_times(x, _DOUBLE) == 1, 1).otherwise(0)).otherwise(F.when(_times(x, _SINGLE) == 1, 2).otherwise(0))
+    code = opened + F.when(double, 0).otherwise(3) + F.when(single, 0).otherwise(18)
+    return F.when((double | single) & ~x.rlike(_ALONE), code.cast("long"))
+
+
+def strings(files: DataFrame) -> DataFrame:
+    """(path, k, state) after each line that touches a long string: 0 outside, 1 and 2 within double and single quotes.
+
+    Lines are maps of states; maps of 2, 4, 8, ... neighbouring lines are composed until each holds all lines up to its own.
+    """
+    codes = C.bound(files, at=F.transform("ls", lambda x, k: F.struct(k.alias("k"), _quoting(x).alias("m"))))
+    codes = codes.select("path", F.filter("at", lambda a: a["m"].isNotNull()).alias("at")).where("size(at) > 0")
+    out = work.stored(codes.select("path", F.col("at.k").alias("k"), F.col("at.m").alias("m")), "string-maps")
+    most = out.agg(F.max(F.size("m"))).first()[0] or 1
+    for level in range((most - 1).bit_length()):
+        step = 1 << level
+        digits = " + ".join(f"{p} * (c div element_at(array(1, 3, 9), cast(get(m, i - {step}) div {p} % 3 as int) + 1) % 3)" for p in (1, 3, 9))
+        out = C.bound(out, after=F.expr(f"transform(m, (c, i) -> if(i < {step}, c, {digits}))")).select("path", "k", F.col("after").alias("m"))
+    return out.select("path", F.explode(F.arrays_zip("k", "m")).alias("a")).select("path", "a.k", (F.col("a.m") % 3).alias("state"))
+
+
+def framed(files: DataFrame) -> DataFrame:
+    """What encloses every line of ``files`` (path, text), and one line more at the end of each.
+
+    (path, k): ``alone``, ``before`` and ``after`` (line k, and its neighbours, stand alone), ``depth`` and ``below`` (brackets open
+    before and after it), ``inside`` (a long string is open before and after it), ``quoted``, ``complete`` (a statement may end
+    with it), ``blank``, and ``indented``, the number of indented lines up to it (``tab``: it is one). Depth can't fall below 0: it is the sum of
+    brackets so far less the least such sum.
+    """
+    table = work.stored(blocks.lines(files.where("text is not null")), "framed-lines")
+    ls = table.select("path", F.posexplode(F.concat("ls", F.array(F.lit("")))).alias("k", "x"))
+    rows = ls.withColumn("state", F.lit(None).cast("long")).withColumn("tag", F.lit(0))
+    marks = strings(table).select("path", "k", F.lit(None).cast("string").alias("x"), "state", F.lit(1).alias("tag"))
+    sofar = Window.partitionBy("path").orderBy("k", "tag").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.unionByName(marks).withColumn("state", F.coalesce(F.last("state", ignorenulls=True).over(sofar), F.lit(0))).where("tag = 0")
+    x, last, line = F.col("x"), C.strip(F.col("x")), Window.partitionBy("path").orderBy("k")
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("alone", x.rlike(_ALONE)).withColumn("quoted", F.contains(x, F.lit(_DOUBLE)) | F.contains(x, F.lit(_SINGLE)))
+    change = F.length(F.regexp_replace(x, r"[)\]}]", "")) - F.length(F.regexp_replace(x, r"[(\[{]", ""))
+    rows = rows.withColumn("sum", F.sum(F.when((F.col("state") > 0) | F.col("alone") | F.col("quoted"), 0).otherwise(change)).over(upto))
+    rows = rows.withColumn("below", F.col("sum") - F.least(F.lit(0), F.min("sum").over(upto)))
+    statement = F.when(last.rlike(r"^[{\[]"), last.rlike(r".[}\]]$")).otherwise(last.rlike(r"[:}\];]$"))
+    return rows.select(
+        "path", "k", "alone", F.lag("alone", 1, True).over(line).alias("before"), F.lead("alone", 1, True).over(line).alias("after"),
+        F.lag("below", 1, 0).over(line).alias("depth"), "below", ((F.col("state") > 0) & (F.lead("state", 1, 0).over(line) > 0)).alias("inside"),
+        "quoted", ((x == "") | statement).alias("complete"), (x == "").alias("blank"), F.sum(x.rlike("^[ \t]").cast("int")).over(upto).alias("indented"), x.rlike("^[ \t]").alias("tab"),
+    )
+
+
+def replaceable(files: DataFrame, spots: DataFrame) -> DataFrame:
+    """``spots`` (path, start, n, ...; runs of lines of ``files``) with ``replaceable``: whether a run can go without breaking
+    what surrounds it. It stands alone at both ends, inside no bracket or long string, and its first and last line touch none."""
+    facts = work.stored(framed(files.join(spots.select("path").distinct(), "path", "left_semi")), "framed")
+    head = facts.select("path", F.col("k").alias("start"), "before", "depth", F.col("inside").alias("inside1"), F.col("quoted").alias("quoted1"), (F.col("indented") - F.when(F.col("tab"), 1).otherwise(0)).alias("indented1"))
+    tail = facts.select("path", F.col("k").alias("_last"), "alone", "after", "below", "inside", "quoted", "complete", "blank", "indented")
+    met = spots.withColumn("_last", F.col("start") + F.col("n") - 1).join(head, ["path", "start"]).join(tail, ["path", "_last"])
+    enclosed = F.expr("depth > 0 or below > 0 or inside1 or inside or quoted1 or quoted")
+    ends = F.expr("after or (alone and not blank) or (indented = indented1 and complete)")
+    return met.select(*spots.columns, (~enclosed & F.col("before") & ends).alias("replaceable"))
+
+
 def found_blocks(files: DataFrame, width: int = 4, longest: int = 200, min_files: int = 2) -> DataFrame:
     """(block, lines, text, occurrences, tokens) of the repeated runs of ``files`` that claim at least one spot."""
     runs = work.stored(blocks.runs(files, width, longest, min_files), "factoring-runs")
@@ -114,17 +188,13 @@ def factored(files: DataFrame, found: DataFrame, min_occurrences: int = 3) -> tu
     order = work.stored(order.select("block", "rank", "lines", "text", "tokens", F.size("lines").alias("n")), "factoring-order")
     spots = located(files, order).join(order.select("block", "rank", "n"), "block").select("rank", "path", "start", "n")
 
-    def take(key, texts: pd.DataFrame, spots: pd.DataFrame) -> pd.DataFrame:
-        kept = []
-        if len(texts) and len(spots):
-            bare = [x.rstrip() for x in blocks.split_lines(texts["text"].iloc[0])[0]]
-            frame = blocks.Frame.of(bare)
-            kept = _claimed(list(zip(spots["rank"], spots["start"])), dict(zip(spots["rank"], spots["n"])), lambda k, n: blocks.replaceable(bare, k, n, frame))
-        return pd.DataFrame([(r, key[0], s) for r, s in kept], columns=["rank", "path", "start"])
-
-    spots = work.stored(spots, "factoring-spots")
-    met = files.select("path", "text").join(spots.select("path").distinct(), "path", "left_semi")
-    taken = work.stored(met.groupBy("path").cogroup(spots.groupBy("path")).applyInPandas(take, _SPOTS), "factoring-taken")
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        free = set(zip(pdf["rank"][pdf["replaceable"]], pdf["start"][pdf["replaceable"]]))
+        kept = _claimed(list(zip(pdf["rank"], pdf["start"])), dict(zip(pdf["rank"], pdf["n"])), lambda spot: spot in free)
+        return pd.DataFrame([(r, pdf["path"].iloc[0], s) for r, s in kept], columns=["rank", "path", "start"])
+
+    spots = work.stored(replaceable(files, spots), "factoring-spots")
+    taken = work.stored(spots.groupBy("path").applyInPandas(take, _SPOTS), "factoring-taken")
     used = order.join(taken.groupBy("rank").agg(F.count("*").alias("occurrences")), "rank")
     used = ordered.running(used, [F.desc((F.col("occurrences") - 1) * F.col("tokens")), F.col("text"), F.col("block")], k=F.lit(1))
     used = work.stored(used.select("rank", F.concat(F.lit("B"), F.col("k").cast("string")).alias("id"), "text", F.col("n").alias("lines"), "occurrences", "tokens"), "factoring-used")
