@@ -585,6 +585,11 @@ def test_factoring_as_relations_is_that_of_a_bundle(spark):
     new, table = factoring.factored(files, ours)
     assert {r["path"]: r["text"] for r in new.collect()} == want | {"empty.py": "", "none.py": None}
     ids = blocks.block_ids(used)
+    gain = blocks.savings(texts, want, used)
+    (row,) = factoring.savings(files, new, table).collect()
+    assert (row["before"], row["after"], row["saved"], row["changed"], row["blocks"], row["projected"]) == (gain.before, gain.after, gain.saved, len(gain.changed), gain.blocks, gain.projected)
+    (row,) = factoring.savings(files.limit(0), new.limit(0), table.limit(0)).collect()
+    assert set(row.asDict().values()) == {0}
     assert used and {r["id"]: (r["text"], r["lines"], r["occurrences"]) for r in table.collect()} == {ids[b.text]: (b.text, b.lines, b.occurrences) for b in used}
 
 

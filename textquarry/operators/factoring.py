@@ -210,3 +210,20 @@ def factored(files: DataFrame, found: DataFrame, min_occurrences: int = 3) -> tu
     again = files.select("path", "text").join(changed, "path", "left_semi").groupBy("path").cogroup(marks.groupBy("path")).applyInPandas(splice, "path string, text string")
     rest = files.select("path", "text").join(changed, "path", "left_anti")
     return rest.unionByName(again), used.drop("rank")
+
+
+def savings(files: DataFrame, texts: DataFrame, used: DataFrame) -> DataFrame:
+    """One row of what factoring ``files`` into ``texts`` (both path, text; a path once) and the blocks ``used`` has saved.
+
+    Tokens before, after and saved (a missing or null text has none), the number of files changed, of blocks, and the tokens
+    that their repeats had.
+    """
+    old, new = (C.with_tokens(x.select("path", F.coalesce("text", F.lit("")).alias("text"))) for x in (files, texts))
+    old, new = old.select("path", F.md5("text").alias("was"), F.col("tokens").alias("t1")), new.select("path", F.md5("text").alias("is"), F.col("tokens").alias("t2"))
+    empty = F.md5(F.lit(""))
+    changed = (F.coalesce("was", empty) != F.coalesce("is", empty)).cast("long")
+    parts = old.join(new, "path", "full").select(F.col("t1").alias("before"), F.col("t2").alias("after"), changed.alias("changed"), *(F.lit(0).cast("long").alias(c) for c in ("blocks", "projected")))
+    gains = used.select(*(F.lit(0).cast("long").alias(c) for c in ("before", "after", "changed")), F.lit(1).cast("long").alias("blocks"), ((F.col("occurrences") - 1) * F.col("tokens")).alias("projected"))
+    both = parts.unionByName(gains)
+    sums = both.agg(*(F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in both.columns))
+    return sums.withColumn("saved", F.col("before") - F.col("after"))

@@ -165,14 +165,13 @@ def reached_count(spark, sf_dir):
     return graph.reachable(_links(spark, sf_dir), spark.createDataFrame([("p1",)], "path string")).agg(F.count("*").alias("reached"))
 
 
-@query(f"WITH {FILES}, {_LINES}, grp AS (SELECT \"window\" AS x, count(*) AS spots FROM w GROUP BY 1 HAVING count(DISTINCT path) >= 2) SELECT md5(x) AS digest, 'B' || row_number() OVER (ORDER BY (spots - 1) * len(x) DESC, x) AS id FROM grp ORDER BY (spots - 1) * len(x) DESC, x LIMIT 50".replace("AS window", 'AS "window"'))
+@query(f"WITH {FILES}, {_LINES}, grp AS (SELECT \"window\" AS x, count(*) AS spots FROM w GROUP BY 1 HAVING count(DISTINCT path) >= 2) SELECT md5(x) AS digest, 'B' || row_number() OVER (ORDER BY (spots - 1) * len(x) DESC, x) AS id FROM grp".replace("AS window", 'AS "window"'))
 def block_ids(spark, sf_dir):
-    """The fifty blocks that save most, numbered; a bounded top-n is cut before anything is numbered."""
+    """All repeated windows, numbered from the one that saves most; no partition holds them all."""
     found = blocks.shared_windows(corpus.documents(spark, sf_dir), 2)
-    saved = (F.col("n_spots") - 1) * F.length("window")
-    best = found.withColumn("saved", saved).orderBy(F.desc("saved"), "window").limit(50)
-    number = F.row_number().over(Window.orderBy(F.desc("saved"), "window"))
-    return best.select(F.md5("window").alias("digest"), F.concat(F.lit("B"), number.cast("string")).alias("id"))
+    order = [F.desc((F.col("n_spots") - 1) * F.length("window")), F.col("window")]
+    numbered = ordered.running(found, order, k=F.lit(1))
+    return numbered.select(F.md5("window").alias("digest"), F.concat(F.lit("B"), F.col("k").cast("string")).alias("id"))
 
 
 @query(f"WITH {FILES}, {_LINES}, s AS (SELECT path, start, row_number() OVER (PARTITION BY path ORDER BY start) AS k FROM w) SELECT a.path, a.start::INT AS start, count(*) AS overlaps FROM s a JOIN s b ON a.path = b.path AND a.start <> b.start AND a.start < b.start + 2 AND b.start < a.start + 2 GROUP BY ALL")
@@ -197,12 +196,12 @@ def block_locations(spark, sf_dir):
     return factoring.located(files, factoring.contents(files, runs))
 
 
-@query(
-    f"""WITH RECURSIVE {_BLOCKS}, o AS (SELECT path, start, n, x, row_number() OVER (PARTITION BY path ORDER BY n * spots DESC, content, start) AS k FROM block JOIN w ON w."window" = x),
+_CLAIMS = f"""{_BLOCKS}, o AS (SELECT path, start, n, x, row_number() OVER (PARTITION BY path ORDER BY n * spots DESC, content, start) AS k FROM block JOIN w ON w."window" = x),
 r AS (SELECT DISTINCT path, 0::BIGINT AS k, []::STRUCT(s BIGINT, e BIGINT)[] AS taken, false AS own, NULL::VARCHAR AS x, NULL::BIGINT AS start FROM o
-  UNION ALL SELECT path, k, CASE WHEN ok THEN list_append(taken, {{'s': start, 'e': start + n}}) ELSE taken END, ok, x, start FROM (SELECT o.path, o.k, r.taken, o.x, o.start, o.n, len([t FOR t IN r.taken IF t.s < o.start + o.n AND o.start < t.e]) = 0 AS ok FROM r JOIN o ON o.path = r.path AND o.k = r.k + 1))
-SELECT md5(x) AS block, path, start::INT AS start FROM r WHERE own"""
-)
+  UNION ALL SELECT path, k, CASE WHEN ok THEN list_append(taken, {{'s': start, 'e': start + n}}) ELSE taken END, ok, x, start FROM (SELECT o.path, o.k, r.taken, o.x, o.start, o.n, len([t FOR t IN r.taken IF t.s < o.start + o.n AND o.start < t.e]) = 0 AS ok FROM r JOIN o ON o.path = r.path AND o.k = r.k + 1))"""
+
+
+@query(f"WITH RECURSIVE {_CLAIMS} SELECT md5(x) AS block, path, start::INT AS start FROM r WHERE own")
 def block_claims(spark, sf_dir):
     """Which spots the repeated runs take, those of most lines times spots first."""
     files = corpus.documents(spark, sf_dir)
@@ -212,6 +211,51 @@ def block_claims(spark, sf_dir):
     return factoring.claims(spots).join(order, "rank").select("block", "path", "start")
 
 
+@query(
+    f"""WITH RECURSIVE {_CLAIMS}, rawls AS (SELECT path, string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10)) AS rl FROM files),
+bfirst AS (SELECT x, n, min({{'p': path, 's': start}}) AS head FROM block JOIN w ON w."window" = x GROUP BY ALL), btext AS (SELECT md5(x) AS block, n, array_to_string(rl[head.s + 1:head.s + n], chr(10)) AS text FROM bfirst JOIN rawls ON path = head.p),
+{token_sql('btext', 'block')}, own AS (SELECT md5(x) AS block, count(*) AS occurrences FROM r WHERE own GROUP BY ALL)
+SELECT block, n AS lines, occurrences, tokens, (occurrences - 1) * tokens AS saved, md5(text) AS digest FROM own JOIN btext USING (block) JOIN tok USING (block)"""
+)
+def block_savings(spark, sf_dir):
+    """The repeated runs that hold their spots, and the tokens that each would save if it stood once."""
+    found = factoring.found_blocks(corpus.documents(spark, sf_dir), 2)
+    saved = (F.col("occurrences") - 1) * F.col("tokens")
+    return found.select("block", F.size("lines").cast("long").alias("lines"), "occurrences", "tokens", saved.alias("saved"), F.md5("text").alias("digest"))
+
+
+#: Documents with marks in place of some letter pairs, so that brackets and strings open and close in prose.
+_MARKS = (("ou", "("), ("er", ")"), ("en", ")"), ("qu", '"""'), ("ck", "'''"), ("\nD", "\n#D"), ("\nL", "\n\n  L"), ("\nT", "\n\n"))
+_MARKED = "text"
+for _old, _new in _MARKS:
+    _MARKED = "replace({}, {}, {})".format(_MARKED, *("'" + m.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for m in (_old, _new)))
+
+
+@query(
+    f"""WITH RECURSIVE {_BLOCKS.replace("text, lang, source FROM", f"{_MARKED} AS text, lang, source FROM")},
+spot AS (SELECT path, start, n FROM block JOIN w ON w."window" = x), line AS (SELECT path, unnest(range(len(l) + 1)) AS k, unnest(list_append(l, '')) AS x FROM ls WHERE path IN (SELECT path FROM spot)),
+fact AS (SELECT *, regexp_matches(x, '^[{_WS}]*(#|//|/\\*|\\*|--|;|%|<!--|@|$)') AS alone, contains(x, '\"\"\"') AS d, contains(x, '''''''') AS s, trim(x, ' ' || chr(9)) AS t FROM line),
+r AS (SELECT DISTINCT path, 0::BIGINT AS k, '' AS open, 0::BIGINT AS depth FROM fact
+  UNION ALL SELECT path, k + 1, CASE WHEN alone THEN open WHEN open <> '' THEN CASE WHEN contains(x, open) THEN '' ELSE open END ELSE CASE WHEN len(x) - len(replace(x, q, '')) = 3 THEN q ELSE '' END END,
+    CASE WHEN open <> '' OR alone OR d OR s THEN depth ELSE greatest(0, depth + len(regexp_replace(x, '[)\\]}}]', '', 'g')) - len(regexp_replace(x, '[(\\[{{]', '', 'g'))) END
+  FROM (SELECT r.*, fact.* EXCLUDE (path, k), CASE WHEN d THEN '\"\"\"' ELSE '''''''' END AS q FROM r JOIN fact ON fact.path = r.path AND fact.k = r.k)),
+f AS (SELECT fact.*, open, depth FROM fact JOIN r USING (path, k)),
+run AS (SELECT path, start, n, list(f ORDER BY k) AS a FROM spot JOIN f USING (path) WHERE k BETWEEN start - 1 AND start + n GROUP BY ALL),
+cut AS (SELECT path, start, n, CASE WHEN start = 0 THEN NULL ELSE a[1] END AS b, a[-1] AS e, a[-2] AS z, a[CASE WHEN start = 0 THEN 1 ELSE 2 END] AS h, a[CASE WHEN start = 0 THEN 2 ELSE 3 END] AS h2,
+  len(list_filter(a[CASE WHEN start = 0 THEN 1 ELSE 2 END:-2], lambda y: regexp_matches(y.x, '^[ \t]'))) AS tabs FROM run)
+SELECT path, start::INT AS start, n::INT AS length, coalesce(b.alone, true) AND h.depth = 0 AND e.depth = 0 AND NOT (h.open <> '' AND h2.open <> '') AND NOT (z.open <> '' AND e.open <> '') AND NOT (h.d OR h.s OR z.d OR z.s)
+  AND (e.alone OR (z.alone AND z.t <> '') OR (tabs = 0 AND (z.t = '' OR CASE WHEN z.t[1] IN ('{{', '[') THEN z.t[-1] IN ('}}', ']') AND len(z.t) > 1 ELSE z.t[-1] IN (':', '}}', ';', ']') END))) AS replaceable FROM cut"""
+)
+def replaceable_runs(spark, sf_dir):
+    """Which spots of the repeated runs can go without breaking what surrounds them."""
+    text = F.col("text")
+    for old, new in _MARKS:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    files = work.stored(corpus.documents(spark, sf_dir).select("path", text.alias("text")), "marked-texts")
+    spots = work.stored(blocks.runs(files, 2).select("path", "start", F.col("length").alias("n")), "marked-runs")
+    return factoring.replaceable(files, spots).select("path", "start", F.col("n").alias("length"), "replaceable")
+
+
 @query(None)
 def factored_texts(spark, sf_dir):
     """All documents with their repeated blocks replaced by markers; held against the driver's factoring of a bundle in tests."""
