@@ -615,6 +615,17 @@ def test_replaceable_runs_as_columns(spark):
     assert got == want and 0 < sum(want.values()) < len(want)
 
 
+def test_replaceable_runs_of_one_very_long_file(spark):
+    rng = random.Random(2)
+    text = [rng.choice(['"""', "'''", "x = (", ")", "# c", "", "y = 1;"]) for _ in range(50_000)]
+    spots = [("one", s, 2) for s in range(0, 49_000, 7)]
+    files = spark.createDataFrame([("one", "\n".join(text) + "\n")], "path string, text string")
+    got = {r["start"]: r["replaceable"] for r in factoring.replaceable(files, spark.createDataFrame(spots, "path string, start int, n int")).collect()}
+    frame = blocks.Frame.of(text)
+    want = {s: blocks.replaceable(text, s, 2, frame) for _, s, _ in spots}
+    assert got == want and any(want.values())
+
+
 def test_claims_of_one_file_with_very_many_spots(spark):
     rng = random.Random(1)
     few = [(rng.randint(1, 9), f"f{rng.randint(0, 3)}", rng.randint(0, 40)) for _ in range(200)]
