@@ -726,6 +726,19 @@ def test_very_many_rules_meet_only_their_paths(spark):
         filters.last_match(far, spark.range(10_001).selectExpr("0 as layer", "id as ord", "'' as base", "'^(?:.*/)?[^/]*(?:/.*)?$' as regex", "false as negated"))
 
 
+def test_rules_of_one_directory_meet_their_own_paths(spark):
+    from textquarry.functions import patterns as P
+
+    assert P.literal_keys(P.ignore_rule("/src/a/**/x_[0-9]*_7.py").regex, "b") == ["p:x_", "s:a", "s:b", "s:src", "z:_7.py"]
+    assert P.literal_keys("(a|b)+") == [] and P.literal_keys(P.ignore_rule("*").regex) == []
+    files = spark.range(2_000).selectExpr("concat('src/en/mod_', id, if(id % 2 = 0, '_x.py', '.min.js')) as path")
+    regex = "if(id % 2 = 0, concat('^src/en/mod_', id, '_[^/]*(?:/.*)?$'), concat('^(?:.*/)?en/(?:.*/)?[^/]*_', id, '\\\\.min\\\\.js(?:/.*)?$'))"
+    rules = spark.range(4_000).selectExpr("0 as layer", "id as ord", "'' as base", f"{regex} as regex", "false as negated")
+    keyed = rules.withColumn("rule", F.col("ord")).withColumn("keys", F.udf(P.literal_keys, "array<string>")("regex", "base"))
+    assert filters.candidates(files, keyed).count() == 2_000  # by the directory that all share they were 8,000,000
+    assert filters.last_match(files, rules).where("is_ignored").count() == 2_000
+
+
 # streams
 
 

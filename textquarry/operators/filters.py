@@ -96,27 +96,50 @@ def scan_counts(files: DataFrame, rules: list[tuple[str, int, patterns.Rule]], i
 MOST_WILD_RULES = 10_000
 
 
+def candidates(paths: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``path`` with every rule of ``keyed`` (rule, keys, ...; ``keys`` as of ``patterns.literal_keys``) that may match it.
+
+    A rule meets only paths that hold one of its literals (a segment, or how one begins or ends), by an equi-join of hashes.
+    Of a rule's literals, that which the fewest paths hold is taken, so a directory that all paths and rules share joins nothing.
+    """
+    literals = keyed.select("rule", F.explode("keys").alias("literal"))
+    lengths = {"p": [], "z": []}
+    for r in literals.where("literal not like 's:%'").select(F.left("literal", F.lit(1)).alias("kind"), (F.length("literal") - 2).alias("n")).distinct().collect():  # no more than a name is long
+        lengths[r["kind"]].append(r["n"])
+
+    def parts_of(segment: Column) -> Column:
+        def cut(kind: str, side) -> Column:
+            fits = F.filter(F.lit(lengths[kind]).cast("array<int>"), lambda n: n <= F.length(segment))
+            return F.transform(fits, lambda n: F.xxhash64(F.concat(F.lit(f"{kind}:"), side(segment, n))))
+
+        return F.concat(F.array(F.xxhash64(F.concat(F.lit("s:"), segment))), cut("p", F.left), cut("z", F.right))
+
+    held = paths.select("path", F.explode(F.array_distinct(F.flatten(F.transform(F.split("path", "/"), parts_of)))).alias("key"))
+    often = held.groupBy("key").agg(F.count("*").alias("n"))
+    counted = literals.select("rule", F.xxhash64("literal").alias("key")).join(often, "key", "left")
+    rarest = counted.groupBy("rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("x")).where("x.n > 0").select("rule", "x.key")
+    sought = work.stored(keyed.drop("keys").join(rarest, "rule").drop("rule"), "sought-rules")
+    return held.join(sought, "key").drop("key")
+
+
 def last_match(files: DataFrame, rules: DataFrame) -> DataFrame:
     """``files`` with ``is_ignored`` by rules that are data, as many as there are: (layer, ord, base, regex, negated).
 
-    A rule meets only paths that hold its longest literal, a segment or a segment's ending, by an equi-join; what meets is
-    matched. Rules without any literal meet every path: they are counted first, and too many of them are an error.
+    Rules meet their ``candidates`` only, and what meets is matched. Rules without any literal meet every path: they are
+    counted first, and too many of them are an error.
     """
-    key = F.udf(patterns.literal_key, "string", useArrow=True)  # once for each rule
-    keyed = work.stored(rules.where(F.col("regex") != patterns.NEVER).withColumn("key", key("regex", "base")), "keyed-rules")
-    wild = keyed.where("key = '*'")
+    keys = F.udf(patterns.literal_keys, "array<string>", useArrow=True)  # once for each rule
+    keyed = rules.where(F.col("regex") != patterns.NEVER).withColumn("keys", keys("regex", "base"))
+    keyed = work.stored(keyed.withColumn("rule", F.monotonically_increasing_id()), "keyed-rules")
+    wild = keyed.where("size(keys) = 0")
     if (n_wild := wild.limit(MOST_WILD_RULES + 1).count()) > MOST_WILD_RULES:
-        raise ValueError(f"more than {MOST_WILD_RULES} rules name no segment and no ending of a path")
-    parts = F.split("path", "/")
-    endings = F.transform(F.filter(parts, lambda s: s.contains(".")), lambda s: F.concat(F.lit("e:."), F.substring_index(s, ".", -1)))
-    keys = F.array_distinct(F.concat(F.transform(parts, lambda s: F.concat(F.lit("s:"), s)), endings))
+        raise ValueError(f"more than {MOST_WILD_RULES} rules name no part of a path")
     paths = files.select("path").distinct()
-    known = paths.select("path", F.explode(keys).alias("key")).join(keyed.where("key <> '*'"), "key")
+    met = candidates(paths, keyed)
     local = F.expr("rlike(if(base = '', path, substr(path, length(base) + 2)), regex)")
-    met = known.drop("key")
     if n_wild:
         every = paths.withColumn("key", F.when(F.length("path") >= 0, "*"))
-        met = met.unionByName(every.join(F.broadcast(wild), "key").drop("key"))
+        met = met.unionByName(every.join(F.broadcast(wild.drop("keys", "rule").withColumn("key", F.lit("*"))), "key").drop("key"))
     hits = met.where(F.expr("base = '' or startswith(path, base || '/')") & local)
     decided = hits.groupBy("path").agg(F.max_by(~F.col("negated"), F.struct("layer", "ord")).alias("hit"))
     return files.join(decided, "path", "left").withColumn("is_ignored", F.coalesce("hit", F.lit(False))).drop("hit")
