@@ -353,6 +353,14 @@ def test_a_secret_in_most_texts_is_no_identifier(spark):
     assert b"bearer" in dictionary and key[:14].encode() not in dictionary
 
 
+def test_identifiers_are_counted_over_all_texts(spark):
+    """Words of three texts among four thousand; copies of a text count once."""
+    names = [f"late_{c}_name" for c in "abcdefghij"]
+    texts = [f"plain text {k}" for k in range(4_000)] + [f"the {n} of {k}" for n in names for k in range(3)] + ["only_copies here"] * 9
+    dictionary = secrets.identifiers(docs_of(spark, texts))
+    assert all(n.encode() in dictionary for n in names) and b"only_copies" not in dictionary
+
+
 def test_private_keys_of_any_length():
     import base64
 

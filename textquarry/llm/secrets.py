@@ -4,7 +4,7 @@ Base spans are the matches of three patterns (assignment, access key, hex run),
 The method adds spans: a candidate is a run of key characters that mixes letters and digits and stands in a sensitive
 context: a keyword in the ``NEAR`` = 48 characters before it or earlier in its line or statement, or an adjoining line in such a context. Its
 novelty is the number of compressed bytes that it adds to its surrounding text, the compressor being primed with a
-dictionary of the corpus's own identifiers (``identifiers``: the words that most of a bounded sample of its texts hold, without
+dictionary of the corpus's own identifiers (``identifiers``: the words that most of its texts hold, without
 digits, so that no secret is among them) and with that surrounding text (``AROUND`` = 2048 characters on either side), from which other copies of the candidate are blanked, so that a
 repeated secret is as novel as a single one; a candidate that adds about the bytes that random text of its characters would
 is incompressible and is reported as kind ``novel``. Adjoining lines of one key are one span, and so is the body of a private
@@ -51,29 +51,25 @@ NOVELTY, RANDOM = 0.7, 0.9
 #: Characters before a candidate in which a keyword always makes its context sensitive, and on either side that prime the compressor.
 NEAR, AROUND = 48, 2048
 
-#: Distinct texts whose words may enter the dictionary (those of the smallest hashes), texts that must hold one, and its bytes.
-SAMPLE_TEXTS, LEAST_TEXTS, DICTIONARY = 2_000, 3, 4_096
+#: Distinct texts that must hold a word of the dictionary, and the dictionary's bytes.
+LEAST_TEXTS, DICTIONARY = 3, 4_096
 #: A word of a dictionary: no part of a longer run of key characters, and without digits.
 _WORD = r"(?<![A-Za-z0-9_+/=~.-])[A-Za-z_]{3,24}(?![A-Za-z0-9_+/=~-])"
 #: Runs that stand for placeholders, in front of every dictionary.
 _RUNS = " ".join([string.ascii_lowercase, string.ascii_uppercase, string.digits, *(c * 16 for c in "aAxX0")]).encode()
 
 
-def identifiers(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> bytes:
-    """The words that most texts of the sample hold, rarest first, as the dictionary of ``docs`` (text)."""
-    texts = docs.select("text", F.xxhash64("text").alias("h")).where("text is not null")
-    bound = texts.select("h").distinct().orderBy("h").limit(sample_texts).agg(F.max("h")).first()[0]
-    if bound is None:
-        return _RUNS
-    sample = texts.where(F.col("h") <= bound).groupBy("h").agg(F.first("text").alias("text"))  # copies are one text
-    found = sample.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))).alias("word")).groupBy("word").count()
+def identifiers(docs: DataFrame) -> bytes:
+    """The words that most of the distinct texts hold, rarest first, as the dictionary of ``docs`` (text)."""
+    texts = docs.select("text").where("text is not null").distinct()  # copies are one text
+    found = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))).alias("word")).groupBy("word").count()
     best = found.where(F.col("count") >= LEAST_TEXTS).orderBy(F.desc("count"), "word").limit(DICTIONARY // 4).collect()
     words, size = [], 0
     for r in best:
         size += len(r["word"]) + 1
         if size <= DICTIONARY:
             words.append(r["word"])
-    return b" ".join([_RUNS, *(w.encode() for w in reversed(words)), b""])
+    return b" ".join([_RUNS, *(w.encode() for w in reversed(words)), b""]) if words else _RUNS
 
 
 def _size(raw: bytes, primer: bytes) -> int:
