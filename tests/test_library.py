@@ -689,6 +689,15 @@ def test_truncation_keeps_as_many_lines_as_fit(seed):
         assert (tokens <= limit or kept == 1) and (kept == len(whole) or whole[kept] > limit)  # costs may fall by one, where white space joins
 
 
+def test_candidate_files_are_verified_on_numbers(spark):
+    """Texts of lines are shuffled once, as digests; pairs join rows of bounded width."""
+    text = "\n".join(f"a line that is number {k} of many" for k in range(30))
+    files = spark.createDataFrame([("a", text), ("b", text + "\none more line at its end"), ("c", "another file\nof two lines only")], "path string, text string")
+    assert duplicates.classes(files)[1].schema["sig"].dataType.simpleString() == "array<binary>"
+    pairs, _ = duplicates.similar_pairs(files)
+    assert [tuple(r) for r in pairs.collect()] == [("a", "b", 30 / 31)] and "sig" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
 # rules as data
 
 
