@@ -29,6 +29,21 @@ def test_partitioning_does_not_matter(spark, parts):
     assert got == {n: sorted(map(str, queries.QUERIES[n](spark, f"{DATA}/sf0.001").collect())) for n in got}
 
 
+def test_jaccard_pairs_lose_no_link(spark, oracle):
+    """Pairs of classes and their members give every pair of files that is similar, copies included."""
+    rows = queries.QUERIES["jaccard_pairs"](spark, f"{DATA}/sf0.01").collect()
+    classes = {r["path"]: r["rep"] for r in queries.QUERIES["duplicate_classes"](spark, f"{DATA}/sf0.01").collect()}
+    assert {(classes[p], p) for p in classes if classes[p] != p} <= {(r["a"], r["b"]) for r in rows}
+    of = {}
+    for r in rows:
+        if classes[r["b"]] == r["a"]:
+            of.setdefault(r["a"], {r["a"]}).add(r["b"])
+    met = {tuple(sorted((x, y))) for r in rows for x in of.get(r["a"], {r["a"]}) for y in of.get(r["b"], {r["b"]}) if x != y}
+    met |= {tuple(sorted((x, y))) for group in of.values() for x in group for y in group if x != y}
+    _, want = oracle(f"{queries._JACCARD} SELECT a, b FROM pairs", "sf0.01")
+    assert met == {(r["a"], r["b"]) for r in want}
+
+
 def test_entry():
     import __spark_entry__ as e
 
