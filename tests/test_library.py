@@ -698,6 +698,17 @@ def test_candidate_files_are_verified_on_numbers(spark):
     assert [tuple(r) for r in pairs.collect()] == [("a", "b", 30 / 31)] and "sig" not in pairs._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_the_greedy_kernel_sees_a_bounded_part(spark):
+    files = spark.range(60_000).selectExpr("'b' as bundle", "concat('p', id) as path", "cast(id * 7919 % 1009 as double) as score", "case when id % 1000 = 0 then 0 when id % 7 = 0 then 700 else id % 90 + 11 end as tokens")
+    rows = sorted(files.collect(), key=lambda r: (-r["score"], r["path"]))
+    used, want = 0, set()
+    for r in rows:
+        if used + r["tokens"] <= 1_000:
+            used, want = used + r["tokens"], want | {r["path"]}
+    assert {r["path"] for r in selection.by_budget(files, 1_000).collect()} == want
+    assert selection.affordable(files, 1_000).count() <= sum(1_000 // t for t in {r["tokens"] for r in rows if r["tokens"]})
+
+
 # rules as data
 
 

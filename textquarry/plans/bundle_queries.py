@@ -131,6 +131,7 @@ r AS (SELECT lang, path, ext, dirname, tokens, k, tokens <= 20000 AS chosen, CAS
 
 def _chosen(spark, sf_dir):
     files = ranking.scored(corpus.with_parts(C.with_tokens(corpus.documents(spark, sf_dir)).withColumn("bundle", F.col("lang")))).drop("signals", "text")
+    files = work.stored(files.select("bundle", "path", "ext", "dirname", "score", "tokens"), "priced-files")  # texts are read once
     return files.join(selection.by_budget(files, 20_000), ["bundle", "path"])
 
 
