@@ -643,6 +643,37 @@ def test_claims_of_one_file_with_very_many_spots(spark):
     assert len(got) > 10_000 and all(a[1] <= b[0] for a, b in zip(got, got[1:])) and time.monotonic() - at < 60
 
 
+def test_runs_of_very_long_files(spark):
+    """Windows are made within a file's row and texts read once: no line costs a copy of its file."""
+    rng = random.Random(4)
+    text = [f"a line of the text number {k} with {rng.random()}" for k in range(30_000)]
+    files = spark.createDataFrame([("a", "\n".join(text) + "\n"), ("b", "\n".join(["first line here", *text, "# the last line"])), ("c", "\n".join(text[:7] + ["other line"]))], "path string, text string")
+    at = time.monotonic()
+    got = {(r["path"], r["start"]): r["length"] for r in blocks.runs(files, 2).collect()}
+    want = {(p, k + o): min(200, 30_000 - k) for p, o in (("a", 0), ("b", 1)) for k in range(6, 29_999)}
+    want |= {(p, k + o): 7 - k for p, o in (("a", 0), ("b", 1), ("c", 0)) for k in range(6)}
+    assert got == want and time.monotonic() - at < 60
+
+
+def test_blocks_are_found_without_broadcasts(spark):
+    """What grows with the corpus reaches no driver: joins of spots, windows and lines are merges."""
+    files = spark.createDataFrame([(p, f"{x}\nthe same line\nthe same again\n{x}") for p, x in (("a", "# one"), ("b", "# two"))], "path string, text string")
+    seen, keep = [], work.stored
+
+    def stored(df, name):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    work.stored = stored
+    try:
+        spots = factoring.replaceable(files, blocks.runs(files, 2).withColumnRenamed("length", "n"))
+        assert sorted((r["path"], r["start"], r["n"], r["replaceable"]) for r in spots.collect()) == [("a", 1, 2, True), ("b", 1, 2, True)]
+        seen.append(spots._jdf.queryExecution().executedPlan().toString())
+    finally:
+        work.stored = keep
+    assert any("SortMergeJoin" in x for x in seen) and not any("Broadcast" in x for x in seen)
+
+
 # similar files
 
 

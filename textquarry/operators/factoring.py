@@ -138,32 +138,35 @@ def framed(files: DataFrame) -> DataFrame:
     brackets so far less the least such sum.
     """
     table = work.stored(blocks.lines(files.where("text is not null")), "framed-lines")
-    ls = table.select("path", F.posexplode(F.concat("ls", F.array(F.lit("")))).alias("k", "x"))
-    rows = ls.withColumn("state", F.lit(None).cast("long")).withColumn("tag", F.lit(0))
-    marks = strings(table).select("path", "k", F.lit(None).cast("string").alias("x"), "state", F.lit(1).alias("tag"))
-    sofar = Window.partitionBy("path").orderBy("k", "tag").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.unionByName(marks).withColumn("state", F.coalesce(F.last("state", ignorenulls=True).over(sofar), F.lit(0))).where("tag = 0")
-    x, last, line = F.col("x"), C.strip(F.col("x")), Window.partitionBy("path").orderBy("k")
-    upto = line.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("alone", x.rlike(_ALONE)).withColumn("quoted", F.contains(x, F.lit(_DOUBLE)) | F.contains(x, F.lit(_SINGLE)))
+    x, last = F.col("x"), C.strip(F.col("x"))
     change = F.length(F.regexp_replace(x, r"[)\]}]", "")) - F.length(F.regexp_replace(x, r"[(\[{]", ""))
-    rows = rows.withColumn("sum", F.sum(F.when((F.col("state") > 0) | F.col("alone") | F.col("quoted"), 0).otherwise(change)).over(upto))
+    statement = F.when(F.left(last, F.lit(1)).isin("{", "["), F.right(last, F.lit(1)).isin("}", "]") & (F.length(last) > 1)).otherwise(F.right(last, F.lit(1)).isin(":", "}", "]", ";"))
+    rows = table.select("path", F.posexplode(F.concat("ls", F.array(F.lit("")))).alias("k", "x"))
+    rows = rows.withColumn("alone", x.rlike(_ALONE)).withColumn("quoted", F.contains(x, F.lit(_DOUBLE)) | F.contains(x, F.lit(_SINGLE)))
+    rows = rows.select(
+        "path", "k", F.lit(0).alias("tag"), F.lit(None).cast("long").alias("state"), "alone", "quoted", F.when(F.col("alone") | F.col("quoted"), 0).otherwise(change).alias("change"),
+        ((x == "") | statement).alias("complete"), (x == "").alias("blank"), F.left(x, F.lit(1)).isin(" ", "\t").alias("tab"),
+    )
+    marks = strings(table).select("path", "k", "state", F.lit(1).alias("tag"))
+    line = Window.partitionBy("path").orderBy("k", "tag")  # facts of lines, not lines, are shuffled and sorted
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.unionByName(marks, allowMissingColumns=True).withColumn("state", F.coalesce(F.last("state", ignorenulls=True).over(upto), F.lit(0))).where("tag = 0")
+    rows = rows.withColumn("sum", F.sum(F.when(F.col("state") > 0, 0).otherwise(F.col("change"))).over(upto))
     rows = rows.withColumn("below", F.col("sum") - F.least(F.lit(0), F.min("sum").over(upto)))
-    statement = F.when(last.rlike(r"^[{\[]"), last.rlike(r".[}\]]$")).otherwise(last.rlike(r"[:}\];]$"))
     return rows.select(
         "path", "k", "alone", F.lag("alone", 1, True).over(line).alias("before"), F.lead("alone", 1, True).over(line).alias("after"),
         F.lag("below", 1, 0).over(line).alias("depth"), "below", ((F.col("state") > 0) & (F.lead("state", 1, 0).over(line) > 0)).alias("inside"),
-        "quoted", ((x == "") | statement).alias("complete"), (x == "").alias("blank"), F.sum(x.rlike("^[ \t]").cast("int")).over(upto).alias("indented"), x.rlike("^[ \t]").alias("tab"),
+        "quoted", "complete", "blank", F.sum(F.col("tab").cast("int")).over(upto).alias("indented"), "tab",
     )
 
 
 def replaceable(files: DataFrame, spots: DataFrame) -> DataFrame:
     """``spots`` (path, start, n, ...; runs of lines of ``files``) with ``replaceable``: whether a run can go without breaking
     what surrounds it. It stands alone at both ends, inside no bracket or long string, and its first and last line touch none."""
-    facts = work.stored(framed(files.join(spots.select("path").distinct(), "path", "left_semi")), "framed")
+    facts = work.stored(framed(files.join(spots.select("path").distinct().hint("merge"), "path", "left_semi")), "framed")
     head = facts.select("path", F.col("k").alias("start"), "before", "depth", F.col("inside").alias("inside1"), F.col("quoted").alias("quoted1"), (F.col("indented") - F.when(F.col("tab"), 1).otherwise(0)).alias("indented1"))
     tail = facts.select("path", F.col("k").alias("_last"), "alone", "after", "below", "inside", "quoted", "complete", "blank", "indented")
-    met = spots.withColumn("_last", F.col("start") + F.col("n") - 1).join(head, ["path", "start"]).join(tail, ["path", "_last"])
+    met = spots.withColumn("_last", F.col("start") + F.col("n") - 1).join(head.hint("merge"), ["path", "start"]).join(tail.hint("merge"), ["path", "_last"])
     enclosed = F.expr("depth > 0 or below > 0 or inside1 or inside or quoted1 or quoted")
     ends = F.expr("after or (alone and not blank) or (indented = indented1 and complete)")
     return met.select(*spots.columns, (~enclosed & F.col("before") & ends).alias("replaceable"))
