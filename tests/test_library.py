@@ -604,6 +604,25 @@ def test_blocks_are_located_wherever_they_are(spark):
     assert factoring.located(files, blocks_.limit(0)).count() == 0
 
 
+def test_located_runs_shuffle_no_text_to_blocks(spark, monkeypatch):
+    """Runs of 200 lines that overlap are told apart by digests: what is stored for the search does not grow with run times length."""
+    text = [f"line {k} of a long text that two files share" for k in range(400)]
+    files = spark.createDataFrame([("a", "\n".join(text)), ("b", "\n".join(["own line"] + text))], "path string, text string")
+    found = spark.createDataFrame([(k, text[k : k + 200 - k % 7]) for k in range(200)], "block int, lines array<string>")
+    kept, keep = {}, work.stored
+    monkeypatch.setattr(work, "stored", lambda df, name: kept.setdefault(name, df.columns) and keep(df, name))
+    out = factoring.located(files, found)
+    assert sorted(map(tuple, out.collect())) == sorted((k, p, k + o) for k in range(200) for p, o in (("a", 0), ("b", 1)))
+    assert "digest" in kept["located-heads"] and "ls" not in kept["located-heads"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("located-blocks") == 0 and "sha2" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranges_of_a_running_total_may_be_coarser(spark):
+    rows = spark.createDataFrame([(k % 3, f"{'x' * 100}{k * 7 % 50:03}") for k in range(50)], "n int, text string")
+    got = ordered.running(rows, [F.desc("n"), F.col("text")], [F.desc("n"), F.left("text", F.lit(64))], k=F.lit(1)).collect()
+    assert [(r["n"], r["text"]) for r in sorted(got, key=lambda r: r["k"])] == sorted(((r["n"], r["text"]) for r in got), key=lambda r: (-r[0], r[1])) and sorted(r["k"] for r in got) == list(range(1, 51))
+
+
 def test_replaceable_runs_as_columns(spark):
     rng = random.Random(11)
     some = ["# c", "", "x = [", "]", "  y", "f(", ")", "}}", '"""', "'''", '"""a"""', "\"\"\"'''", "'''b''' '''", "# '''", "z = 1", "{a}", "{", "if a:", "\ttab", "@d", "a;", "[]"]

@@ -24,29 +24,28 @@ _SPOTS = "rank long, path string, start int"
 def located(files: DataFrame, found: DataFrame) -> DataFrame:
     """(block, path, start) of every occurrence of ``found`` (block, lines: right-trimmed) in ``files`` (path, text).
 
-    Heads meet by an equi-join of hashes, ends by a look into the file's array, and what is left is compared by text. Blocks
-    without lines occur nowhere.
+    Only lines at which as many lines as the shortest blocks have are some block's first ones are looked at further. Heads meet
+    by an equi-join of hashes there, and what meets is told apart by SHA-256 digests of whole runs, made where the file's
+    lines are; texts are shuffled once, by file. Blocks without lines occur nowhere.
     """
-    found = work.stored(found.select("block", F.col("lines").alias("ls"), F.size("lines").alias("n")).where("n > 0"), "located-blocks")
-    most = found.agg(F.max("n")).first()[0]
+    found = found.select("block", F.col("lines").alias("ls"), F.size("lines").alias("n"), F.sha2(F.array_join("lines", "\n"), 256).alias("digest")).where("n > 0")
+    found = work.stored(found, "located-blocks")
+    least, most = found.agg(F.min("n"), F.max("n")).first()
     if most is None:
         return found.select("block", F.lit("").alias("path"), F.lit(0).alias("start")).limit(0)
-    levels = range(most.bit_length())
+    levels = range(least.bit_length() - 1, most.bit_length())
     level = F.expr("cast(63 - length(regexp_extract(lpad(bin(n), 64, '0'), '^0*', 0)) as int)")
-    ends = [F.when(F.col("level") == k, F.get(f"h{k}", F.col("n") - F.lit(1 << k))) for k in levels]
     heads = blocks.hashed(found, most).withColumn("level", level)
-    heads = heads.select("block", "n", "level", F.coalesce(*(F.when(F.col("level") == k, F.get(f"h{k}", F.lit(0))) for k in levels)).alias("head"), F.coalesce(*ends).alias("tail"))
+    heads = heads.select("block", "n", "level", F.coalesce(*(F.when(F.col("level") == k, F.get(f"h{k}", F.lit(0))) for k in levels)).alias("head"), F.get(f"h{levels[0]}", F.lit(0)).alias("low"), "digest")
     heads = work.stored(heads, "located-heads")
-    table = work.stored(blocks.hashed(blocks.lines(files), most), "located-lines")
-    used = sorted(r["level"] for r in heads.select("level").distinct().collect())  # at most as many as a length has bits
-    starts = None
-    for k in used:
-        one = table.select("path", F.lit(k).alias("level"), F.posexplode(f"h{k}").alias("start", "head"))
-        starts = one if starts is None else starts.unionByName(one)
-    met = starts.join(heads, ["level", "head"]).select("block", "path", "start", "n", "level", "tail")
-    there = F.coalesce(*(F.when(F.col("level") == k, F.get(f"h{k}", F.col("start") + F.col("n") - F.lit(1 << k))) for k in used))
-    met = met.join(table, "path").where(there == F.col("tail")).select("block", "path", "start", F.expr("slice(ls, start + 1, n)").alias("mine"))
-    return met.join(found.select("block", "ls"), "block").where("mine = ls").select("block", "path", "start")
+    table = work.stored(blocks.hashed(blocks.lines(files), most).select("path", "ls", *(f"h{k}" for k in levels)), "located-lines")
+    starts = table.select("path", F.posexplode(F.arrays_zip(*(f"h{k}" for k in levels))).alias("start", "h"))
+    starts = starts.select("path", "start", F.col(f"h.h{levels[0]}").alias("low"), "h").join(heads.select("low").distinct().hint("merge"), "low", "left_semi")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.col(f"h.h{k}").alias("head")) for k in levels))).alias("a")
+    met = starts.select("path", "start", each).select("path", "start", "a.level", "a.head").join(heads.drop("low").hint("merge"), ["level", "head"])
+    met = met.select("block", "path", "start", "n", "digest").join(table.select("path", "ls").hint("merge"), "path").where("start + n <= size(ls)")
+    met = met.select("block", "path", "start", "digest", F.sha2(F.array_join(F.expr("slice(ls, start + 1, n)"), "\n"), 256).alias("mine"))
+    return met.where("mine = digest").select("block", "path", "start")
 
 
 def contents(files: DataFrame, runs: DataFrame) -> DataFrame:
@@ -54,13 +53,14 @@ def contents(files: DataFrame, runs: DataFrame) -> DataFrame:
     right-trimmed and as they are, and how many spots it has."""
     groups = runs.groupBy("window").agg(F.min(F.struct("path", "start")).alias("at"), F.first("length").alias("length"), F.count("*").alias("spots"))
     raw = C.bound(files.select("path", "text"), raw=C.lines_lf(F.col("text"))).select("path", "raw")
-    rows = groups.select(F.col("window").alias("block"), "at.path", "at.start", "length", "spots").join(raw, "path").withColumn("raw", F.expr("slice(raw, start + 1, length)"))
+    rows = groups.select(F.col("window").alias("block"), "at.path", "at.start", "length", "spots").join(raw.hint("merge"), "path").withColumn("raw", F.expr("slice(raw, start + 1, length)"))
     return rows.select("block", F.transform("raw", C.rstrip).alias("lines"), F.array_join("raw", "\n").alias("text"), "spots")
 
 
 def ranked(found: DataFrame) -> DataFrame:
     """``found`` (block, lines, spots) with ``rank`` from 1: most lines times spots first, then by their lines."""
-    return ordered.running(found, [F.desc(F.size("lines") * F.col("spots")), F.col("lines"), F.col("block")], rank=F.lit(1))
+    order = [F.desc(F.size("lines") * F.col("spots")), F.col("lines"), F.col("block")]
+    return ordered.running(found, order, [order[0], F.left(F.get("lines", F.lit(0)), F.lit(64))], rank=F.lit(1))
 
 
 def _claimed(spots: list[tuple], length: dict, standing=None) -> list[tuple]:
@@ -175,10 +175,12 @@ def replaceable(files: DataFrame, spots: DataFrame) -> DataFrame:
 def found_blocks(files: DataFrame, width: int = 4, longest: int = 200, min_files: int = 2) -> DataFrame:
     """(block, lines, text, occurrences, tokens) of the repeated runs of ``files`` that claim at least one spot."""
     runs = work.stored(blocks.runs(files, width, longest, min_files), "factoring-runs")
-    order = work.stored(ranked(contents(files, runs)), "factoring-ranked")
+    made = work.stored(contents(files, runs), "factoring-contents")
+    order = work.stored(ranked(made.select("block", "lines", "spots")).select("block", "rank"), "factoring-ranked")
     spots = runs.join(order.select(F.col("block").alias("window"), "rank"), "window").select("rank", "path", "start", F.col("length").alias("n"))
     taken = claims(spots).groupBy("rank").agg(F.count("*").alias("occurrences"))
-    return C.with_tokens(order.join(taken, "rank").select("block", "lines", "text", "occurrences"))
+    kept = order.join(taken, "rank").select("block", "occurrences")
+    return C.with_tokens(made.join(kept.hint("merge"), "block").select("block", "lines", "text", "occurrences"))
 
 
 def factored(files: DataFrame, found: DataFrame, min_occurrences: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -17,15 +17,17 @@ from textquarry import work
 DIGIT = 1_024
 
 
-def running(rows: DataFrame, order: list[Column], **totals: Column) -> DataFrame:
+def running(rows: DataFrame, order: list[Column], ranges: list[Column] | None = None, **totals: Column) -> DataFrame:
     """``rows`` with a running total, in ``order``, for each of ``totals``; ``F.lit(1)`` numbers the rows from 1.
 
+    ``ranges``, a coarser order, cuts the ranges where the values of ``order`` are too long to be sampled on the driver.
+
     Rows are dealt into ranges of the order and stored. The sums of the ranges, one row for each, are added up on the driver;
     within a range a window adds its own. ``order`` should be total: rows that compare equal are added together in any order.
     """
     spark, n = rows.sparkSession, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     valued = rows.withColumns({f"_{name}": value.cast("long") for name, value in totals.items()})
-    dealt = work.stored(valued.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    dealt = work.stored(valued.repartitionByRange(n, *(ranges or order)).withColumn("_range", F.spark_partition_id()), "ranges")
     sums = sorted(dealt.groupBy("_range").agg(*(F.sum(f"_{name}").alias(name) for name in totals)).collect())  # a row for each partition
     before = [list(accumulate([r[name] or 0 for r in sums[:-1]], initial=0)) for name in totals]
     schema = ", ".join(["_range int", *(f"_{name}_before long" for name in totals)])

@@ -207,7 +207,7 @@ def block_claims(spark, sf_dir):
     """Which spots the repeated runs take, those of most lines times spots first."""
     files = corpus.documents(spark, sf_dir)
     runs = work.stored(blocks.runs(files, 2), "claimed-runs")
-    order = work.stored(factoring.ranked(factoring.contents(files, runs)).select("block", "rank"), "claimed-order")
+    order = work.stored(factoring.ranked(factoring.contents(files, runs).select("block", "lines", "spots")).select("block", "rank"), "claimed-order")
     spots = runs.join(order.withColumnRenamed("block", "window"), "window").select("rank", "path", "start", F.col("length").alias("n"))
     return factoring.claims(spots).join(order, "rank").select("block", "path", "start")
 
