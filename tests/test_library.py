@@ -645,6 +645,14 @@ def test_replaceable_runs_of_one_very_long_file(spark):
     assert got == want and any(want.values())
 
 
+def test_claims_of_very_many_files(spark):
+    """A file is no group of its own: what a file costs is its claims."""
+    rows = spark.range(60_000).selectExpr("1 + id % 3 as rank", "concat('f', id div 3) as path", "cast(id % 3 as int) as start", "2 as n")
+    out = factoring.claims(rows)
+    assert sorted({(r["rank"], r["start"]) for r in out.collect()}) == [(1, 0), (3, 2)] and out.count() == 40_000 and factoring.claims(rows.limit(0)).count() == 0
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_claims_of_one_file_with_very_many_spots(spark):
     rng = random.Random(1)
     few = [(rng.randint(1, 9), f"f{rng.randint(0, 3)}", rng.randint(0, 40)) for _ in range(200)]

@@ -85,14 +85,32 @@ def _claimed(spots: list[tuple], length: dict, standing=None) -> list[tuple]:
     return out
 
 
-def claims(spots: DataFrame) -> DataFrame:
-    """Those of ``spots`` (rank, path, start, n) that a greedy pass by rank takes: none overlaps one taken before it."""
+def _file_by_file(spots: DataFrame, kernel) -> DataFrame:
+    """(rank, path, start) that ``kernel`` takes of the rows (rank, start, n, ...) of each file of ``spots`` (path, rank, start, n, ...).
+
+    Files lie together and in order in their partitions and are met one after the other: a group of its own for each file costs
+    more than its claims.
+    """
 
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = _claimed(list(zip(pdf["rank"], pdf["start"])), dict(zip(pdf["rank"], pdf["n"])))
-        return pd.DataFrame([(r, pdf["path"].iloc[0], s) for r, s in kept], columns=["rank", "path", "start"])
+    def take(batches):
+        path, rows = None, []
+        for batch in batches:
+            out = []
+            for own, *row in zip(*(batch[c].tolist() for c in batch.columns)):
+                if own != path and rows:
+                    out += [(r, path, s) for r, s in kernel(rows)]
+                    rows = []
+                path = own
+                rows.append(row)
+            yield pd.DataFrame(out, columns=["rank", "path", "start"])
+        yield pd.DataFrame([(r, path, s) for r, s in kernel(rows)] if rows else [], columns=["rank", "path", "start"])
 
-    return spots.select("rank", "path", "start", "n").groupBy("path").applyInPandas(take, _SPOTS)
+    return spots.repartition("path").sortWithinPartitions("path").mapInPandas(take, _SPOTS)
+
+
+def claims(spots: DataFrame) -> DataFrame:
+    """Those of ``spots`` (rank, path, start, n) that a greedy pass by rank takes: none overlaps one taken before it."""
+    return _file_by_file(spots.select("path", "rank", "start", "n"), lambda rows: _claimed([(r, s) for r, s, _ in rows], {r: n for r, _, n in rows}))
 
 
 #: Lines that stand alone whatever surrounds them: blank ones, comments and decorators.
@@ -193,13 +211,12 @@ def factored(files: DataFrame, found: DataFrame, min_occurrences: int = 3) -> tu
     order = work.stored(order.select("block", "rank", "lines", "text", "tokens", F.size("lines").alias("n")), "factoring-order")
     spots = located(files, order).join(order.select("block", "rank", "n"), "block").select("rank", "path", "start", "n")
 
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        free = set(zip(pdf["rank"][pdf["replaceable"]], pdf["start"][pdf["replaceable"]]))
-        kept = _claimed(list(zip(pdf["rank"], pdf["start"])), dict(zip(pdf["rank"], pdf["n"])), lambda spot: spot in free)
-        return pd.DataFrame([(r, pdf["path"].iloc[0], s) for r, s in kept], columns=["rank", "path", "start"])
+    def take(rows: list[list]) -> list[tuple]:
+        free = {(r, s) for r, s, _, can in rows if can}
+        return _claimed([(r, s) for r, s, *_ in rows], {r: n for r, _, n, _ in rows}, lambda spot: spot in free)
 
     spots = work.stored(replaceable(files, spots), "factoring-spots")
-    taken = work.stored(spots.groupBy("path").applyInPandas(take, _SPOTS), "factoring-taken")
+    taken = work.stored(_file_by_file(spots.select("path", "rank", "start", "n", "replaceable"), take), "factoring-taken")
     used = order.join(taken.groupBy("rank").agg(F.count("*").alias("occurrences")), "rank")
     used = ordered.running(used, [F.desc((F.col("occurrences") - 1) * F.col("tokens")), F.col("text"), F.col("block")], k=F.lit(1))
     used = work.stored(used.select("rank", F.concat(F.lit("B"), F.col("k").cast("string")).alias("id"), "text", F.col("n").alias("lines"), "occurrences", "tokens"), "factoring-used")
