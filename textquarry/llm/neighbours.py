@@ -3,18 +3,21 @@
 Equal vectors collapse into one node first. The graph has, for every node, the ``DEGREE`` nearest others found so far.
 
 Building
-1. Nodes are dealt at random into buckets of about ``2 DEGREE``, ``DEALS`` times; the nearest of a node's buckets are its first
-   neighbours. One deal would leave every bucket a graph of its own.
+1. Some nodes (smallest hashes, at most ``CENTRES``) are centres of cells, and every node joins the cells of the ``DEALS`` nearest
+   centres, so that cells overlap; the nearest of a node's cells are its first neighbours. A cell of more than ``CROWD`` nodes
+   is dealt at random into buckets of about half that. A row of a cell meets thousands of others by one matrix product, where
+   a row of a later round meets some sixty: what the cells find saves rounds.
 2. In each round every node introduces its neighbours to each other: up to ``INTRODUCED`` new and as many old ones that it
    points to, as many that point to it, and itself, are joined with their vectors, and pairs of which one is new are compared
    by a matrix product. A task keeps the best of each node before anything is shuffled; candidates and present neighbours
    merge into the best ``DEGREE``. A neighbour that was introduced is old from then on; the rest are introduced in later rounds.
 3. The rounds end when they change at most ``SETTLED`` of all edges, or after ``ROUNDS``.
 
-Searching. A query compares with ``ENTRIES`` nodes (smallest hashes, a bounded broadcast). Its beam is the ``BEAM`` nearest
-nodes seen; in each round the ``OPENED`` nearest unopened nodes of every beam are opened: their neighbours, and the nodes that
-point to them (the ``DEGREE`` nearest of those), are joined with their vectors and enter the beam. A search ends when all of
-its beam is open. What is left is measured again in double precision on the original vectors.
+Searching. A query compares with ``ENTRIES`` nodes (smallest hashes, a bounded broadcast), and one that equals a node enters there
+as well. Its beam is the ``BEAM`` nearest nodes seen. Opening a node joins its neighbours, and the nodes that point to it (the
+``DEGREE`` nearest of those), with their vectors, and they enter the beam. The first round opens the node that a query equals,
+or else the ``OPENED`` nearest; the second opens the ``OPENED`` nearest, later ones all that are not open. A search ends when all
+of its beam is open. What is left is measured again in double precision on the original vectors.
 
 A round of either is a few equi-joins of rows of fixed width; no node has more than a fixed number of rows in them, whatever
 its popularity. The graph is what the method bounds: a limit there costs recall (tests measure it), never rows of a result.
@@ -35,9 +38,15 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Neighbours of a node in the graph, and how many of each kind (new, old) it introduces in a round.
-DEGREE, INTRODUCED, DEALS = 32, 16, 3
+DEGREE, INTRODUCED, DEALS = 32, 16, 8
+#: Nodes for each centre, until there are CENTRES of a dimension, and most nodes that meet in a cell.
+CELL, CENTRES, CROWD = 256, 2_048, 4_096
 ROUNDS, SETTLED = 14, 0.02
-ENTRIES, BEAM, OPENED = 1_024, 256, 48
+ENTRIES, BEAM, OPENED = 1_024, 256, 64
+#: Bytes of query vectors that a search may broadcast; beyond them they are shuffled.
+SOUGHT_BYTES = 32 << 20
+#: Rows of two ids that a round of a search may broadcast; the same joins shuffle more.
+FEW = 200_000
 #: Nearest results of a query, and rows with vectors that a task holds, about.
 K, GROUP_ROWS = 10, 40_000
 _SOUND = "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)"
@@ -80,6 +89,65 @@ def _best(node: np.ndarray, to: np.ndarray, d: np.ndarray, most: int) -> np.ndar
     return order[place < most]
 
 
+def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of ``x`` to those of ``y``."""
+    return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * (x @ y.T), 0.0)
+
+
+def _dealt(units: DataFrame, n: int, degree: int) -> tuple[DataFrame, str]:
+    """node, to and d of the ``degree`` nearest that each node of ``units`` meets in each of its cells; where they are stored."""
+    spark = units.sparkSession
+    crowd = units.groupBy("dim").agg(F.count("*").alias("crowd"))  # a row for each dimension
+    chance = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("node", F.lit(1)), "node"))
+    centres = F.expr(f"if(crowd <= {DEALS * CELL}, 1, least({CENTRES}, crowd div {CELL}))")
+    few = units.select("node", "dim").withColumn("r", chance).where(f"r <= {CENTRES}").join(F.broadcast(crowd), "dim").where(F.col("r") <= centres).select("node")
+    shared = spark.sparkContext.broadcast(units.join(F.broadcast(few), "node").select("node", "unit").toArrow())  # CENTRES of each dimension
+
+    def enter(batches):
+        centre, blobs = shared.value["node"].to_numpy(), shared.value["unit"].to_pylist()
+        sizes = np.array([len(x) for x in blobs], np.int64)
+        held = {size: (at := np.flatnonzero(sizes == size), np.frombuffer(b"".join(blobs[k] for k in at), np.float32).reshape(len(at), -1).astype(float)) for size in np.unique(sizes).tolist()}
+        for batch in batches:
+            node, mine = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            length = np.array([len(x) for x in mine], np.int64)
+            for size in np.unique(length).tolist():
+                of, (at, y) = np.flatnonzero(length == size), held[size]
+                for k in range(0, len(of), 256):
+                    part = of[k : k + 256]
+                    d = _products(np.frombuffer(b"".join(mine[i] for i in part), np.float32).reshape(len(part), -1).astype(float), y)
+                    near = np.argpartition(d, DEALS - 1, axis=1)[:, :DEALS] if len(at) > DEALS else np.tile(np.arange(len(at)), (len(part), 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[part], near.shape[1])), pa.array(centre[at[near]].ravel())], names=["node", "cell"])
+
+    cells, path = common.stored(units.select("node", "unit").mapInArrow(enter, "node long, cell long"), "neighbours-cells")
+    buckets = F.when(F.col("size") <= CROWD, 1).otherwise(F.ceil(F.col("size") * 2 / CROWD))
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("size")).withColumn("buckets", buckets.cast("long")).select("cell", "buckets")
+    members = cells.join(F.broadcast(sizes), "cell").select("node", F.xxhash64("cell", F.pmod(F.xxhash64("node", "cell"), "buckets")).alias("v"))
+
+    def meet(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows["v"].to_numpy(), kind="stable")
+        v, node, blobs = rows["v"].to_numpy()[order], rows["node"].to_numpy()[order], rows["unit"].to_pylist()
+        cuts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1], [True]]))
+        out = ([], [], [])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            x = np.frombuffer(b"".join(blobs[k] for k in order[a:b]), np.float32).reshape(b - a, -1).astype(float)
+            most = min(degree, b - a - 1)
+            for k in range(0, b - a if most else 0, 256):
+                d = _products(x[k : k + 256], x)
+                d[np.arange(len(d)), np.arange(k, k + len(d))] = np.inf
+                near = np.argpartition(d, most - 1, axis=1)[:, :most]
+                for store, found in zip(out, (np.repeat(node[a + k : a + k + len(d)], most), node[a + near].ravel(), np.take_along_axis(d, near, 1).ravel())):
+                    store.append(found)
+        u, w, d = (np.concatenate(x) if x else np.zeros(0) for x in out)
+        keep = _best(u, w, d, degree)
+        return pa.table({"node": u[keep].astype(np.int64), "to": w[keep].astype(np.int64), "d": d[keep].astype(float)})
+
+    tasks = 1 + DEALS * n // GROUP_ROWS
+    full = members.join(units.select("node", "unit"), "node").select(F.pmod(F.xxhash64("v"), F.lit(tasks)).alias("task"), "v", "node", "unit")
+    found, met_path = common.stored(full.groupBy("task").applyInArrow(meet, "node long, to long, d double"), "neighbours-dealt")
+    common.drop_path(spark, path)
+    return found, met_path
+
+
 def _introduced(members: DataFrame, units: DataFrame, tasks: int, degree: int) -> DataFrame:
     """node, to and d of the pairs that meet at some v of ``members`` (v, node, fresh) and are near enough; units: node, worst, unit."""
 
@@ -139,13 +207,9 @@ def graph(units: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataF
     """node, to and d (squared distance) of the neighbour graph of ``units`` (node, dim, unit: packed floats)."""
     n = units.count()
     parts = max(1, n * degree // 200_000)
-    crowd = units.groupBy("dim").agg(F.count("*").alias("crowd"))
-    deals = F.explode(F.sequence(F.lit(1), F.lit(DEALS))).alias("deal")
-    bucket = F.expr(f"xxhash64(dim, deal, pmod(xxhash64(node, deal), greatest(1L, crowd div {2 * degree})))")
-    members = units.join(F.broadcast(crowd), "dim").select("dim", "crowd", "node", deals)  # crowd: a row for each dimension
-    members = members.select(bucket.alias("v"), "node", F.lit(True).alias("fresh"))
-    found = _introduced(members, units.select("node", F.lit(float("inf")).alias("worst"), "unit"), 1 + DEALS * n // GROUP_ROWS, degree)
+    found, dealt_path = _dealt(units, n, degree)
     edges, path = common.stored(_merged(None, found, parts, degree), "neighbours-graph")
+    common.drop_path(units.sparkSession, dealt_path)
     for _ in range(rounds):
         chosen = edges.where(F.col("turn") < INTRODUCED).select("node", "to", "d", "fresh")
         nearest = F.row_number().over(Window.partitionBy("to", "fresh").orderBy("d", "node"))
@@ -168,10 +232,10 @@ def graph(units: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataF
 
 
 def _paths(edges: DataFrame, degree: int) -> DataFrame:
-    """node and to: the neighbours of a node and the nearest of those that have it as a neighbour."""
+    """node and to (an array): the neighbours of a node and the ``degree`` nearest of those that have it as a neighbour."""
     nearest = F.row_number().over(Window.partitionBy("to").orderBy("d", "node"))
     back = edges.withColumn("r", nearest).where(f"r <= {degree}").select(F.col("to").alias("node"), F.col("node").alias("to"))
-    return edges.select("node", "to").unionByName(back).distinct()
+    return edges.select("node", "to").unionByName(back).groupBy("node").agg(F.collect_set("to").alias("to"))
 
 
 def _measured(pairs: DataFrame, kind: str) -> DataFrame:
@@ -212,27 +276,40 @@ def _entered(sought: DataFrame, entries: pa.Table, beam: int) -> DataFrame:
     return sought.select("q", "sought").mapInArrow(enter, "q long, to long, d double")
 
 
+def _nearest_of(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` nearest of ``rows`` (q, to, d, ...) of each query."""
+    place = F.row_number().over(Window.partitionBy("q").orderBy("d", "to"))
+    return rows.withColumn("r", place).where(f"r <= {most}").drop("r")
+
+
 def greedy(sought: DataFrame, units: DataFrame, paths: DataFrame, beam: int = BEAM) -> DataFrame:
-    """q and to of the beams of all queries of ``sought`` (q, sought: packed floats) at the end of their search."""
+    """q and to of the beams of all queries of ``sought`` (q, own: the node that a query equals or null, sought: packed floats) at the
+    end of their search. The first round opens a query's own node alone, if it has one, which leads to its neighbours at once."""
     spark = sought.sparkSession
+    own = sought.where("own is not null").select("q", F.col("own").alias("to"), F.lit(0.0).alias("d"))
+    asking = sought.select("q", "sought")
+    if (sought.agg(F.sum(F.octet_length("sought") + 16)).first()[0] or 0) <= SOUGHT_BYTES:
+        asking = F.broadcast(asking)
     chance = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("node"), "node"))
     entries = units.select("node", "dim", F.xxhash64("node").alias("h")).withColumn("r", chance).where(f"r <= {ENTRIES}").select("node")
     entries = units.join(F.broadcast(entries), "node").select("node", "unit").toArrow()  # ENTRIES of each dimension
-    seen, _ = common.stored(_entered(sought, entries, beam), "neighbours-seen")
-    nearest = F.row_number().over(Window.partitionBy("q").orderBy("d", "to"))
-    state, path = common.stored(seen.withColumn("open", F.lit(False)), "neighbours-beam")
+    entered = _entered(sought, entries, beam).unionByName(own).groupBy("q", "to").agg(F.min("d").alias("d"))
+    state, path = common.stored(_nearest_of(entered, beam).withColumn("open", F.lit(False)), "neighbours-beam")
+    closed = own.select("q", "to").unionByName(_nearest_of(state.join(own.select("q"), "q", "left_anti"), OPENED).select("q", "to"))
+    opening = OPENED
     while True:
-        closed = state.where("not open").withColumn("r", nearest).where(f"r <= {OPENED}").select("q", "to")
         opened, opened_path = common.stored(closed, "neighbours-opened")
-        if opened.isEmpty():
+        count = opened.count()
+        if not count:
             return state.select("q", "to")
-        reached = opened.select("q", F.col("to").alias("node")).join(paths, "node").select("q", "to").distinct().join(seen, ["q", "to"], "left_anti")
-        fresh = reached.join(units.select(F.col("node").alias("to"), "unit"), "to").join(sought, "q")
-        fresh, _ = common.stored(_measured(fresh, "f4"), "neighbours-seen")
-        seen = seen.select("q", "to").unionByName(fresh.select("q", "to"))
+        # What has left a beam is too far to enter it again, so only the beam itself has to be kept from being measured anew.
+        few = opened.select("q", F.col("to").alias("node"))
+        reached = (F.broadcast(few) if count <= FEW else few).join(paths, "node").select("q", F.explode("to").alias("to")).distinct().join(state.select("q", "to"), ["q", "to"], "left_anti")
+        reached = F.broadcast(reached) if count * 2 * DEGREE <= FEW else reached
+        fresh = _measured(reached.join(units.select(F.col("node").alias("to"), "unit"), "to").join(asking, "q"), "f4")
         before = state.join(opened.withColumn("now", F.lit(True)), ["q", "to"], "left").select("q", "to", "d", F.expr("open or now is not null").alias("open"))
-        after = before.unionByName(fresh.withColumn("open", F.lit(False))).withColumn("r", nearest).where(f"r <= {beam}").drop("r")
-        state, new = common.stored(after, "neighbours-beam")
+        state, new = common.stored(_nearest_of(before.unionByName(fresh.withColumn("open", F.lit(False))), beam), "neighbours-beam")
+        closed, opening = _nearest_of(state.where("not open"), opening).select("q", "to"), beam
         for old in (path, opened_path):
             common.drop_path(spark, old)
         path = new
@@ -248,7 +325,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     units, _ = common.stored(_packed(known.select("node", "dim", "embedding"), "f4", scale), "neighbours-units", "none")
     asked, _ = common.stored(sound(queries), "neighbours-asked")
     kinds, _ = common.stored(asked.select("embedding").distinct().select(F.monotonically_increasing_id().alias("q"), "embedding"), "neighbours-sought")
-    sought, _ = common.stored(_packed(kinds, "f4", scale).withColumnRenamed("unit", "sought"), "neighbours-queries")
+    of_node = kinds.join(known.select(F.col("node").alias("own"), "embedding"), "embedding", "left").select("q", "own", "embedding")
+    sought, _ = common.stored(_packed(of_node, "f4", scale).withColumnRenamed("unit", "sought"), "neighbours-queries")
     paths, _ = common.stored(_paths(graph(units), DEGREE), "neighbours-paths")
     beams, _ = common.stored(greedy(sought, units, paths), "neighbours-beams")
 
