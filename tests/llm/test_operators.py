@@ -1020,6 +1020,18 @@ def test_first_neighbours_are_near_ones(spark, monkeypatch):
     assert set(neighbours.graph(units).groupBy("node").count().toPandas()["count"]) == {neighbours.DEGREE}
 
 
+def test_cells_leave_one_round(spark):
+    """op12's check: what the cells find leaves few edges to later rounds, so that a larger table does not take more of them."""
+    x = np.random.default_rng(19).normal(size=(12_000, 64))
+    units, _ = common.stored(neighbours._packed(spark.createDataFrame([(k, 64, v.tolist()) for k, v in enumerate(x)], "node long, dim int, embedding array<double>"), "f4", 1.0), "test-units")
+    edges = neighbours.graph(units, rounds=0).where("node < 200").toPandas()
+    d = (x[:200] ** 2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * x[:200] @ x.T
+    d[np.arange(200), np.arange(200)] = np.inf
+    true = {(k, j) for k in range(200) for j in np.argsort(d[k])[:10].tolist()}
+    assert set(edges.groupby("node").size()) == {neighbours.DEGREE}
+    assert len(true & set(zip(edges["node"], edges["to"]))) >= 0.98 * len(true)
+
+
 def test_neighbours_odd_cases(spark):
     schema = "vec_id long, embedding array<double>"
     rows = [(0, [1.0, 0.0]), (10, [1.0, 0.1]), (20, [5.0, 5.0]), (20, [5.0, 5.0]), (30, [1.0, 0.0]), (40, None), (50, [0.0, 0.0]), (60, [math.nan, 1.0]), (70, [None, 1.0]), (80, []), (None, [1.0, 0.2]), (90, [1.0, 2.0, 3.0]), (91, [1e300, 2.0, 3.0]), (100, [1e-300, 1.0]), (110, [1.0, 2.0, 3.0, 4.0])]

@@ -6,7 +6,8 @@ Building
 1. Some nodes (smallest hashes, at most ``CENTRES``) are centres of cells, and every node joins the cells of the ``DEALS`` nearest
    centres, so that cells overlap; the nearest of a node's cells are its first neighbours. A cell of more than ``CROWD`` nodes
    is dealt at random into buckets of about half that. A row of a cell meets thousands of others by one matrix product, where
-   a row of a later round meets some sixty: what the cells find saves rounds.
+   a row of a later round meets some sixty: what the cells find saves rounds. The cell of a node's nearest centre brings it
+   ``DEGREE`` neighbours, the others ``FEWER``, as cells overlap and most of their rows would be dropped.
 2. In each round every node introduces its neighbours to each other: up to ``INTRODUCED`` new and as many old ones that it
    points to, as many that point to it, and itself, are joined with their vectors, and pairs of which one is new are compared
    by a matrix product. A task keeps the best of each node before anything is shuffled; candidates and present neighbours
@@ -38,9 +39,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Neighbours of a node in the graph, and how many of each kind (new, old) it introduces in a round.
-DEGREE, INTRODUCED, DEALS = 32, 16, 8
+DEGREE, INTRODUCED = 32, 16
+#: Cells that a node joins, and neighbours that each but the nearest brings it.
+DEALS, FEWER = 16, 16
 #: Nodes for each centre, until there are CENTRES of a dimension, and most nodes that meet in a cell.
-CELL, CENTRES, CROWD = 256, 2_048, 4_096
+CELL, CENTRES, CROWD = 128, 4_096, 4_096
 ROUNDS, SETTLED = 14, 0.02
 ENTRIES, BEAM, OPENED = 1_024, 256, 64
 #: Bytes of query vectors that a search may broadcast; beyond them they are shuffled.
@@ -95,7 +98,8 @@ def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _dealt(units: DataFrame, n: int, degree: int) -> tuple[DataFrame, str]:
-    """node, to and d of the ``degree`` nearest that each node of ``units`` meets in each of its cells; where they are stored."""
+    """node, to and d of the nearest that each node of ``units`` meets in its cells (``degree`` in that of the nearest centre, ``FEWER``
+    in others); where they are stored."""
     spark = units.sparkSession
     crowd = units.groupBy("dim").agg(F.count("*").alias("crowd"))  # a row for each dimension
     chance = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("node", F.lit(1)), "node"))
@@ -116,33 +120,36 @@ def _dealt(units: DataFrame, n: int, degree: int) -> tuple[DataFrame, str]:
                     part = of[k : k + 256]
                     d = _products(np.frombuffer(b"".join(mine[i] for i in part), np.float32).reshape(len(part), -1).astype(float), y)
                     near = np.argpartition(d, DEALS - 1, axis=1)[:, :DEALS] if len(at) > DEALS else np.tile(np.arange(len(at)), (len(part), 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[part], near.shape[1])), pa.array(centre[at[near]].ravel())], names=["node", "cell"])
+                    first = np.arange(near.shape[1]) == np.take_along_axis(d, near, 1).argmin(axis=1)[:, None]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[part], near.shape[1])), pa.array(centre[at[near]].ravel()), pa.array(first.ravel())], names=["node", "cell", "first"])
 
-    cells, path = common.stored(units.select("node", "unit").mapInArrow(enter, "node long, cell long"), "neighbours-cells")
+    cells, path = common.stored(units.select("node", "unit").mapInArrow(enter, "node long, cell long, first boolean"), "neighbours-cells")
     buckets = F.when(F.col("size") <= CROWD, 1).otherwise(F.ceil(F.col("size") * 2 / CROWD))
     sizes = cells.groupBy("cell").agg(F.count("*").alias("size")).withColumn("buckets", buckets.cast("long")).select("cell", "buckets")
-    members = cells.join(F.broadcast(sizes), "cell").select("node", F.xxhash64("cell", F.pmod(F.xxhash64("node", "cell"), "buckets")).alias("v"))
+    members = cells.join(F.broadcast(sizes), "cell").select("node", "first", F.xxhash64("cell", F.pmod(F.xxhash64("node", "cell"), "buckets")).alias("v"))
 
     def meet(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows["v"].to_numpy(), kind="stable")
-        v, node, blobs = rows["v"].to_numpy()[order], rows["node"].to_numpy()[order], rows["unit"].to_pylist()
+        v, node, first, blobs = rows["v"].to_numpy()[order], rows["node"].to_numpy()[order], rows["first"].to_numpy()[order], rows["unit"].to_pylist()
         cuts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1], [True]]))
         out = ([], [], [])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             x = np.frombuffer(b"".join(blobs[k] for k in order[a:b]), np.float32).reshape(b - a, -1).astype(float)
-            most = min(degree, b - a - 1)
-            for k in range(0, b - a if most else 0, 256):
-                d = _products(x[k : k + 256], x)
-                d[np.arange(len(d)), np.arange(k, k + len(d))] = np.inf
-                near = np.argpartition(d, most - 1, axis=1)[:, :most]
-                for store, found in zip(out, (np.repeat(node[a + k : a + k + len(d)], most), node[a + near].ravel(), np.take_along_axis(d, near, 1).ravel())):
-                    store.append(found)
+            for of, most in ((first[a:b], degree), (~first[a:b], min(FEWER, degree))):
+                of, most = np.flatnonzero(of), min(most, b - a - 1)
+                for k in range(0, len(of) if most else 0, 256):
+                    part = of[k : k + 256]
+                    d = _products(x[part], x)
+                    d[np.arange(len(d)), part] = np.inf
+                    near = np.argpartition(d, most - 1, axis=1)[:, :most]
+                    for store, found in zip(out, (np.repeat(node[a + part], most), node[a + near].ravel(), np.take_along_axis(d, near, 1).ravel())):
+                        store.append(found)
         u, w, d = (np.concatenate(x) if x else np.zeros(0) for x in out)
         keep = _best(u, w, d, degree)
         return pa.table({"node": u[keep].astype(np.int64), "to": w[keep].astype(np.int64), "d": d[keep].astype(float)})
 
     tasks = 1 + DEALS * n // GROUP_ROWS
-    full = members.join(units.select("node", "unit"), "node").select(F.pmod(F.xxhash64("v"), F.lit(tasks)).alias("task"), "v", "node", "unit")
+    full = members.join(units.select("node", "unit"), "node").select(F.pmod(F.xxhash64("v"), F.lit(tasks)).alias("task"), "v", "node", "first", "unit")
     found, met_path = common.stored(full.groupBy("task").applyInArrow(meet, "node long, to long, d double"), "neighbours-dealt")
     common.drop_path(spark, path)
     return found, met_path
