@@ -44,6 +44,27 @@ def test_jaccard_pairs_lose_no_link(spark, oracle):
     assert met == {(r["a"], r["b"]) for r in want}
 
 
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(0, ""), (1, "\n"), (2, None), (3, "a line\r\n\r\nanother\n"), (4, "")],
+        [(0, "one line\n}\nanother\nlast line"), (0, "a line\n\nlonger"), (1, "a line"), (None, "no path"), (None, "nor here\nnor there")],
+        [(0, "!!!!\u0870\n!!!!\u0ad0\n!!!!\U000323af\n!!!!\U000323b0"), (1, "!!!!\U0001d2c0\n!!!!\U00016ac9\n!!!!!")],
+    ],
+    ids=["empty texts", "a path twice", "letters of Unicode 15"],
+)
+def test_substantive_prefix_of_odd_texts(spark, tmp_path, rows):
+    import duckdb
+
+    rows = [(k, text, "en", "src0", len(text or "")) for k, text in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(f"SELECT path, line, before_next FROM ({queries.ORACLES['substantive_prefix']})").fetchall()
+    got = queries.QUERIES["substantive_prefix"](spark, str(tmp_path)).select("path", "line", "before_next").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and want
+
+
 def test_entry():
     import __spark_entry__ as e
 

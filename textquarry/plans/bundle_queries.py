@@ -52,9 +52,10 @@ def explain_scores(spark, sf_dir):
 
 @query(f"WITH {FILES}, {_LINES}, g AS (SELECT path, unnest(g) AS ok, unnest(range(len(g))) AS line FROM good) SELECT path, line::INT AS line, sum(ok) OVER (PARTITION BY path ORDER BY line)::BIGINT AS before_next FROM g")
 def substantive_prefix(spark, sf_dir):
+    """An empty text has one empty line here; equal lines of files of one path count together, as the SQL's frame has them."""
     lines = C.bound(corpus.documents(spark, sf_dir).select("path", "text"), ls=C.lines_lf(F.col("text")))
-    rows = lines.select("path", F.posexplode("ls").alias("line", "x"))
-    order = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.select("path", F.posexplode(F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.col("ls"))).alias("line", "x"))
+    order = Window.partitionBy("path").orderBy("line").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.select("path", "line", F.sum(C.substantive(F.col("x")).cast("long")).over(order).alias("before_next"))
 
 
